@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Largest row count of a side that is broadcast; sides hold a key and a few numbers, so at most some 64 MB.
-BROADCAST_ROWS = 500_000
+#: Largest row count of a side that is broadcast; sides hold a key and a few numbers, so some 10 MB at most.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:

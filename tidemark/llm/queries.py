@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, mixing, near_dedup, sharding
+from tidemark.llm import decontamination, exact_dedup, mixing, near_dedup, sharding, token_counts, warc
+from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +27,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archives(spark, path)
+    return back.select(F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("_node")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), cache, limit=2048)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +61,19 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+bits AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS b FROM p),
+coded AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT)
+                   + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT) + CAST(substr(b, 5 * i + 5, 1) AS INT), 1), '' ORDER BY i) AS payload_digest
+          FROM bits, range(32) AS r(i) GROUP BY page_id)
+SELECT page_id, strlen(h) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM bits JOIN coded USING (page_id)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower_az(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 b AS (SELECT item_id, regexp_extract_all(lower_az(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark)),
@@ -59,5 +88,5 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("lower_az(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("\\\\x", "\\x")
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op5_near_dedup, op6_sharding, op8_decontamination)}
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination)}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_decontamination": OP8_SQL}
