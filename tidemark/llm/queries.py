@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, mixing, near_dedup, sharding, token_counts, warc
+from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, quality, sharding, token_counts, url_filters, warc
 from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(OP4_DAY).alias("day"))
+    pages.createOrReplaceTempView("op4_pages")
+    judged = url_filters.evaluate(pages, spark.sql(OP4_LISTS.format(pages="op4_pages")))
+    return judged.select("page_id", "url", "day", F.col("_host").alias("host"), F.col("_active").alias("n_active"), F.col("_rule").alias("rule"), F.col("_blocked").alias("blocked"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("_node")
 
@@ -61,6 +68,40 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", F.col("lang").alias("declared"), F.col("_look").alias("text_language"), F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_accepted").alias("kept"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", F.col("_votes").alias("votes"), F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), F.col("_kept").alias("kept"))
+
+
+#: Pages have no fetch date and there is no list; both follow from ids and hosts by a rule, in words that both engines know.
+OP4_DAY = "CAST((page_id * 37) % 365 AS INT)"
+OP4_LISTS = r"""
+WITH h AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS host FROM {pages}),
+d AS (SELECT DISTINCT regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS domain FROM h),
+p AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') || '/' || regexp_extract(url, '^[A-Za-z]+://[^/]+/([^/?#]+)', 1) AS prefix FROM {pages}),
+e AS (SELECT 'hosts' AS list, 'block' AS action, 'domain' AS kind, host AS pattern FROM h
+      UNION ALL SELECT 'domains', 'block', 'domain', domain FROM d
+      UNION ALL SELECT 'paths', 'allow', 'prefix', prefix FROM p),
+n AS (SELECT *, instr('0123456789abcdef', substr(md5(pattern), 1, 1)) AS a, instr('0123456789abcdef', substr(md5(pattern), 2, 1)) AS b, instr('0123456789abcdef', substr(md5(pattern), 3, 1)) AS c FROM e)
+SELECT list, action, kind, pattern, CAST(b * 10 AS INT) AS day, 'add' AS change FROM n WHERE a <= 10
+UNION ALL SELECT list, action, kind, pattern, CAST(b * 10 + c * 6 AS INT), 'remove' FROM n WHERE a <= 8
+UNION ALL SELECT list, action, kind, pattern, CAST(b * 10 + c * 6 + 40 AS INT), 'add' FROM n WHERE a <= 4
+"""
+OP4_SQL = (
+    "WITH caps AS (SELECT page_id, url, " + OP4_DAY + " AS day, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),"
+    + " entries AS (" + OP4_LISTS.format(pages="pages") + "),"
+    + """ active AS (SELECT c.page_id, e.list, e.action, e.kind, e.pattern, arg_max(e.change, (e.day, e.change = 'add')) AS last FROM caps c JOIN entries e
+        ON e.day <= c.day AND (e.kind = 'domain' AND (c.host = e.pattern OR ends_with(c.host, '.' || e.pattern)) OR e.kind = 'prefix' AND (c.host || c.path = e.pattern OR starts_with(c.host || c.path, e.pattern || '/')))
+        GROUP BY ALL HAVING last = 'add'),
+    best AS (SELECT page_id, count(*) AS n_active, max((length(pattern), action, pattern)) AS m FROM active GROUP BY page_id)
+    SELECT page_id, url, day, host, coalesce(n_active, 0) AS n_active, m[3] AS rule, coalesce(m[2] = 'block', false) AS blocked FROM caps LEFT JOIN best USING (page_id)"""
+)
+
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 bits AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS b FROM p),
@@ -88,5 +129,12 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("lower_az(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("\\\\x", "\\x")
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination)}
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_decontamination": OP8_SQL}
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, pipeline)}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL}
