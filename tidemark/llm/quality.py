@@ -1,7 +1,7 @@
 """A quality classifier from weak labels.
 
-Nine heuristic labellers vote good, bad or nothing on a document. Expectation-maximisation estimates how each of them votes on good
-and on bad documents and how many are good, from the counts of the vote patterns alone (at most 3^9 of them, counted over all
+Eleven heuristic labellers vote good, bad or nothing on a document. Expectation-maximisation estimates how each of them votes on good
+and on bad documents and how many are good, from the counts of the vote patterns alone (at most 3^11 of them, counted over all
 documents by one grouped aggregation). The posterior of a pattern labels its documents, and these labels train a linear scorer over
 hashed features of the whole text: trigrams of character classes, and how words repeat. The scorer is fitted on the rows whose id's
 hash falls below FIT_ROWS / rows; it scores all documents.
@@ -26,8 +26,6 @@ CELLS = 512
 FIT_ROWS = 8_000
 #: Kept from this score on.
 LEAST = 0.5
-#: Largest number of vote patterns, which bounds what the driver gets.
-PATTERNS = 3**9
 
 #: Character classes: white space, lower and upper letters, digits, sentence marks, other marks, non-ASCII.
 _CLASS = np.full(256, 5, dtype=np.int64)
@@ -48,31 +46,32 @@ def votes(text: str = "text") -> list[Column]:
     upper = share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     lower = share("abcdefghijklmnopqrstuvwxyz")
     marks = share("#$%&*!|~^_=+<>{}[]\\/@")
-    ends = F.regexp_count(t, F.lit(r"[.!?](\s|$)")) / F.greatest(n, F.lit(1))
+    each = lambda pattern: F.regexp_count(t, F.lit(pattern)) / F.greatest(n, F.lit(1))
+    ends, again = each(r"[.!?](\s|$)"), each(r"(?<!\S)(\S+)\s+\1(?!\S)")
+    marked, shouted, bars = each(r"[#$%&*!|]{2,}(?=\s|$)"), each(r"(?<!\S)\p{Lu}{2,}"), each(r"(?<!\S)\|(?!\S)")
+    kinds = F.size(F.array_distinct(F.split(t, WHITE_SPACE))) / F.greatest(n, F.lit(1))
     lines = F.split(t, "\n")
     distinct_lines = F.size(F.array_distinct(lines)) / F.size(lines)
-    again = F.regexp_count(t, F.lit(r"(?<!\S)(\S+)\s+\1(?!\S)")) / F.greatest(n, F.lit(1))
-    kinds = F.size(F.array_distinct(F.split(t, WHITE_SPACE))) / F.greatest(n, F.lit(1))
-    mean = length / F.greatest(n, F.lit(1))
     return [
         _vote(marks < 0.01, marks > 0.04),
-        _vote(upper < 0.1 * (upper + lower), upper > 0.35 * (upper + lower)),
+        _vote(marked < 0.02, marked > 0.08),
+        _vote(upper < 0.1 * (upper + lower), upper > 0.3 * (upper + lower)),
+        _vote(shouted < 0.05, shouted > 0.2),
         _vote((ends > 0.02) & (ends < 0.4), (ends == 0) | (ends >= 0.6)),
-        _vote(again < 0.02, again > 0.1),
-        _vote((mean > 3) & (mean < 11), (mean < 2.2) | (mean > 20)),
-        _vote(n >= 30, n < 4),
+        _vote(again < 0.02, again > 0.08),
+        _vote(kinds > 0.35, kinds < 0.15),
+        _vote(share("|\t") < 0.001, share("|\t") > 0.01),
+        _vote(bars < 0.01, bars > 0.05),
         _vote(distinct_lines > 0.8, (distinct_lines < 0.5) & (F.size(lines) > 4)),
-        _vote(share("|\t") < 0.001, share("|\t") > 0.02),
-        _vote(kinds > 0.35, kinds < 0.12),
+        _vote(n >= 30, n < 4),
     ]
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """patterns: rows of votes 0, 1 or -1 (none). Returns the posterior of good for each pattern, P(vote | class) as
-    [labeller, class, vote + 1], and the share of good. The start is the majority, so class 1 is the one that the voters call good."""
+    [labeller, class, vote + 1], and the share of good. At the start two bad votes make a document bad, so class 1 is the good one."""
     n, k = patterns.shape
-    yes, no = (patterns == 1).sum(1), (patterns == 0).sum(1)
-    good = (yes + 1.0) / (yes + no + 2.0)
+    good = np.choose(np.minimum((patterns == 0).sum(1), 2), [0.95, 0.5, 0.05])
     hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     table, prior = np.zeros((k, 2, 3)), 0.5
     for _ in range(rounds):
