@@ -1,8 +1,10 @@
-"""Session factory with the settings that every job of this package expects."""
+"""Session factory with the settings that every job of this package expects, and checkpoints in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -15,3 +17,17 @@ def get_session(app: str = "tidemark", master: str | None = None, shuffle_partit
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder now and go on from there; a lost executor then costs no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
