@@ -32,7 +32,7 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", *, by: Sequence[str] = (
     """Per group: n, accuracy, log_loss, brier, ece. The bins carry the sums of the other metrics, so rows are read once."""
     per_bin = df.groupBy(*by, S.edges_below(p, n_bins).alias("_bin")).agg(F.count("*").alias("_n"), F.sum(F.col(p)).alias("_p"), F.sum(F.col(y).cast("double")).alias("_y"), F.sum(((F.col(p) > 0.5) == (F.col(y) == 1)).cast("double")).alias("_hit"), F.sum(S.log_loss(y, p)).alias("_ll"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_br"))
     n = F.sum("_n")
-    return per_bin.groupBy(*by).agg(n.alias("n"), (F.sum("_hit") / n).alias("accuracy"), (F.sum("_ll") / n).alias("log_loss"), (F.sum("_br") / n).alias("brier"), (F.sum(F.abs(F.col("_p") - F.col("_y"))) / n).alias("ece"))
+    return per_bin.groupBy(*by).agg(F.coalesce(n, F.lit(0)).alias("n"), (F.sum("_hit") / n).alias("accuracy"), (F.sum("_ll") / n).alias("log_loss"), (F.sum("_br") / n).alias("brier"), (F.sum(F.abs(F.col("_p") - F.col("_y"))) / n).alias("ece"))
 
 
 def reliability(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10) -> DataFrame:
