@@ -8,8 +8,8 @@ from there on. A tree orders the nodes by its values. Nodes that share the first
   of these than the threshold leaves room for can't be linked with anything (its similarity with any set is at most the share of its
   other shingles), so it settles alone. The rest of the region descends: at each of three depths, the node with the fewest own
   shingles is the centre, and every node of the deeper region has it as a candidate. Where a region still holds several components
-  after these links, the nodes outside its largest one are compared with all of its nodes whose own-shingle bound allows a link. So
-  no partner is capped, and a family of thousands of copies costs one comparison per node.
+  after these links, the nodes outside its largest one find all others that could be linked through their rarest shingles. So no
+  partner is capped, and a family of thousands of copies costs one comparison per node.
 
 Every candidate pair is confirmed on the full sets. With 16 trees and root depth 4, a pair at similarity 0.85 shares no region with
 probability 7e-6; with depth 3 at similarity 0.8, 1e-5.
@@ -103,6 +103,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("_common") >= percent * (F.size("_set_a") + F.size("_set_b") - F.col("_common"))).select("_a", "_b")
 
 
+def by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (_a, _b) of nodes (_node, _root, _outside) of different roots, at least one of them outside, that can be similar
+    enough: with shingles in one order, rare ones first, both have a common shingle among their first |set| - need + 1, and what
+    follows the first common one leaves room for the overlap. This is exact, and copies of one text that differ too much to be linked
+    begin with their own edits, so they hardly meet."""
+    tokens = nodes.join(sets, "_node").select("_node", "_root", "_outside", F.size("_set").alias("_size"), F.explode("_set").alias("_hash"))
+    counts = tokens.groupBy("_hash").agg(F.count("*").alias("_df"))
+    listed = tokens.join(counts, "_hash").groupBy("_node", "_root", "_outside", "_size").agg(F.array_sort(F.collect_list(F.struct("_df", "_hash"))).alias("_order"))
+    length = F.col("_size") - F.ceil(F.col("_size") * percent / 100) + 1
+    prefix = cut(listed.select("_node", "_root", "_outside", "_size", F.posexplode(F.slice("_order", F.lit(1), length.cast("int"))).alias("_at", "_t")).where("_t._df > 1").select("_node", "_root", "_outside", "_size", "_at", F.col("_t._hash").alias("_hash")))
+    x = prefix.where("_outside").select("_hash", *[F.col(c).alias(f"{c}x") for c in ("_node", "_root", "_size", "_at")])
+    room = F.least(F.col("_size") - F.col("_at"), F.col("_sizex") - F.col("_atx"))
+    can = (F.col("_root") != F.col("_rootx")) & (100 * room >= percent * (F.col("_size") + F.col("_sizex") - room))
+    return x.join(prefix, "_hash").where(can).select(*_pair("_node", "_nodex")).distinct()
+
+
 def _region(tree, depth):
     return F.xxhash64(tree, F.slice("_signature", tree * DEPTH + 1, depth))
 
@@ -146,16 +162,14 @@ def links(nodes: DataFrame, docs: DataFrame, n: int, percent: int, *, id: str, t
     sets = cut(crowd_sets.union(full_sets(docs, rest, n, id=id, text=text)))
     found = cut(confirmed(pairs, sets, percent))
     roots = components(found)
-    # What the centres didn't reach: nodes outside the largest component of a dense region, against its other components.
-    rooted = cut(thick.join(roots, "_node", "left").select(key, "_node", "_size", "_own", F.coalesce("_root", "_node").alias("_root")))
+    # What the centres didn't reach: the nodes outside the largest component of a dense region, against all others of dense regions
+    # that still hold several components.
+    rooted = cut(thick.join(roots, "_node", "left").select(key, "_node", F.coalesce("_root", "_node").alias("_root")))
     by_root = rooted.groupBy(key, "_root").agg(F.count("*").alias("_n"))
     main = cut(by_root.groupBy(key).agg(F.max(F.struct("_n", "_root")).alias("_main"), F.count("*").alias("_roots")).where("_roots > 1").select(key, F.col("_main._root").alias("_main")))
-    split = cut(join_small(rooted, main, key))
-    x = split.where("_root <> _main").select(key, *[F.col(c).alias(f"{c}x") for c in ("_node", "_size", "_own", "_root")])
-    most = F.least(F.col("_size") - F.col("_own"), F.col("_sizex") - F.col("_ownx"))
-    can = (F.col("_root") != F.col("_rootx")) & (100 * most >= percent * (F.col("_size") + F.col("_sizex") - most))
-    more = x.join(split, key).where(can).select(*_pair("_node", "_nodex")).distinct()
-    more = cut(confirmed(more.join(pairs, ["_a", "_b"], "left_anti"), sets, percent))
+    split = cut(join_small(rooted, main, key).groupBy("_node").agg(F.first("_root").alias("_root"), F.max(F.col("_root") != F.col("_main")).alias("_outside")))
+    more = by_prefix(split, sets, percent).join(pairs, ["_a", "_b"], "left_anti")
+    more = cut(confirmed(more, sets, percent))
     if not more.isEmpty():
         found = cut(found.union(more))
         roots = components(found)
