@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -10,11 +10,11 @@ from tidemark.functions import scalars as S
 
 def closing_prices(prices: DataFrame) -> DataFrame:
     """The last price per (bout, fighter, book): raw probability, n_sides of its (bout, book) and the probability without the margin.
-    The last row is an aggregate (max_by), so no group is sorted. A book with one side gives 1, as n_sides shows."""
+    The last row is an aggregate (max_by), so no snapshots are sorted. A book with one side gives 1, as n_sides shows."""
     last = prices.groupBy("bout_id", "fighter", "book").agg(F.max_by("moneyline", "collected_at").alias("moneyline"), F.max("collected_at").alias("collected_at"))
+    book = Window.partitionBy("bout_id", "book")  # as many rows as a bout has sides
     raw = last.withColumn("raw_prob", S.implied_probability("moneyline"))
-    total = raw.groupBy("bout_id", "book").agg(F.sum("raw_prob").alias("_total"), F.count("*").alias("n_sides"))
-    return raw.join(total, ["bout_id", "book"]).withColumn("prob", F.col("raw_prob") / F.col("_total")).drop("_total")
+    return raw.withColumns({"n_sides": F.count("*").over(book), "prob": F.col("raw_prob") / F.sum("raw_prob").over(book)})
 
 
 def closing_line(prices: DataFrame) -> DataFrame:
