@@ -4,7 +4,7 @@ A window is a run of WINDOW consecutive words of a benchmark item (a shorter ite
 counts the benchmark's terms. Each window then has its rarest and its second rarest term, and a second pass stores postings of these
 anchor terms alone: (term, document, position, the words around). For a window, the lists of both anchors are shifted by the
 anchors' offsets and intersected, from the rarest; a common start is a candidate, and the posting's context confirms the phrase word
-by word. Documents are indexed by a 128-bit digest of their text, so copies are indexed as one.
+by word. A document's key is a 128-bit digest of its text, so copies share their hits.
 
 The window table is broadcast to the indexing tasks in blocks of at most BLOCK_WINDOWS windows; a larger benchmark makes more blocks,
 each of which is looked up in all documents. Postings of a frequent anchor stay spread over the tasks that found them: windows come
@@ -76,7 +76,8 @@ def _places(w: np.ndarray, terms: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, anchors: np.ndarray, *, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The positional index of the anchor terms: _term, _doc (digest of the text), _at, _around: the 2 * window - 1 words around."""
+    """The positional index of the anchor terms: _term, _doc (digest of the text), _at, _around: the 2 * window - 1 words around,
+    32 bits of each. Copies of a text repeat its postings; they fall together when lists are intersected."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +92,11 @@ def postings(docs: DataFrame, anchors: np.ndarray, *, text: str = "text", window
                 around = hit[:, None] + np.arange(1 - window, window)[None, :]
                 ok = (around >= start[:, None]) & (around < end[:, None])
                 near = np.where(ok, flat[np.clip(around, 0, len(flat) - 1)], 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(_signed(near).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.astype(np.uint32).view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(flat[hit])), batch.column(0).take(pa.array(first + doc)), pa.array((hit - start).astype(np.int64)), lists], names=["_term", "_doc", "_at", "_around"])
 
     keyed = docs.select(digest(text), F.col(text).cast("string").alias("_text"))
-    return keyed.mapInArrow(index, "_term long, _doc binary, _at long, _around array<long>")
+    return keyed.mapInArrow(index, "_term long, _doc binary, _at long, _around array<int>")
 
 
 def digest(text: str = "text"):
@@ -114,7 +115,8 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def occurrences(index: DataFrame, plan: DataFrame, window: int = WINDOW) -> DataFrame:
     """Where windows occur: _doc, _start, _id, _length. Both anchors' lists, shifted, must share the start, and the words must agree."""
     at = lambda k: join_small(index.withColumnRenamed("_term", f"_term{k}"), plan, f"_term{k}").withColumn("_start", F.col("_at") - F.col(f"_offset{k}")).where("_start >= 0")
-    same = F.slice("_around", F.lit(window) - F.col("_offset1"), F.size("_words")) == F.col("_words")
+    low = F.transform("_words", lambda w: F.when(w.bitwiseAND(F.lit(0xFFFFFFFF)) >= 1 << 31, w.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 32)).otherwise(w.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int"))
+    same = F.slice("_around", F.lit(window) - F.col("_offset1"), F.size("_words")) == low
     first = at(1).where(same).select("_doc", "_start", "_id", F.size("_words").alias("_length"))
     second = at(2).select("_doc", "_start", "_id")
     return first.distinct().join(second.distinct(), ["_doc", "_start", "_id"])
@@ -148,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         terms = _sorted_terms(mine)
         counts = cut(term_counts(docs, terms, text=text))
         plan = cut(anchored(mine, counts))
-        index = cut(postings(docs, _sorted_terms(plan, "_term1", "_term2"), text=text, window=window).dropDuplicates(["_term", "_doc", "_at"]))
+        index = cut(postings(docs, _sorted_terms(plan, "_term1", "_term2"), text=text, window=window))
         here = occurrences(index, plan, window)
         found = here if found is None else found.unionByName(here)
     found = cut(found)

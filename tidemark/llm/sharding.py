@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Every document starts in a shard drawn from its id. In each round a linked document looks at its neighbours' shards and wants the
-one that most of them are in; a shard takes no more than its free quota, and of those that want in, the ones with small hashes. At
-last the shards settle: documents lie in one order, by shard label, link piece and id, and the order is cut into equal parts, so
+one that more than half of them are in; a shard takes no more than its free quota and what leaves it, and of those that want in, the ones with
+small hashes. At last the shards settle: documents lie in one order, by shard label, link piece and id, and the order is cut into equal parts, so
 sizes are even whatever the labels are, and a piece is split only where a cut falls. Positions in that order are running sums over
 at most LANES rows a shard plus a sort inside each lane; no shard is ever sorted whole.
 
@@ -32,7 +32,7 @@ def text_nodes(docs: DataFrame, shards: int, *, id: str = "doc_id", text: str =
     body = text_or_empty(text).cast("binary")
     slim = cut(docs.select(F.col(id), (F.octet_length(text_or_empty(text)) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("_group")))
     groups = cut(slim.groupBy("_group").agg(F.count("*").alias("_rows")).where("_rows > 1"))
-    piece = max(1, min(PIECE_ROWS, slim.count() // (16 * shards)))
+    piece = max(1, min(PIECE_ROWS, slim.count() // (12 * shards)))
     of = F.pmod(F.xxhash64(F.col(id)), F.ceil(F.col("_rows") / piece))
     nodes = join_small(slim, groups, "_group", "left").select(id, "size", "text_crc32", F.xxhash64(F.col(id), F.col("_group")).alias("_node"), F.when(F.col("_rows").isNull(), F.xxhash64("_group")).otherwise(F.xxhash64(F.col("_group"), of)).alias("_piece"), F.col("_rows").isNotNull().alias("_linked"))
     nodes = cut(nodes)
@@ -42,7 +42,20 @@ def text_nodes(docs: DataFrame, shards: int, *, id: str = "doc_id", text: str =
     return nodes, links
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, *, rounds: int = 4, slack: float = 0.05, weight: str | None = None) -> DataFrame:
+def accepted(loads: list[float], flows: dict[tuple[int, int], float], quota: float) -> list[float]:
+    """The share of those who want in that each shard takes, so that no shard ends above its quota (or above where it was): the largest
+    shares for which what comes in is at most the free room plus what leaves. Works on one number per pair of shards."""
+    share = [1.0] * len(loads)
+    for _ in range(60):
+        leaving, coming = [0.0] * len(loads), [0.0] * len(loads)
+        for (a, b), load in flows.items():
+            leaving[a] += load * share[b]
+            coming[b] += load
+        share = [1.0 if c <= 0 else max(0.0, min(1.0, (max(quota - have, 0.0) + out) / c)) for have, out, c in zip(loads, leaving, coming)]
+    return share
+
+
+def propagate(nodes: DataFrame, links: DataFrame, shards: int, *, rounds: int = 6, slack: float = 0.05, weight: str | None = None) -> DataFrame:
     """Labels (_node, _label) of the linked nodes after `rounds` rounds. weight: a column of nodes to balance; None counts rows."""
     start = F.pmod(F.xxhash64(F.col("_node"), F.lit(0)), F.lit(shards)).cast("int")
     load = F.count("*") if weight is None else F.sum(weight)
@@ -51,19 +64,21 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, *, rounds: int =
     quota = total / shards * (1 + slack)
     fixed = cut(nodes.where("not _linked").withColumn("_label", start).groupBy("_label").agg(load.alias("_load")))
     labels = cut(nodes.where("_linked").groupBy("_node").agg(load.alias("_load")).withColumn("_label", start))
-    every = nodes.sparkSession.range(shards).select(F.col("id").cast("int").alias("_label"), F.lit(0).cast("double").alias("_load"))
     for r in range(rounds):
         votes = both.join(labels.select(F.col("_node").alias("_b"), "_label"), "_b").groupBy("_a", "_label").agg(F.count("*").alias("_votes"))
-        wants = votes.groupBy("_a").agg(F.max(F.struct("_votes", -F.col("_label"))).alias("_best")).select(F.col("_a").alias("_node"), (-F.col("_best").getField("col2")).alias("_want"))
+        wants = votes.groupBy("_a").agg(F.max(F.struct("_votes", "_label")).alias("_best"), F.sum("_votes").alias("_all")).where(2 * F.col("_best._votes") > F.col("_all")).select(F.col("_a").alias("_node"), F.col("_best._label").alias("_want"))
         # Half of the nodes move in a round; else a centre and its leaves would only change places.
-        ask = labels.join(wants, "_node", "left").withColumn("_moves", (F.col("_want") != F.col("_label")) & (F.pmod(F.xxhash64(F.col("_node"), F.lit(r + 1)), F.lit(2)) == 0))
-        ask = cut(ask.withColumn("_moves", F.coalesce("_moves", F.lit(False))))
-        loads = labels.groupBy("_label").agg(F.sum("_load").cast("double").alias("_load")).unionByName(fixed.withColumn("_load", F.col("_load").cast("double"))).unionByName(every).groupBy("_label").agg(F.sum("_load").alias("_load"))
-        demand = ask.where("_moves").groupBy(F.col("_want").alias("_label")).agg(F.sum("_load").alias("_in"))
-        open_ = loads.join(demand, "_label").select(F.col("_label").alias("_want"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(quota) - F.col("_load")) / F.col("_in"))).alias("_chance"))
+        moves = (F.col("_want") != F.col("_label")) & (F.pmod(F.xxhash64(F.col("_node"), F.lit(r + 1)), F.lit(2)) == 0)
+        ask = cut(labels.join(wants, "_node", "left").withColumn("_want", F.when(moves, F.col("_want"))))
+        loads, flows = [0.0] * shards, {}
+        for row in fixed.unionByName(ask.groupBy("_label").agg(F.sum("_load").alias("_load"))).collect():
+            loads[row["_label"]] += row["_load"]
+        for row in ask.where("_want is not null").groupBy("_label", "_want").agg(F.sum("_load").alias("_load")).collect():
+            flows[row["_label"], row["_want"]] = row["_load"]
+        chance = accepted(loads, flows, quota)
         draw = F.pmod(F.xxhash64(F.col("_node"), F.lit(-1 - r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        moved = join_small(ask, cut(open_), "_want", "left")
-        labels = cut(moved.select("_node", "_load", F.when(F.col("_moves") & (draw < F.col("_chance")), F.col("_want")).otherwise(F.col("_label")).alias("_label")))
+        taken = draw < F.get(F.array(*map(F.lit, chance)), F.col("_want"))
+        labels = cut(ask.select("_node", "_load", F.when(taken, F.col("_want")).otherwise(F.col("_label")).alias("_label")))
     return labels.select("_node", "_label")
 
 
@@ -91,7 +106,7 @@ def settle(nodes: DataFrame, labels: DataFrame, shards: int, *, law: str = "rows
     return join_small(ranked, firsts, "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
     """One row per row of docs: the id, size, text_crc32, shard, slot. Documents with equal texts are linked."""
     nodes, links = text_nodes(docs, shards, id=id, text=text)
     labels = propagate(nodes, links, shards, rounds=rounds, weight=None if law == "rows" else "size")
