@@ -120,6 +120,9 @@ def test_mixing(docs):
         assert len(epochs) == 1 and sum(1 for r in got if r["source"] == s and 0 < r["_cut"] < r["_words"]) <= 1
     again = mixing.mix(docs.repartition(7)).collect()
     assert Counter((r["doc_id"], r["_taken"]) for r in got) == Counter((r["doc_id"], r["_taken"]) for r in again)
+    slim = mixing.mix(docs, keep_text=False)
+    assert "text" not in slim.columns
+    assert Counter((r["doc_id"], r["_words"], r["_taken"]) for r in got) == Counter((r["doc_id"], r["_words"], r["_taken"]) for r in slim.collect())
 
 
 def test_mix_rows(docs, empty):

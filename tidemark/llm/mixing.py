@@ -58,16 +58,19 @@ def water_fill(sources: DataFrame, share: float, most: float) -> DataFrame:
     return filled.select("_source", "_size", "_weight", target.alias("_target"))
 
 
-def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights=cyclic_weights, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, weights=cyclic_weights, share: float = 1.5, most: float = 2.0, seed: int = 17, keep_text: bool = True) -> DataFrame:
     """docs with _words, _source_size, _target, _epochs, _cut and _taken = _epochs * _words + _cut.
 
+    keep_text: with False the text column goes, and texts are read once: numbers are written to the shared folder in their place.
+
     weights: a function that adds _weight to a table of (_source, _size), one row a source. The table of sources is the only
     thing that is ever brought together; its length is the number of sources, not of documents.
     """
     weight = quality_weight(text) if quality is None else quality
     drawn = (F.pmod(F.xxhash64(F.lit(seed), F.col(id), F.col(text)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = docs.withColumns({"_source": F.col(source), "_key": -F.ln(drawn) / weight}).withColumn("_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    sums = cut(keyed.select("_source", "_bucket", word_count(text).alias("_words")).groupBy("_source", "_bucket").agg(F.sum("_words").alias("_sum")))
+    keyed = docs.withColumns({"_source": F.col(source), "_key": -F.ln(drawn) / weight, "_words": word_count(text), "_digest": F.xxhash64(F.col(text))}).withColumn("_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    keyed = keyed if keep_text else cut(keyed.drop(text))
+    sums = cut(keyed.groupBy("_source", "_bucket").agg(F.sum("_words").alias("_sum")))
     sources = water_fill(weights(sums.groupBy("_source").agg(F.sum("_sum").alias("_size"))), share, most)
     sources = sources.withColumn("_epochs", F.when(F.col("_size") > 0, F.floor(F.col("_target") / F.col("_size"))).otherwise(0).cast("long")).withColumn("_budget", F.round(F.col("_target") - F.col("_epochs") * F.col("_size")).cast("long"))
     same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
@@ -78,12 +81,11 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     plan = cut(sources.join(edge, same(sources, edge), "left").select(sources["_source"].alias("_of"), F.col("_size").alias("_source_size"), "_target", "_epochs", "_budget", F.col("_edge._bucket").alias("_last"), F.col("_edge._before").alias("_before")))
     ready = join_small(keyed, plan, keyed["_source"].eqNullSafe(plan["_of"]))
     at_edge = F.col("_bucket").eqNullSafe(F.col("_last"))
-    whole = ready.where(~at_edge).withColumn("_words", word_count(text)).withColumn("_cut", F.when(F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")), F.when(F.col("_budget") > 0, F.col("_words")).otherwise(0)).otherwise(0).cast("long"))
-    order = Window.partitionBy("_source").orderBy("_key", F.col(id), F.xxhash64(F.col(text)), "_words").rowsBetween(Window.unboundedPreceding, -1)
-    part = ready.where(at_edge).withColumn("_words", word_count(text))
-    part = part.withColumn("_cut", F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_budget") - F.col("_before") - F.coalesce(F.sum("_words").over(order), F.lit(0)))).cast("long"))
+    whole = ready.where(~at_edge).withColumn("_cut", F.when(F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")), F.when(F.col("_budget") > 0, F.col("_words")).otherwise(0)).otherwise(0).cast("long"))
+    order = Window.partitionBy("_source").orderBy("_key", F.col(id), "_digest", "_words").rowsBetween(Window.unboundedPreceding, -1)
+    part = ready.where(at_edge).withColumn("_cut", F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_budget") - F.col("_before") - F.coalesce(F.sum("_words").over(order), F.lit(0)))).cast("long"))
     out = whole.unionByName(part).withColumn("_taken", F.col("_epochs") * F.col("_words") + F.col("_cut"))
-    return out.drop("_source", "_key", "_bucket", "_of", "_budget", "_last", "_before")
+    return out.drop("_source", "_key", "_digest", "_bucket", "_of", "_budget", "_last", "_before")
 
 
 def first_words(text: str, n: str) -> Column:
