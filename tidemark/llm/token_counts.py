@@ -30,7 +30,7 @@ from pyspark.sql.utils import AnalysisException
 from tidemark.llm.common import WHITE_SPACE, cut, join_small, text_or_empty
 
 #: Words that a worker remembers; when it is full it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 60_000
 #: Bytes of a text that are split into words at once.
 SPAN = 1 << 20
 SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -102,8 +102,8 @@ def count_by_word(texts: list[bytes], path: str) -> list[int]:
                 if len(memo) + len(new) > MEMO_WORDS:
                     memo.clear()
                     new = list(set(pieces))
-                for at in range(0, len(new), 4096):
-                    some = new[at : at + 4096]
+                for at in range(0, len(new), 1024):
+                    some = new[at : at + 1024]
                     memo.update(zip(some, encode([w.decode("utf-8") for w in some])))
             total += sum(map(memo.__getitem__, pieces))
         out.append(total)
