@@ -302,6 +302,31 @@ def test_sharding(spark, docs, empty, law):
     assert sharding.shard_documents(empty, 7, law=law).count() == 0
 
 
+def test_sharding_keeps_groups_that_fit(spark):
+    """Groups of 2 to 25 rows among 24 shards of 20: only one that outgrows a shard is dealt."""
+    rows, sizes = [], [25, 20, 19, 12, 9, *[5] * 6, *[2] * 20]
+    for g, n in enumerate(sizes):
+        rows += [(1000 * g + i, f"group {g}") for i in range(n)]
+    rows += [(-1 - i, f"alone {i}") for i in range(480 - len(rows))]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    assert Counter(Counter(r["shard"] for r in got).values()) == {20: 24}
+    shards = defaultdict(set)
+    for r in got:
+        if r["doc_id"] >= 0:
+            shards[r["doc_id"] // 1000].add(r["shard"])
+    assert [len(shards[g]) for g in range(1, len(sizes))] == [1] * (len(sizes) - 1) and len(shards[0]) <= 3
+
+
+def test_sharding_links_parts_of_a_group(spark):
+    """A group of three quotas is dealt into parts, and its links still make one component, with stars of bounded size."""
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 900, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    nodes, links, total = sharding.text_nodes(docs, 4)
+    assert total == 1200 and nodes.where("_linked").select("_piece").distinct().count() == 3
+    roots = components(links).collect()
+    assert len(roots) == 900 and len({r["_root"] for r in roots}) == 1
+    assert links.groupBy("_b").count().agg(F.max("count")).first()[0] < 100
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,13 +1,15 @@
 """Sharding by balanced label propagation.
 
-Every document starts in a shard drawn from its id. In each round a linked document looks at its neighbours' shards and wants the
-one that more than half of them are in; a shard takes no more than its free quota and what leaves it, and of those that want in, the ones with
-small hashes. At last the shards settle: documents lie in one order, by shard label, link piece and id, and the order is cut into equal parts, so
-sizes are even whatever the labels are, and a piece is split only where a cut falls. Positions in that order are running sums over
-at most LANES rows a shard plus a sort inside each lane; no shard is ever sorted whole.
+Groups of equal texts are the pieces; only a group that outgrows a shard's quota is dealt by id into several. Pieces of a 64th of a
+quota or more are packed whole, the largest first. The documents of the smaller ones start in shards drawn from their ids. In each
+round a linked document looks at its neighbours' shards and wants the one that more than half of them (by weight) are in; a shard takes
+no more than its free room and what leaves it, and of those that want in, the ones with small hashes. At last the shards settle: linked
+documents stay as far as their shard's quota goes, and all others, in one order, fill the shards up, so sizes are even whatever the
+labels are, and a piece is split only where it meets the end of a quota. Positions are running sums over lanes plus a sort inside
+each lane; no shard is ever sorted whole, and a large piece is dealt over lanes of its own.
 
-Links of a group of equal texts are stars of bounded size: a group larger than a piece is dealt by id into pieces, each with its own
-centre, so a group that holds a third of all rows neither meets in one task nor outgrows a shard.
+Links of a group are stars of bounded size, whose centres hang on the centre of their piece, and that on the group's, so a group that
+holds a third of all rows doesn't meet in one task, and no link between its parts is lost.
 
 Laws: `rows` (counts at most one apart) or `bytes` (cut by running bytes; a shard is off by one document at most).
 Defined cases: null text has no bytes and equals the empty text; null ids are ids like others; repeated rows are rows of their own;
@@ -16,33 +18,73 @@ more shards than rows leave shards empty; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, join_small, text_or_empty
 
 #: Lanes of a shard in the final order.
 LANES = 256
-#: Most rows of a piece of a group.
-PIECE_ROWS = 100_000
+#: Most leaves of a centre.
+STAR_ROWS = 1000
+#: Pieces of at least a shard's quota / BIG are packed one by one; there are at most BIG * shards of them.
+BIG = 64
 
 
-def text_nodes(docs: DataFrame, shards: int, *, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, size, text_crc32, _node, _piece, _linked) and links (_a, _b) of equal texts."""
-    body = text_or_empty(text).cast("binary")
-    slim = cut(docs.select(F.col(id), (F.octet_length(text_or_empty(text)) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("_group")))
-    groups = cut(slim.groupBy("_group").agg(F.count("*").alias("_rows")).where("_rows > 1"))
-    piece = max(1, min(PIECE_ROWS, slim.count() // (12 * shards)))
-    of = F.pmod(F.xxhash64(F.col(id)), F.ceil(F.col("_rows") / piece))
-    nodes = join_small(slim, groups, "_group", "left").select(id, "size", "text_crc32", F.xxhash64(F.col(id), F.col("_group")).alias("_node"), F.when(F.col("_rows").isNull(), F.xxhash64("_group")).otherwise(F.xxhash64(F.col("_group"), of)).alias("_piece"), F.col("_rows").isNotNull().alias("_linked"))
-    nodes = cut(nodes)
-    linked = nodes.where("_linked")
-    centres = linked.groupBy("_piece").agg(F.min("_node").alias("_b"))
-    links = linked.select("_piece", F.col("_node").alias("_a")).distinct().join(centres, "_piece").where("_a <> _b").select("_a", "_b")
-    return nodes, links
+def quotas(total: int, shards: int) -> list[int]:
+    """Whole parts of total, at most one apart."""
+    ends = [-(-s * total // shards) for s in range(shards + 1)]
+    return [b - a for a, b in zip(ends, ends[1:])]
 
 
-def accepted(loads: list[float], flows: dict[tuple[int, int], float], quota: float) -> list[float]:
+def text_nodes(docs: DataFrame, shards: int, *, law: str = "rows", id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """Nodes (id, size, text_crc32, _load, _node, _piece, _linked), links (_a, _b, _weight, _piece) of equal texts and the whole load."""
+    if law not in ("rows", "bytes"):
+        raise ValueError(f"law: {law}")
+    body = text_or_empty(text).cast("binary")
+    slim = cut(docs.select(F.col(id), (F.octet_length(text_or_empty(text)) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.unhex(F.md5(body)).alias("_group")).withColumn("_load", F.col("size") if law == "bytes" else F.lit(1).cast("long")))
+    groups = cut(slim.groupBy("_group").agg(F.count("*").alias("_rows"), F.sum("_load").alias("_all")).where("_rows > 1"))
+    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("_load"), F.lit(0))).first()
+    star = max(16, min(STAR_ROWS, rows // (12 * shards)))
+    parts = F.ceil(F.col("_all") / F.lit(max(1, total // shards)))
+    stars = F.ceil(F.col("_rows") / parts / star)
+    of = lambda n, salt: F.pmod(F.xxhash64(F.col(id), F.lit(salt)), n)
+    piece = F.when(F.col("_rows").isNull() | (parts <= 1), F.xxhash64("_group")).otherwise(F.xxhash64(F.col("_group"), of(parts, "piece")))
+    nodes = join_small(slim, groups, "_group", "left").select(id, "size", "text_crc32", "_load", F.xxhash64(F.col(id), F.col("_group")).alias("_node"), piece.alias("_piece"), F.col("_rows").isNotNull().alias("_linked"), F.xxhash64("_group").alias("_whole"), F.when(F.col("_rows").isNotNull(), of(stars, "star")).alias("_star"))
+    nodes = cut(nodes)
+    # A leaf hangs on its star's centre, that on its piece's, that on its group's. A link weighs as much as what hangs on it, so that
+    # a centre follows its own centre and not its leaves.
+    ends = nodes.where("_linked").groupBy("_whole", "_piece", "_star", "_node").agg(F.lit(1).cast("long").alias("_weight"))
+    links = None
+    for level in (["_whole", "_piece", "_star"], ["_whole", "_piece"], ["_whole"]):
+        centres = cut(ends.groupBy(*level).agg(F.min("_node").alias("_b"), F.sum("_weight").alias("_all")))
+        hung = ends.join(centres, level).where("_node <> _b").select(F.col("_node").alias("_a"), "_b", "_weight", "_piece")
+        links = hung if links is None else links.unionByName(hung)
+        ends = centres.select(*level, F.col("_b").alias("_node"), F.col("_all").alias("_weight")).withColumn("_piece", F.col("_piece") if "_piece" in level else F.lit(None).cast("long"))
+    return nodes.drop("_whole", "_star"), links, total
+
+
+def pack(pieces: list[tuple[int, int]], rooms: list[int]) -> dict[int, int]:
+    """Shards of the pieces (piece, load), the largest first, each into the fullest shard that has room; takes the room away. A piece
+    that fits nowhere gets none."""
+    homes = {}
+    for piece, load in sorted(pieces, key=lambda p: (-p[1], p[0])):
+        fits = [s for s, room in enumerate(rooms) if room >= load]
+        if fits:
+            homes[piece] = min(fits, key=lambda s: (rooms[s], s))
+            rooms[homes[piece]] -= load
+    return homes
+
+
+def share_of(loads: list[int], at: Column) -> Column:
+    """The index of the load that the position falls in, if the loads lie one after another."""
+    ends = [int(x) for x in accumulate(loads)]
+    return F.least(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda end: end <= at)), F.lit(len(loads) - 1)).cast("int")
+
+
+def accepted(loads: list[float], flows: dict[tuple[int, int], float], quota: list[float]) -> list[float]:
     """The share of those who want in that each shard takes, so that no shard ends above its quota (or above where it was): the largest
     shares for which what comes in is at most the free room plus what leaves. Works on one number per pair of shards."""
     share = [1.0] * len(loads)
@@ -51,27 +93,24 @@ def accepted(loads: list[float], flows: dict[tuple[int, int], float], quota: flo
         for (a, b), load in flows.items():
             leaving[a] += load * share[b]
             coming[b] += load
-        share = [1.0 if c <= 0 else max(0.0, min(1.0, (max(quota - have, 0.0) + out) / c)) for have, out, c in zip(loads, leaving, coming)]
+        share = [1.0 if c <= 0 else max(0.0, min(1.0, (max(most - have, 0.0) + out) / c)) for most, have, out, c in zip(quota, loads, leaving, coming)]
     return share
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, *, rounds: int = 6, slack: float = 0.05, weight: str | None = None) -> DataFrame:
-    """Labels (_node, _label) of the linked nodes after `rounds` rounds. weight: a column of nodes to balance; None counts rows."""
-    start = F.pmod(F.xxhash64(F.col("_node"), F.lit(0)), F.lit(shards)).cast("int")
-    load = F.count("*") if weight is None else F.sum(weight)
-    both = cut(links.select("_a", "_b").union(links.select("_b", "_a")))
-    total = nodes.agg(load.alias("_load")).first()[0] or 0
-    quota = total / shards * (1 + slack)
-    fixed = cut(nodes.where("not _linked").withColumn("_label", start).groupBy("_label").agg(load.alias("_load")))
-    labels = cut(nodes.where("_linked").groupBy("_node").agg(load.alias("_load")).withColumn("_label", start))
+def propagate(nodes: DataFrame, links: DataFrame, rooms: list[int], *, rounds: int = 6, slack: float = 0.05) -> DataFrame:
+    """Labels (_node, _label) of the nodes (_node, _load) after `rounds` rounds; rooms are the loads that the labels may take."""
+    shards, quota = len(rooms), [room * (1 + slack) for room in rooms]
+    start = share_of(rooms, F.pmod(F.xxhash64(F.col("_node"), F.lit(0)), F.lit(max(1, sum(rooms)))))
+    both = cut(links.select("_a", "_b", "_weight").union(links.select("_b", "_a", "_weight")))
+    labels = cut(nodes.groupBy("_node").agg(F.sum("_load").alias("_load")).withColumn("_label", start))
     for r in range(rounds):
-        votes = both.join(labels.select(F.col("_node").alias("_b"), "_label"), "_b").groupBy("_a", "_label").agg(F.count("*").alias("_votes"))
+        votes = both.join(labels.select(F.col("_node").alias("_b"), "_label"), "_b").groupBy("_a", "_label").agg(F.sum("_weight").alias("_votes"))
         wants = votes.groupBy("_a").agg(F.max(F.struct("_votes", "_label")).alias("_best"), F.sum("_votes").alias("_all")).where(2 * F.col("_best._votes") > F.col("_all")).select(F.col("_a").alias("_node"), F.col("_best._label").alias("_want"))
         # Half of the nodes move in a round; else a centre and its leaves would only change places.
         moves = (F.col("_want") != F.col("_label")) & (F.pmod(F.xxhash64(F.col("_node"), F.lit(r + 1)), F.lit(2)) == 0)
         ask = cut(labels.join(wants, "_node", "left").withColumn("_want", F.when(moves, F.col("_want"))))
         loads, flows = [0.0] * shards, {}
-        for row in fixed.unionByName(ask.groupBy("_label").agg(F.sum("_load").alias("_load"))).collect():
+        for row in ask.groupBy("_label").agg(F.sum("_load").alias("_load")).collect():
             loads[row["_label"]] += row["_load"]
         for row in ask.where("_want is not null").groupBy("_label", "_want").agg(F.sum("_load").alias("_load")).collect():
             flows[row["_label"], row["_want"]] = row["_load"]
@@ -82,32 +121,58 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, *, rounds: int =
     return labels.select("_node", "_label")
 
 
-def settle(nodes: DataFrame, labels: DataFrame, shards: int, *, law: str = "rows", id: str = "doc_id") -> DataFrame:
-    """nodes with shard and slot."""
-    start = F.pmod(F.xxhash64(F.col("_node"), F.lit(0)), F.lit(shards)).cast("int")
-    placed = nodes.where("not _linked").withColumn("_label", start).unionByName(nodes.where("_linked").join(labels, "_node"))
-    placed = cut(placed.withColumn("_lane", F.pmod(F.col("_piece"), F.lit(LANES)).cast("int")))
-    lanes = placed.groupBy("_label", "_lane").agg(F.count("*").alias("_rows"), F.sum("size").alias("_bytes"))
-    before = Window.orderBy("_label", "_lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(lanes.select("_label", "_lane", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows0"), F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes0")))
-    inside = Window.partitionBy("_label", "_lane").orderBy("_piece", F.col(id), "_node", "size")
-    ranked = join_small(placed, offsets, ["_label", "_lane"]).withColumn("_rank", F.col("_rows0") + F.row_number().over(inside) - 1)
-    if law == "rows":
-        n = placed.count()
-        shard = F.expr(f"(_rank * {shards}L) div {max(n, 1)}L")
-        first = F.expr(f"(cast(shard as bigint) * {max(n, 1)}L + {shards - 1}L) div {shards}L")
-        return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rank") - first)
-    if law != "bytes":
-        raise ValueError(f"law: {law}")
-    total = placed.agg(F.sum("size")).first()[0] or 1
-    upto = F.col("_bytes0") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut(ranked.withColumn("shard", F.least(F.lit(shards - 1), F.floor(upto.cast("decimal(38,0)") * shards / F.lit(total))).cast("int")))
-    firsts = cut(ranked.groupBy("shard").agg(F.min("_rank").alias("_first")))
-    return join_small(ranked, firsts, "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
+def ordered(rows: DataFrame, lane: list[str], id: str) -> DataFrame:
+    """rows with _at and _upto, the rows and the load before a row, in the order of lane, piece and id."""
+    lanes = rows.groupBy(*lane).agg(F.count("*").alias("_n"), F.sum("_load").alias("_l"))
+    before = Window.orderBy(*lane).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(lanes.select(*lane, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_l").over(before), F.lit(0)).alias("_l0")))
+    inside = Window.partitionBy(*lane).orderBy("_piece", F.col(id), "_node", "size")
+    upto = F.coalesce(F.sum("_load").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut(join_small(rows, offsets, lane).withColumns({"_at": F.col("_n0") + F.row_number().over(inside) - 1, "_upto": F.col("_l0") + upto}).drop("_n0", "_l0"))
+
+
+def settle(placed: DataFrame, shards: int, total: int, *, id: str = "doc_id") -> DataFrame:
+    """placed (nodes with _home, -1 for none, and _kind, _block, _deal, which make the order) with shard and slot. Rows stay in their
+    home as far as its quota goes; the others fill up the shards in one order."""
+    caps = quotas(total, shards)
+    at = lambda values, key: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col(key))
+
+    def sums(rows: DataFrame, key: str) -> tuple[list[int], list[int]]:
+        n, load = [0] * shards, [0] * shards
+        for r in rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("_load").alias("_l")).collect():
+            n[r[key]], load[r[key]] = r["_n"], r["_l"]
+        return n, load
+
+    homed = placed.where("_home >= 0")
+    n, load = sums(homed, "_home")
+    homed = ordered(homed, ["_home", "_kind", "_block", "_deal"], id)
+    ends = F.col("_upto") - at(accumulate([0, *load[:-1]]), "_home") + F.col("_load")
+    stays = ends <= at(caps, "_home")
+    kept = homed.where(stays).select("*", F.col("_home").alias("shard"), (F.col("_at") - at(accumulate([0, *n[:-1]]), "_home")).alias("slot"))
+    kept_n, kept_load = sums(kept, "_home")
+    rest = homed.where(~stays).drop("_at", "_upto").unionByName(placed.where("_home < 0"))
+    rest = ordered(rest, ["_kind", "_home", "_block", "_deal"], id)
+    rest = rest.withColumn("shard", share_of([c - k for c, k in zip(caps, kept_load)], F.col("_upto")))
+    firsts = [0] * shards
+    for r in rest.groupBy("shard").agg(F.min("_at").alias("_first")).collect():
+        firsts[r["shard"]] = r["_first"]
+    rest = rest.withColumn("slot", F.col("_at") - at(firsts, "shard") + at(kept_n, "shard"))
+    return kept.unionByName(rest)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
     """One row per row of docs: the id, size, text_crc32, shard, slot. Documents with equal texts are linked."""
-    nodes, links = text_nodes(docs, shards, id=id, text=text)
-    labels = propagate(nodes, links, shards, rounds=rounds, weight=None if law == "rows" else "size")
-    return settle(nodes, labels, shards, law=law, id=id).select(id, "size", "text_crc32", "shard", "slot")
+    nodes, links, total = text_nodes(docs, shards, law=law, id=id, text=text)
+    rooms = quotas(total, shards)
+    linked = nodes.where("_linked")
+    big = linked.groupBy("_piece").agg(F.sum("_load").alias("_l"), F.count("*").alias("_n")).where(F.col("_l") * (BIG * shards) >= total).collect()
+    homes = pack([(r["_piece"], r["_l"]) for r in big], rooms)
+    lane_rows = max(1, nodes.count() // (LANES * shards))
+    packed = F.broadcast(docs.sparkSession.createDataFrame([(r["_piece"], homes.get(r["_piece"], -1), -(-r["_n"] // lane_rows)) for r in big], "_piece long, _packed int, _deals long"))
+    small = linked.join(packed, "_piece", "left_anti")
+    labels = propagate(small, links.join(packed, "_piece", "left_anti"), rooms, rounds=rounds)
+    joined = small.join(labels, "_node").select(*nodes.columns, F.col("_label").alias("_home"), F.lit(1).alias("_kind"), F.pmod("_piece", F.lit(LANES)).cast("long").alias("_block"), F.lit(0).cast("long").alias("_deal"))
+    large = linked.join(packed, "_piece").select(*nodes.columns, F.col("_packed").alias("_home"), F.lit(0).alias("_kind"), F.col("_piece").alias("_block"), F.pmod(F.xxhash64(F.col(id), F.lit("deal")), F.col("_deals")).alias("_deal"))
+    single = nodes.where("not _linked").select("*", F.lit(-1).alias("_home"), F.lit(2).alias("_kind"), F.pmod("_piece", F.lit(LANES * shards)).cast("long").alias("_block"), F.lit(0).cast("long").alias("_deal"))
+    placed = cut(joined.unionByName(large).unionByName(single))
+    return settle(placed, shards, total, id=id).select(id, "size", "text_crc32", "shard", "slot")
