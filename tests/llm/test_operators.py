@@ -317,6 +317,18 @@ def test_sharding_keeps_groups_that_fit(spark):
     assert [len(shards[g]) for g in range(1, len(sizes))] == [1] * (len(sizes) - 1) and len(shards[0]) <= 3
 
 
+def test_propagation_settles(spark):
+    """No link is left between labels where room is plenty, in stars and in a star of stars."""
+    links = [(1000 * g + i, 1000 * g, 1) for g in range(1, 9) for i in range(1, 60)]
+    links += [(10000 + 100 * s + i, 10000 + 100 * s, 1) for s in range(1, 6) for i in range(1, 40)] + [(10000 + 100 * s, 10000, 40) for s in range(1, 6)]
+    nodes = sorted({n for a, b, _ in links for n in (a, b)})
+    table = spark.createDataFrame(links, "_a long, _b long, _weight long")
+    labels = sharding.propagate(spark.createDataFrame([(n, n // 1000, 1) for n in nodes], "_node long, _piece long, _load long"), table, [1000] * 24)
+    at = {r["_node"]: r["_label"] for r in labels.collect()}
+    assert set(at) == set(nodes)
+    assert not [1 for a, b, _ in links if at[a] != at[b]]
+
+
 def test_sharding_links_parts_of_a_group(spark):
     """A group of three quotas is dealt into parts, and its links still make one component, with stars of bounded size."""
     docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 900, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))

@@ -3,7 +3,8 @@
 Groups of equal texts are the pieces; only a group that outgrows a shard's quota is dealt by id into several. Pieces of a 64th of a
 quota or more are packed whole, the largest first. The documents of the smaller ones start in shards drawn from their ids. In each
 round a linked document looks at its neighbours' shards and wants the one that more than half of them (by weight) are in; a shard takes
-no more than its free room and what leaves it, and of those that want in, the ones with small hashes. At last the shards settle: linked
+no more than its free room and what leaves it, and of those that want in, the pieces with small hashes. Rounds go on until no document
+wants to move, or none may. At last the shards settle: linked
 documents stay as far as their shard's quota goes, and all others, in one order, fill the shards up, so sizes are even whatever the
 labels are, and a piece is split only where it meets the end of a quota. Positions are running sums over lanes plus a sort inside
 each lane; no shard is ever sorted whole, and a large piece is dealt over lanes of its own.
@@ -31,6 +32,8 @@ LANES = 256
 STAR_ROWS = 1000
 #: Pieces of at least a shard's quota / BIG are packed one by one; there are at most BIG * shards of them.
 BIG = 64
+#: Rounds without a move, one after another, that end the propagation.
+BARREN = 3
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -97,27 +100,39 @@ def accepted(loads: list[float], flows: dict[tuple[int, int], float], quota: lis
     return share
 
 
-def propagate(nodes: DataFrame, links: DataFrame, rooms: list[int], *, rounds: int = 6, slack: float = 0.05) -> DataFrame:
-    """Labels (_node, _label) of the nodes (_node, _load) after `rounds` rounds; rooms are the loads that the labels may take."""
+def propagate(nodes: DataFrame, links: DataFrame, rooms: list[int], *, rounds: int | None = None, slack: float = 0.05) -> DataFrame:
+    """Labels (_node, _label) of the nodes (_node, _piece, _load); rooms are the loads that the labels may take.
+
+    Of neighbours that both want to move, the one with fewer links moves first: the leaves of a star before its centre, all in one
+    round. No two neighbours move at once, so each move lessens the weight of the links between labels, and the rounds end when no node
+    wants to move or the quotas let none for BARREN rounds. rounds: a bound, None for no other end."""
     shards, quota = len(rooms), [room * (1 + slack) for room in rooms]
     start = share_of(rooms, F.pmod(F.xxhash64(F.col("_node"), F.lit(0)), F.lit(max(1, sum(rooms)))))
     both = cut(links.select("_a", "_b", "_weight").union(links.select("_b", "_a", "_weight")))
-    labels = cut(nodes.groupBy("_node").agg(F.sum("_load").alias("_load")).withColumn("_label", start))
-    for r in range(rounds):
+    turns = both.groupBy(F.col("_a").alias("_node")).agg(F.count("*").alias("_links"))
+    labels = nodes.groupBy("_node").agg(F.sum("_load").alias("_load"), F.min("_piece").alias("_piece")).withColumn("_label", start).join(turns, "_node", "left")
+    labels = cut(labels.select("_node", "_load", "_piece", F.struct("_links", F.xxhash64("_node", F.lit("turn")), "_node").alias("_turn"), "_label"))
+    r = barren = 0
+    while barren < BARREN and (rounds is None or r < rounds):
         votes = both.join(labels.select(F.col("_node").alias("_b"), "_label"), "_b").groupBy("_a", "_label").agg(F.sum("_weight").alias("_votes"))
-        wants = votes.groupBy("_a").agg(F.max(F.struct("_votes", "_label")).alias("_best"), F.sum("_votes").alias("_all")).where(2 * F.col("_best._votes") > F.col("_all")).select(F.col("_a").alias("_node"), F.col("_best._label").alias("_want"))
-        # Half of the nodes move in a round; else a centre and its leaves would only change places.
-        moves = (F.col("_want") != F.col("_label")) & (F.pmod(F.xxhash64(F.col("_node"), F.lit(r + 1)), F.lit(2)) == 0)
-        ask = cut(labels.join(wants, "_node", "left").withColumn("_want", F.when(moves, F.col("_want"))))
+        wants = votes.groupBy("_a").agg(F.max(F.struct("_votes", "_label")).alias("_best"), F.sum("_votes").alias("_sum")).where(2 * F.col("_best._votes") > F.col("_sum")).select(F.col("_a").alias("_node"), F.col("_best._label").alias("_want"))
+        ask = cut(labels.join(wants, "_node").where("_want <> _label"))
+        if ask.isEmpty():
+            break
+        first = both.join(ask.select(F.col("_node").alias("_b"), F.col("_turn").alias("_other")), "_b").groupBy(F.col("_a").alias("_node")).agg(F.min("_other").alias("_first"))
+        go = cut(ask.join(first, "_node", "left").where(F.col("_first").isNull() | (F.col("_turn") < F.col("_first"))).drop("_first"))
         loads, flows = [0.0] * shards, {}
-        for row in ask.groupBy("_label").agg(F.sum("_load").alias("_load")).collect():
+        for row in labels.groupBy("_label").agg(F.sum("_load").alias("_load")).collect():
             loads[row["_label"]] += row["_load"]
-        for row in ask.where("_want is not null").groupBy("_label", "_want").agg(F.sum("_load").alias("_load")).collect():
+        for row in go.groupBy("_label", "_want").agg(F.sum("_load").alias("_load")).collect():
             flows[row["_label"], row["_want"]] = row["_load"]
         chance = accepted(loads, flows, quota)
-        draw = F.pmod(F.xxhash64(F.col("_node"), F.lit(-1 - r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        taken = draw < F.get(F.array(*map(F.lit, chance)), F.col("_want"))
-        labels = cut(ask.select("_node", "_load", F.when(taken, F.col("_want")).otherwise(F.col("_label")).alias("_label")))
+        # Nodes of a piece that want the same shard are taken or refused together.
+        draw = F.pmod(F.xxhash64(F.col("_piece"), F.lit(-1 - r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        moved = cut(go.where(draw < F.get(F.array(*map(F.lit, chance)), F.col("_want"))).select("_node", "_want"))
+        barren = barren + 1 if moved.isEmpty() else 0
+        labels = cut(labels.join(moved, "_node", "left").withColumn("_label", F.coalesce("_want", "_label")).drop("_want"))
+        r += 1
     return labels.select("_node", "_label")
 
 
@@ -160,7 +175,7 @@ def settle(placed: DataFrame, shards: int, total: int, *, id: str = "doc_id") ->
     return kept.unionByName(rest)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per row of docs: the id, size, text_crc32, shard, slot. Documents with equal texts are linked."""
     nodes, links, total = text_nodes(docs, shards, law=law, id=id, text=text)
     rooms = quotas(total, shards)
