@@ -460,6 +460,19 @@ def test_language(spark, empty):
     assert not any(r["_accepted"] for r in nothing)
 
 
+def test_language_keeps_rare_ones(spark):
+    """A language of 20 in 40,000 rows is identified; one of 3 rows has no model and is kept as declared."""
+    rows = [(i, speech("abcde", 40), "aa", "h1") for i in range(60)] + [(100 + i, speech("vwxyz", 40), "zz", "h2") for i in range(20)] + [(200 + i, speech("éèàñö", 60), "qq", None) for i in range(3)]
+    rows += [(300, speech("vwxyz", 40), None, None), (301, "12 34 !!", "qq", None), (302, speech("éèàñö", 60), "und", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    none = F.lit(None).cast("string")
+    docs = docs.unionByName(spark.range(1000, 40000).select(F.col("id").alias("doc_id"), none.alias("text"), none.alias("lang"), none.alias("source")))
+    got = {r["doc_id"]: (r["_language"], r["_accepted"]) for r in language.identify(docs).where("doc_id < 1000").collect()}
+    assert all(got[i] == ("zz", True) for i in range(100, 120)) and got[300] == ("zz", True)
+    assert all(got[i] == ("qq", True) for i in range(200, 203))
+    assert not got[301][1] and not got[302][1]
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------------
 
 

@@ -10,10 +10,12 @@ no language (`und`). P(declared | l) and P(address | l) are the reliabilities of
 P(l | host) are shares of the languages that the texts of a host look like, drawn towards those of its address suffix, and these
 towards those of the whole corpus, by grouped aggregation.
 
-The languages are the declared values that at least one in a thousand rows has. The text models are fitted on the rows whose id's hash
-falls below FIT_ROWS / rows, with the declared language as the label; all else covers all rows.
+The languages are the declared values that at least LEAST_ROWS rows or one in a thousand rows have. The text models are fitted on the
+rows whose id's hash falls below a share, with the declared language as the label; the share is FIT_ROWS / rows, or for each language
+what gives it FIT_EACH rows. All else covers all rows.
 
-A row is rejected if `und` wins or the winner's posterior is below LEAST.
+A row is rejected if `und` wins or the winner's posterior is below LEAST. But a text with letters whose declared value is a language code
+without a model can't be judged; where it would be rejected, it is kept under that code, with a null posterior.
 
 Defined cases: null, empty or letterless texts are `und` and rejected; a null declared language, host or address is no evidence; a
 declared value that is no language here is none either; if nothing is declared anywhere, every text is `und`; repeated rows each get
@@ -33,6 +35,12 @@ from tidemark.llm.common import cut, join_small
 #: Hashed trigrams.
 CELLS = 1 << 15
 FIT_ROWS = 20_000
+#: Rows that each language is fitted on, or all that it has.
+FIT_EACH = 2_000
+#: Rows that make a declared value a language; fewer do in tables of less than a thousand times as many.
+LEAST_ROWS = 10
+#: A language code; those of NO_CODE stand for no language.
+CODE, NO_CODE = "^[a-z]{2,3}([-_][a-z0-9]+)*$", ("und", "mul", "mis", "zxx")
 SEEN = 60.0
 LEAST = 0.5
 #: Reliability of the declared language and of the address suffix.
@@ -59,17 +67,19 @@ def cells(text: str | None) -> list[np.ndarray]:
     return out
 
 
-def languages(docs: DataFrame, declared: str) -> tuple[list[str], int]:
-    """The languages and the number of rows; at most a thousand values have a share of a thousandth."""
+def languages(docs: DataFrame, declared: str) -> tuple[dict[str, int], int]:
+    """The languages with their numbers of rows, and the number of all rows."""
     rows = docs.count()
-    counts = docs.where(F.col(declared).isNotNull()).groupBy(F.lower(F.col(declared)).alias("l")).count().where(F.col("count") * 1000 >= rows).select("l")
-    return sorted(r[0] for r in counts.collect()), rows
+    counts = docs.where(F.col(declared).isNotNull()).groupBy(F.lower(F.col(declared)).alias("l")).agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_ROWS) | (F.col("n") * 1000 >= rows))
+    return dict(sorted((r["l"], r["n"]) for r in counts.collect())), rows
 
 
-def fit(docs: DataFrame, langs: list[str], rows: int, *, id: str, text: str, declared: str) -> np.ndarray:
+def fit(docs: DataFrame, counts: dict[str, int], rows: int, *, id: str, text: str, declared: str) -> np.ndarray:
     """Log probabilities of the cells, a row for each language and one for `und`."""
-    share = min(1.0, FIT_ROWS / max(rows, 1))
-    sample = docs.where((F.pmod(F.xxhash64(F.col(id), F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1) & F.lower(F.col(declared)).isin(langs))
+    langs = list(counts)
+    shares = [int(min(1.0, max(FIT_ROWS / max(rows, 1), FIT_EACH / n)) * (1 << 30)) + 1 for n in counts.values()]
+    share = F.get(F.array(*map(F.lit, shares)), F.array_position(F.array(*map(F.lit, langs)), F.lower(F.col(declared))).cast("int") - 1) if langs else F.lit(0)
+    sample = docs.where((F.pmod(F.xxhash64(F.col(id), F.lit("fit")), F.lit(1 << 30)) < share) & F.lower(F.col(declared)).isin(langs))
     at = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
@@ -138,8 +148,9 @@ def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", declare
     """docs with _language, _posterior, _look (the language of the text alone) and _accepted."""
     none = F.lit(None).cast("string")
     keyed = docs.withColumns({"_declared": F.lower(F.col(declared)) if declared else none, "_host": F.col(host) if host else none, "_suffix": address_suffix(url) if url else none})
-    langs, rows = languages(keyed, "_declared")
-    score = scorer(fit(keyed, langs, rows, id=id, text=text, declared="_declared"))
+    counts, rows = languages(keyed, "_declared")
+    langs = list(counts)
+    score = scorer(fit(keyed, counts, rows, id=id, text=text, declared="_declared"))
     names = F.array(*map(F.lit, [*langs, UND]))
     best = lambda values: F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
     looks = cut(keyed.select("_host", "_suffix", score(F.col(text).cast("string")).alias("_text")).groupBy("_host", "_suffix", best(F.col("_text")).alias("_look")).agg(F.count("*").alias("_n")))
@@ -156,4 +167,7 @@ def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", declare
     posterior = F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     out = fused.withColumns({"_language": best(F.col("_log")), "_posterior": posterior, "_look": best(F.col("_text"))})
     out = out.withColumn("_accepted", (F.col("_language") != UND) & (F.col("_posterior") >= LEAST))
+    code = F.col("_declared").rlike(CODE) & ~F.col("_declared").isin(*langs, *NO_CODE)
+    unknown = F.coalesce(~F.col("_accepted") & code & (F.element_at("_text", -1) < 0), F.lit(False))
+    out = out.withColumns({"_language": F.when(unknown, F.col("_declared")).otherwise(F.col("_language")), "_posterior": F.when(~unknown, F.col("_posterior")), "_accepted": F.col("_accepted") | unknown})
     return out.select(*[F.col(c) for c in docs.columns], "_language", "_posterior", "_look", "_accepted")
