@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,32 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most:
     return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """What is written or counted inside hands rows to Python in batches of some `most` bytes, or of one row that is longer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def shield(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns in0, in1, ..., and their names by the old ones: no column of the caller can clash with an operator's own."""
+    return docs.toDF(*[f"in{i}" for i in range(len(docs.columns))]), {c: f"in{i}" for i, c in enumerate(docs.columns)}
+
+
+def unshield(df: DataFrame, names: dict[str, str], **added: Column) -> DataFrame:
+    """The caller's columns under their old names, then the added ones; an added column takes the place of one that has its name."""
+    taken = {c.lower() for c in added}
+    return df.select(*[F.col(own).alias(c) for c, own in names.items() if c.lower() not in taken], *[value.alias(c) for c, value in added.items()])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -7,7 +7,9 @@ smallest id is.
 
 Normalised content: white-space runs become one space if the tokenizer's own normalizer says that they are one (it replaces \\s+ by a
 space); else the text as it is. Such a tokenizer also never joins across white space, so a text is counted word by word, through a
-bounded memo of word counts which the library fills; other tokenizers encode whole texts.
+bounded memo of (64-bit hash of the word, tokens) which the library fills; words of more than LONG bytes are always encoded. Other
+tokenizers encode whole texts. Texts become Python objects a megabyte at a time, and Spark hands them over in batches of a few
+megabytes, so a worker's memory follows neither the length of a batch nor that of the corpus.
 
 Defined cases: null counts as empty, 0 tokens; very long texts need memory for their words only; repeated rows are counted once and
 each reported; null ids are ids like others; an empty table gives an empty table; other columns are not read.
@@ -21,23 +23,27 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tidemark.llm.common import WHITE_SPACE, cut, join_small, text_or_empty
+from tidemark.llm import words
+from tidemark.llm.common import WHITE_SPACE, cut, join_small, small_batches, text_or_empty
 
-#: Words that a worker remembers; when it is full it starts anew.
-MEMO_WORDS = 60_000
-#: Bytes of a text that are split into words at once.
-SPAN = 1 << 20
+#: Words that a worker remembers, 12 bytes each; when it is full it starts anew.
+MEMO_WORDS = 2_000_000
+#: Bytes of the longest word that is remembered.
+LONG = 64
+#: Words that are handed to the library at once.
+ENCODE_WORDS = 256
 SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 _SPACE = re.compile(rb"[ \t-\r]")
 _loaded: dict[str, object] = {}
-_memos: dict[str, dict[bytes, int]] = {}
+_memos: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def file_digest(path: str) -> str:
@@ -59,14 +65,13 @@ def splits_at_space(path: str) -> bool:
     return one_space and dropped and plain
 
 
-def encoder(path: str):
-    """A function from texts to token counts; loaded once per worker."""
+def tokenizer_of(path: str):
+    """The library's tokenizer; loaded once per worker."""
     if path not in _loaded:
         if path.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _loaded[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            _loaded[path] = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -74,15 +79,35 @@ def encoder(path: str):
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            _loaded[path] = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            _loaded[path] = tokenizer
     return _loaded[path]
 
 
+def count_whole(texts: list[str], path: str) -> list[int]:
+    """Token counts of whole texts."""
+    tokenizer = tokenizer_of(path)
+    if path.endswith(".model"):
+        return [len(x) for x in tokenizer.encode(texts, num_threads=1)]
+    return [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def count_words(pieces: list[str], path: str) -> np.ndarray:
+    """Token counts of words without white space, for a tokenizer that splits at it: the words are encoded in one text, and a token
+    belongs to the word in which it starts."""
+    tokenizer, out = tokenizer_of(path), []
+    for at in range(0, len(pieces), ENCODE_WORDS):
+        some = pieces[at : at + ENCODE_WORDS]
+        begins = np.array([o[0] for o in tokenizer.encode(" ".join(some), add_special_tokens=False).offsets], dtype=np.int64)
+        ends = np.cumsum([len(w) + 1 for w in some])
+        out.append(np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(some)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
 def spans(text: bytes) -> Iterator[bytes]:
     """The text in parts of some SPAN bytes, cut at white space."""
     at = 0
-    while len(text) - at > SPAN:
-        gap = _SPACE.search(text, at + SPAN)
+    while len(text) - at > words.SPAN:
+        gap = _SPACE.search(text, at + words.SPAN)
         if not gap:
             break
         yield text[at : gap.start()]
@@ -90,24 +115,35 @@ def spans(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def count_by_word(texts: list[bytes], path: str) -> list[int]:
-    encode, memo = encoder(path), _memos.setdefault(path, {})
-    out = []
-    for text in texts:
-        total = 0
-        for span in spans(text):
-            pieces = span.split()  # of bytes: at ASCII white space
-            new = list({w for w in pieces if w not in memo})
-            if new:
-                if len(memo) + len(new) > MEMO_WORDS:
-                    memo.clear()
-                    new = list(set(pieces))
-                for at in range(0, len(new), 1024):
-                    some = new[at : at + 1024]
-                    memo.update(zip(some, encode([w.decode("utf-8") for w in some])))
-            total += sum(map(memo.__getitem__, pieces))
-        out.append(total)
-    return out
+def _word_tokens(data: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of data, and their tokens; fills the memo."""
+    starts, ends, hashed = words.located(np.frombuffer(data, dtype=np.uint8), words.SPACED)
+    own = lambda at: [data[starts[i] : ends[i]].decode("utf-8", "replace") for i in at]
+    tokens = np.zeros(len(starts), dtype=np.int64)
+    long = ends - starts > LONG
+    far, near = np.flatnonzero(long), np.flatnonzero(~long)
+    tokens[far] = count_words(own(far), path)
+    kinds, first, back = np.unique(hashed[near], return_index=True, return_inverse=True)
+    keys, counts = _memos.get(path, (np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    if len(keys) + len(kinds) > MEMO_WORDS:
+        keys, counts = keys[:0], counts[:0]
+    place = np.searchsorted(keys, kinds)
+    known = keys[np.minimum(place, len(keys) - 1)] == kinds if len(keys) else np.zeros(len(kinds), dtype=bool)
+    each = np.zeros(len(kinds), dtype=np.int32)
+    each[known] = counts[place[known]]
+    each[~known] = count_words(own(near[first[~known]]), path)
+    _memos[path] = np.insert(keys, place[~known], kinds[~known]), np.insert(counts, place[~known], each[~known])
+    tokens[near] = each[back]
+    return starts, tokens
+
+
+def count_by_word(texts: list[bytes], path: str) -> np.ndarray:
+    """Token counts of one run of texts."""
+    if len(texts) == 1:
+        return np.array([sum(int(_word_tokens(part, path)[1].sum()) for part in spans(texts[0]))])
+    starts, tokens = _word_tokens(b"\n".join(texts), path)
+    before = np.concatenate([[0], np.cumsum(tokens)])
+    return np.diff(before[np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))])
 
 
 def encode_rows(rows: DataFrame, path: str, by_word: bool) -> DataFrame:
@@ -115,9 +151,9 @@ def encode_rows(rows: DataFrame, path: str, by_word: bool) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            counts = count_by_word(texts, path) if by_word else encoder(path)([t.decode("utf-8") for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["digest", "n_bytes", "n_tokens"])
+            for first, texts in words.runs(batch.column(1)):
+                counts = count_by_word(texts, path) if by_word else count_whole([t.decode("utf-8", "replace") for t in texts], path)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["digest", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(read, "digest binary, n_bytes long, n_tokens long")
 
@@ -126,7 +162,9 @@ def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     """The cache's rows for one tokenizer; none if there is no cache yet."""
     try:
         stored = spark.read.schema(SCHEMA).parquet(cache)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = spark.createDataFrame([], SCHEMA)
     return stored.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -143,7 +181,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, id: str = "doc_id",
     done = cut(digests.join(known.select("digest"), "digest", "left_semi").select("digest"))
     twice = cut(digests.where("_rows > 1").select("digest", "_first"))
     rows = join_small(join_small(read, done, "digest", "left_anti"), twice, "digest", "left").where("_first is null or _id <=> _first")
-    encode_rows(rows.select("digest", "_text"), path, by_word).withColumn("tokenizer", F.lit(version)).select(*SCHEMA.names).write.mode("append").parquet(cache)
+    with small_batches(spark):
+        encode_rows(rows.select("digest", "_text"), path, by_word).withColumn("tokenizer", F.lit(version)).select(*SCHEMA.names).write.mode("append").parquet(cache)
     counts = cut(cached(spark, cache, version))
     joined = join_small(slim, counts, "digest").select(F.col("_id").alias(id), "n_bytes", "n_tokens")
     return joined.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -53,10 +53,12 @@ def byte_table(outside) -> np.ndarray:
 #: Bytes between words, for words cut at white space and for words of letters, digits and non-ASCII characters.
 SPACED = byte_table([(0x20, 0x20), (0x09, 0x0D)])
 ALPHANUMERIC = byte_table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+#: Lines as words: all but the line feed.
+LINES = byte_table([(0x0A, 0x0A)])
 
 
-def _hash_span(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in data, whose bytes are lower case already."""
+def located(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in data, letters as they are."""
     flags = np.zeros(len(data) + 2, dtype=np.int8)
     flags[1:-1] = inside[data]
     change = np.diff(flags)
@@ -65,30 +67,35 @@ def _hash_span(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
     own = (sums[ends] - sums[starts]) * inverse[starts]
-    return starts, mixed(own + (ends - starts).astype(np.uint64))
+    return starts, ends, mixed(own + (ends - starts).astype(np.uint64))
 
 
-def hashes(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets and hashes of all words of data, A-Z in lower case."""
-    data = data.lower()  # of bytes, lower() changes A-Z alone
+def every(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words of data, letters as they are, whatever its length."""
     if len(data) <= SPAN:
-        return _hash_span(np.frombuffer(data, dtype=np.uint8), inside)
-    every, at = ([], []), 0
+        return located(np.frombuffer(data, dtype=np.uint8), inside)
+    parts, at = ([], [], []), 0
     whole = np.frombuffer(data, dtype=np.uint8)
     while at < len(whole):
         end = min(at + SPAN, len(whole))
         while end < len(whole) and inside[whole[end]]:  # to the end of the word
             gap = np.flatnonzero(~inside[whole[end : end + SPAN]])
             end = end + int(gap[0]) if len(gap) else min(end + SPAN, len(whole))
-        starts, words = _hash_span(whole[at:end], inside)
-        every[0].append(starts + at)
-        every[1].append(words)
+        starts, ends, words = located(whole[at:end], inside)
+        for kept, new in zip(parts, (starts + at, ends + at, words)):
+            kept.append(new)
         at = end
-    return np.concatenate(every[0]), np.concatenate(every[1])
+    return tuple(np.concatenate(x) for x in parts)
 
 
-def by_text(texts: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For runs of consecutive texts: the index of the first, and the word hashes of each. Short texts are hashed together."""
+def hashes(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets and hashes of all words of data, A-Z in lower case."""
+    return every(data.lower(), inside)[::2]  # of bytes, lower() changes A-Z alone
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of consecutive texts of at most SPAN bytes together, or one longer text: the index of the first, and the texts in UTF-8
+    (null: empty). Only one run is held as Python objects."""
     n, i = len(texts), 0
     texts = texts.cast(pa.large_binary())
     sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]) if n else np.zeros(0, dtype=np.int64)
@@ -97,11 +104,16 @@ def by_text(texts: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, list[np.
         while j < n and total + sizes[j] + 1 <= SPAN:
             total += int(sizes[j]) + 1
             j += 1
-        parts = [b"" if t is None else t for t in texts[i:j].to_pylist()]
+        yield i, [b"" if t is None else t for t in texts[i:j].to_pylist()]
+        i = j
+
+
+def by_text(texts: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For runs of consecutive texts: the index of the first, and the word hashes of each. Short texts are hashed together."""
+    for first, parts in runs(texts):
         starts, words = hashes(b"\n".join(parts), inside)
         cuts = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
-        yield i, np.split(words, cuts[:-1])
-        i = j
+        yield first, np.split(words, cuts[:-1])
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
