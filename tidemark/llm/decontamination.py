@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import words
 from tidemark.llm.common import cut, join_small
@@ -54,18 +55,28 @@ def windows_of(benchmark: DataFrame, *, item: str = "item_id", text: str = "text
     return benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).mapInArrow(read, "_item string, _words array<long>").distinct()
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray, *, text: str = "text") -> DataFrame:
-    """How often each of the terms (sorted, 64-bit) occurs in the documents: _term, _count. A task sends one row a term at most."""
+def term_counts(docs: DataFrame, terms: np.ndarray, *columns: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """One pass over the documents: how often each of the terms (sorted, 64-bit) occurs, (_term, _count), of which a task sends one row
+    a term at most; and for each document the named columns, _doc and n_words (nothing if no column is named)."""
+    kept = docs.select(*columns, digest(text), F.col(text).cast("string").alias("_text"))
+    fields = [f for f in kept.schema.fields if f.name != "_text"] if columns else []
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("n_words", T.LongType()), T.StructField("_term", T.LongType()), T.StructField("_count", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms) + 1, dtype=np.int64)
+        total, kinds = np.zeros(len(terms) + 1, dtype=np.int64), None
         for batch in batches:
-            for _, many in words.by_text(batch.column(0), words.ALPHANUMERIC):
+            kinds = [batch.schema.field(i).type for i in range(len(fields))]
+            for first, many in words.by_text(batch.column(batch.num_columns - 1), words.ALPHANUMERIC):
                 total += np.bincount(_places(np.concatenate(many), terms), minlength=len(terms) + 1)
+                if fields:
+                    none = pa.nulls(len(many), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(many)) for i in range(len(fields))), pa.array([len(w) for w in many], pa.int64()), none, none], names=schema.names)
         some = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(terms[some])), pa.array(total[some])], names=["_term", "_count"])
+        if len(some):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds), pa.nulls(len(some), pa.int64()), pa.array(_signed(terms[some])), pa.array(total[some])], names=schema.names)
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(count, "_term long, _count long").groupBy("_term").agg(F.sum("_count").alias("_count"))
+    both = cut(kept.mapInArrow(count, schema))
+    return both.where("_term is not null").groupBy("_term").agg(F.sum("_count").alias("_count")), both.where("_term is null").drop("_term", "_count")
 
 
 def _places(w: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -140,15 +151,17 @@ def _sorted_terms(df: DataFrame, *columns: str) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """For each text that holds a window: _doc, n_hit, n_items, _items (the item ids, sorted)."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, *columns: str, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """For each text that holds a window: _doc, n_hit, n_items, _items (the item ids, sorted). And for each document the named columns,
+    _doc and n_words, from the pass that counts terms."""
     windows = cut(windows_of(benchmark, item=item, text=item_text, window=window).withColumn("_id", F.xxhash64("_words")))
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    found = None
+    found = sizes = None
     for b in range(blocks):
         mine = windows.where(F.pmod("_id", F.lit(blocks)) == b)
         terms = _sorted_terms(mine)
-        counts = cut(term_counts(docs, terms, text=text))
+        counts, own = term_counts(docs, terms, *(columns if sizes is None else ()), text=text)
+        sizes, counts = own if sizes is None else sizes, cut(counts)
         plan = cut(anchored(mine, counts))
         index = cut(postings(docs, _sorted_terms(plan, "_term1", "_term2"), text=text, window=window))
         here = occurrences(index, plan, window)
@@ -156,19 +169,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     found = cut(found)
     hit = found.select("_doc", F.explode(F.sequence("_start", F.col("_start") + F.col("_length") - 1)).alias("_at")).distinct().groupBy("_doc").agg(F.count("*").alias("n_hit"))
     named = found.select("_doc", "_id").distinct().join(windows.select("_id", "_item"), "_id").groupBy("_doc").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
-    return hit.join(named, "_doc", "left").select("_doc", "n_hit", F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), "_items")
-
-
-def word_counts(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
-    """The named columns with _doc and n_words."""
-    split = F.regexp_count(F.col(text), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
-    return docs.select(*columns, digest(text), F.coalesce(split, F.lit(0)).cast("long").alias("n_words"))
+    return hit.join(named, "_doc", "left").select("_doc", "n_hit", F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), "_items"), sizes
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = cut(contaminated(docs, benchmark, text=text, window=window))
-    joined = join_small(word_counts(docs, id, text=text), hits, "_doc", "left")
+    hits, sizes = contaminated(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), benchmark, "_id", text="_text", window=window)
+    joined = join_small(sizes.withColumnRenamed("_id", id), cut(hits), "_doc", "left")
     listed = F.sha2(F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ",").cast("binary"), 256)
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(id, "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), listed.alias("items_sha256"), (hit > 0).alias("contaminated"))
@@ -176,6 +183,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id",
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no window of the benchmark."""
-    hits = cut(contaminated(docs, benchmark, text=text, window=window).select("_doc"))
+    hits = cut(contaminated(docs, benchmark, text=text, window=window)[0].select("_doc"))
     kept = join_small(docs.withColumn("_doc", digest(text)), hits, "_doc", "left_anti")
     return kept.drop("_doc")
