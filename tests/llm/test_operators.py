@@ -7,6 +7,7 @@ import base64
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -371,9 +372,21 @@ def test_long_texts_are_counted_in_spans(monkeypatch):
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     data = [sentence(300).encode()]
-    want = token_counts.count_by_word(data, path)
-    monkeypatch.setattr(token_counts, "SPAN", 50)
-    assert token_counts.count_by_word(data, path) == want
+    want = token_counts.count_whole([d.decode() for d in data], path)
+    monkeypatch.setattr(words, "SPAN", 50)
+    assert list(token_counts.count_by_word(data, path)) == want
+
+
+def test_memo_starts_anew(monkeypatch):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_counts, "MEMO_WORDS", 60)
+    monkeypatch.setattr(token_counts, "_memos", {})
+    for _ in range(5):
+        data = [sentence(50), "x" * 100 + " y", "", "é" * 40 + "'s"]
+        assert list(token_counts.count_by_word([d.encode() for d in data], path)) == token_counts.count_whole(data, path)
+    assert len(token_counts._memos[path][0]) <= 60
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------------------
@@ -504,13 +517,45 @@ def test_quality(spark, docs, empty):
     assert quality.classify(docs).count() == docs.count()
 
 
+def test_quality_against_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    scored = quality.classify(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    rows = spark.read.parquet(f"{folder}/labels.parquet").join(scored, "doc_id").select("quality", "_score").collect()
+    good, bad = ([r["_score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.98
+    assert np.mean([(r["_score"] >= 0.5) == (r["quality"] == 1) for r in rows]) > 0.96
+
+
+def test_quality_run_by_text(monkeypatch):
+    parts = [t.encode() for t in ("One two two.\nONE!! TWO!!\n\nx | y $$", "", "a", "é à " * 40 + "end.")]
+    whole = quality.Run(parts)
+    for i, part in enumerate(parts):
+        alone = quality.Run([part])
+        for name in ("words", "sentences", "marked", "shouted", "barred", "repeated", "kinds", "lines", "line_kinds", "marks", "bars", "upper", "lower"):
+            assert getattr(whole, name)[i] == getattr(alone, name)[0], name
+        assert list(whole.votes()[i]) == list(alone.votes()[0])
+        assert np.allclose(whole.trigrams()[i], alone.trigrams()[0])
+    long = sentence(500).encode()
+    want = quality.Run([long])
+    monkeypatch.setattr(words, "SPAN", 64)
+    got = quality.Run([long])
+    assert (got.words[0], got.kinds[0], got.lines[0]) == (want.words[0], want.kinds[0], want.lines[0]) and np.allclose(got.trigrams(), want.trigrams())
+
+
+def test_quality_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "One two.", 1, "a", 2, True, "x"), (1, "One two.", 1, "a", 2, True, "x"), (None, None, 1, "a", 2, False, "y")], "doc_id long, text string, _votes int, _words string, _code int, _fit boolean, in0 string")
+    got = quality.classify(rows)
+    assert sorted(got.columns) == sorted([*rows.columns, "_posterior", "_score", "_kept"]) and dict(got.dtypes)["_votes"] == "array<int>"
+    assert sorted((r["_words"], r["_code"], r["in0"]) for r in got.collect()) == [("a", 2, "x"), ("a", 2, "x"), ("a", 2, "y")]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=40), st.integers(0, 12))
 def test_spans_keep_words(text, size):
-    old = token_counts.SPAN
-    token_counts.SPAN = size
+    old = words.SPAN
+    words.SPAN = size
     try:
         parts = list(token_counts.spans(text.encode()))
     finally:
-        token_counts.SPAN = old
+        words.SPAN = old
     assert b" ".join(parts).split() == text.encode().split()
