@@ -263,9 +263,26 @@ def test_kept_rows(docs):
     assert set(got) == want and Counter(got)[3] <= 1 and got.count(None) == 2
 
 
-@pytest.mark.parametrize("small", [1, 3])
-def test_dense_regions_lose_no_link(docs, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
+def test_kept_rows_are_known_by_id_and_text(spark):
+    a, b = sentence(60), sentence(60)
+    rows = [(1, a, 0), (2, a, 0), (2, b, 0), (None, a, 0), (3, None, 0), (3, None, 0), (4, "", 1)]
+    data = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, _node int, _digest int, in0 string")
+    kept = near_dedup.kept_rows(data)
+    assert kept.columns == data.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (2, b), (3, None), (3, None), (4, "")])
+
+
+def test_near_groups_equal_the_exact_join(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = near_dedup.near_groups(rows, shingle=3, percent=85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_truth(rows.collect(), 3, 85)
+
+
+@pytest.mark.parametrize("width,near,lane", [(2, 1, 3), (3, 2, 1000)])
+def test_dense_regions_lose_no_link(docs, monkeypatch, width, near, lane):
+    monkeypatch.setattr(near_dedup, "WIDTH", width)
+    monkeypatch.setattr(near_dedup, "NEAR", near)
+    monkeypatch.setattr(near_dedup, "LANE", lane)
     got = near_dedup.near_groups(docs, shingle=3, percent=85).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_truth(docs.collect(), 3, 85)
 

@@ -31,10 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which is cut already, to be broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """left joined to right, which is cut already: by broadcast if it has at most `most` rows, else by a shuffle that adaptive
     execution splits where a key is hot."""
-    return left.join(F.broadcast(right) if right.limit(most + 1).count() <= most else right, on, how)
+    return left.join(small_side(right, most), on, how)
 
 
 @contextmanager

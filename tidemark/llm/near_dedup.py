@@ -1,22 +1,27 @@
 """Near-duplicate groups by a MinHash LSH forest, confirmed on full shingle sets.
 
 Signatures of TREES trees with DEPTH values each are computed once per document; documents with the same shingle set are one node
-from there on. A tree orders the nodes by its values. Nodes that share the first few values of a tree (its root depth) are a region:
+from there on. Each tree sorts the nodes by its values. Nodes that share a tree's first values (root_depth of them) are a region of
+its order; inside, a node's candidates are the neighbours before it with which its common prefix is longest:
 
-* In a small region, the neighbours of a node in the sorted order are its candidates; the neighbourhood is as wide as the region.
-* In a dense region the shingle counts of all nodes of dense regions tell how many shingles a node has for itself. A node with more
-  of these than the threshold leaves room for can't be linked with anything (its similarity with any set is at most the share of its
-  other shingles), so it settles alone. The rest of the region descends: at each of three depths, the node with the fewest own
-  shingles is the centre, and every node of the deeper region has it as a candidate. Where a region still holds several components
-  after these links, the nodes outside its largest one find all others that could be linked through their rarest shingles. So no
-  partner is capped, and a family of thousands of copies costs one comparison per node.
+* The depth adapts to the region. In one of at most WIDTH nodes, every node before is a candidate, whatever lies below the root depth.
+  In a denser one a node goes as deep as the prefix that it shares with its nearest neighbour, and takes the NEAR nearest that share it.
+* Families of copies with edits of their own are like their original, not like one another, so in dense regions the node with the
+  fewest shingles of its own is a candidate for all, at the root depth, at full depth and between. And a node with more shingles of its
+  own than the threshold leaves room for can't be linked in dense regions (its similarity with any set is at most the share of its
+  other shingles), so it leaves them.
+* What is cut off so is found exactly: where a dense region still holds several components, the nodes outside its largest one look for
+  all others that they could be linked with through their rarest shingles.
 
-Every candidate pair is confirmed on the full sets. With 16 trees and root depth 4, a pair at similarity 0.85 shares no region with
-probability 7e-6; with depth 3 at similarity 0.8, 1e-5.
+Candidates are confirmed on the full sets, first the best two of each node, by the number of trees that name them, then those between
+components that are still apart. So no partner is lost to a cap, and a family of thousands of copies costs a few comparisons a node.
+An order of a dense region is cut into lanes of some LANE nodes, drawn by hash and anew in each tree, so none is sorted by one task.
+
+With 16 trees and root depth 4, a pair at similarity 0.85 shares no region with probability 7e-6; with depth 3 at 0.8, 1e-5.
 
 Defined cases: null text and text without words have an empty set and are linked with nothing; a text with fewer words than a shingle
 has the whole sequence as its one shingle; a node all of whose ids are null isn't linked; rows that repeat an id and a text share the
-component; an empty table gives an empty table; other columns are not read.
+component; an empty table gives an empty table; other columns are not read, and kept_rows returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import cut, join_small
-from tidemark.llm.components import components
+from tidemark.llm.common import cut, join_small, shield, small_side, unshield
+from tidemark.llm.components import components, with_links
 
 TREES, DEPTH = 16, 8
-#: A region with up to so many nodes is small.
-SMALL = 8
+#: Nodes of a region in which all are candidates of one another; nearest neighbours in a denser one; nodes of a lane.
+WIDTH, NEAR, LANE = 8, 2, 1000
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _FACTOR = _draw.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -66,23 +71,27 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, *, id: str, text: str) -> DataFrame:
-    """_id, _size (of the set), _node (fingerprint of the set, null if it is empty), _signature."""
+    """_id, _digest (of the text), _size (of the set), _node (fingerprint of the set, null if it is empty), _signature."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, many in words.by_text(batch.column(1), words.SPACED):
+            for first, many in words.by_text(batch.column(2), words.SPACED):
                 sets = [words.shingles(w, n) for w in many]
                 full = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(many)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if f else None for s, f in zip(sets, full)], pa.binary()), pa.array([signature(s).view(np.int32) if f else None for s, f in zip(sets, full)], pa.list_(pa.int32()))],
-                    names=["_id", "_size", "_node", "_signature"],
+                    [*(batch.column(i).slice(first, len(many)) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if f else None for s, f in zip(sets, full)], pa.binary()), pa.array([signature(s).view(np.int32) if f else None for s, f in zip(sets, full)], pa.list_(pa.int32()))],
+                    names=["_id", "_digest", "_size", "_node", "_signature"],
                 )
 
-    return docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(read, "_id long, _size long, _node binary, _signature array<int>")
+    return docs.select(F.col(id).cast("long"), text_digest(text), F.col(text).cast("string")).mapInArrow(read, "_id long, _digest binary, _size long, _node binary, _signature array<int>")
+
+
+def text_digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int, *, id: str, text: str) -> DataFrame:
-    """_node, _set (sorted hashes) of the given nodes (_node, _of: the id of one document of each); only those texts are read again."""
+    """_n, _set (sorted hashes) of the given nodes (_n, _node, _of: the id of one document of each); only those texts are read again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,117 +99,145 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n: int, *, id: str, text: str)
                 sets = [words.shingles(w, n) for w in many]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["_node", "_set"])
 
-    ids = cut(nodes.select(F.col("_of").alias("_id")).distinct())
-    texts = join_small(docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")), ids, "_id", "left_semi")
+    nodes = small_side(nodes)
+    texts = docs.select(F.col(id).cast("long").alias("_of"), F.col(text).cast("string").alias("_text")).join(nodes.select("_of"), "_of", "left_semi")
     sets = texts.select("_text").mapInArrow(read, "_node binary, _set array<long>")
-    return sets.join(nodes.select("_node"), "_node", "left_semi").dropDuplicates(["_node"])
+    return sets.join(nodes.select("_node", "_n"), "_node").select("_n", "_set").dropDuplicates(["_n"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (_a, _b) whose sets are similar enough."""
-    a, b = (sets.select(F.col("_node").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
-    both = pairs.join(a, "_a").join(b, "_b").withColumn("_common", F.size(F.array_intersect("_set_a", "_set_b")))
+    """Those of the pairs (_a, _b), which are cut already, whose sets are similar enough."""
+    pairs = small_side(pairs)
+    a, b = (sets.select(F.col("_n").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
+    needed = b.join(pairs.select("_b"), "_b", "left_semi")
+    both = a.join(pairs, "_a").join(needed, "_b").withColumn("_common", F.size(F.array_intersect("_set_a", "_set_b")))
     return both.where(100 * F.col("_common") >= percent * (F.size("_set_a") + F.size("_set_b") - F.col("_common"))).select("_a", "_b")
 
 
 def by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (_a, _b) of nodes (_node, _root, _outside) of different roots, at least one of them outside, that can be similar
+    """Every pair (_a, _b) of nodes (_n, _root, _outside) of different roots, at least one of them outside, that can be similar
     enough: with shingles in one order, rare ones first, both have a common shingle among their first |set| - need + 1, and what
     follows the first common one leaves room for the overlap. This is exact, and copies of one text that differ too much to be linked
     begin with their own edits, so they hardly meet."""
-    tokens = nodes.join(sets, "_node").select("_node", "_root", "_outside", F.size("_set").alias("_size"), F.explode("_set").alias("_hash"))
+    tokens = nodes.join(sets, "_n").select("_n", "_root", "_outside", F.size("_set").alias("_size"), F.explode("_set").alias("_hash"))
     counts = tokens.groupBy("_hash").agg(F.count("*").alias("_df"))
-    listed = tokens.join(counts, "_hash").groupBy("_node", "_root", "_outside", "_size").agg(F.array_sort(F.collect_list(F.struct("_df", "_hash"))).alias("_order"))
+    listed = tokens.join(counts, "_hash").groupBy("_n", "_root", "_outside", "_size").agg(F.array_sort(F.collect_set(F.struct("_df", "_hash"))).alias("_order"))
     length = F.col("_size") - F.ceil(F.col("_size") * percent / 100) + 1
-    prefix = cut(listed.select("_node", "_root", "_outside", "_size", F.posexplode(F.slice("_order", F.lit(1), length.cast("int"))).alias("_at", "_t")).where("_t._df > 1").select("_node", "_root", "_outside", "_size", "_at", F.col("_t._hash").alias("_hash")))
-    x = prefix.where("_outside").select("_hash", *[F.col(c).alias(f"{c}x") for c in ("_node", "_root", "_size", "_at")])
+    prefix = cut(listed.select("_n", "_root", "_outside", "_size", F.posexplode(F.slice("_order", F.lit(1), length.cast("int"))).alias("_at", "_t")).where("_t._df > 1").select("_n", "_root", "_outside", "_size", "_at", F.col("_t._hash").alias("_hash")))
+    x = prefix.where("_outside").select("_hash", *[F.col(c).alias(f"{c}x") for c in ("_n", "_root", "_size", "_at")])
     room = F.least(F.col("_size") - F.col("_at"), F.col("_sizex") - F.col("_atx"))
     can = (F.col("_root") != F.col("_rootx")) & (100 * room >= percent * (F.col("_size") + F.col("_sizex") - room))
-    return x.join(prefix, "_hash").where(can).select(*_pair("_node", "_nodex")).distinct()
-
-
-def _region(tree, depth):
-    return F.xxhash64(tree, F.slice("_signature", tree * DEPTH + 1, depth))
+    return x.join(prefix, "_hash").where(can).select(*_pair("_n", "_nx")).distinct()
 
 
 def _pair(x: str, y: str):
     return F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b")
 
 
-def links(nodes: DataFrame, docs: DataFrame, n: int, percent: int, *, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The confirmed links (_a, _b) that connect the components, and (_node, _root) of what is linked."""
+def common_prefix(a, b, length: int):
+    """How many of the first values of two arrays of this length agree."""
+    out = F.lit(length)
+    for i in reversed(range(length)):
+        out = F.when(F.get(a, F.lit(i)) != F.get(b, F.lit(i)), i).otherwise(out)
+    return out
+
+
+def neighbours(rows: DataFrame, length: int) -> DataFrame:
+    """_x, _y: the candidates _y of the nodes _x from the orders of all trees, of rows (_key, _many, _n, _rest: the values below the
+    root depth)."""
+    lane = F.pmod(F.xxhash64("_key", "_n"), F.ceil(F.col("_many") / LANE))
+    order = Window.partitionBy("_key", "_lane").orderBy("_rest", "_n")
+    before = [F.lag(F.struct("_n", "_rest"), k).over(order).alias(f"_b{k}") for k in range(1, WIDTH)]
+    seen = rows.withColumn("_lane", lane).select("_many", "_n", "_rest", *before)
+    depth = common_prefix(F.col("_rest"), F.col("_b1._rest"), length)
+    near = [F.col(f"_b{k}._n") if k <= NEAR else F.when(F.col("_many") <= WIDTH, F.col(f"_b{k}._n")) for k in range(1, WIDTH)]
+    deep = [F.when((F.col("_many") <= WIDTH) | (common_prefix(F.col("_rest"), F.col(f"_b{k}._rest"), length) >= depth), near[k - 1]) for k in range(1, WIDTH)]
+    return seen.select(F.col("_n").alias("_x"), F.explode(F.array(*deep)).alias("_y")).where("_y is not null")
+
+
+def links(nodes: DataFrame, docs: DataFrame, n: int, percent: int, *, id: str, text: str) -> DataFrame:
+    """(_node, _root) of the nodes (_n, _node, _of, _size, _signature) that are linked."""
     depth = root_depth(percent)
-    levels = (depth, (depth + DEPTH) // 2, DEPTH)
-    trees = nodes.where("_of is not null").select("_node", "_size", "_of", "_signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree")).select("_node", "_size", "_of", *[_region(F.col("_tree"), d).alias(f"_key{d}") for d in levels])
-    key = f"_key{depth}"
-    counts = cut(trees.groupBy(key).agg(F.count("*").alias("_many")).where("_many > 1"))
-    members = cut(join_small(trees, counts, key))
+    length = DEPTH - depth
+    values = lambda first, many: F.slice("_signature", F.col("_tree") * DEPTH + first, many)
+    exploded = nodes.where("_of is not null").select("_n", "_signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree"))
+    trees = exploded.select("_n", F.xxhash64("_tree", values(1, depth)).alias("_key"), values(1 + depth, length).alias("_rest"))
+    counts = cut(trees.groupBy("_key").agg(F.count("*").alias("_many")).where("_many > 1"))
+    members = cut(join_small(trees, counts, "_key"))
+    met = cut(members.groupBy("_n").agg(F.max("_many").alias("_most")))
+    everyone = cut(join_small(nodes.select("_n", "_node", "_of", "_size"), met, "_n"))
     # Own shingles of the nodes of dense regions.
-    crowd = cut(members.where(F.col("_many") > SMALL).select("_node", "_of", "_size").distinct())
-    everyone = cut(members.select("_node", "_of", "_size").distinct())
-    crowd_sets = cut(full_sets(docs, crowd, n, id=id, text=text))
-    alone = crowd_sets.select("_node", F.explode("_set").alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_in"), F.min("_node").alias("_node")).where("_in = 1").groupBy("_node").agg(F.count("*").alias("_own"))
-    crowd = cut(crowd.join(alone, "_node", "left").withColumn("_own", F.coalesce("_own", F.lit(0))))
-    settled = cut(crowd.where(100 * (F.col("_size") - F.col("_own")) < percent * F.col("_size")).select("_node"))
-    # A settled node leaves the dense regions only: its partners there are of the crowd, those in small regions may not be.
-    small = members.where(F.col("_many") <= SMALL)
-    dense = cut(join_small(members.where(F.col("_many") > SMALL), settled, "_node", "left_anti").join(crowd.select("_node", "_own"), "_node"))
-    recount = cut(dense.groupBy(key).agg(F.count("*").alias("_left")).where("_left > 1"))
-    dense = cut(join_small(dense, recount, key))
-    near = Window.partitionBy(key).orderBy(*[f"_key{d}" for d in levels[1:]], "_node")
-    thin = small.select(*[f"_key{d}" for d in levels], "_node").unionByName(dense.where(F.col("_left") <= SMALL).select(*[f"_key{d}" for d in levels], "_node"))
-    before = thin.select("_node", F.array(*[F.lag("_node", k).over(near) for k in range(1, SMALL)]).alias("_before"))
-    neighbours = before.select("_node", F.explode("_before").alias("_other")).where("_other is not null")
-    pairs = neighbours.select(*_pair("_node", "_other")).distinct()
-    thick = dense.where(F.col("_left") > SMALL)
-    for d in levels:
-        centres = cut(thick.groupBy(f"_key{d}").agg(F.min(F.struct("_own", "_node")).alias("_best"), F.count("*").alias("_n")).where("_n > 1").select(f"_key{d}", F.col("_best._node").alias("_other")))
-        pairs = pairs.union(join_small(thick, centres, f"_key{d}").where("_node <> _other").select(*_pair("_node", "_other")))
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("_a").alias("_node")).union(pairs.select(F.col("_b").alias("_node"))).distinct()
-    rest = cut(ends.join(crowd_sets.select("_node"), "_node", "left_anti").join(everyone, "_node"))
-    sets = cut(crowd_sets.union(full_sets(docs, rest, n, id=id, text=text)))
-    found = cut(confirmed(pairs, sets, percent))
-    roots = components(found)
-    # What the centres didn't reach: the nodes outside the largest component of a dense region, against all others of dense regions
+    crowd_sets = cut(full_sets(docs, everyone.where(F.col("_most") > WIDTH), n, id=id, text=text))
+    alone = crowd_sets.select("_n", F.explode("_set").alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_in"), F.min("_n").alias("_n")).where("_in = 1").groupBy("_n").agg(F.count("*").alias("_own"))
+    crowd = everyone.where(F.col("_most") > WIDTH).join(alone, "_n", "left").select("_n", "_size", F.coalesce("_own", F.lit(0)).alias("_own"))
+    # A node that leaves the dense regions stays in the others: its partners there needn't be of the crowd.
+    crowd = cut(crowd.where(100 * (F.col("_size") - F.col("_own")) >= percent * F.col("_size")).select("_n", "_own"))
+    dense = cut(join_small(members.where(F.col("_many") > WIDTH), crowd, "_n"))
+    sorted_rows = members.where(F.col("_many") <= WIDTH).select("_key", "_many", "_n", "_rest").unionByName(dense.select("_key", "_many", "_n", "_rest"))
+    level = [F.xxhash64("_key", F.slice("_rest", 1, k)) for k in sorted({0, length // 2, length})]
+    levelled = dense.select("_n", "_own", F.explode(F.array(*level)).alias("_part"))
+    centres = cut(levelled.groupBy("_part").agg(F.min(F.struct("_own", "_n")).alias("_best"), F.count("*").alias("_many")).where("_many > 1").select("_part", F.col("_best._n").alias("_y")))
+    central = join_small(levelled, centres, "_part").where("_n <> _y").select(F.col("_n").alias("_x"), "_y", F.lit(1).alias("_kind"))
+    named = neighbours(sorted_rows, length).withColumn("_kind", F.lit(0)).unionByName(central)
+    candidates = cut(named.groupBy("_x", "_y", "_kind").agg(F.count("*").alias("_trees")))
+    first = cut(candidates.groupBy("_x", "_kind").agg(F.max(F.struct("_trees", "_y")).alias("_best")).select(*_pair("_x", "_best._y")).distinct())
+    ends = candidates.select(F.col("_x").alias("_n")).union(candidates.select(F.col("_y").alias("_n"))).distinct()
+    rest = cut(ends.join(crowd_sets.select("_n"), "_n", "left_anti").join(everyone, "_n"))
+    sets = cut(crowd_sets.unionByName(full_sets(docs, rest, n, id=id, text=text)))
+    roots = components(cut(confirmed(first, sets, percent)))
+    known = small_side(roots)
+    root_of = lambda end: known.select(F.col("_node").alias(end), F.col("_root").alias(f"_root{end}"))
+    apart = F.coalesce("_root_a", "_a") != F.coalesce("_root_b", "_b")
+    later = candidates.select(*_pair("_x", "_y")).join(root_of("_a"), "_a", "left").join(root_of("_b"), "_b", "left").where(apart).select("_a", "_b").distinct()
+    later = cut(join_small(later, first, ["_a", "_b"], "left_anti"))
+    if not later.isEmpty():
+        roots = with_links(roots, cut(confirmed(later, sets, percent)))
+    # What the neighbours didn't reach: the nodes outside the largest component of a dense region, against all others of dense regions
     # that still hold several components.
-    rooted = cut(thick.join(roots, "_node", "left").select(key, "_node", F.coalesce("_root", "_node").alias("_root")))
-    by_root = rooted.groupBy(key, "_root").agg(F.count("*").alias("_n"))
-    main = cut(by_root.groupBy(key).agg(F.max(F.struct("_n", "_root")).alias("_main"), F.count("*").alias("_roots")).where("_roots > 1").select(key, F.col("_main._root").alias("_main")))
-    split = cut(join_small(rooted, main, key).groupBy("_node").agg(F.first("_root").alias("_root"), F.max(F.col("_root") != F.col("_main")).alias("_outside")))
-    more = by_prefix(split, sets, percent).join(pairs, ["_a", "_b"], "left_anti")
-    more = cut(confirmed(more, sets, percent))
-    if not more.isEmpty():
-        found = cut(found.union(more))
-        roots = components(found)
-    return found, roots
+    rooted = cut(join_small(dense.select("_key", "_n"), roots.withColumnRenamed("_node", "_n"), "_n", "left").select("_key", "_n", F.coalesce("_root", "_n").alias("_root")))
+    by_root = rooted.groupBy("_key", "_root").agg(F.count("*").alias("_many"))
+    main = cut(by_root.groupBy("_key").agg(F.max(F.struct("_many", "_root")).alias("_main"), F.count("*").alias("_roots")).where("_roots > 1").select("_key", F.col("_main._root").alias("_main")))
+    if main.isEmpty():
+        return roots
+    split = cut(join_small(rooted, main, "_key").groupBy("_n").agg(F.first("_root").alias("_root"), F.max(F.col("_root") != F.col("_main")).alias("_outside")))
+    more = cut(by_prefix(split, sets, percent).join(candidates.select(*_pair("_x", "_y")), ["_a", "_b"], "left_anti"))
+    return roots if more.isEmpty() else with_links(roots, cut(confirmed(more, sets, percent)))
 
 
 def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept, _node (the set's fingerprint)."""
+    """One row per row of docs: id, n_shingles, component_id, kept, _node (the set's fingerprint), _digest (of the text)."""
     slim = cut(signatures(docs, shingle, id=id, text=text))
     nodes = cut(slim.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_of"), F.first("_size").alias("_size"), F.first("_signature").alias("_signature"), F.count("*").alias("_rows")))
-    _, roots = links(nodes, docs, shingle, percent, id=id, text=text)
-    rooted = roots.join(nodes.select("_node", "_of"), "_node")
+    nodes = nodes.withColumn("_n", F.monotonically_increasing_id())  # of files that are written, so always the same
+    roots = links(nodes, docs, shingle, percent, id=id, text=text)
+    rooted = join_small(nodes.select(F.col("_n").alias("_node"), "_of", F.col("_node").alias("_print")), roots, "_node")
     firsts = rooted.groupBy("_root").agg(F.min("_of").alias("_first"))
     # Sets of several rows or with a link; every other document is its own component.
-    of = rooted.join(firsts, "_root").select("_node", "_first")
+    of = rooted.join(firsts, "_root").select(F.col("_print").alias("_node"), "_first")
     shared = nodes.where("_rows > 1").select("_node", "_of")
     named = cut(shared.join(of, "_node", "full").select("_node", F.coalesce("_first", "_of").alias("_component")))
-    out = join_small(slim.select("_id", "_size", "_node"), named, "_node", "left")
+    out = join_small(slim.select("_id", "_digest", "_size", "_node"), named, "_node", "left")
     component = F.coalesce("_component", "_id")
-    return out.select(F.col("_id").alias(id), F.col("_size").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"), "_node")
+    return out.select(F.col("_id").alias(id), F.col("_size").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"), "_node", "_digest")
 
 
 def kept_rows(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group, the one with the smallest id. Texts move only if there are too many dropped rows to
-    broadcast their ids."""
-    groups = cut(near_groups(docs, shingle=shingle, percent=percent, id=id, text=text))
-    gone = cut(groups.where("not kept").select(F.col(id).alias("_gone")).distinct())
-    kept = join_small(docs, gone, docs[id] == gone["_gone"], "left_anti")
-    again = groups.where("kept and _node is not null").groupBy(id, "_node").count().where("count > 1").select(id)
+    """The rows of docs that stay: of each group, the one with the smallest id; of rows that repeat it with its set, any one. A row is
+    known by its id and its text, so rows that share an id but not a text don't fall together, and a null id is an id like others.
+    Texts move only if there are too many dropped rows to broadcast their keys."""
+    own, names = shield(docs)
+    key, body = names[id], names[text]
+    groups = cut(near_groups(own, shingle=shingle, percent=percent, id=key, text=body).withColumnRenamed(key, "_id"))
+    keyed = own.withColumn("_digest", text_digest(body))
+    of = lambda rows, what: cut(rows.select(F.col("_id").alias(f"_{what}_id"), F.col("_digest").alias(f"_{what}_digest")).distinct())
+    same = lambda rows, what: F.col(key).cast("long").eqNullSafe(rows[f"_{what}_id"]) & F.col("_digest").eqNullSafe(rows[f"_{what}_digest"])
+    gone = of(groups.where("not kept"), "gone")
+    kept = join_small(keyed, gone, same(gone, "gone"), "left_anti")
+    again = cut(groups.where("kept and _node is not null").groupBy("_id", "_node").agg(F.count("*").alias("_many"), F.min("_digest").alias("_digest")).where("_many > 1"))
     if again.isEmpty():
-        return kept
-    twice = cut(again.distinct().withColumnRenamed(id, "_twice"))  # rows repeated with their id: one of them stays
-    split = docs[id].eqNullSafe(twice["_twice"])
-    return join_small(kept, twice, split, "left_anti").unionByName(join_small(kept, twice, split, "left_semi").dropDuplicates([id, text]))
+        return unshield(kept, names)
+    # Repeated rows: of those with the id and the set, the rows of one text, and of these one.
+    twice = of(join_small(groups.where("kept").select("_id", "_node", "_digest"), again.select(F.col("_id").alias("_again"), F.col("_node").alias("_set")), F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_node") == F.col("_set"))), "twice")
+    stay = of(again, "stay")
+    once = join_small(join_small(kept, twice, same(twice, "twice"), "left_semi"), stay, same(stay, "stay"), "left_semi").dropDuplicates([key, "_digest"])
+    return unshield(join_small(kept, twice, same(twice, "twice"), "left_anti").unionByName(once), names)

@@ -42,7 +42,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("_node")
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("_node", "_digest")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
