@@ -13,8 +13,8 @@ its order; inside, a node's candidates are the neighbours before it with which i
 * What is cut off so is found exactly: where a dense region still holds several components, the nodes outside its largest one look for
   all others that they could be linked with through their rarest shingles.
 
-Candidates are confirmed on the full sets, first the best two of each node, by the number of trees that name them, then those between
-components that are still apart. So no partner is lost to a cap, and a family of thousands of copies costs a few comparisons a node.
+Candidates are confirmed on the full sets: all from small regions, and from dense ones of each node the neighbour and the original that
+most trees name. So no partner is lost to a cap, and a family of thousands of copies costs a few comparisons a node.
 An order of a dense region is cut into lanes of some LANE nodes, drawn by hash and anew in each tree, so none is sorted by one task.
 
 With 16 trees and root depth 4, a pair at similarity 0.85 shares no region with probability 7e-6; with depth 3 at 0.8, 1e-5.
@@ -143,8 +143,8 @@ def common_prefix(a, b, length: int):
 
 
 def neighbours(rows: DataFrame, length: int) -> DataFrame:
-    """_x, _y: the candidates _y of the nodes _x from the orders of all trees, of rows (_key, _many, _n, _rest: the values below the
-    root depth)."""
+    """_x, _y, _kind: the candidates _y of the nodes _x from the orders of all trees, of rows (_key, _many, _n, _rest: the values below
+    the root depth); _kind is 1 in dense regions, else 0."""
     lane = F.pmod(F.xxhash64("_key", "_n"), F.ceil(F.col("_many") / LANE))
     order = Window.partitionBy("_key", "_lane").orderBy("_rest", "_n")
     before = [F.lag(F.struct("_n", "_rest"), k).over(order).alias(f"_b{k}") for k in range(1, WIDTH)]
@@ -152,7 +152,7 @@ def neighbours(rows: DataFrame, length: int) -> DataFrame:
     depth = common_prefix(F.col("_rest"), F.col("_b1._rest"), length)
     near = [F.col(f"_b{k}._n") if k <= NEAR else F.when(F.col("_many") <= WIDTH, F.col(f"_b{k}._n")) for k in range(1, WIDTH)]
     deep = [F.when((F.col("_many") <= WIDTH) | (common_prefix(F.col("_rest"), F.col(f"_b{k}._rest"), length) >= depth), near[k - 1]) for k in range(1, WIDTH)]
-    return seen.select(F.col("_n").alias("_x"), F.explode(F.array(*deep)).alias("_y")).where("_y is not null")
+    return seen.select(F.col("_n").alias("_x"), F.explode(F.array(*deep)).alias("_y"), (F.col("_many") > WIDTH).cast("int").alias("_kind")).where("_y is not null")
 
 
 def links(nodes: DataFrame, docs: DataFrame, n: int, percent: int, *, id: str, text: str) -> DataFrame:
@@ -177,21 +177,14 @@ def links(nodes: DataFrame, docs: DataFrame, n: int, percent: int, *, id: str, t
     level = [F.xxhash64("_key", F.slice("_rest", 1, k)) for k in sorted({0, length // 2, length})]
     levelled = dense.select("_n", "_own", F.explode(F.array(*level)).alias("_part"))
     centres = cut(levelled.groupBy("_part").agg(F.min(F.struct("_own", "_n")).alias("_best"), F.count("*").alias("_many")).where("_many > 1").select("_part", F.col("_best._n").alias("_y")))
-    central = join_small(levelled, centres, "_part").where("_n <> _y").select(F.col("_n").alias("_x"), "_y", F.lit(1).alias("_kind"))
-    named = neighbours(sorted_rows, length).withColumn("_kind", F.lit(0)).unionByName(central)
-    candidates = cut(named.groupBy("_x", "_y", "_kind").agg(F.count("*").alias("_trees")))
-    first = cut(candidates.groupBy("_x", "_kind").agg(F.max(F.struct("_trees", "_y")).alias("_best")).select(*_pair("_x", "_best._y")).distinct())
-    ends = candidates.select(F.col("_x").alias("_n")).union(candidates.select(F.col("_y").alias("_n"))).distinct()
+    central = join_small(levelled, centres, "_part").where("_n <> _y").select(F.col("_n").alias("_x"), "_y", F.lit(2).alias("_kind"))
+    candidates = cut(neighbours(sorted_rows, length).unionByName(central).groupBy("_x", "_y", "_kind").agg(F.count("*").alias("_trees")))
+    best = candidates.where("_kind > 0").groupBy("_x", "_kind").agg(F.max(F.struct("_trees", "_y")).alias("_best")).select(*_pair("_x", "_best._y"))
+    pairs = cut(candidates.where("_kind = 0").select(*_pair("_x", "_y")).union(best).distinct())
+    ends = pairs.select(F.col("_a").alias("_n")).union(pairs.select(F.col("_b").alias("_n"))).distinct()
     rest = cut(ends.join(crowd_sets.select("_n"), "_n", "left_anti").join(everyone, "_n"))
     sets = cut(crowd_sets.unionByName(full_sets(docs, rest, n, id=id, text=text)))
-    roots = components(cut(confirmed(first, sets, percent)))
-    known = small_side(roots)
-    root_of = lambda end: known.select(F.col("_node").alias(end), F.col("_root").alias(f"_root{end}"))
-    apart = F.coalesce("_root_a", "_a") != F.coalesce("_root_b", "_b")
-    later = candidates.select(*_pair("_x", "_y")).join(root_of("_a"), "_a", "left").join(root_of("_b"), "_b", "left").where(apart).select("_a", "_b").distinct()
-    later = cut(join_small(later, first, ["_a", "_b"], "left_anti"))
-    if not later.isEmpty():
-        roots = with_links(roots, cut(confirmed(later, sets, percent)))
+    roots = components(cut(confirmed(pairs, sets, percent)))
     # What the neighbours didn't reach: the nodes outside the largest component of a dense region, against all others of dense regions
     # that still hold several components.
     rooted = cut(join_small(dense.select("_key", "_n"), roots.withColumnRenamed("_node", "_n"), "_n", "left").select("_key", "_n", F.coalesce("_root", "_n").alias("_root")))
@@ -200,8 +193,9 @@ def links(nodes: DataFrame, docs: DataFrame, n: int, percent: int, *, id: str, t
     if main.isEmpty():
         return roots
     split = cut(join_small(rooted, main, "_key").groupBy("_n").agg(F.first("_root").alias("_root"), F.max(F.col("_root") != F.col("_main")).alias("_outside")))
-    more = cut(by_prefix(split, sets, percent).join(candidates.select(*_pair("_x", "_y")), ["_a", "_b"], "left_anti"))
-    return roots if more.isEmpty() else with_links(roots, cut(confirmed(more, sets, percent)))
+    more = cut(join_small(by_prefix(split, sets, percent), pairs, ["_a", "_b"], "left_anti"))
+    more = more if more.isEmpty() else cut(confirmed(more, sets, percent))
+    return roots if more.isEmpty() else with_links(roots, more)
 
 
 def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
