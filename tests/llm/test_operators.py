@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import base64
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -188,7 +189,7 @@ def test_warc_round_trip(spark, tmp_path):
         first = last[b or ""] == i
         want.append((str(i), len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else str(last[b or ""])))
     assert Counter(tuple(r)[:5] for r in got) == Counter(want)
-    assert max(r["segments"] for r in got) == -(-5000 // 64)
+    assert max(r["segments"] for r in got) == -(-10000 // 64)
     warc.write_archives(pages, path, segment=64, least=100)
     short = {r["source_id"]: r["record_type"] for r in warc.read_archives(spark, path).collect()}
     assert short["0"] == short["9"] == "response" and short["5"] == "revisit"
@@ -203,9 +204,59 @@ def test_warc_reader_notices_damage():
         list(reader.lines(lines))
 
 
+def test_warc_writing_takes_time_in_proportion(spark, tmp_path):
+    took = []
+    for megabytes in (2, 2, 16):
+        page = spark.createDataFrame([(1, "u", "é<p> " * (megabytes << 18))], "page_id long, url string, html string")
+        began = time.perf_counter()
+        warc.write_archives(page, str(tmp_path / "long"))
+        took.append(time.perf_counter() - began)
+    assert took[2] < 16 * max(took[1], 0.25)
+    row = warc.read_archives(spark, str(tmp_path / "long")).first()
+    assert row["payload_bytes"] == 6 * (16 << 18) and row["segments"] == -(-row["payload_bytes"] // warc.SEGMENT)
+
+
+def test_warc_segments_keep_characters():
+    text = "aé日🙂" * 9
+    data = text.encode()
+    for size in (1, 2, 3, 5, 8):
+        parts = [data[a:b] for a, b in warc.segments(memoryview(data), size)]
+        assert b"".join(parts) == data and (size < 4 or "".join(p.decode() for p in parts) == text)
+    assert warc.segments(memoryview(b""), 4) == [(0, 0)]
+
+
+def test_warc_revisit_without_its_response(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>"), (2, "u", "<p>")], "page_id long, url string, html string")
+    plan = warc.planned(pages, id="page_id", url="url", payload="html", least=0).where("_id = 1")
+    warc.records(warc.chunks(plan), "2020-01-01T00:00:00Z").write.option("lineSep", warc.CRLF).option("compression", "gzip").text(str(tmp_path / "half"))
+    with pytest.raises(Exception, match="no response with the payload of revisit 1"):
+        warc.read_archives(spark, str(tmp_path / "half")).collect()
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------------------
 
 
+def test_hosts(spark):
+    hosts = {"http://good.example@bad.example/x": "bad.example", "http://u:p@bad.example/": "bad.example", "http://bad.example./x": "bad.example", "http://[::1]:80/x": "[::1]", "HTTPS://WWW.Bad.Example:8080?q=a@b": "bad.example", "http:///x": None, "bad.example": None, "http://a@b@c.example": "c.example", "http://x" + "y" * 5000 + ".example/": "x" + "y" * 5000 + ".example"}
+    rows = spark.createDataFrame([(u,) for u in hosts], "u string").select("u", url_filters.host_of("u").alias("h")).collect()
+    assert {r["u"]: r["h"] for r in rows} == hosts
+
+
+def test_names_that_clash(spark, docs):
+    odd = {c: F.lit(7) for c in ("_source", "_last", "_epochs", "_key", "_bucket", "_doc", "_host", "_url", "_text", "_language", "_declared", "_words", "_of", "in0", "in3", "_best", "_n")}
+    rows = docs.withColumns(odd)
+    mixed = mixing.mix(rows)
+    assert mixed.count() == rows.count() and mixed.where("_key = 7 and _source = 7 and _last = 7 and in3 = 7").count() == rows.count() and len(set(mixed.columns)) == len(mixed.columns)
+    assert mixing.mix(rows, keep_text=False).where("_epochs < 7").count() == rows.count()
+    clean = decontamination.clean_rows(rows, spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string"))
+    assert clean.columns == rows.columns and clean.where("_doc = 7").count() == rows.count()
+    found = language.identify(rows)
+    assert len(set(found.columns)) == len(found.columns) and found.where("_host = 7 and _text = 7").count() == rows.count()
+    captures = rows.withColumns({"url": F.lit("http://a.example/x"), "day": F.lit(3)})
+    judged = url_filters.evaluate(captures, spark.createDataFrame([("l", "block", "domain", "a.example", 1, "add")], "list string, action string, kind string, pattern string, day int, change string"))
+    assert judged.where("_blocked and _host = 'a.example' and _best = 7").count() == rows.count()
+
+
 def test_url_filters(spark):
     entries = spark.createDataFrame([
         ("a", "block", "domain", "bad.example", 10, "add"), ("a", "block", "domain", "bad.example", 20, "remove"), ("a", "block", "domain", "bad.example", 20, "remove"), ("a", "block", "domain", "bad.example", 30, "add"), ("a", "block", "domain", "bad.example", 35, "add"),
@@ -490,6 +541,23 @@ def test_language(spark, empty):
     assert not any(r["_accepted"] for r in nothing)
 
 
+def test_language_learns_address_suffixes(spark):
+    """What a suffix says follows from the texts that come with it, whatever it is called; a missing one says nothing."""
+    looks = [(f"h{i}", suffix, look, n) for i, (suffix, look, n) in enumerate([("uk", "aa", 900), ("uk", "bb", 100), ("at", "bb", 800), ("at", "aa", 200), ("com", "aa", 500), ("com", "bb", 500), (None, "aa", 400), (None, "bb", 500), ("io", "und", 3)])]
+    priors = language.host_priors(spark.createDataFrame(looks, "_host string, _suffix string, _look string, _n long"), ["aa", "bb"])
+    says = {r["_of_suffix"]: r["_address"] for r in priors.collect()}
+    assert says["uk"][0] - says["uk"][1] > 0.7 and says["at"][1] - says["at"][0] > 0.5
+    assert abs(says["com"][0] - says["com"][1]) < 0.1 and says[None] == [0.0, 0.0] and abs(says["io"][0] - says["io"][1]) < 0.5
+
+
+def test_language_of_rows_held_out(spark):
+    """The declared values of every fifth document are hidden; their texts and the rest must tell them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    hidden = rows.withColumn("told", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    got = language.identify(hidden, declared="told").where("told is null").select("lang", "_language", "_accepted").collect()
+    assert np.mean([r["lang"] == r["_language"] and r["_accepted"] for r in got]) > 0.97
+
+
 def test_language_keeps_rare_ones(spark):
     """A language of 20 in 40,000 rows is identified; one of 3 rows has no model and is kept as declared."""
     rows = [(i, speech("abcde", 40), "aa", "h1") for i in range(60)] + [(100 + i, speech("vwxyz", 40), "zz", "h2") for i in range(20)] + [(200 + i, speech("éèàñö", 60), "qq", None) for i in range(3)]

@@ -3,8 +3,8 @@
 A window is a run of WINDOW consecutive words of a benchmark item (a shorter item is one window). A first pass over the documents
 counts the benchmark's terms. Each window then has its rarest and its second rarest term, and a second pass stores postings of these
 anchor terms alone: (term, document, position, the words around). For a window, the lists of both anchors are shifted by the
-anchors' offsets and intersected, from the rarest; a common start is a candidate, and the posting's context confirms the phrase word
-by word. A document's key is a 128-bit digest of its text, so copies share their hits.
+anchors' offsets and intersected, from the rarest; a common start is a candidate, and the posting's context confirms the phrase, by
+64 bits of its anchors and 32 bits of each of its other words. A document's key is a 128-bit digest of its text, so copies share their hits.
 
 The window table is broadcast to the indexing tasks in blocks of at most BLOCK_WINDOWS windows; a larger benchmark makes more blocks,
 each of which is looked up in all documents. Postings of a frequent anchor stay spread over the tasks that found them: windows come
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import words
-from tidemark.llm.common import cut, join_small
+from tidemark.llm.common import cut, join_small, shield, unshield
 
 WINDOW = 10
 #: Windows that are broadcast at once: some 100 bytes each.
@@ -182,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id",
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of the benchmark."""
-    hits = cut(contaminated(docs, benchmark, text=text, window=window)[0].select("_doc"))
-    kept = join_small(docs.withColumn("_doc", digest(text)), hits, "_doc", "left_anti")
-    return kept.drop("_doc")
+    """The rows of docs that hold no window of the benchmark; their columns may have any names."""
+    own, names = shield(docs)
+    hits = cut(contaminated(own, benchmark, text=names[text], window=window)[0].select("_doc"))
+    return unshield(join_small(own.withColumn("_doc", digest(names[text])), hits, "_doc", "left_anti"), names)

@@ -6,8 +6,9 @@ For each language l the posterior is proportional to
 
 P(text | l): byte trigrams of the whole text, hashed, under a model of each language. n trigrams of one text are far from independent,
 so their mean counts as SEEN draws, or as n if there are fewer. Another model gives every trigram the same probability; it stands for
-no language (`und`). P(declared | l) and P(address | l) are the reliabilities of the markup's language and of the address's suffix.
-P(l | host) are shares of the languages that the texts of a host look like, drawn towards those of its address suffix, and these
+no language (`und`). P(declared | l) is the reliability of the markup's language. P(address | l) is learned: the shares of the address
+suffixes among the texts that look like l, drawn towards those of the whole corpus; it counts as a square root, for the host's prior
+leans on the same suffix. P(l | host) are shares of the languages that the texts of a host look like, drawn towards those of its address suffix, and these
 towards those of the whole corpus, by grouped aggregation.
 
 The languages are the declared values that at least LEAST_ROWS rows or one in a thousand rows have. The text models are fitted on the
@@ -19,7 +20,7 @@ without a model can't be judged; where it would be rejected, it is kept under th
 
 Defined cases: null, empty or letterless texts are `und` and rejected; a null declared language, host or address is no evidence; a
 declared value that is no language here is none either; if nothing is declared anywhere, every text is `und`; repeated rows each get
-their row; an empty table gives an empty table; other columns are kept.
+their row; an empty table gives an empty table; other columns are kept, but one with the name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_small
+from tidemark.llm.common import cut, join_small, shield, unshield
 
 #: Hashed trigrams.
 CELLS = 1 << 15
@@ -43,8 +44,8 @@ LEAST_ROWS = 10
 CODE, NO_CODE = "^[a-z]{2,3}([-_][a-z0-9]+)*$", ("und", "mul", "mis", "zxx")
 SEEN = 60.0
 LEAST = 0.5
-#: Reliability of the declared language and of the address suffix.
-DECLARED, ADDRESS = 0.9, 0.8
+#: Reliability of the declared language, and the weight of the address suffix.
+DECLARED, ADDRESS = 0.9, 0.5
 #: Pseudo-counts that draw a host towards its suffix, and a suffix towards the corpus.
 HOST_PULL, SUFFIX_PULL = 20.0, 100.0
 UND = "und"
@@ -130,7 +131,7 @@ def _vector(values: str, langs: list[str], right: float) -> Column:
 
 
 def host_priors(looks: DataFrame, langs: list[str]) -> DataFrame:
-    """(_host, _suffix, _look, _n) to (_of_host, _of_suffix, _prior: log P(l | host))."""
+    """(_host, _suffix, _look, _n) to (_of_host, _of_suffix, _prior: log P(l | host), _address: weighted log P(suffix | l))."""
     n = [F.sum(F.when(F.col("_look") == l, F.col("_n")).otherwise(0)).alias(f"_n{i}") for i, l in enumerate(langs)]
     hosts = looks.groupBy("_host", "_suffix").agg(*n)
     suffixes = hosts.groupBy("_suffix").agg(*[F.sum(f"_n{i}").alias(f"_s{i}") for i in range(len(langs))]).withColumnRenamed("_suffix", "_suffix2")
@@ -141,25 +142,29 @@ def host_priors(looks: DataFrame, langs: list[str]) -> DataFrame:
     joined = hosts.join(suffixes, F.col("_suffix").eqNullSafe(F.col("_suffix2")))
     of_suffix = [(F.col(f"_s{i}") + SUFFIX_PULL * world[i]) / (sums("_s") + SUFFIX_PULL) for i in range(len(langs))]
     of_host = [F.when(F.col("_host").isNull(), s).otherwise((F.col(f"_n{i}") + HOST_PULL * s) / (sums("_n") + HOST_PULL)) for i, s in enumerate(of_suffix)]
-    return joined.select(F.col("_host").alias("_of_host"), F.col("_suffix").alias("_of_suffix"), F.array(*[F.ln(x * (1 - UND_PRIOR)) for x in of_host]).alias("_prior"))
+    among = sums("_s") / max(total, 1)  # the suffix's share of the corpus
+    of_address = [F.when(F.col("_suffix").isNull(), 0.0).otherwise(ADDRESS * F.ln((F.col(f"_s{i}") + SUFFIX_PULL * among + 1e-9) / (every[i] + SUFFIX_PULL))) for i in range(len(langs))]
+    return joined.select(F.col("_host").alias("_of_host"), F.col("_suffix").alias("_of_suffix"), F.array(*[F.ln(x * (1 - UND_PRIOR)) for x in of_host]).alias("_prior"), F.array(*of_address).alias("_address"))
 
 
 def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None) -> DataFrame:
     """docs with _language, _posterior, _look (the language of the text alone) and _accepted."""
     none = F.lit(None).cast("string")
-    keyed = docs.withColumns({"_declared": F.lower(F.col(declared)) if declared else none, "_host": F.col(host) if host else none, "_suffix": address_suffix(url) if url else none})
+    own, names = shield(docs)
+    id, text, declared, host, url = (names[c] if c else None for c in (id, text, declared, host, url))
+    keyed = own.withColumns({"_declared": F.lower(F.col(declared)) if declared else none, "_host": F.col(host) if host else none, "_suffix": address_suffix(url) if url else none})
     counts, rows = languages(keyed, "_declared")
     langs = list(counts)
     score = scorer(fit(keyed, counts, rows, id=id, text=text, declared="_declared"))
-    names = F.array(*map(F.lit, [*langs, UND]))
-    best = lambda values: F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
+    every = F.array(*map(F.lit, [*langs, UND]))
+    best = lambda values: F.element_at(every, F.array_position(values, F.array_max(values)).cast("int"))
     looks = cut(keyed.select("_host", "_suffix", score(F.col(text).cast("string")).alias("_text")).groupBy("_host", "_suffix", best(F.col("_text")).alias("_look")).agg(F.count("*").alias("_n")))
     priors = cut(host_priors(looks, langs)) if langs else None
     fused = keyed.withColumn("_text", score(F.col(text).cast("string")))
     if langs:
         same = F.col("_host").eqNullSafe(F.col("_of_host")) & F.col("_suffix").eqNullSafe(F.col("_of_suffix"))
         fused = join_small(fused, priors, same)
-        know = F.zip_with(F.zip_with(F.col("_prior"), _vector("_declared", langs, DECLARED), lambda a, b: a + b), _vector("_suffix", langs, ADDRESS), lambda a, b: a + b)
+        know = F.zip_with(F.zip_with(F.col("_prior"), _vector("_declared", langs, DECLARED), lambda a, b: a + b), F.col("_address"), lambda a, b: a + b)
         fused = fused.withColumn("_log", F.zip_with("_text", F.concat(know, F.array(F.lit(float(np.log(UND_PRIOR))))), lambda a, b: a + b))
     else:
         fused = fused.withColumn("_log", F.col("_text"))
@@ -170,4 +175,4 @@ def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", declare
     code = F.col("_declared").rlike(CODE) & ~F.col("_declared").isin(*langs, *NO_CODE)
     unknown = F.coalesce(~F.col("_accepted") & code & (F.element_at("_text", -1) < 0), F.lit(False))
     out = out.withColumns({"_language": F.when(unknown, F.col("_declared")).otherwise(F.col("_language")), "_posterior": F.when(~unknown, F.col("_posterior")), "_accepted": F.col("_accepted") | unknown})
-    return out.select(*[F.col(c) for c in docs.columns], "_language", "_posterior", "_look", "_accepted")
+    return unshield(out, names, **{c: F.col(c) for c in ("_language", "_posterior", "_look", "_accepted")})

@@ -7,7 +7,8 @@ summed by source and key bucket, a running sum over at most BUCKETS rows of a so
 and only that bucket is sorted. So a source that holds a third of all rows costs no more than the others.
 
 Defined cases: null text counts 0 words and is never taken; a null source is a source, last in order; a null id hashes like any
-value; repeated rows are taken as rows of their own, in any order among equals; an empty table gives an empty table.
+value; repeated rows are taken as rows of their own, in any order among equals; an empty table gives an empty table; an input column
+with the name of an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_small, text_or_empty, word_count
+from tidemark.llm.common import cut, join_small, shield, text_or_empty, unshield, word_count
 
 #: Key buckets of a source.
 BUCKETS = 4096
 #: Weights of the sources in order, repeated.
 CYCLE = (3.0, 1.0, 2.0)
+#: A column name that no table has.
+WEIGHT = "weight of the key"
 #: Marks that ordinary prose hardly has.
 MARKS = "#$%&*!|"
 
@@ -66,10 +69,13 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     weights: a function that adds _weight to a table of (_source, _size), one row a source. The table of sources is the only
     thing that is ever brought together; its length is the number of sources, not of documents.
     """
-    weight = quality_weight(text) if quality is None else quality
+    weighed = docs.withColumn(WEIGHT, quality_weight(text) if quality is None else quality)
+    own, names = shield(weighed)
+    weight, text, id, source = (names.pop(WEIGHT) if c == WEIGHT else names[c] for c in (WEIGHT, text, id, source))
     drawn = (F.pmod(F.xxhash64(F.lit(seed), F.col(id), F.col(text)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = docs.withColumns({"_source": F.col(source), "_key": -F.ln(drawn) / weight, "_words": word_count(text), "_digest": F.xxhash64(F.col(text))}).withColumn("_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    keyed = keyed if keep_text else cut(keyed.drop(text))
+    keyed = own.withColumns({"_source": F.col(source), "_key": -F.ln(drawn) / F.col(weight), "_words": word_count(text), "_digest": F.xxhash64(F.col(text))}).withColumn("_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    if not keep_text:
+        keyed, names = cut(keyed.drop(text)), {c: own for c, own in names.items() if own != text}
     sums = cut(keyed.groupBy("_source", "_bucket").agg(F.sum("_words").alias("_sum")))
     sources = water_fill(weights(sums.groupBy("_source").agg(F.sum("_sum").alias("_size"))), share, most)
     sources = sources.withColumn("_epochs", F.when(F.col("_size") > 0, F.floor(F.col("_target") / F.col("_size"))).otherwise(0).cast("long")).withColumn("_budget", F.round(F.col("_target") - F.col("_epochs") * F.col("_size")).cast("long"))
@@ -85,7 +91,7 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     order = Window.partitionBy("_source").orderBy("_key", F.col(id), "_digest", "_words").rowsBetween(Window.unboundedPreceding, -1)
     part = ready.where(at_edge).withColumn("_cut", F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_budget") - F.col("_before") - F.coalesce(F.sum("_words").over(order), F.lit(0)))).cast("long"))
     out = whole.unionByName(part).withColumn("_taken", F.col("_epochs") * F.col("_words") + F.col("_cut"))
-    return out.drop("_source", "_key", "_digest", "_bucket", "_of", "_budget", "_last", "_before")
+    return unshield(out, names, **{c: F.col(c) for c in ("_words", "_source_size", "_target", "_epochs", "_cut", "_taken")})
 
 
 def first_words(text: str, n: str) -> Column:

@@ -11,7 +11,7 @@ split by adaptive execution.
 Defined cases: a null or malformed url has no host, matches nothing and is not blocked; a capture without a day likewise; an entry
 without a day or a pattern is ignored; an entry added twice stays one stretch; a removal that nothing precedes is ignored; equal days
 of one pattern: the removal comes first; repeated captures each get their row; an empty list blocks nothing; an empty table gives an
-empty table; other columns are kept.
+empty table; other columns are kept, but one with the name of an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_small
+from tidemark.llm.common import cut, join_small, shield, unshield
 
 
 def host_of(url: str) -> Column:
-    """The host of a url in lower case, without www. and port; null if there is none."""
-    host = F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://([^/?#:@]+)", 1)
-    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+    """The host of a url in lower case, without user, port, www. and final dots; null if there is none. An IPv6 host keeps its brackets."""
+    host = F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]*)", 1)
+    return F.nullif(F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", ""), F.lit(""))
 
 
 def path_of(url: str) -> Column:
-    return F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    return F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -51,12 +51,14 @@ def keys(host: str, path: str) -> Column:
 
 def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", day: str = "day") -> DataFrame:
     """captures with _host, _active (number of active entries), _rule (the deciding pattern or null) and _blocked."""
+    own, names = shield(captures)
+    address, fetched = names[url], names[day]
     listed = cut(intervals(entries))
-    once = captures.select(F.col(url).alias("_url"), F.col(day).alias("_day")).where("_url is not null and _day is not null").distinct()
+    once = own.select(F.col(address).alias("_url"), F.col(fetched).alias("_day")).where("_url is not null and _day is not null").distinct()
     once = once.withColumn("_h", host_of("_url")).where("_h is not null").withColumn("_p", path_of("_url"))
     asked = once.select("_url", "_day", F.inline(keys("_h", "_p")))
     met = join_small(asked, listed, ["kind", "pattern"]).where((F.col("_from") <= F.col("_day")) & (F.col("_to").isNull() | (F.col("_day") < F.col("_to"))))
     best = F.max(F.struct(F.length("pattern").alias("n"), F.col("action"), F.col("pattern")))
-    decided = met.groupBy("_url", "_day").agg(F.count("*").alias("_active"), best.alias("_best"))
-    out = captures.withColumn("_host", host_of(url)).join(decided, (captures[url] == decided["_url"]) & (captures[day] == decided["_day"]), "left")
-    return out.select(*[captures[c] for c in captures.columns], "_host", F.coalesce("_active", F.lit(0)).alias("_active"), F.col("_best.pattern").alias("_rule"), F.coalesce(F.col("_best.action") == "block", F.lit(False)).alias("_blocked"))
+    decided = met.groupBy("_url", "_day").agg(F.count("*").alias("_n"), best.alias("_best"))
+    out = own.join(decided, (F.col(address) == F.col("_url")) & (F.col(fetched) == F.col("_day")), "left")
+    return unshield(out, names, _host=host_of(address), _active=F.coalesce("_n", F.lit(0)), _rule=F.col("_best.pattern"), _blocked=F.coalesce(F.col("_best.action") == "block", F.lit(False)))

@@ -1,11 +1,14 @@
 """WARC archives as a chunked record table.
 
 A payload is never one block: it is cut into segments, each a WARC record of its own (the first a response, the others continuation
-records with the same origin and rising segment numbers), so neither writing nor reading holds more than one segment. The table of
-chunks has a record id, a segment number and the segment's bytes. Files are written by Spark's text sink with CRLF between lines: a
-record's text ends with one CRLF and the sink adds the second. They are compressed whole, so that a file is read by one task from its
-start, with a reader that follows Content-Length and carries each record's SHA-1 and length from segment to segment. Any file system
-that Spark reads will do.
+records with the same origin and rising segment numbers). The table of chunks has a record id, a segment number, the segment's bytes
+and the digest of the payload up to its end, carried from segment to segment. The writer takes a payload as Spark hands it over, one
+cell, and goes over it once: segments are slices of that cell, handed on in batches of a few megabytes, so its time is in proportion to
+the payload and it holds no second copy. The reader holds one segment.
+
+Files are written by Spark's text sink with CRLF between lines: a record's text ends with one CRLF and the sink adds the second. They
+are compressed whole, so that a file is read by one task from its start and no record can be fetched alone, with a reader that follows
+Content-Length and carries each record's SHA-1 and length from segment to segment. Any file system that Spark reads will do.
 
 Records with equal payloads: the one with the largest id is the response; the others become revisit records that name it.
 
@@ -22,11 +25,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, join_small, text_or_empty
+from tidemark.llm.common import cut, join_small, small_batches, text_or_empty
 
-#: Characters of a segment.
-SEGMENT = 1 << 16
+#: Bytes of a segment, and of the segments that are handed on at once.
+SEGMENT, BATCH = 1 << 16, 4 << 20
 CRLF = "\r\n"
 
 
@@ -53,12 +57,51 @@ def planned(pages: DataFrame, *, id: str, url: str, payload: str, least: int) ->
     return joined.withColumn("_refers_to", F.when(~F.col("_last").eqNullSafe(F.col("_id")), F.col("_last"))).drop("_key", "_last")
 
 
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def segments(payload: memoryview, segment: int) -> list[tuple[int, int]]:
+    """Where the segments of a UTF-8 payload begin and end: `segment` bytes each, less where a character would be cut."""
+    ends = [0]
+    while ends[-1] < len(payload):
+        end = min(ends[-1] + segment, len(payload))
+        while ends[-1] + 1 < end < len(payload) and payload[end] & 0xC0 == 0x80:
+            end -= 1
+        ends.append(end)
+    return list(zip(ends, ends[1:])) or [(0, 0)]
+
+
 def chunks(plan: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """The chunk table: _id, _chunk (from 1), _chunks, _data; a revisit has one empty chunk."""
-    many = F.when(F.col("_refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.length("_payload") / segment))).cast("int")
-    dealt = plan.withColumn("_chunks", many).withColumn("_chunk", F.explode(F.sequence(F.lit(1), F.col("_chunks"))))
-    data = F.when(F.col("_refers_to").isNotNull(), F.lit("")).otherwise(F.col("_payload").substr((F.col("_chunk") - 1) * segment + 1, F.lit(segment)))
-    return dealt.withColumn("_data", data).drop("_payload")
+    """The chunk table: _id, _url, _sha1, _bytes, _refers_to, _chunk (from 1), _chunks, _upto (base-32 SHA-1 of the payload up to the
+    chunk's end), _data; a revisit has one empty chunk."""
+    kept = plan.select("_id", "_url", "_sha1", "_bytes", "_refers_to", F.col("_payload").cast("binary").alias("_payload"))
+    schema = T.StructType([*kept.drop("_payload").schema.fields, T.StructField("_chunk", T.IntegerType()), T.StructField("_chunks", T.IntegerType()), T.StructField("_upto", T.StringType()), T.StructField("_data", T.StringType())])
+    width = len(kept.columns) - 1
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+
+            def ready(rows) -> pa.RecordBatch:
+                own = pa.array([r[0] for r in rows], pa.int64())
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(width)), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows], pa.binary()).cast(pa.string())], names=schema.names)
+
+            for i in range(batch.num_rows):
+                revisit = batch.column(width - 1)[i].is_valid
+                payload = memoryview(b"" if revisit else batch.column(width)[i].as_buffer())
+                places, digest = segments(payload, segment), hashlib.sha1()
+                for k, (a, b) in enumerate(places):
+                    digest.update(payload[a:b])
+                    rows.append((i, k + 1, len(places), base32(digest.digest()), bytes(payload[a:b])))
+                    held += b - a
+                    if held >= BATCH:
+                        yield ready(rows)
+                        rows, held = [], 0
+            if rows:
+                yield ready(rows)
+
+    return kept.mapInArrow(cut_up, schema)
 
 
 def records(table: DataFrame, date: str) -> DataFrame:
@@ -84,6 +127,7 @@ def records(table: DataFrame, date: str) -> DataFrame:
         line("WARC-Segment-Number", F.col("_chunk").cast("string"), F.col("_chunks") > 1),
         line("WARC-Segment-Origin-ID", own, ~first),
         line("WARC-Segment-Total-Length", F.col("_bytes").cast("string"), last & ~first),
+        line("X-Payload-Digest-So-Far", F.concat(F.lit("sha1:"), F.col("_upto")), ~revisit),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
@@ -94,7 +138,8 @@ def records(table: DataFrame, date: str) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, *, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, segment: int = SEGMENT, date: str = "2020-01-01T00:00:00Z") -> None:
     """Write pages as gzipped WARC files under path."""
     table = chunks(planned(pages, id=id, url=url, payload=payload, least=least), segment)
-    records(table, date).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
+    with small_batches(pages.sparkSession):
+        records(table, date).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 class _Reader:
@@ -137,6 +182,7 @@ class _Reader:
         self.open["segment"] += 1
         if int(head.get("warc-segment-number", "1")) != self.open["segment"]:
             raise ValueError(f"{head['warc-record-id']} is out of order")
+        self.open["upto"] = head.get("x-payload-digest-so-far", "").removeprefix("sha1:")
         self.open["last"] = "warc-segment-number" not in head or "warc-segment-total-length" in head
         if not self.left:
             yield from self._end()
@@ -161,18 +207,21 @@ class _Reader:
     def _end(self) -> Iterator[dict]:
         self.left = -1
         r = self.open
+        if r["upto"] and base32(r["sha"].digest()) != r["upto"]:
+            raise ValueError(f"{r['id']}: segment {r['segment']} isn't what its header says")
         if not r["last"]:
             return
         self.open = None
         head, told = r["head"], r["head"]["warc-payload-digest"].removeprefix("sha1:")
-        if r["kind"] == "response" and (base64.b32encode(r["sha"].digest()).decode() != told or r["bytes"] != int(head["x-payload-length"])):
+        if r["kind"] == "response" and (base32(r["sha"].digest()) != told or r["bytes"] != int(head["x-payload-length"])):
             raise ValueError(f"{r['id']}: the payload isn't what its header says")
         yield {"source_id": head["x-source-id"] or None, "payload_bytes": int(head["x-payload-length"]), "payload_digest": told, "record_type": r["kind"], "refers_to": head.get("x-refers-to-source-id"), "url": head["warc-target-uri"], "segments": r["segment"]}
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per response or revisit record: source_id, payload_bytes, payload_digest, record_type, refers_to, url, segments.
-    The digest and length of every response are computed again over its segments and must agree with its header."""
+    The digest and length of every response are computed again over its segments and must agree with its headers; every revisit must
+    name a response with its digest and length."""
     schema = pa.schema([("source_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("segments", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +232,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("the archive ends inside a record")
 
     lines = spark.read.option("lineSep", CRLF).text(path).select(F.col("value").cast("binary"))
-    return lines.mapInArrow(read, "source_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, segments long")
+    rows = cut(lines.mapInArrow(read, "source_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, segments long"))
+    named = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("_named")).distinct()
+    there = cut(rows.where("record_type = 'response'").join(named, F.col("source_id") == F.col("_named"), "left_semi").select(F.col("source_id").alias("_named"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct())
+    found = join_small(rows, there, (F.col("refers_to") == F.col("_named")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    lost = (F.col("record_type") == "revisit") & F.col("_named").isNull()
+    return found.withColumn("payload_digest", F.when(lost, F.raise_error(F.concat(F.lit("no response with the payload of revisit "), F.coalesce("source_id", F.lit("null"))))).otherwise(F.col("payload_digest"))).drop("_named", "_digest", "_bytes")
