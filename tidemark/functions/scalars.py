@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Weight classes from light to heavy, by ladder. Longer names come first when text is searched.
+#: Weight classes from light to heavy, by ladder, and classes that have no place on one. Longer names come first when
+#: text is searched.
 LADDERS = {
-    "men": ("strawweight", "flyweight", "bantamweight", "featherweight", "lightweight", "welterweight", "middleweight", "light heavyweight", "heavyweight"),
+    "men": ("flyweight", "bantamweight", "featherweight", "lightweight", "welterweight", "middleweight", "light heavyweight", "heavyweight"),
     "women": ("women's strawweight", "women's flyweight", "women's bantamweight", "women's featherweight"),
 }
+NO_LADDER = ("catch weight", "catchweight", "open weight", "super heavyweight")
 #: Centimetres of an inch, seconds of a round, days of a year.
 CM, ROUND_SECONDS, YEAR_DAYS = 2.54, 300, 365.25
 
@@ -116,8 +118,8 @@ def open_stance(mine, other) -> Column:
 
 
 def weight_class(c) -> Column:
-    """The ladder's name inside a free text, the longest name first."""
-    names = sorted((n for names in LADDERS.values() for n in names), key=lambda n: (-len(n), n))
+    """The class named inside a free text, the longest name first; classes without a ladder are named too."""
+    names = sorted((*NO_LADDER, *(n for names in LADDERS.values() for n in names)), key=lambda n: (-len(n), n))
     out = F.lit(None).cast("string")
     for n in reversed(names):
         out = F.when(F.lower(col(c)).contains(n), n).otherwise(out)

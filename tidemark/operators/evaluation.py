@@ -5,7 +5,9 @@ Fits go through MLlib, so rows stay distributed; loops run over folds, configura
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 from collections.abc import Iterator, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -125,28 +127,36 @@ def compare(df: DataFrame, y: str, methods: dict[str, Column], bout: str = "bout
     return out.crossJoin(F.broadcast(first)).withColumns({"d_log_loss": F.col("log_loss") - F.col("_l0"), "d_ece": F.col("ece") - F.col("_e0")}).drop("_l0", "_e0")
 
 
+def _least(frame: DataFrame, gates: dict[str, str], careful: str, margin: float) -> str | None:
+    """The method of the frame with the least loss among those that pass every gate; a method for which `careful` holds must win by the
+    margin."""
+    passed = frame.where(" AND ".join(f"({g})" for g in gates.values()))
+    first = passed.orderBy(F.col("log_loss") + F.when(F.expr(careful), margin).otherwise(0.0), F.expr(careful), "method").select("method").first()
+    return first[0] if first else None
+
+
 def choose_calibrator(comparison: DataFrame, *, deviation: float = 1.5, ece: float = 0.005, loss: float = 0.001, margin: float = 0.001) -> str | None:
-    """The method that passes the gates, or None. The table has one row per method. First symmetry, against the uncalibrated row; then
-    a lower calibration error without a worse loss; isotonic only if it beats Platt by the margin."""
-    rows = {r["method"]: r for r in comparison.collect()}
-    limit = deviation * rows["uncalibrated"]["max_pair_dev"]
-    good = {m: r for m, r in rows.items() if m != "uncalibrated" and r["max_pair_dev"] <= limit and r["d_ece"] <= -ece and r["d_log_loss"] <= loss}
-    if {"platt", "isotonic"} <= set(good):
-        return "isotonic" if good["isotonic"]["log_loss"] < good["platt"]["log_loss"] - margin else "platt"
-    return min(good, key=lambda m: good[m]["log_loss"], default=None)
+    """The calibrator that passes all gates against the uncalibrated row, or None; the more flexible one must win by the margin."""
+    raw = comparison.where("method = 'uncalibrated'").select(F.col("max_pair_dev").alias("raw_dev"))
+    gates = {
+        "a calibrator": "method <> 'uncalibrated'",
+        "symmetry": f"max_pair_dev <= {deviation} * raw_dev",
+        "better calibration": f"d_ece <= {-ece}",
+        "no worse loss": f"d_log_loss <= {loss}",
+    }
+    return _least(comparison.crossJoin(F.broadcast(raw)), gates, "method = 'isotonic'", margin)
 
 
 def choose_blend(comparison: DataFrame, *, deviation: float = 1.5, ece: float = 0.005, gain: float = 0.002, margin: float = 0.001) -> str | None:
-    """As choose_calibrator for blends (rows with n_components): symmetry and calibration against the best single model, a gain over
-    it, and a stacker only if it beats the best fixed blend by the margin."""
-    rows = comparison.collect()
-    single = min((r for r in rows if r["n_components"] == 1), key=lambda r: r["log_loss"])
-    good = [r for r in rows if r["n_components"] > 1 and r["max_pair_dev"] <= deviation * single["max_pair_dev"] and r["ece"] <= single["ece"] + ece and r["log_loss"] <= single["log_loss"] - gain]
-    best = lambda x: min(x, key=lambda r: r["log_loss"], default=None)
-    stacker, fixed = (best([r for r in good if r["method"].startswith("stacker") == s]) for s in (True, False))
-    if stacker and (not fixed or stacker["log_loss"] < fixed["log_loss"] - margin):
-        return stacker["method"]
-    return fixed["method"] if fixed else None
+    """The blend (rows with n_components) that passes all gates against the best single model, or None; a stacker must win by the margin."""
+    single = comparison.where("n_components = 1").agg(*[F.min_by(c, "log_loss").alias(f"one_{c}") for c in ("max_pair_dev", "ece", "log_loss")])
+    gates = {
+        "a blend": "n_components > 1",
+        "symmetry": f"max_pair_dev <= {deviation} * one_max_pair_dev",
+        "calibration": f"ece <= one_ece + {ece}",
+        "gain": f"log_loss <= one_log_loss - {gain}",
+    }
+    return _least(comparison.crossJoin(F.broadcast(single)), gates, "method LIKE 'stacker%'", margin)
 
 
 # Ensembles ----------------------------------------------------------------------------------------------------------------------
@@ -163,13 +173,34 @@ def align(*frames: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
 
 def simplex(n: int, step: float) -> Iterator[tuple[float, ...]]:
-    """Weight vectors: the first weight runs over the grid, the others share what it leaves in the grid's proportions."""
-    if n == 1:
-        yield (1.0,)
-        return
-    for i in range(round(1 / step) + 1):
-        for rest in simplex(n - 1, step):
-            yield (i * step, *[(1 - i * step) * r for r in rest])
+    """Weight vectors by breaking a stick: each weight but the last takes a share of the grid from what the ones before have left."""
+    shares = [i * step for i in range(round(1 / step) + 1)]
+    for broken in itertools.product(shares, repeat=n - 1):
+        left = list(itertools.accumulate((1 - x for x in broken), operator.mul, initial=1.0))
+        yield (*map(operator.mul, left, broken), left[-1])
+
+
+def stacker(df: DataFrame, y: str, ps: Sequence[str], *, intercept: bool = True):
+    """A column function of the models' probabilities: logistic regression on their logits, hardly penalised."""
+    rows = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(ps))], outputCol="features").transform(df.select(y, *[S.logit(p).alias(f"_x{i}") for i, p in enumerate(ps)]))
+    model = LogisticRegression(labelCol=y, regParam=1e-6, elasticNetParam=0.0, fitIntercept=intercept, standardization=False).fit(rows)
+    weights, start = [float(w) for w in model.coefficients], float(model.intercept)
+    return lambda *qs: S.sigmoid(sum((S.logit(q) * w for q, w in zip(qs, weights)), F.lit(start)))
+
+
+def blend_comparison(fit: DataFrame, held: DataFrame, y: str, ps: Sequence[str], *, step: float = 0.05, bout: str = "bout_id") -> DataFrame:
+    """The table that choose_blend reads: on the held rows each model alone, their mean, the best blends of the fitted rows in both
+    spaces, and the stackers; n_components says how many models take part."""
+    methods, n = {p: F.col(p) for p in ps}, dict.fromkeys(ps, 1)
+    methods["mean"] = sum((F.col(p) for p in ps), F.lit(0.0)) / len(ps)
+    for space in ("logit", "probability"):
+        weights = best_weights(blend_losses(fit, y, ps, step, space)).first()["weights"]
+        mixed = sum(((S.logit(p) if space == "logit" else F.col(p)) * w for p, w in zip(ps, weights)), F.lit(0.0))
+        methods[f"blend_{space}"], n[f"blend_{space}"] = (S.sigmoid(mixed) if space == "logit" else mixed), max(2, sum(w > 0 for w in weights))
+    for intercept in (True, False):
+        methods["stacker" + ("" if intercept else "_plain")] = stacker(fit, y, ps, intercept=intercept)(*ps)
+    count = F.create_map(*[F.lit(x) for m in methods for x in (m, n.get(m, len(ps)))])
+    return compare(held, y, methods, bout).withColumn("n_components", F.element_at(count, F.col("method")))
 
 
 def blend_losses(df: DataFrame, y: str, ps: Sequence[str], step: float = 0.05, space: str = "logit") -> DataFrame:
@@ -228,6 +259,13 @@ def shuffled_labels(df: DataFrame, label: str, *, seed: int = 42, by: str | None
     return rows.drop(label).join(labels, ["_b", "_i"]).withColumnRenamed("_label", label).select(*df.columns)
 
 
+def shuffle_test(train: DataFrame, held: DataFrame, columns: Sequence[str], label: str, *, seed: int = 42, by: str | None = None) -> DataFrame:
+    """A model fitted on labels dealt anew, judged on the held rows' real labels: what it can still tell has leaked."""
+    rows, held = impute(shuffled_labels(train, label, seed=seed, by=by), held, columns=columns)
+    every = [*columns, *[f"{c}_missing" for c in columns]]
+    return metrics.evaluate(predict(logistic(every, rows.count(), label).fit(rows), held), label, "p")
+
+
 def ks_drift(df: DataFrame, columns: Sequence[str], side: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per column between rows with side true (n_a) and false (n_b): d, p_value, mean and standard
     deviation of both. Equal values are summed first, so the ordered part works on distinct values of one column."""
@@ -245,17 +283,28 @@ def ks_drift(df: DataFrame, columns: Sequence[str], side: Column) -> DataFrame:
     return out.withColumn("p_value", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))))
 
 
+def numbered(df: DataFrame, seed: int = 0, rows: int = 100_000) -> DataFrame:
+    """df with _i, from 0 without gaps: a running number inside hash buckets of some `rows` rows, behind the buckets before."""
+    total = df.count()
+    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
+    dealt = df.withColumn("_b", F.pmod(key, F.lit(max(8, -(-total // rows)))))
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_many"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(*df.columns))
+    return dealt.join(F.broadcast(offsets), "_b").withColumn("_i", F.col("_before") + own - 1).drop("_b", "_before")
+
+
 def permutation_null(df: DataFrame, y: str, p: str, n: int, *, draws: int = 2000, seed: int = 42, n_bins: int = 10) -> DataFrame:
-    """Calibration errors of `draws` random subsets of n rows: draw, ece. A row is in a draw if its hash for that draw is among the n
-    smallest; rows are first cut to those below 3n / N plus slack, so a draw sorts a few n rows and not all N."""
+    """Calibration errors of `draws` random subsets of n different rows: draw, ece. A draw takes random row numbers one by one and skips
+    those that it has, so only draws times some n numbers meet the rows, not draws times all rows."""
+    rows = numbered(df.select(F.col(y).alias("_y"), F.col(p).alias("_p")), seed)
     total = df.count()
-    limit = min(1.0, (3.0 * n + 60) / max(total, 1))
-    keyed = df.select(F.col(y).alias("_y"), F.col(p).alias("_p"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_k"))
-    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    u = F.pmod(F.xxhash64("_k", "draw", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    rows = keyed.select("*", draw.alias("draw")).withColumn("_u", u).where(F.col("_u") < limit)
-    taken = rows.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_u", "_k"))).where(F.col("_r") <= n)
-    return metrics.evaluate(taken, "_y", "_p", by=("draw",), n_bins=n_bins).select("draw", "ece")
+    tries = int(n * 1.5) + 50 if total >= 4 * n else 40 * max(total, 1)
+    picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try"))
+    picks = picks.withColumn("_i", F.pmod(F.xxhash64("draw", "_try", F.lit(seed)), F.lit(max(total, 1)))).groupBy("draw", "_i").agg(F.min("_try").alias("_try"))
+    taken = picks.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_try"))).where(F.col("_r") <= n)
+    return metrics.evaluate(taken.join(rows, "_i"), "_y", "_p", by=("draw",), n_bins=n_bins).select("draw", "ece")
 
 
 def against_null(null: DataFrame, ece: float) -> DataFrame:

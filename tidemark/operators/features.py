@@ -94,3 +94,13 @@ def physical(sides: DataFrame, fighters: DataFrame) -> DataFrame:
 
 def interactions(df: DataFrame) -> DataFrame:
     return df.withColumns({"layoff_x_age": F.col("days_since_last_fight") * F.col("age"), "age_x_experience": F.col("age") * F.col("total_fights")})
+
+
+def assemble(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row per asked bout (bout_id) with red_ and blue_ columns of every feature and fighter that `known` (a row for each side, with
+    bout_id, corner, self) has; a bout that `known` lacks fails when it is read."""
+    columns = [c for c in known.columns if c not in ("bout_id", "day", "corner", "opp")]
+    side = lambda corner: [F.max(F.when(F.col("corner") == corner, F.col(c))).alias(f"{corner}_{'fighter_id' if c == 'self' else c}") for c in columns]
+    rows = known.groupBy("bout_id", "day").agg(*side("red"), *side("blue"))
+    found = asked.select("bout_id").distinct().join(rows.withColumn("_is", F.lit(True)), "bout_id", "left")
+    return found.where(F.assert_true(F.col("_is").isNotNull(), F.concat(F.lit("unknown bout "), F.col("bout_id"))).isNull()).drop("_is")

@@ -10,8 +10,8 @@ from tidemark.functions import scalars as S
 
 def closing_prices(prices: DataFrame) -> DataFrame:
     """The last price per (bout, fighter, book): raw probability, n_sides of its (bout, book) and the probability without the margin.
-    The last row is an aggregate (max_by), so no snapshots are sorted. A book with one side gives 1, as n_sides shows."""
-    last = prices.groupBy("bout_id", "fighter", "book").agg(F.max_by("moneyline", "collected_at").alias("moneyline"), F.max("collected_at").alias("collected_at"))
+    The last row is an aggregate (max_by), so no snapshots are sorted; of two at one time the larger price counts. A book with one side gives 1, as n_sides shows."""
+    last = prices.groupBy("bout_id", "fighter", "book").agg(F.max_by("moneyline", F.struct("collected_at", "moneyline")).alias("moneyline"), F.max("collected_at").alias("collected_at"))
     book = Window.partitionBy("bout_id", "book")  # as many rows as a bout has sides
     raw = last.withColumn("raw_prob", S.implied_probability("moneyline"))
     return raw.withColumns({"n_sides": F.count("*").over(book), "prob": F.col("raw_prob") / F.sum("raw_prob").over(book)})

@@ -86,7 +86,7 @@ def residual_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(E.residual_correlations(P.predictions(spark, sf_dir), "y", ("p", "q", "r")))
 
 
-LOSS = "-CASE WHEN y = 1 THEN ln(greatest({0}, 1e-15)) ELSE ln(greatest(1 - {0}, 1e-15)) END"
+LOSS = "-CASE WHEN y = 1 THEN ln(greatest({0}, 1e-15)) ELSE ln(1 - least({0}, 1 - 1e-15)) END"
 
 
 @query(f"""{WITH}, l AS (SELECT *, {LOSS.format("p")} AS lp, {LOSS.format("q")} AS lq, {LOSS.format("r")} AS lr FROM pred)
@@ -96,11 +96,11 @@ def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(E.disagreement(P.predictions(spark, sf_dir), "y", ("p", "q", "r")))
 
 
-@query(f"""{WITH}, g AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS i, a / 5.0::DOUBLE AS w0, (1 - a / 5.0::DOUBLE) * (b / 5.0::DOUBLE) AS w1, (1 - a / 5.0::DOUBLE) * (1 - b / 5.0::DOUBLE) AS w2 FROM range(6) t(a), range(6) u(b)),
+@query(f"""{WITH}, g AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS i, a / 20.0::DOUBLE AS w0, (1 - a / 20.0::DOUBLE) * (b / 20.0::DOUBLE) AS w1, (1 - a / 20.0::DOUBLE) * (1 - b / 20.0::DOUBLE) AS w2 FROM range(21) t(a), range(21) u(b)),
     lg AS (SELECT y, {", ".join(f"ln(greatest(1e-6, least(1 - 1e-6, {c})) / (1 - greatest(1e-6, least(1 - 1e-6, {c})))) AS {n}" for c, n in (("p", "x0"), ("q", "x1"), ("r", "x2")))} FROM pred)
-    SELECT CAST(i AS INT) AS i, round(avg(-CASE WHEN y = 1 THEN ln(greatest(s, 1e-15)) ELSE ln(greatest(1 - s, 1e-15)) END), 6) AS log_loss FROM (SELECT i, y, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2))) AS s FROM lg, g) GROUP BY 1""")
+    SELECT CAST(i AS INT) AS i, round(avg(-CASE WHEN y = 1 THEN ln(greatest(s, 1e-15)) ELSE ln(1 - least(s, 1 - 1e-15)) END), 6) AS log_loss FROM (SELECT i, y, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2))) AS s FROM lg, g) GROUP BY 1""")
 def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.rounded(E.blend_losses(P.predictions(spark, sf_dir), "y", ("p", "q", "r"), step=0.2).drop("weights"))
+    return P.rounded(E.blend_losses(P.predictions(spark, sf_dir), "y", ("p", "q", "r"), step=0.05).drop("weights"))
 
 
 KS = """SELECT '{0}' AS feature, (SELECT max(abs(fa - fb)) FROM (SELECT v, (SELECT count(*) FROM pred a WHERE year(a.day) < 1996 AND a.{0} <= v) / (SELECT count(*) FROM pred WHERE year(day) < 1996) AS fa,
@@ -125,9 +125,22 @@ def shuffled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(metrics.evaluate(E.shuffled_labels(rows, "y"), "y", "p"))
 
 
+@query()
+def shuffle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, columns = _training(spark, sf_dir)
+    train, held = rows.where(F.year("day") < 1996).cache(), rows.where(F.year("day") >= 1996)
+    return P.rounded(E.shuffle_test(train, held, columns, "self_won"))
+
+
+@query()
+def blend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.predictions(spark, sf_dir).cache()
+    return P.rounded(E.blend_comparison(rows.where(F.year("day") < 1996), rows.where(F.year("day") >= 1996), "y", ("p", "q", "r"), step=0.2))
+
+
 @query()
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.permutation_null(P.predictions(spark, sf_dir).select("bout_id", "self", "y", "q"), "y", "q", 173, draws=200)
+    return E.permutation_null(P.predictions(spark, sf_dir).select("bout_id", "self", "y", "q"), "y", "q", 173)
 
 
 def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:

@@ -206,17 +206,33 @@ def recent_24mo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elo.trailing_months(facts, "damage", 24).select("bout_id", "self", "recent_damage")
 
 
+#: The classes once more, as DuckDB tables: name, ladder, place.
+CLASS_SQL = """cls(n, l, i) AS (VALUES ('flyweight', 'm', 1), ('bantamweight', 'm', 2), ('featherweight', 'm', 3), ('lightweight', 'm', 4), ('welterweight', 'm', 5), ('middleweight', 'm', 6), ('light heavyweight', 'm', 7), ('heavyweight', 'm', 8),
+    ('women''s strawweight', 'w', 1), ('women''s flyweight', 'w', 2), ('women''s bantamweight', 'w', 3), ('women''s featherweight', 'w', 4), ('catch weight', 'a', NULL), ('catchweight', 'b', NULL), ('open weight', 'c', NULL), ('super heavyweight', 'd', NULL))"""
+
+
 def _class_sql(c: str) -> str:
-    names = sorted((n for v in S.LADDERS.values() for n in v), key=lambda n: (-len(n), n))
-    return "CASE " + " ".join("WHEN lower({}) LIKE '%{}%' THEN '{}'".format(c, n.replace("'", "''"), n.replace("'", "''")) for n in names) + " END"
+    return f"(SELECT n FROM cls WHERE contains(lower({c}), n) ORDER BY length(n) DESC LIMIT 1)"
 
 
 def _step_sql(a: str, b: str) -> str:
-    lists = ["[" + ", ".join("'{}'".format(n.replace("'", "''")) for n in v) + "]" for v in S.LADDERS.values()]
-    return "CASE " + " ".join(f"WHEN list_contains({x}, {a}) AND list_contains({x}, {b}) THEN CAST(sign(list_position({x}, {b}) - list_position({x}, {a})) AS INT)" for x in lists) + " END"
+    return f"(SELECT CAST(sign(y.i - x.i) AS INT) FROM cls x, cls y WHERE x.n = {a} AND y.n = {b} AND x.l = y.l)"
+
+
+#: Class texts by number, and the class texts of the moves.
+CLASS_TEXTS = ("Super Heavyweight Bout", "Catch Weight Bout", "UFC Light Heavyweight Title Bout", "Heavyweight Bout", "Women's Strawweight Bout", "Strawweight Bout", "Open Weight Bout", "Ultimate Flyweight Tournament", "Women's Flyweight Title Bout", "Middleweight Bout", "Bout", "Women's Featherweight Bout")
+_TEXTS = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in CLASS_TEXTS) + "]"
+
+
+@query(f"""WITH {CLASS_SQL}, t AS (SELECT o_orderkey AS k, {_TEXTS}[o_orderkey % 12 + 1] AS a, {_TEXTS}[o_orderkey // 12 % 12 + 1] AS b FROM orders), c AS (SELECT k, {_class_sql("a")} AS before, {_class_sql("b")} AS now FROM t)
+    SELECT k, before, now, {_step_sql("before", "now")} AS step FROM c""")
+def weight_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    texts = P.table(spark, sf_dir, "orders").select(k.alias("k"), P.pick(k % 12, CLASS_TEXTS).alias("a"), P.pick(F.floor(k / 12) % 12, CLASS_TEXTS).alias("b"))
+    return texts.select("k", S.weight_class("a").alias("before"), S.weight_class("b").alias("now")).withColumn("step", S.ladder_step("before", "now"))
 
 
-@query(f"""{WITH}, c AS (SELECT bout_id, self, day, {_class_sql("weight_class")} AS wc FROM sides),
+@query(f"""{WITH}, {CLASS_SQL}, c AS (SELECT bout_id, self, day, {_class_sql("weight_class")} AS wc FROM sides),
     p AS (SELECT a.bout_id, a.self, a.wc, (SELECT arg_max(coalesce(b.wc, '?'), (b.day, b.bout_id)) FROM c b WHERE b.self = a.self AND b.day < a.day) AS before FROM c a)
     SELECT bout_id, self, wc AS weight_class, {_step_sql("before", "wc")} AS weight_class_change FROM p""")
 def class_change(spark: SparkSession, sf_dir: str) -> DataFrame:

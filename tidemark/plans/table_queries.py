@@ -9,6 +9,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import mutation, quality, resolve
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
+from tidemark.sources import readers, schemas, wikitext
 from tidemark.streaming import upserts
 
 WITH = f"WITH {P.SQL}"
@@ -159,23 +160,23 @@ def collision_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.collisions(p, exact.unionByName(default), key="brand").select("p_partkey", "resolved_id")
 
 
-NEAR = """a AS (SELECT bout_id AS ask_id, blue AS a, red AS b, day + CAST(bout_id % 5 AS INT) - 2 AS day FROM bout WHERE bout_id % 2 = 0)"""
+NEAR = """a AS (SELECT bout_id AS ask_id, blue AS a, red AS b, day + CAST(bout_id % 5 AS INT) - 2 AS day FROM bout)"""
 
 
 @query(f"""{WITH}, {NEAR} SELECT ask_id, (SELECT arg_min(bout_id, (abs(b.day - a.day), b.day, b.bout_id)) FROM bout b WHERE least(b.red, b.blue) = least(a.a, a.b) AND greatest(b.red, b.blue) = greatest(a.a, a.b) AND abs(b.day - a.day) <= 1) AS bout_id FROM a""")
 def pair_nearest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = P.bouts(spark, sf_dir)
-    asked = b.where("bout_id % 2 = 0").select(F.col("bout_id").alias("ask_id"), F.col("blue").alias("a"), F.col("red").alias("b"), F.date_add("day", (F.col("bout_id") % 5 - 2).cast("int")).alias("day"))
+    asked = b.select(F.col("bout_id").alias("ask_id"), F.col("blue").alias("a"), F.col("red").alias("b"), F.date_add("day", (F.col("bout_id") % 5 - 2).cast("int")).alias("day"))
     return resolve.nearest_bout(asked, b, days=1).select("ask_id", "bout_id")
 
 
-@query(f"""{WITH}, ask AS (SELECT bout_id AS ask_id, [red + 1, red] AS x, [blue, blue + 1] AS y, day FROM bout WHERE bout_id % 3 = 0),
+@query(f"""{WITH}, ask AS (SELECT bout_id AS ask_id, [red + 1, red] AS x, [blue, blue + 1] AS y, day FROM bout),
     c AS (SELECT ask_id, i, j, x[i] AS a, y[j] AS b, day FROM ask, range(1, 3) t(i), range(1, 3) u(j)),
     m AS (SELECT c.ask_id, i, j, arg_min(bout.bout_id, (abs(bout.day - c.day), bout.day, bout.bout_id)) AS bout_id FROM c JOIN bout ON least(red, blue) = least(a, b) AND greatest(red, blue) = greatest(a, b) AND abs(bout.day - c.day) <= 2 GROUP BY 1, 2, 3)
     SELECT ask_id, (SELECT arg_min(bout_id, (i, j)) FROM m WHERE m.ask_id = ask.ask_id) AS bout_id FROM ask""")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = P.bouts(spark, sf_dir)
-    asked = b.where("bout_id % 3 = 0").select(F.col("bout_id").alias("ask_id"), F.array(F.col("red") + 1, F.col("red")).alias("a_ids"), F.array(F.col("blue"), F.col("blue") + 1).alias("b_ids"), "day")
+    asked = b.select(F.col("bout_id").alias("ask_id"), F.array(F.col("red") + 1, F.col("red")).alias("a_ids"), F.array(F.col("blue"), F.col("blue") + 1).alias("b_ids"), "day")
     return resolve.candidate_pairs(asked, b).select("ask_id", "bout_id")
 
 
@@ -187,13 +188,16 @@ def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.unique_claims(pairs.select("l_id", "r_id"), "l_id", "r_id")
 
 
-@query()
+@query("""SELECT CASE WHEN k % 50 = 1 THEN upper(substr(m, 1, 7)) || '  ' || substr(m, 9, 8) WHEN k % 50 = 2 THEN 'Alias No ' || k WHEN k % 50 = 3 THEN 'nobody zz' || k ELSE substr(m, 1, 8) || ' ' || substr(m, 9, 8) END AS name,
+    CASE WHEN k % 50 <> 3 THEN k END AS fighter_id, CASE k % 50 WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'alias' WHEN 3 THEN 'unresolved' ELSE 'exact' END AS match_type FROM (SELECT c_custkey AS k, md5(c_name) AS m FROM customer)""")
 def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0")
-    roster = c.select(F.col("c_custkey").alias("id"), F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_name")).alias("name"))
-    asked = c.select(F.concat(F.lower("c_mktsegment"), F.lit("  "), F.regexp_replace("c_name", "#0+", "# ")).alias("name"))
-    aliases = roster.limit(0).select(F.col("name").alias("alias"), F.col("id").alias("fighter_id"))
-    return resolve.resolve_names(asked, roster, aliases, threshold=80.0).select("name", F.col("fighter_id").cast("long").alias("fighter_id"), "match_type")
+    k, m = F.col("c_custkey"), F.md5(F.col("c_name").cast("binary"))
+    name = F.concat(F.substring(m, 1, 8), F.lit(" "), F.substring(m, 9, 8))
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), name.alias("name"))
+    worn = F.concat(F.upper(F.substring("name", 1, 7)), F.lit("  "), F.substring("name", 10, 8))
+    asked = c.select(F.when(F.col("id") % 50 == 1, worn).when(F.col("id") % 50 == 2, F.concat(F.lit("Alias No "), F.col("id"))).when(F.col("id") % 50 == 3, F.concat(F.lit("nobody zz"), F.col("id"))).otherwise(F.col("name")).alias("name"))
+    aliases = c.select(F.concat(F.lit("alias no "), F.col("id")).alias("alias"), F.col("id").alias("fighter_id"))
+    return resolve.resolve_names(asked, c, aliases, threshold=80.0).select("name", F.col("fighter_id").cast("long").alias("fighter_id"), "match_type")
 
 
 # Text ---------------------------------------------------------------------------------------------------------------------------
@@ -206,21 +210,28 @@ def parse_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("p_partkey", S.height_cm("h").alias("height"), S.reach_cm("r").alias("reach"), S.landed("x").alias("landed"), S.attempted("x").alias("attempted"), S.clock_seconds("c").alias("clock"), S.round_number("n").alias("round"), S.scheduled_rounds(F.lit("5 Rnd (5-5-5-5-5)")).alias("rounds"), S.winner_side(F.lit("W/L")).alias("side"), S.stance("s").alias("stance"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS name FROM events WHERE event_type <> 'click'")
+@query("""SELECT 'at ' || event_id AS commence_time, 'home ' || user_id AS home, 'away ' || (user_id + i) AS away, event_type AS book, CAST(event_id * 3 AS VARCHAR) AS last_update, 'fighter ' || (user_id + j) AS name, CAST(event_id % 900 + 100 * j AS INT) AS moneyline
+    FROM events, range(2) t(i), range(2) u(j) WHERE event_type <> 'click'""")
 def json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = table(spark, sf_dir, "events").withColumn("o", F.from_json("props", "k BIGINT"))
-    markets = parsed.select("event_id", F.explode(F.array(F.struct(F.col("event_type").alias("key"), F.array("o").alias("outcomes")))).alias("m")).where("m.key <> 'click'")
-    return markets.select("event_id", F.col("m.key").alias("name"), F.explode("m.outcomes").alias("o")).select("event_id", F.col("o.k").alias("k"), "name")
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents), t AS (SELECT *, CASE WHEN position % 3 = 0 THEN substr(line, 1, 5) END AS tier FROM l)
-    SELECT doc_id, CAST(position AS INT) AS position, last_value(tier IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position) AS tier FROM t""")
+    e, user = F.col("event_id"), F.col("user_id")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c)
+    outcome = lambda j: F.struct(text("fighter ", user + j).alias("name"), (e % 900 + 100 * j).cast("double").alias("price"))
+    market = lambda key: F.struct(key.alias("key"), (e * 3).cast("string").alias("last_update"), F.array(outcome(0), outcome(1)).alias("outcomes"))
+    kind = F.when(F.col("event_type") == "click", "totals").otherwise("h2h")
+    offer = lambda i: F.struct(text("at ", e).alias("commence_time"), text("home ", user).alias("home_team"), text("away ", user + i).alias("away_team"), F.array(F.struct(F.col("event_type").alias("title"), F.array(market(kind), market(F.lit("spreads"))).alias("markets"))).alias("bookmakers"))
+    documents = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.array(offer(0), offer(1)).alias("data"))).alias("j"))
+    return readers.flatten_odds(documents.select(F.from_json("j", schemas.ODDS).alias("d")).select("d.data"))
+
+
+@query("""SELECT o_orderkey AS page_id, CAST(i * 2 + 1 AS INT) AS position, ['Main card', 'Early prelims'][i + 1] AS card_tier, ['Lightweight', 'Women''s Flyweight'][i + 1] AS weight_class, ['Ann ' || o_orderkey, 'Cho'][i + 1] AS red, ['Ann (fighter ' || o_orderkey || ')', NULL][i + 1] AS red_link,
+    i = 0 AND o_orderkey % 2 = 0 AS red_champion, ['def.', 'vs.'][i + 1] AS connector, ['Bo', 'Dee ' || o_custkey][i + 1] AS blue, [NULL, 'Dee ' || o_custkey][i + 1] AS blue_link, ['Decision', ''][i + 1] AS method FROM orders, range(2) t(i)""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    order = Window.partitionBy("doc_id").orderBy("position")
-    return lines.select("doc_id", "position", F.last(F.when(F.col("position") % 3 == 0, F.substring("line", 1, 5)), ignorenulls=True).over(order).alias("tier"))
+    """Bouts of wiki cards, each under the tier of the last header before it."""
+    k = F.col("o_orderkey")
+    champion = F.when(k % 2 == 0, " (c)").otherwise("")
+    text = F.concat(F.lit("Intro.\n{{MMAevent card|Main card}}\n{{MMAevent bout|Lightweight|[[Ann (fighter "), k, F.lit(")|Ann "), k, F.lit("]]"), champion, F.lit("|def.|Bo|Decision|3|5:00|}}\n{{MMAevent card|''Early'' prelims}}\n{{MMAevent bout|Women's Flyweight|Cho|vs.|[[Dee "), F.col("o_custkey"), F.lit("]]||||}}\n{{End}}"))
+    cards = wikitext.fight_cards(table(spark, sf_dir, "orders").select(k.alias("page_id"), text.alias("text")))
+    return cards.select("page_id", "position", "card_tier", "weight_class", "red", "red_link", "red_champion", "connector", "blue", "blue_link", "method")
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?i)<html[^>]*lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<a href=')) AS links FROM pages""")
@@ -232,3 +243,55 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.where(F.col("c_name").ilike("%#00000001%") | F.col("c_mktsegment").isin("BUILDING")).orderBy(F.desc("c_acctbal"), "c_custkey").limit(20).select("c_custkey", "c_name")
+
+
+# Raw files ----------------------------------------------------------------------------------------------------------------------
+
+
+def _text(df: DataFrame, ddl: str, **values) -> DataFrame:
+    """A raw table: the named columns of the layout, all others null."""
+    names = [x.rsplit(" ", 1)[0].strip("`") for x in ddl.split(", ")]
+    return df.select(*[values.get(n, F.lit(None)).cast("string").alias(n) for n in names])
+
+
+@query("""SELECT 'Event ' || o_orderkey AS name, 'http://e/' || o_orderkey AS source_url, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS event_date, 'Town ' || o_orderstatus AS location FROM orders""")
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    day = F.when(k % 7 == 0, "--").when(k % 7 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "MMMM dd, yyyy"))
+    return readers.parse_events(_text(table(spark, sf_dir, "orders"), readers.EVENTS, EVENT=F.concat(F.lit(" Event "), k, F.lit(" ")), URL=F.concat(F.lit("http://e/"), k), DATE=day, LOCATION=F.concat(F.lit("Town "), "o_orderstatus")))
+
+
+@query("""SELECT c_mktsegment || ' ' || c_name AS real_name, CASE WHEN c_custkey % 3 <> 0 THEN 'Nick' || c_custkey END AS nickname, 'http://f/' || c_custkey AS source_url FROM customer""")
+def raw_fighters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return readers.parse_fighter_details(_text(table(spark, sf_dir, "customer"), readers.DETAILS, FIRST=F.concat("c_mktsegment", F.lit(" ")), LAST=F.col("c_name"), NICKNAME=F.when(k % 3 == 0, "--").otherwise(F.concat(F.lit(" Nick"), k)), URL=F.concat(F.lit("http://f/"), k)))
+
+
+@query("""SELECT 'http://f/' || o_orderkey AS source_url, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(round(((o_orderkey % 3 + 4) * 12 + o_orderkey % 12) * 2.54, 1) AS DECIMAL(4, 1)) END AS height_cm, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(round((o_orderkey % 30 + 55) * 2.54, 1) AS DECIMAL(4, 1)) END AS reach_cm,
+    CASE WHEN o_orderkey % 6 <> 0 THEN 'southpaw' END AS stance, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS dob FROM orders""")
+def raw_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    known = lambda n, c: F.when(k % n == 0, "--").otherwise(c)
+    return readers.parse_tale_of_the_tape(_text(table(spark, sf_dir, "orders"), readers.TOTT, URL=F.concat(F.lit("http://f/"), k), HEIGHT=known(4, F.concat(k % 3 + 4, F.lit("' "), k % 12, F.lit('"'))), REACH=known(5, F.concat(k % 30 + 55, F.lit('"'))), STANCE=known(6, F.lit("Southpaw")), DOB=known(7, F.date_format("o_orderdate", "MMM d, yyyy"))))
+
+
+@query("""SELECT 'E' || l_orderkey AS event, 'S' || l_suppkey AS fighter, CAST(l_linenumber AS INT) AS round_number, CAST(l_partkey % 3 AS INT) AS knockdowns, CAST(l_partkey % 50 AS INT) AS sig_strikes_landed, CAST(l_partkey % 50 + 4 AS INT) AS sig_strikes_attempted, CAST(NULL AS INT) AS takedowns_landed,
+    CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey % 5 * 60 + l_partkey % 60 AS INT) END AS control_time_seconds FROM lineitem WHERE l_suppkey % 9 <> 0""")
+def raw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_partkey")
+    clock = F.when(p % 4 == 0, "--").otherwise(F.concat(p % 5, F.lit(":"), F.lpad((p % 60).cast("string"), 2, "0")))
+    raw = _text(table(spark, sf_dir, "lineitem"), readers.STATS, EVENT=F.concat(F.lit("E"), "l_orderkey"), BOUT=F.lit("x"), ROUND=F.concat(F.lit("Round "), "l_linenumber"), FIGHTER=F.when(F.col("l_suppkey") % 9 != 0, F.concat(F.lit("S"), "l_suppkey")), KD=F.concat(p % 3, F.lit(".0")), TD=F.lit("---"), CTRL=clock, **{"SIG.STR.": F.concat(p % 50, F.lit(" of "), p % 50 + 4)})
+    return readers.parse_fight_stats(raw).select("event", "fighter", "round_number", "knockdowns", "sig_strikes_landed", "sig_strikes_attempted", "takedowns_landed", "control_time_seconds")
+
+
+SHOWS = ("Contender Series 9", "ROAD to UFC 3", "Road to Glory", "Fight Night 7", "The Ultimate Fighter Finale")
+FORMATS = ("3 Rnd (5-5-5)", "5 Rnd (5-5-5-5-5)", "2 Rnd (5-5)", "No Time Limit")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS k, {list(SHOWS)}[o_orderkey % 5 + 1] AS event, o_orderkey // 5 % 4 AS f, o_orderkey % 3 AS w FROM orders)
+    SELECT event, 'A' || k || ' vs. B' || k AS bout, 'A' || k AS red, 'B' || k AS blue, CASE w WHEN 0 THEN 'red' WHEN 1 THEN 'blue' END AS winner_side, k % 2 = 0 AS is_title_fight, CAST(CASE f WHEN 0 THEN 3 ELSE 5 END AS INT) AS scheduled_rounds, 'KO/TKO' AS method, CAST(k % 3 + 1 AS INT) AS ending_round
+    FROM r WHERE f < 2 AND event NOT ILIKE '%road to ufc%'""")
+def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    values = {"EVENT": P.pick(k % 5, SHOWS), "BOUT": F.concat(F.lit("A"), k, F.lit(" vs. B"), k), "OUTCOME": P.pick(k % 3, ("W/L", "L/W", "NC/NC")), "WEIGHTCLASS": F.when(k % 2 == 0, "UFC Lightweight Title Bout").otherwise("Lightweight Bout"), "METHOD": F.lit("KO/TKO "), "ROUND": k % 3 + 1, "TIME": F.lit("1:05"), "TIME FORMAT": P.pick(F.floor(k / 5) % 4, FORMATS)}
+    return readers.parse_fight_results(_text(table(spark, sf_dir, "orders"), readers.RESULTS, **values)).select("event", "bout", "red", "blue", "winner_side", "is_title_fight", "scheduled_rounds", "method", "ending_round")

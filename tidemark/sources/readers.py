@@ -17,8 +17,8 @@ TOTT = "FIGHTER STRING, HEIGHT STRING, WEIGHT STRING, REACH STRING, STANCE STRIN
 STATS = "EVENT STRING, BOUT STRING, ROUND STRING, FIGHTER STRING, KD STRING, `SIG.STR.` STRING, `SIG.STR. %` STRING, `TOTAL STR.` STRING, TD STRING, `TD %` STRING, `SUB.ATT` STRING, `REV.` STRING, CTRL STRING, HEAD STRING, BODY STRING, LEG STRING, DISTANCE STRING, CLINCH STRING, GROUND STRING"
 RESULTS = "EVENT STRING, BOUT STRING, OUTCOME STRING, WEIGHTCLASS STRING, METHOD STRING, ROUND STRING, TIME STRING, `TIME FORMAT` STRING, REFEREE STRING, DETAILS STRING, URL STRING"
 PAIRS = {"SIG.STR.": "sig_strikes", "TOTAL STR.": "total_strikes", "TD": "takedowns", "HEAD": "head", "BODY": "body", "LEG": "leg", "DISTANCE": "distance", "CLINCH": "clinch", "GROUND": "ground"}
-#: Events of a show whose winners get a contract; they aren't regular bouts.
-CONTRACT_SHOWS = r"(?i)contender series|road to|ultimate fighter finale tryout"
+#: Fixed value: the name of a show whose bouts are fought by candidates, outside the roster.
+CANDIDATES_SHOW = "road to ufc"
 
 
 def _csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -30,17 +30,26 @@ def _day(c: Column, *formats: str) -> Column:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    e = _csv(spark, path, EVENTS)
+    return parse_events(_csv(spark, path, EVENTS))
+
+
+def parse_events(e: DataFrame) -> DataFrame:
     return e.select(F.trim("EVENT").alias("name"), F.trim("URL").alias("source_url"), _day(F.col("DATE"), "MMMM d, yyyy").alias("event_date"), F.trim("LOCATION").alias("location"))
 
 
 def read_fighter_details(spark: SparkSession, path: str) -> DataFrame:
-    d = _csv(spark, path, DETAILS)
+    return parse_fighter_details(_csv(spark, path, DETAILS))
+
+
+def parse_fighter_details(d: DataFrame) -> DataFrame:
     return d.select(F.trim(F.concat_ws(" ", F.trim("FIRST"), F.trim("LAST"))).alias("real_name"), S.blank_to_null("NICKNAME").alias("nickname"), F.trim("URL").alias("source_url"))
 
 
 def read_tale_of_the_tape(spark: SparkSession, path: str) -> DataFrame:
-    t = _csv(spark, path, TOTT)
+    return parse_tale_of_the_tape(_csv(spark, path, TOTT))
+
+
+def parse_tale_of_the_tape(t: DataFrame) -> DataFrame:
     return t.select(F.trim("URL").alias("source_url"), S.height_cm("HEIGHT").cast("decimal(4,1)").alias("height_cm"), S.reach_cm("REACH").cast("decimal(4,1)").alias("reach_cm"), S.stance("STANCE").alias("stance"), _day(F.col("DOB"), "MMM d, yyyy", "MMMM d, yyyy").alias("dob"))
 
 
@@ -49,17 +58,25 @@ def read_fighters(details: DataFrame, tape: DataFrame) -> DataFrame:
 
 
 def read_fight_stats(spark: SparkSession, path: str) -> DataFrame:
-    s = _csv(spark, path, STATS).na.drop(subset=["FIGHTER", "ROUND"])
+    return parse_fight_stats(_csv(spark, path, STATS))
+
+
+def parse_fight_stats(raw: DataFrame) -> DataFrame:
+    """One row per fighter and round; rows without either are left out."""
+    s = raw.na.drop(subset=["FIGHTER", "ROUND"])
     pairs = [f(F.col(f"`{c}`")).alias(f"{n}_{k}") for c, n in PAIRS.items() for f, k in ((S.landed, "landed"), (S.attempted, "attempted"))]
     count = lambda c: F.expr(f"try_cast(try_cast(trim(`{c}`) AS DOUBLE) AS INT)")
     return s.select(F.trim("EVENT").alias("event"), F.trim("BOUT").alias("bout"), F.trim("FIGHTER").alias("fighter"), S.round_number("ROUND").alias("round_number"), count("KD").alias("knockdowns"), *pairs, count("SUB.ATT").alias("sub_attempts"), count("REV.").alias("reversals"), S.clock_seconds("CTRL").alias("control_time_seconds"))
 
 
 def read_fight_results(spark: SparkSession, path: str) -> DataFrame:
-    """Bouts of three or five rounds outside contract shows."""
-    r = _csv(spark, path, RESULTS)
+    return parse_fight_results(_csv(spark, path, RESULTS))
+
+
+def parse_fight_results(r: DataFrame) -> DataFrame:
+    """Bouts of three or five rounds outside the candidates' show."""
     rounds = S.scheduled_rounds(F.col("`TIME FORMAT`"))
-    kept = r.withColumn("scheduled_rounds", rounds).where(F.col("scheduled_rounds").isin(3, 5) & ~F.coalesce(F.col("EVENT").rlike(CONTRACT_SHOWS), F.lit(False)))
+    kept = r.withColumn("scheduled_rounds", rounds).where(F.col("scheduled_rounds").isin(3, 5) & ~F.coalesce(F.lower("EVENT").contains(CANDIDATES_SHOW), F.lit(False)))
     return kept.select(F.trim("EVENT").alias("event"), F.trim("BOUT").alias("bout"), S.corner("BOUT", 0).alias("red"), S.corner("BOUT", 1).alias("blue"), S.winner_side("OUTCOME").alias("winner_side"), F.trim("WEIGHTCLASS").alias("weight_class"), S.is_title("WEIGHTCLASS").alias("is_title_fight"), "scheduled_rounds", F.trim("METHOD").alias("method"), F.expr("try_cast(trim(ROUND) AS INT)").alias("ending_round"), S.clock_seconds("TIME").alias("ending_time_seconds"), F.trim("DETAILS").alias("method_detail"), F.trim("URL").alias("source_url"))
 
 

@@ -18,13 +18,15 @@ def deduplicated(prices: DataFrame, keys: list[str], at: str = "collected_at", d
     return prices.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def merge_stream(prices: DataFrame, folder: str, keys: list[str], checkpoint: str):
-    """Merges every micro-batch into the table under folder; versions are written side by side, `latest` says which one counts, so a
+def merge_stream(prices: DataFrame, folder: str, keys: list[str], checkpoint: str, order: str | None = None):
+    """Of a batch's rows with one key the last in `order` counts, whole; of equals the largest, so reruns agree. Merges every micro-batch into the table under folder; versions are written side by side, `latest` says which one counts, so a
     batch that is run again after a failure writes the same version."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         latest = _latest(spark, folder, below=epoch)
-        new = batch.groupBy(*keys).agg(*[F.max(c).alias(c) for c in batch.columns if c not in keys])
+        values = [c for c in batch.columns if c not in keys]
+        last = batch.groupBy(*keys).agg(F.max(F.struct(*([order] if order else []), *[c for c in values if c != order])).alias("_last"))
+        new = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values]) if values else last.select(*keys)
         old = spark.read.parquet(f"{folder}/v{latest}") if latest >= 0 else None
         (upsert(old, new, keys) if old is not None else new).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
         spark.createDataFrame([(epoch,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
