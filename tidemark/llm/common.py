@@ -28,9 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder now and go on from there; a lost executor then costs no recomputation."""
+    """Write df to the shared folder now and go on from there; a lost executor then costs no recomputation. Python gets its rows in
+    small batches, so that a worker's memory stays low."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

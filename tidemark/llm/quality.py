@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import cut, shield, small_batches, unshield
+from tidemark.llm.common import cut, shield, unshield
 
 #: Hashed words, trigrams of seven character classes, and three more features.
 WORD_CELLS, TRIGRAMS, MORE = 1 << 12, 7**3, 3
@@ -207,8 +207,7 @@ def classify(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
     own, names = shield(docs)
     rows = own.count()
     share = int(min(1.0, FIT_ROWS / max(rows, 1)) * (1 << 30)) + 1
-    with small_batches(docs.sparkSession):
-        seen = cut(survey(own, F.pmod(F.xxhash64(F.col(names[id]), F.lit("fit")), F.lit(1 << 30)) < share, names[text]))
+    seen = cut(survey(own, F.pmod(F.xxhash64(F.col(names[id]), F.lit("fit")), F.lit(1 << 30)) < share, names[text]))
     counted = seen.where("_n is not null").groupBy("_code").agg(F.sum("_n").alias("_n")).toPandas()
     posterior = np.zeros(3**LABELLERS)
     if len(counted):
