@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions import similarity as M
-from tidemark.operators import elo, evaluation, features, history, matrix, metrics, mutation, quality, resolve
+from tidemark.operators import elo, evaluation, features, history, ingest, matrix, metrics, mutation, odds, quality, resolve
 from tidemark.sources import readers, schemas, wikitext
 
 DAY = dt.date
@@ -358,3 +358,56 @@ def test_splits_and_quarantine(spark, tmp_path):
     readers.quarantine(rows, str(tmp_path / "q"), "why")
     readers.quarantine(rows, str(tmp_path / "q"), "again")
     assert spark.read.json(str(tmp_path / "q")).groupBy("reason").count().count() == 2
+
+
+# Tables from raw rows, offers ---------------------------------------------------------------------------------------------------
+
+
+def test_partial_scores():
+    assert M.partial_ratio("cho", "ann cho-lee") == 100.0 and M.partial_ratio("", "") == 100.0 and M.partial_ratio("", "x") == 0.0
+    assert M.partial_ratio("abcd", "zzabxdzz") == 75.0
+    assert M.weighted_ratio("ann lee", "ann lee of the north") == 90.0  # a shorter string inside one half as long again
+    assert M.weighted_ratio("a", "a" + "b" * 9) == 60.0
+
+
+def test_loading_in_order(spark, tmp_path):
+    details = spark.createDataFrame([("Ann Lee", None, "u/2"), ("Bo Dee", None, "u/1"), ("Kim", None, "u/3"), ("Kim", None, "u/4")], "real_name string, nickname string, source_url string")
+    tape = spark.createDataFrame([("u/1", "southpaw")], "source_url string, stance string")
+    events = spark.createDataFrame([("Night 2", "e/2"), ("Night 1", "e/1")], "name string, source_url string")
+    results = spark.createDataFrame(
+        [("Night 1", "Ann Lee vs. Bo Dee", "Ann Lee", "Bo Dee", "red", "Flyweight", "b/2"), ("Night 2", "Kim vs. Ann Lea", "Kim", "Ann Lea", "blue", "Flyweight", "b/1"), ("Night 2", "Kim vs. Bo Dee", "Kim", "Bo Dee", None, "Lightweight", "b/3"), ("Night 9", "Ann Lee vs. Bo Dee", "Ann Lee", "Bo Dee", "red", "Flyweight", "b/4"), (None, None, None, None, None, None, None)],
+        "event string, bout string, red string, blue string, winner_side string, weight_class string, source_url string",
+    )
+    stats = spark.createDataFrame([("Night 1", "Ann Lee vs. Bo Dee", "Ann Lee", 1, 2), ("Night 1", "Ann Lee vs. Bo Dee", "Jo", 1, 1), ("Night 2", "Kim vs. Bo Dee", "Kim", 1, 5), ("Night 2", "Kim vs. Ann Lea", "Kim", 2, 3), (None, None, None, None, None)], "event string, bout string, fighter string, round_number int, knockdowns int")
+    corrections = spark.createDataFrame([("Ann Lea", "Ann Lee"), ("Kym", "Kim")], "wrong string, right string")
+    shared = spark.createDataFrame([("Kim", "Flyweight", "u/4")], "name string, weight_class string, source_url string")
+    raw = {"details": details, "tape": tape, "events": events, "results": results, "stats": stats}
+    out = ingest.load(raw, corrections, shared, str(tmp_path))
+    assert {(r["fighter_id"], r["real_name"], r["stance"]) for r in out["fighters"].collect()} == {(1, "Bo Dee", "southpaw"), (2, "Ann Lee", None), (3, "Kim", None), (4, "Kim", None)}
+    bouts = [tuple(r) for r in out["bouts"].select("bout_id", "event_id", "red_id", "blue_id", "winner_id").orderBy("bout_id").collect()]
+    assert bouts == [(1, 2, 4, 2, 2), (2, 1, 2, 1, 2)]
+    assert {tuple(r) for r in out["stats"].select("bout_id", "fighter_id", "round_number", "knockdowns").collect()} == {(1, 4, 2, 3), (2, 2, 1, 2)}
+    assert spark.read.json(f"{tmp_path}/rejected/bouts").count() == 3 and spark.read.json(f"{tmp_path}/rejected/stats").count() == 1
+
+
+def test_loading_nothing(spark, tmp_path):
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    raw = {"details": empty("real_name string, source_url string"), "tape": empty("source_url string, stance string"), "events": empty("name string, source_url string"), "results": empty("event string, bout string, red string, blue string, winner_side string, weight_class string, source_url string"), "stats": empty("event string, bout string, fighter string, round_number int")}
+    out = ingest.load(raw, empty("wrong string, right string"), empty("name string, weight_class string, source_url string"), str(tmp_path))
+    assert all(df.count() == 0 for df in out.values())
+
+
+def test_offers_of_shared_and_misspelt_names(spark):
+    roster = spark.createDataFrame([(1, "Ann Lee"), (2, "Kim Park"), (3, "Kim Park"), (4, "Roberta Silva")], "id long, name string")
+    aliases = spark.createDataFrame([("The Ann", 1)], "alias string, fighter_id long")
+    bouts = spark.createDataFrame([(10, DAY(2024, 3, 2), 3, 1), (11, DAY(2024, 6, 1), 2, 4)], "bout_id long, day date, red long, blue long")
+
+    def entry(at, home, away):
+        return (at, home, away, [("Book", [("h2h", "t", [(home, -150.0), (away, 120.0), ("Draw", 900.0)]), ("spreads", "t", [(home, 1.0)])])])
+
+    rows = [([entry("2024-03-01T22:00:00Z", "Kim Park", "The Ann"), entry("2024-06-02T22:00:00Z", "Kim Parks", "Roberta Silvia"), entry("2024-06-09T22:00:00Z", "Kim Park", "Roberta Silva")],), ([entry(None, "No One", "The Ann")],), ([],), (None,)]
+    docs = spark.createDataFrame(rows, schemas.ODDS.split(", timestamp")[0])
+    prices, new, lost = odds.resolve_prices(docs, roster, aliases, bouts)
+    assert {(r["bout_id"], r["fighter"], r["moneyline"], round(r["implied_prob"], 4)) for r in prices.collect()} == {(10, 3, -150, 0.6), (10, 1, 120, 0.4545), (11, 2, -150, 0.6), (11, 4, 120, 0.4545)}
+    assert {tuple(r) for r in new.collect()} == {(4, "Roberta Silvia")}  # Kim Parks is like a name that two fighters have
+    assert {tuple(r) for r in lost.collect()} == {("2024-06-09T22:00:00Z", "Kim Park", "Roberta Silva", True, True), (None, "No One", "The Ann", False, True)}

@@ -1,8 +1,8 @@
 """Text folding and fuzzy scores as vectorised functions.
 
 The scores follow the public description of the indel similarity: 200 * LCS / (|a| + |b|) for two strings, the token-set variant over
-the common and the remaining words, and a weighted one that takes the best of plain, sorted and token-set scores. Partial alignment
-is left out of the weighted score, so it never exceeds what the longer string allows.
+the common and the remaining words, and a weighted one that takes the best of plain, sorted and token-set scores, or, where one
+string is half as long again as the other, of the plain score and the best place of the shorter one in the longer one.
 """
 
 from __future__ import annotations
@@ -58,9 +58,27 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter string with any stretch of the longer one of its length, or less at either end."""
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 100.0 if not b else 0.0
+    return max(ratio(a, b[max(i, 0) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
+
+def partial_token_ratio(a: str, b: str) -> float:
+    """100 for a common word, else the partial ratio of the sorted words."""
+    x, y = a.split(), b.split()
+    return 100.0 if set(x) & set(y) else partial_ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+
+
 def weighted_ratio(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    if longer >= 1.5:
+        scale = 0.9 if longer <= 8 else 0.6
+        return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
     return max(ratio(a, b), 0.95 * token_sort_ratio(a, b), 0.95 * token_set_ratio(a, b))
 
 

@@ -248,6 +248,20 @@ def corner_rates(bouts: DataFrame, by: Sequence[Column | str] = ()) -> DataFrame
     return bouts.where("winner is not null").groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("winner") == F.col("red")).cast("double")).alias("red_rate"))
 
 
+def corner_baseline(train: DataFrame, held: DataFrame, label: str, *, corner: str = "corner", by: Sequence[str] = ()) -> DataFrame:
+    """How good it is to know the corner alone: each corner's share of wins in train, as the probability of its rows in held."""
+    rates = train.groupBy(corner).agg(F.avg(label).alias("_rate"))
+    return metrics.evaluate(held.join(F.broadcast(rates), corner), label, "_rate", by=by)  # a row per corner
+
+
+def top_configs(scores: DataFrame, metric: str, params: Sequence[str], n: int = 10) -> DataFrame:
+    """The n configurations with the smallest metric; for each parameter, whether the value is at an edge of those tried: then the grid
+    may not hold the best one."""
+    ends = scores.agg(*[f(p).alias(f"{p}_{f.__name__}") for p in params for f in (F.min, F.max)]).first()
+    edge = {f"{p}_on_edge": F.col(p).isin(ends[f"{p}_min"], ends[f"{p}_max"]) for p in params}
+    return scores.withColumns(edge).orderBy(metric, *params).limit(n)
+
+
 def shuffled_labels(df: DataFrame, label: str, *, seed: int = 42, by: str | None = None) -> DataFrame:
     """df with its labels dealt anew: rows in the order of one hash get the labels in the order of another. Ranks are taken inside
     hash buckets of the key, so labels move within a bucket and no task sees all rows."""

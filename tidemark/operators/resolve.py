@@ -25,29 +25,30 @@ def collisions(rows: DataFrame, table: DataFrame, *, name: str = "name", key: st
     return rows.join(exact, [name, key], "left").join(default, name, "left").withColumn("resolved_id", F.coalesce("_exact", "_default")).drop("_exact", "_default")
 
 
-def resolve_names(names: DataFrame, roster: DataFrame, aliases: DataFrame, *, threshold: float = 90.0) -> DataFrame:
+def resolve_names(names: DataFrame, roster: DataFrame, aliases: DataFrame, *, threshold: float = 90.0, fold: bool = True) -> DataFrame:
     """names (name, [link]) with fighter_id, match_type and candidates.
 
     In order: alias of the link, alias of the name, the only roster entry of that name (exact), several entries (collision, no id), the
-    best weighted score of at least `threshold` among roster names with the same blocking key (fuzzy; ties to the smaller id), or
-    unresolved. Each distinct pair is resolved once, and scores are computed inside blocks only. A block holds the roster's names
+    best weighted score of at least `threshold` among roster names with the same blocking key (fuzzy; ties to the smaller id; if several
+    entries have the name found, fuzzy_collision, no id), or unresolved. fold: compare names without accents and case, else as they are. Each distinct pair is resolved once, and scores are computed inside blocks only. A block holds the roster's names
     with one last initial; its size follows the roster, not the rows to be resolved."""
     link = F.col("link") if "link" in names.columns else F.lit(None).cast("string")
-    asked = names.select(F.col("name"), link.alias("link")).distinct().withColumns({"_name": similarity.folded(F.col("name")), "_link": similarity.folded(link)})
-    known = roster.select(F.col("id"), similarity.folded(F.col("name")).alias("_n"))
-    alias = aliases.select(similarity.folded(F.col("alias")).alias("_a"), F.col("fighter_id").alias("_aid")).groupBy("_a").agg(F.min("_aid").alias("_aid"))
+    plain = similarity.folded if fold else F.trim
+    asked = names.select(F.col("name"), link.alias("link")).distinct().withColumns({"_name": plain(F.col("name")), "_link": plain(link)})
+    known = roster.select(F.col("id"), plain(F.col("name")).alias("_n"))
+    alias = aliases.select(plain(F.col("alias")).alias("_a"), F.col("fighter_id").alias("_aid")).groupBy("_a").agg(F.min("_aid").alias("_aid"))
     exact = known.groupBy("_n").agg(F.sort_array(F.collect_set("id")).alias("_ids"))
     staged = asked.join(alias.select(F.col("_a").alias("_link"), F.col("_aid").alias("_by_link")), "_link", "left").join(alias.select(F.col("_a").alias("_name"), F.col("_aid").alias("_by_name")), "_name", "left").join(exact.withColumnRenamed("_n", "_name"), "_name", "left")
     staged = staged.withColumn("_alias", F.coalesce("_by_link", "_by_name"))
     open_ = staged.where("_alias is null and _ids is null").select("_name").distinct().withColumn("_block", S.blocking_key("_name"))
-    scored = open_.join(known.withColumn("_block", S.blocking_key("_n")), "_block").withColumn("_score", similarity.weighted(F.col("_name"), F.col("_n")))
-    best = scored.where(F.col("_score") >= threshold).groupBy("_name").agg(F.max_by("id", F.struct("_score", -F.col("id"))).alias("_fuzzy"))
+    scored = open_.join(exact.withColumn("_block", S.blocking_key("_n")), "_block").withColumn("_score", similarity.weighted(F.col("_name"), F.col("_n")))
+    best = scored.where(F.col("_score") >= threshold).groupBy("_name").agg(F.max_by("_ids", F.struct("_score", -F.col("_ids")[0])).alias("_near"))
     out = staged.join(best, "_name", "left")
-    one = F.size("_ids") == 1
+    one, near_one = F.size("_ids") == 1, F.size("_near") == 1
     out = out.withColumns({
-        "fighter_id": F.coalesce("_alias", F.when(one, F.col("_ids")[0]), F.when(F.col("_ids").isNull(), F.col("_fuzzy"))),
-        "match_type": F.when(F.col("_alias").isNotNull(), "alias").when(one, "exact").when(F.col("_ids").isNotNull(), "collision").when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("unresolved"),
-        "candidates": F.coalesce("_ids", F.array().cast("array<bigint>")),
+        "fighter_id": F.coalesce("_alias", F.when(one, F.col("_ids")[0]), F.when(F.col("_ids").isNull() & near_one, F.col("_near")[0])),
+        "match_type": F.when(F.col("_alias").isNotNull(), "alias").when(one, "exact").when(F.col("_ids").isNotNull(), "collision").when(near_one, "fuzzy").when(F.col("_near").isNotNull(), "fuzzy_collision").otherwise("unresolved"),
+        "candidates": F.coalesce("_ids", "_near", F.array().cast("array<bigint>")),
     }).select("name", "link", "fighter_id", "match_type", "candidates")
     keyed = names if "link" in names.columns else names.withColumn("link", F.lit(None).cast("string"))
     back = keyed.join(out.withColumnsRenamed({"name": "_name", "link": "_link"}), F.col("name").eqNullSafe(F.col("_name")) & F.col("link").eqNullSafe(F.col("_link")), "left")
@@ -69,13 +70,14 @@ def nearest_bout(asked: DataFrame, bouts: DataFrame, *, days: int = 2) -> DataFr
 
 
 def candidate_pairs(asked: DataFrame, bouts: DataFrame, *, days: int = 2) -> DataFrame:
-    """asked (ask_id, a_ids, b_ids arrays in order of preference, day) with bout_id: the first pair of candidates, in that order, that
-    has a bout within `days`."""
+    """asked (ask_id, a_ids, b_ids arrays in order of preference, day) with bout_id, a and b: the first pair of candidates, in that order,
+    that has a bout within `days`."""
     pairs = asked.select("ask_id", "day", F.posexplode("a_ids").alias("_i", "a"), "b_ids").select("ask_id", "day", "_i", "a", F.posexplode("b_ids").alias("_j", "b"))
     keyed = pairs.withColumn("ask_id", F.struct("ask_id", "_i", "_j"))
     found = nearest_bout(keyed.select("ask_id", "a", "b", "day"), bouts, days=days).where("bout_id is not null")
-    first = found.groupBy(F.col("ask_id.ask_id").alias("ask_id")).agg(F.min_by("bout_id", F.struct("ask_id._i", "ask_id._j")).alias("bout_id"))
-    return asked.join(first, "ask_id", "left")
+    first = found.groupBy(F.col("ask_id.ask_id").alias("ask_id")).agg(F.min(F.struct("ask_id._i", "ask_id._j", "bout_id")).alias("_first"))
+    found = {"bout_id": F.col("_first.bout_id"), "a": F.get("a_ids", F.col("_first._i")), "b": F.get("b_ids", F.col("_first._j"))}
+    return asked.join(first, "ask_id", "left").withColumns(found).drop("_first")
 
 
 def names_compatible(a: Column, b: Column, floor: float = 70.0) -> Column:

@@ -54,9 +54,9 @@ def dq_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH}, c AS (SELECT 'duplicate_bouts' AS check_name, count(*) AS violations FROM (SELECT 1 FROM bout GROUP BY least(red, blue), greatest(red, blue), day HAVING count(*) > 1)
-    UNION ALL SELECT 'bout_references', 0 UNION ALL SELECT 'leaked_results', count(*) FROM bout WHERE {LEAK} UNION ALL SELECT 'title_rounds', count(*) FROM bout WHERE is_title AND scheduled_rounds <> 5) SELECT *, violations = 0 AS passed FROM c""")
+    UNION ALL SELECT 'bout_references', count(*) FROM (SELECT red AS f FROM bout UNION ALL SELECT blue FROM bout UNION ALL SELECT winner FROM bout) WHERE f % 9 = 4 UNION ALL SELECT 'leaked_results', count(*) FROM bout WHERE {LEAK} UNION ALL SELECT 'title_rounds', count(*) FROM bout WHERE is_title AND scheduled_rounds <> 5) SELECT *, violations = 0 AS passed FROM c""")
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.run({"bouts": P.bouts(spark, sf_dir), "fighters": P.fighters(spark, sf_dir)})
+    return quality.run({"bouts": P.bouts(spark, sf_dir), "fighters": P.fighters(spark, sf_dir).where("fighter % 9 <> 4")})
 
 
 @query("""WITH a AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS bal FROM supplier WHERE s_suppkey % 11 <> 0), b AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS bal FROM supplier WHERE s_suppkey % 13 <> 0)
@@ -180,11 +180,13 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.candidate_pairs(asked, b).select("ask_id", "bout_id")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 400 AS n FROM orders), l AS (SELECT * FROM e WHERE id % 2 = 0), r AS (SELECT * FROM e WHERE id % 2 = 1),
-    p AS (SELECT l.id AS l_id, r.id AS r_id FROM l JOIN r ON abs(l.day - r.day) <= 1 AND l.n = r.n - 1) SELECT * FROM p a WHERE (SELECT count(*) FROM p b WHERE b.l_id = a.l_id) = 1 AND (SELECT count(*) FROM p b WHERE b.r_id = a.r_id) = 1""")
+@query("""WITH e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey // 2 % 50 AS n, 'Show ' || (o_orderkey // 2 % 50) AS name FROM orders), l AS (SELECT * FROM e WHERE id % 2 = 0), r AS (SELECT * FROM e WHERE id % 2 = 1),
+    p AS (SELECT l.id AS l_id, r.id AS r_id FROM l JOIN r ON abs(l.day - r.day) <= 1 AND l.n = r.n),
+    lone AS (SELECT l_id FROM p GROUP BY 1 HAVING count(*) = 1), lonely AS (SELECT r_id FROM p GROUP BY 1 HAVING count(*) = 1) SELECT * FROM p WHERE l_id IN (FROM lone) AND r_id IN (FROM lonely)""")
 def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 400).alias("n"))
-    pairs = resolve.near_days(e.where("id % 2 = 0"), e.where("id % 2 = 1")).where("l_n = r_n - 1")
+    k = F.col("o_orderkey")
+    e = table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.concat(F.lit("Show "), F.floor(k / 2) % 50).alias("name"))
+    pairs = resolve.near_days(e.where("id % 2 = 0"), e.where("id % 2 = 1")).where(resolve.names_compatible(F.col("l_name"), F.col("r_name")))
     return resolve.unique_claims(pairs.select("l_id", "r_id"), "l_id", "r_id")
 
 
