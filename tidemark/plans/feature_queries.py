@@ -115,7 +115,7 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).select("bout_id", "self", "split")
 
 
-@query(f"""{WITH}, s AS (SELECT *, {SPLIT} AS split, count(*) OVER (PARTITION BY bout_id) AS both FROM sides WHERE status = 'completed' AND won IS NOT NULL AND NOT (corner = 'blue' AND bout_id % 50 = 7)) SELECT split, count(*) AS "rows", count(DISTINCT bout_id) AS bouts, count(DISTINCT bout_id) FILTER (both <> 2) AS broken_pairs, min(day) AS first_day, max(day) AS last_day, round(avg(won), 6) AS label_rate FROM s GROUP BY split""")
+@query(f"""{WITH}, s AS (SELECT *, {SPLIT} AS split, count(*) OVER (PARTITION BY bout_id) AS n_sides FROM sides WHERE status = 'completed' AND won IS NOT NULL AND NOT (corner = 'blue' AND bout_id % 50 = 7)) SELECT split, count(*) AS "rows", count(DISTINCT bout_id) AS bouts, count(DISTINCT bout_id) FILTER (n_sides <> 2) AS broken_pairs, min(day) AS first_day, max(day) AS last_day, round(avg(won), 6) AS label_rate FROM s GROUP BY split""")
 def split_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(matrix.split_report(_split(spark, sf_dir).where("not (corner = 'blue' and bout_id % 50 = 7)")))
 
