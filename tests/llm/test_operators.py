@@ -466,25 +466,41 @@ def leak_truth(docs, items, window=10):
         return "".join(c if c >= "\x80" or c.isdigit() and c < "\x80" or "a" <= c <= "z" else " " for c in low).split(" ")
 
     of = lambda t: [w for w in tokens(t) if w]
-    windows = defaultdict(set)
+    windows, often = defaultdict(set), Counter(x for r in docs for x in of(r["text"]))
     for r in items:
         w = of(r["text"])
         k = min(window, len(w))
         for i in range(len(w) - k + 1 if k else 0):
             windows[tuple(w[i : i + k])].add(r["item_id"])
+    anchors = {x: sorted((often[t], o, t) for o, t in enumerate(x) if often[t])[:2] for x in windows if len(x) == window}
     out = []
     for r in docs:
-        w, hit, names = of(r["text"]), set(), set()
+        w, hit, names, near = of(r["text"]), set(), set(), set()
+        held = lambda x, p: len(set(x) - set(w[max(0, p - window + 1) : p + window])) <= 2  # noqa: B023, E731
+        for x, (a, *b) in ((x, a) for x, a in anchors.items() if len(a) > 1):
+            starts = [[p - o for p, t in enumerate(w) if t == term and held(x, p)] for _, o, term in (a, *b)]
+            if any(abs(s - e) <= 2 for s in starts[0] for e in starts[1]):
+                near |= windows[x] - {None}
         for k in {len(x) for x in windows}:
             for i in range(len(w) - k + 1):
                 if (x := tuple(w[i : i + k])) in windows:
                     hit |= set(range(i, i + k))
                     names |= windows[x]
         listed = sorted(str(x) for x in names if x is not None)
-        out.append((r["doc_id"], len(w), len(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(hit)))
+        out.append((r["doc_id"], len(w), len(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(hit), len(near)))
     return Counter(out)
 
 
+def loose_copies(text):
+    """Passages of a text with a word left out, put in, replaced or exchanged every few words, so that no whole window is left."""
+    w = text.split()[20:45]
+    yield " ".join(x for i, x in enumerate(w) if i % 7 != 3)
+    yield " ".join(x + " between" * (i % 6 == 2) for i, x in enumerate(w))
+    yield " ".join("other" if i % 8 == 4 else x for i, x in enumerate(w))
+    yield " ".join(w[i ^ 1] if i % 6 < 2 and (i ^ 1) < len(w) else x for i, x in enumerate(w))
+    yield " ".join("other" if i % 2 else x for i, x in enumerate(w))
+
+
 @pytest.mark.parametrize("blocks", [False, True])
 def test_decontamination(spark, docs, empty, monkeypatch, blocks):
     if blocks:
@@ -492,10 +508,11 @@ def test_decontamination(spark, docs, empty, monkeypatch, blocks):
     base = docs.first()["text"]
     items = [(1, " ".join(base.split()[20:45])), (10, " ".join(base.split()[40:52]).upper()), (2, "One, two!"), (3, None), (4, "  ..."), (None, " ".join(base.split()[80:95])), (5, sentence(30)), (1, "the é"), (6, "x x x x x x x x x x x"), (7, "ab")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    extra = spark.createDataFrame([(500, "x " * 30), (501, "y " + "X-x. " * 11 + "z"), (502, "ab AB ab-cd"), (503, "one 2 two")], "doc_id long, text string")
+    extra = spark.createDataFrame([(500, "x " * 30), (501, "y " + "X-x. " * 11 + "z"), (502, "ab AB ab-cd"), (503, "one 2 two"), *((600 + i, t) for i, t in enumerate(loose_copies(base)))], "doc_id long, text string")
     rows = docs.select("doc_id", "text", F.lit("c").alias("item_id")).unionByName(extra.withColumn("item_id", F.lit("c")))
     got = decontamination.decontaminate(rows, bench).collect()
     assert Counter(map(tuple, got)) == leak_truth(rows.collect(), bench.collect())
+    assert sum(r["n_near_items"] > 0 and not r["contaminated"] for r in got) > 3
     clean = decontamination.clean_rows(rows, bench)
     assert clean.columns == rows.columns and clean.count() == sum(not r["contaminated"] for r in got)
     assert decontamination.decontaminate(empty, bench).count() == 0
@@ -511,8 +528,9 @@ def test_proximity(spark):
     assert row["_offset1"] == 0 and row["_offset2"] == 1
     plan = plan.withColumns({"_term2": F.col("_words")[4], "_offset2": F.lit(4)})
     index = decontamination.postings(docs, decontamination._sorted_terms(plan, "_term1", "_term2"))
-    shifts = lambda n: sorted(r["_shift"] for r in decontamination.proximity(index, plan, n).collect())
+    shifts = lambda n: sorted(r["_shift"] for r in decontamination.proximity(index, plan, n, 5).collect())
     assert shifts(0) == [0] and shifts(2) == [0, 1] and shifts(40) == [0, 1, 27]
+    assert [r["_shift"] for r in decontamination.proximity(index, plan, 40, 0).orderBy("_shift").collect()] == [0, 1]
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------------------

@@ -6,6 +6,10 @@ anchor terms alone: (term, document, position, the words around). For a window,
 anchors' offsets and intersected, from the rarest; a common start is a candidate, and the posting's context confirms the phrase, by
 64 bits of its anchors and 32 bits of each of its other words. A document's key is a 128-bit digest of its text, so copies share their hits.
 
+The same lists give proximity matches of whole windows, words of which may be missing from the corpus: the two rarest terms that do
+occur lie within SLACK words of where the phrase would have them, and of the window's different words at most MISSING are absent among
+the WINDOW - 1 words on either side of each of the two. An exact occurrence is one too. They are reported and drop no document.
+
 The window table is broadcast to the indexing tasks in blocks of at most BLOCK_WINDOWS windows; a larger benchmark makes more blocks,
 each of which is looked up in all documents. Postings of a frequent anchor stay spread over the tasks that found them: windows come
 to them, they are never grouped by term.
@@ -29,6 +33,8 @@ from tidemark.llm import words
 from tidemark.llm.common import cut, join_small, shield, unshield
 
 WINDOW = 10
+#: Of proximity matches: how far the anchors may be shifted against one another, and how many of a window's words may be absent.
+SLACK, MISSING = 2, 2
 #: Windows that are broadcast at once: some 100 bytes each.
 BLOCK_WINDOWS = 250_000
 
@@ -114,30 +120,41 @@ def digest(text: str = "text"):
     return F.unhex(F.md5(F.col(text).cast("string").cast("binary"))).alias("_doc")
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The windows whose terms all occur, with their two rarest places: _id, _words, _term1, _offset1, _term2, _offset2."""
+def anchored(windows: DataFrame, counts: DataFrame, near: int | None = None) -> DataFrame:
+    """The windows whose terms all occur (_whole), with their two rarest places: _id, _words, _whole, _term1, _offset1, _term2, _offset2.
+    And of windows of `near` words those that have two places with terms that occur."""
     own = windows.select("_words").distinct().withColumn("_id", F.xxhash64("_words"))
-    placed = own.select("_id", "_words", F.posexplode("_words").alias("_offset", "_term")).join(counts, "_term", "left")
-    by_window = placed.groupBy("_id", "_words").agg(F.min("_count").alias("_least"), F.count("_count").alias("_known"), F.array_sort(F.collect_list(F.struct("_count", "_offset", "_term"))).alias("_terms"))
+    placed = own.select("_id", "_words", F.posexplode("_words").alias("_offset", "_term")).join(counts, "_term")
+    by_window = placed.groupBy("_id", "_words").agg(F.array_sort(F.collect_list(F.struct("_count", "_offset", "_term"))).alias("_terms"))
+    whole = F.size("_terms") == F.size("_words")
+    wanted = whole if near is None else whole | ((F.size("_words") == near) & (F.size("_terms") > 1))
     second = F.coalesce(F.get("_terms", F.lit(1)), F.get("_terms", F.lit(0)))
-    return by_window.where(F.col("_known") == F.size("_words")).select("_id", "_words", F.col("_terms")[0]["_term"].alias("_term1"), F.col("_terms")[0]["_offset"].alias("_offset1"), second["_term"].alias("_term2"), second["_offset"].alias("_offset2"))
+    return by_window.where(wanted).select("_id", "_words", whole.alias("_whole"), F.col("_terms")[0]["_term"].alias("_term1"), F.col("_terms")[0]["_offset"].alias("_offset1"), second["_term"].alias("_term2"), second["_offset"].alias("_offset2"))
+
+
+def _low(words_of: str):
+    """The lower 32 bits of each word, as postings have them."""
+    bits = lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.transform(words_of, lambda w: F.when(bits(w) >= 1 << 31, bits(w) - (1 << 32)).otherwise(bits(w)).cast("int"))
 
 
 def occurrences(index: DataFrame, plan: DataFrame, window: int = WINDOW) -> DataFrame:
     """Where windows occur: _doc, _start, _id, _length. Both anchors' lists, shifted, must share the start, and the words must agree."""
     at = lambda k: join_small(index.withColumnRenamed("_term", f"_term{k}"), plan, f"_term{k}").withColumn("_start", F.col("_at") - F.col(f"_offset{k}")).where("_start >= 0")
-    low = F.transform("_words", lambda w: F.when(w.bitwiseAND(F.lit(0xFFFFFFFF)) >= 1 << 31, w.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 32)).otherwise(w.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int"))
-    same = F.slice("_around", F.lit(window) - F.col("_offset1"), F.size("_words")) == low
+    same = F.slice("_around", F.lit(window) - F.col("_offset1"), F.size("_words")) == _low("_words")
     first = at(1).where(same).select("_doc", "_start", "_id", F.size("_words").alias("_length"))
     second = at(2).select("_doc", "_start", "_id")
     return first.distinct().join(second.distinct(), ["_doc", "_start", "_id"])
 
 
-def proximity(index: DataFrame, plan: DataFrame, slack: int) -> DataFrame:
-    """Looser matches: both anchors of a window lie within `slack` words of where the phrase would have them: _doc, _id, _start,
-    _shift (of the second anchor). Starts are cut into buckets of slack + 1, so each posting meets the ones near it only."""
+def proximity(index: DataFrame, plan: DataFrame, slack: int = SLACK, missing: int = MISSING) -> DataFrame:
+    """Looser matches: both anchors of a window lie within `slack` words of where the phrase would have them, and among the words around
+    either at most `missing` of the window's different words are absent: _doc, _id, _start, _shift (of the second anchor). Starts are
+    cut into slots of slack + 1, so each posting meets the few near it only, and copies of a text fall together before they meet."""
     wide = slack + 1
-    at = lambda k: join_small(index.withColumnRenamed("_term", f"_term{k}"), plan, f"_term{k}").select("_doc", "_id", (F.col("_at") - F.col(f"_offset{k}")).alias(f"_start{k}"))
+    own = cut(plan.withColumn("_low", F.array_distinct(_low("_words"))).drop("_words", "_whole"))
+    held = F.size(F.array_intersect("_low", "_around")) >= F.size("_low") - missing
+    at = lambda k: join_small(index.withColumnRenamed("_term", f"_term{k}"), own, f"_term{k}").where(held).select("_doc", "_id", (F.col("_at") - F.col(f"_offset{k}")).alias(f"_start{k}")).distinct()
     first = at(1).withColumn("_slot", F.explode(F.array(*[F.floor(F.col("_start1") / wide) + d for d in (-1, 0, 1)])))
     second = at(2).withColumn("_slot", F.floor(F.col("_start2") / wide))
     both = first.join(second, ["_doc", "_id", "_slot"]).where(F.abs(F.col("_start2") - F.col("_start1")) <= slack)
@@ -151,34 +168,40 @@ def _sorted_terms(df: DataFrame, *columns: str) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *columns: str, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """For each text that holds a window: _doc, n_hit, n_items, _items (the item ids, sorted). And for each document the named columns,
-    _doc and n_words, from the pass that counts terms."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, *columns: str, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, near: bool = False) -> tuple[DataFrame, DataFrame]:
+    """For each text that holds a window: _doc, n_hit, n_items, _items (the item ids, sorted); with near, n_near_items as well, the
+    number of items with proximity matches, and rows for texts that hold nothing else. And for each document the named columns, _doc
+    and n_words, from the pass that counts terms."""
     windows = cut(windows_of(benchmark, item=item, text=item_text, window=window).withColumn("_id", F.xxhash64("_words")))
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    found = sizes = None
+    found = sizes = loose = None
     for b in range(blocks):
         mine = windows.where(F.pmod("_id", F.lit(blocks)) == b)
         terms = _sorted_terms(mine)
         counts, own = term_counts(docs, terms, *(columns if sizes is None else ()), text=text)
         sizes, counts = own if sizes is None else sizes, cut(counts)
-        plan = cut(anchored(mine, counts))
+        plan = cut(anchored(mine, counts, window if near else None))
         index = cut(postings(docs, _sorted_terms(plan, "_term1", "_term2"), text=text, window=window))
-        here = occurrences(index, plan, window)
+        here = occurrences(index, cut(plan.where("_whole")) if near else plan, window)
         found = here if found is None else found.unionByName(here)
+        if near:
+            here = proximity(index, plan.where(F.size("_words") == window)).select("_doc", "_id")
+            loose = here if loose is None else loose.unionByName(here)
     found = cut(found)
     hit = found.select("_doc", F.explode(F.sequence("_start", F.col("_start") + F.col("_length") - 1)).alias("_at")).distinct().groupBy("_doc").agg(F.count("*").alias("n_hit"))
-    named = found.select("_doc", "_id").distinct().join(windows.select("_id", "_item"), "_id").groupBy("_doc").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
-    return hit.join(named, "_doc", "left").select("_doc", "n_hit", F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), "_items"), sizes
+    items = lambda rows: rows.select("_doc", "_id").distinct().join(windows.select("_id", "_item"), "_id").groupBy("_doc")
+    named = items(found).agg(F.array_sort(F.collect_set("_item")).alias("_items"))
+    hits = hit.join(named, "_doc", "left").select("_doc", "n_hit", F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), "_items")
+    return hits if loose is None else hits.join(items(loose).agg(F.countDistinct("_item").alias("n_near_items")), "_doc", "full"), sizes
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits, sizes = contaminated(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), benchmark, "_id", text="_text", window=window)
+    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items (items with proximity matches)."""
+    hits, sizes = contaminated(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), benchmark, "_id", text="_text", window=window, near=True)
     joined = join_small(sizes.withColumnRenamed("_id", id), cut(hits), "_doc", "left")
     listed = F.sha2(F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ",").cast("binary"), 256)
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(id, "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), listed.alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return joined.select(id, "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), listed.alias("items_sha256"), (hit > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW) -> DataFrame:
