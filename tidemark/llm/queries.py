@@ -134,9 +134,9 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l
 whole AS (SELECT DISTINCT win, string_split(win, ' ') AS ws FROM win WHERE k = 10),
 often AS (SELECT term, count(*) AS c FROM (SELECT unnest(w) AS term FROM d) WHERE term IN (SELECT unnest(ws) FROM whole) GROUP BY 1),
 placed AS (SELECT win, ws, o, term, c FROM (SELECT win, ws, unnest(ws) AS term, unnest(range(10)) AS o FROM whole) JOIN often USING (term)),
-anchors AS (SELECT win, ws, l[1].o AS o1, l[1].term AS t1, l[2].o AS o2, l[2].term AS t2 FROM (SELECT win, ws, list({'o': o, 'term': term} ORDER BY c, o) AS l FROM placed GROUP BY 1, 2 HAVING count(*) > 1)),
-at AS (SELECT doc_id, i, term FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE term IN (SELECT t1 FROM anchors UNION SELECT t2 FROM anchors)),
-post AS (SELECT doc_id, i, term, w[greatest(1, i - 9) : i + 9] AS around FROM at JOIN d USING (doc_id)),
+anchors AS (SELECT win, ws, l[1]['o'] AS o1, l[1]['term'] AS t1, l[2]['o'] AS o2, l[2]['term'] AS t2 FROM (SELECT win, ws, list({'o': o, 'term': term} ORDER BY c, o) AS l FROM placed GROUP BY 1, 2 HAVING count(*) > 1)),
+spots AS (SELECT doc_id, i, term FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE term IN (SELECT t1 FROM anchors UNION SELECT t2 FROM anchors)),
+post AS (SELECT doc_id, i, term, w[greatest(1, i - 9) : i + 9] AS around FROM spots JOIN d USING (doc_id)),
 p1 AS (SELECT doc_id, win, i - o1 AS s1 FROM post JOIN anchors ON t1 = term WHERE len(list_intersect(ws, around)) >= len(list_distinct(ws)) - 2),
 p2 AS (SELECT doc_id, win, i - o2 AS s2 FROM post JOIN anchors ON t2 = term WHERE len(list_intersect(ws, around)) >= len(list_distinct(ws)) - 2),
 loose AS (SELECT DISTINCT doc_id, win FROM p1 JOIN p2 USING (doc_id, win) WHERE abs(s2 - s1) <= 2),
