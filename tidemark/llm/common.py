@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -27,11 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder in the shared one, removed at the end; what is still wanted then must be cut before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder now and go on from there; a lost executor then costs no recomputation. Python gets its rows in
     small batches, so that a worker's memory stays low."""
     shared_dir(df.sparkSession)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, rows=rows):
         return df.checkpoint(eager=True)
 
 
@@ -47,18 +59,21 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
-    """What is written or counted inside hands rows to Python in batches of some `most` bytes, or of one row that is longer."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(most))
+def small_batches(spark: SparkSession, most: int = 4 << 20, rows: int | None = None) -> Iterator[None]:
+    """What is written or counted inside hands rows to Python in batches of some `most` bytes, or of one row that is longer; and of at
+    most `rows` rows instead of the session's number."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(most)} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def shield(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

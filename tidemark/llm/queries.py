@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, quality, sharding, token_counts, url_filters, warc
+from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, phrases, quality, sharding, token_counts, url_filters, warc
 from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,11 +146,32 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN n
 """.replace("lower_az(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("\\\\x", "\\x")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w, count(*) AS c FROM p GROUP BY ALL),
+g AS (SELECT lang, w[i : i + m - 1] AS v, m, sum(c)::BIGINT AS f FROM (SELECT lang, w, c, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 5) AS r(m)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, v, m, f AS a FROM g WHERE m > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.v, c.m, c.a, k, l.f AS l, r.f AS r, 2000000::HUGEINT * c.a // (l.f::HUGEINT + r.f) AS score
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN g l ON l.lang = c.lang AND l.v = c.v[1 : k] JOIN g r ON r.lang = c.lang AND r.v = c.v[k + 1 : c.m]),
+best AS (SELECT lang, v, a, min((score, k, l, r)) AS b FROM cuts GROUP BY lang, v, a),
+offers AS (SELECT lang, v[i : i + s - 1] AS v, max(a) AS longer FROM (SELECT lang, v, a, s, unnest(range(1, m - s + 2)) AS i FROM cand, range(2, 4) AS q(s) WHERE s < m) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN offers USING (lang, v) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT lang, array_to_string(v, ' ') AS phrase, a, b[3] AS l, b[4] AS r, b[1]::BIGINT AS score FROM kept),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, pipeline)}
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, pipeline)}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL}

@@ -59,8 +59,13 @@ LINES = byte_table([(0x0A, 0x0A)])
 
 def located(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words in data, letters as they are."""
+    return marked(data, inside[data])
+
+
+def marked(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the runs of bytes of data for which `inside` holds, letters as they are."""
     flags = np.zeros(len(data) + 2, dtype=np.int8)
-    flags[1:-1] = inside[data]
+    flags[1:-1] = inside
     change = np.diff(flags)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     power, inverse = _power_tables(len(data) + 1)
