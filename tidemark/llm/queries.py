@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, phrases, quality, sharding, token_counts, url_filters, warc
+from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, phrases, quality, sharding, spelling, token_counts, url_filters, warc
 from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,11 +167,35 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN n USING (lang) WHE
 """
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bytes AS (SELECT list(c ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(b))),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM d WHERE length(run) >= 6 GROUP BY doc_id, run),
+summed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+             lambda s, b: xor(s // 256, crc[xor(s % 256, b) + 1])), 4294967295) AS h FROM runs, bytes),
+left_ AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM summed),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM left_ WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+gone AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS o, b.n AS m FROM gone a JOIN gone b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+         UNION SELECT g.word, g.n, w.word, w.n FROM gone g JOIN w ON g.k = w.word
+         UNION SELECT w.word, w.n, g.word, g.n FROM gone g JOIN w ON g.k = w.word),
+best AS (SELECT word, n, count(*) AS n_near, min((-m, o)) AS b FROM near GROUP BY word, n),
+forms AS MATERIALIZED (SELECT word, n_near, CASE WHEN -b[1] >= 5 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 5 * n THEN -b[1] END AS form_n FROM best),
+walk AS (SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, pipeline)}
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, op13_spelling, pipeline)}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL, "op13_spelling": OP13_SQL}
