@@ -2,9 +2,9 @@
 
 Texts are lower-cased (A-Z) and split into pieces at punctuation and line ends. Identical pieces of a language become one row with a
 multiplicity, so copies of documents and repeated lines are read once from there on. Phrases of 1, 2, 3 and 4 words are counted level
-by level. A task sends each distinct phrase of a megabyte of pieces once, with the weights of its pieces added up; phrases are dealt
-into hash buckets, and in each bucket DuckDB adds up the weights out of core, under a memory bound, spilling into the shared folder.
-So a hot phrase arrives as one row per megabyte that holds it, and a bucket as large as the disk allows.
+by level. A task sends each distinct phrase of a few megabytes of pieces once, with the weights of its pieces added up, in one row for
+each language and hash bucket; in each bucket DuckDB takes the rows apart and adds up the weights out of core, under a memory bound,
+spilling into the shared folder. So a hot phrase arrives once for each batch that holds it, and a bucket as large as the disk allows.
 
 A phrase can occur `least` times only if its beginning and its end without one word do. Each level therefore skips phrases whose parts
 aren't marked in a bitmap of the frequent phrases of the level before. The bitmap is indexed by a hash and has at most 2^MOST_BITS bits,
@@ -27,6 +27,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -48,7 +49,10 @@ MOST_BITS = 28
 #: Memory of one bucket's aggregation; what is beyond goes to the shared folder.
 BUCKET_MEMORY = "192MB"
 #: Pieces that a task gets at once; small_batches bounds their bytes.
-PIECES_AT_ONCE = 200_000
+PIECES_AT_ONCE = 50_000
+
+#: Rows of phrases that DuckDB takes apart at once.
+ROWS_APART = 64
 
 COUNTED = "lang string, phrase string, key long, f long"
 
@@ -90,9 +94,36 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[new], np.add.reduceat(weights[order], new)
 
 
-def phrase_rows(pieces: DataFrame, n: int, bitmap=None) -> DataFrame:
-    """Phrases of n words, each once for a megabyte of pieces, with their weight; of one word also, without a phrase, the number of
-    words of a language. With a bitmap (broadcast), only phrases of which both parts of n - 1 words are marked."""
+def _keys_of(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """The keys of whole phrases."""
+    data = "\n".join(phrases).encode()
+    starts, ends, hashed = words.every(data, SPACED)
+    piece = np.searchsorted(np.cumsum([len(p.encode()) + 1 for p in phrases]), starts, side="right")
+    seeds = {x: _tongue_hash(x) for x in set(langs)}
+    tongue = np.array([seeds[x] for x in langs], dtype=np.uint64)
+    at, keys = _phrase_keys(hashed, piece, tongue, len(hashed) // max(1, len(phrases)))
+    return keys
+
+
+def phrase_rows(pieces: DataFrame, n: int, buckets: int, bitmap=None) -> DataFrame:
+    """Phrases of n words, each once for a batch of pieces, with their weights: bucket, lang, phrases (a line each), f. Of one word also
+    an empty phrase, whose weight is the number of words of a language. With a bitmap (broadcast), only phrases of which both parts of
+    n - 1 words are marked."""
+
+    def found(hashed, starts, ends, piece, tongue, weight, seeds, data):
+        """The distinct phrases of a run of pieces: keys, weights, languages, hashes of first words, phrases."""
+        at, keys = _phrase_keys(hashed, piece, seeds[tongue], n)
+        if bitmap is not None and len(at):
+            shorter, known = _phrase_keys(hashed, piece, seeds[tongue], n - 1)
+            good = np.zeros(len(hashed) + 1, dtype=bool)
+            good[shorter] = _marked(known, bitmap.value)
+            keep = good[at] & good[at + 1]
+            at, keys = at[keep], keys[keep]
+        if not len(at):
+            return None
+        lead, total = _sums(keys, weight[piece[at]])
+        place = at[lead]
+        return keys[lead], total, tongue[piece[place]], hashed[place], [data[b:e] for b, e in zip(starts[place].tolist(), ends[place + n - 1].tolist())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,39 +131,38 @@ def phrase_rows(pieces: DataFrame, n: int, bitmap=None) -> DataFrame:
             names = tongues.dictionary.to_pylist()
             own, times = tongues.indices.to_numpy(), batch.column(2).to_numpy()
             seeds = np.array([_tongue_hash(x) for x in names], dtype=np.uint64)
+            parts, size = [], np.zeros(len(names), dtype=np.int64)
             for first, texts in words.runs(batch.column(1)):
                 data = b"\n".join(texts)
                 starts, ends, hashed = words.every(data, SPACED)
-                if not len(starts):
-                    continue
                 piece = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
-                tongue = own[first : first + len(texts)]
-                weight = times[first : first + len(texts)]
-                at, keys = _phrase_keys(hashed, piece, seeds[tongue], n)
-                if bitmap is not None and len(at):
-                    shorter, known = _phrase_keys(hashed, piece, seeds[tongue], n - 1)
-                    good = np.zeros(len(hashed) + 1, dtype=bool)
-                    good[shorter] = _marked(known, bitmap.value)
-                    keep = good[at] & good[at + 1]
-                    at, keys = at[keep], keys[keep]
-                kinds, counts, phrases, marks = [], [], [], []
-                if len(at):
-                    lead, total = _sums(keys, weight[piece[at]])
-                    begin, end = starts[at[lead]], ends[at[lead] + n - 1]
-                    phrases = [data[b:e] for b, e in zip(begin.tolist(), end.tolist())]
-                    kinds, counts, marks = tongue[piece[at[lead]]], total, keys[lead].view(np.int64)
-                if n == 1:
-                    some, total = _sums(tongue[piece], weight[piece])
-                    kinds, counts = np.concatenate([kinds, tongue[piece][some]]), np.concatenate([counts, total])
-                    phrases, marks = phrases + [None] * len(some), np.concatenate([marks, np.zeros(len(some), dtype=np.int64)])
-                if len(phrases):
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(kinds, pa.int64())), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(marks), pa.array(counts)], names=["lang", "phrase", "key", "f"])
-
-    return pieces.select("lang", "piece", "times").mapInArrow(read, COUNTED)
+                tongue, weight = own[first : first + len(texts)], times[first : first + len(texts)]
+                np.add.at(size, tongue[piece], weight[piece])
+                parts.append(found(hashed, starts, ends, piece, tongue, weight, seeds, data))
+            rows = [(0, names[i], b"", [size[i]]) for i in range(len(names))] if n == 1 else []
+            parts = [x for x in parts if x]
+            if parts:
+                keys, total, tongue, lead = (np.concatenate(x) for x in list(zip(*parts))[:4])
+                phrases = [x for part in parts for x in part[4]]
+                some, total = _sums(keys, total)
+                bucket, tongue = (keys[some] >> np.uint64(32)) % np.uint64(buckets), tongue[some]
+                order = np.lexsort((lead[some], bucket, tongue))  # phrases that begin alike stand together
+                bucket, tongue, total, some = bucket[order], tongue[order], total[order], some[order]
+                ends = np.flatnonzero(np.concatenate([(np.diff(bucket) != 0) | (np.diff(tongue) != 0), [True]])) + 1
+                at = 0
+                for end in ends.tolist():
+                    rows.append((int(bucket[at]), names[tongue[at]], b"\n".join([phrases[i] for i in some[at:end].tolist()]), total[at:end]))
+                    at = end
+            if rows:
+                kinds, langs, joined, f = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(langs, pa.string()), pa.array(joined, pa.binary()).cast(pa.string()), pa.array(f, pa.list_(pa.int64()))], names=["bucket", "lang", "phrases", "f"])
+
+    return pieces.select("lang", "piece", "times").mapInArrow(read, "bucket int, lang string, phrases string, f array<long>")
 
 
 def added_up(rows: DataFrame, least: int, spill: str) -> DataFrame:
-    """Weights of equal phrases added up by DuckDB in each hash bucket; phrases of fewer than `least` go, a language's total stays."""
+    """Weights of equal phrases added up by DuckDB in each hash bucket: lang, phrase (null: all words), key, f. Phrases of fewer than
+    `least` go."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -142,20 +172,25 @@ def added_up(rows: DataFrame, least: int, spill: str) -> DataFrame:
             return
         own = f"{spill}/{uuid.uuid4().hex}"
 
-        def all_batches():
-            yield first
-            yield from batches
+        def all_batches():  # in small parts, as DuckDB takes apart as many rows at once as it gets
+            for batch in chain([first], batches):
+                for at in range(0, batch.num_rows, ROWS_APART):
+                    yield batch.slice(at, ROWS_APART)
 
         con = duckdb.connect(config={"memory_limit": BUCKET_MEMORY, "threads": 1, "temp_directory": own, "preserve_insertion_order": False})
         try:
             con.register("bucket", pa.RecordBatchReader.from_batches(first.schema, all_batches()))
-            found = con.sql(f"SELECT lang, phrase, any_value(key) AS key, CAST(sum(f) AS BIGINT) AS f FROM bucket GROUP BY lang, phrase HAVING sum(f) >= {int(least)} OR phrase IS NULL")
-            yield from found.to_arrow_reader(100_000)
+            summed = con.sql(f"SELECT lang, phrase, CAST(sum(f) AS BIGINT) AS f FROM (SELECT lang, unnest(string_split(phrases, chr(10))) AS phrase, unnest(f) AS f FROM bucket) GROUP BY lang, phrase HAVING sum(f) >= {int(least)} OR phrase = ''")
+            for batch in summed.to_arrow_reader(20_000):
+                langs, phrases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                real, keys = [i for i, p in enumerate(phrases) if p], np.zeros(len(phrases), dtype=np.uint64)
+                keys[real] = _keys_of([langs[i] for i in real], [phrases[i] for i in real])
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([p or None for p in phrases], pa.string()), pa.array(keys.view(np.int64)), batch.column(2)], names=["lang", "phrase", "key", "f"])
         finally:
             con.close()
             shutil.rmtree(own, ignore_errors=True)
 
-    return rows.repartition("key").mapInArrow(add, COUNTED)
+    return rows.repartition("bucket").mapInArrow(add, COUNTED)
 
 
 def frequent_bits(spark: SparkSession, frequent: DataFrame):
@@ -182,13 +217,14 @@ def counts(docs: DataFrame, *, least: int = 30, longest: int = 4, text: str = "t
     """lang, phrase, f, and words (the phrase's number of words) of phrases that occur at least `least` times; and with a null phrase
     and words = 0, the number of words of each language."""
     spark, levels, bitmap = docs.sparkSession, [], None
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with scratch(spark, "phrases") as path:
-        pieces(docs, text=text, lang=lang).write.parquet(f"{path}/pieces")
+        pieces(docs, text=text, lang=lang).write.option("compression", "zstd").parquet(f"{path}/pieces")
         own = spark.read.parquet(f"{path}/pieces")
         folder = spill or f"{spill_folder(path)}/spill"
         os.makedirs(folder, exist_ok=True)
         for n in range(1, longest + 1):
-            level = cut(added_up(phrase_rows(own, n, bitmap), least, folder), rows=PIECES_AT_ONCE)
+            level = cut(added_up(phrase_rows(own, n, buckets, bitmap), least, folder), rows=PIECES_AT_ONCE)
             levels.append(level.select("lang", "phrase", "f", F.when(F.col("phrase").isNull(), 0).otherwise(n).alias("words")))
             if bitmap is not None:
                 bitmap.unpersist()
