@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, phrases, quality, sharding, spelling, token_counts, url_filters, warc
+from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, personal, phrases, quality, sharding, spelling, token_counts, url_filters, warc
 from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,10 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN n USING (lang) WHE
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -197,5 +201,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, op13_spelling, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, op12_personal_data, op13_spelling, pipeline)}
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL, "op13_spelling": OP13_SQL}
