@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import history
+
 START, K = 1500.0, 32.0
 
 
@@ -98,16 +100,16 @@ def timeline(rated: DataFrame) -> DataFrame:
     return rated.groupBy("self").agg(F.count("*").alias("bouts"), F.max("elo_pre").alias("peak"), F.min_by("day", F.struct(-F.col("elo_pre"), F.col("day"))).alias("peak_day"))
 
 
-def trailing_months(facts: DataFrame, value: str, months: int = 24, *, by_month: str = "_month") -> DataFrame:
-    """Per (bout, self): the sum of `value` over the same competitor's bouts in the `months` calendar months before, the lower end
-    included, the day itself not; null if there is none. Days are summed first and matched by month, so a row meets the days of
-    months + 1 months and not a whole career."""
-    month = lambda d: F.year(d) * 12 + F.month(d)
-    daily = facts.groupBy("self", "day").agg(F.sum(value).alias("_v"), F.count("*").alias("_n"))
-    past = daily.select("self", F.col("day").alias("_past"), "_v", month(F.col("day")).alias(by_month))
-    asked = daily.select("self", "day", F.explode(F.sequence(month(F.col("day")) - months, month(F.col("day")))).alias(by_month))
-    met = asked.join(past, ["self", by_month]).where((F.col("_past") < F.col("day")) & (F.col("_past") >= F.add_months("day", -months)))
-    sums = met.groupBy("self", "day").agg(F.sum("_v").alias(f"recent_{value}"))
+def trailing_months(facts: DataFrame, value: str, months: int = 24) -> DataFrame:
+    """facts with recent_<value>: the sum of `value` over the same competitor's bouts in the `months` calendar months before, the lower
+    end included, the day itself not; null if there is none. It is the running sum before the day less the one before the lower end,
+    both read off in one as-of lookup, so a row meets two rows and not a career; exact for whole numbers."""
+    end = lambda sign, at: F.struct("day", F.lit(sign).alias("sign"), at.alias("at"))
+    ends = facts.select("self", "day").distinct().select("self", F.explode(F.array(end(1, F.col("day")), end(-1, F.add_months("day", -months)))).alias("e"))
+    asked = ends.select("self", F.col("e.day").alias("_for"), F.col("e.sign").alias("_sign"), F.col("e.at").alias("day"))
+    known = history.asof_lookup(asked, facts, "self", "day", {"_v": F.col(value), "_n": F.col(value).isNotNull().cast("long")})
+    less = lambda c: F.sum(F.coalesce(c, F.lit(0)) * F.col("_sign"))
+    sums = known.groupBy("self", F.col("_for").alias("day")).agg(F.when(less("_n") > 0, less("_v")).alias(f"recent_{value}"))
     return facts.join(sums, ["self", "day"], "left")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import history
 
 FEATURES: dict[str, Callable[[], Column]] = {}
 
@@ -96,11 +97,35 @@ def interactions(df: DataFrame) -> DataFrame:
     return df.withColumns({"layoff_x_age": F.col("days_since_last_fight") * F.col("age"), "age_x_experience": F.col("age") * F.col("total_fights")})
 
 
-def assemble(known: DataFrame, asked: DataFrame) -> DataFrame:
+#: Columns of the physical features, and facts of a bout that hold for both corners.
+PHYSICAL = ("age", "height_cm", "reach_cm", "reach_to_height_ratio", "stance", "stance_matchup", "is_open_stance_matchup")
+BOUT_FACTS = ("weight_class", "is_title", "scheduled_rounds")
+
+
+def at(asked: DataFrame, facts: DataFrame, fighters: DataFrame | None = None, *names: str, stats: bool = True) -> DataFrame:
+    """asked (rows with self and day, and with opp if fighters are given) with the named features (all by default) as known before that
+    day, and with the physical ones on it if fighters are given. The day may be any: facts (see history.bout_facts) needn't hold it."""
+    wanted = names or tuple(FEATURES)
+    known = with_features(history.asof_any(asked, facts, stats=stats), *wanted)
+    known = known if fighters is None else physical(known, fighters)
+    return known.select(*asked.columns, *wanted, *(() if fighters is None else PHYSICAL))
+
+
+def feature_rows(bouts: DataFrame, rounds: DataFrame, fighters: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The feature row of every asked bout (all by default, of any status): bout_id, day, the facts of the bout, and red_ and blue_
+    columns of the fighter's id and of all features. An asked bout that isn't there fails when it is read."""
+    wanted = bouts if asked is None else bouts.join(asked.select("bout_id").distinct(), "bout_id", "left_semi")
+    sides = history.two_sides(wanted.select("bout_id", "day", *BOUT_FACTS, "red", "blue", "winner")).drop("won")
+    known = at(sides, history.bout_facts(bouts, rounds), fighters)
+    return assemble(known, bouts if asked is None else asked, shared=("day", *BOUT_FACTS))
+
+
+def assemble(known: DataFrame, asked: DataFrame, *, shared: tuple[str, ...] = ("day",)) -> DataFrame:
     """One row per asked bout (bout_id) with red_ and blue_ columns of every feature and fighter that `known` (a row for each side, with
-    bout_id, corner, self) has; a bout that `known` lacks fails when it is read."""
-    columns = [c for c in known.columns if c not in ("bout_id", "day", "corner", "opp")]
+    bout_id, corner, self) has, and with the columns in `shared`, which are the same on both sides; a bout that `known` lacks fails
+    when it is read."""
+    columns = [c for c in known.columns if c not in ("bout_id", "corner", "opp", *shared)]
     side = lambda corner: [F.max(F.when(F.col("corner") == corner, F.col(c))).alias(f"{corner}_{'fighter_id' if c == 'self' else c}") for c in columns]
-    rows = known.groupBy("bout_id", "day").agg(*side("red"), *side("blue"))
+    rows = known.groupBy("bout_id", *shared).agg(*side("red"), *side("blue"))
     found = asked.select("bout_id").distinct().join(rows.withColumn("_is", F.lit(True)), "bout_id", "left")
     return found.where(F.assert_true(F.col("_is").isNotNull(), F.concat(F.lit("unknown bout "), F.col("bout_id"))).isNull()).drop("_is")

@@ -32,6 +32,23 @@ def strictly_before(facts: DataFrame, key: str, day: str, sums: dict[str, Column
     return facts.join(known, [key, day])
 
 
+def asof_lookup(asked: DataFrame, facts: DataFrame, key: str, day: str, sums: dict[str, Column], last: Sequence[str] = (), *, only: Column | None = None) -> DataFrame:
+    """asked (any rows with the key and a day, which needn't occur in facts) with one column per entry of `sums`, the sum of that
+    expression over the facts of the key on earlier days, and with last_<c>, the largest earlier value, for the columns in `last`.
+    Sums over nothing, of an unknown or null key and before a null day are null. only: facts that count.
+
+    Facts are summed by day first. The daily sums and the distinct (key, day) pairs asked for then lie in one table, pairs before the
+    sums of their day, and running sums over that table are read off at the pairs: one shuffle by key and no range join. A key's part
+    of it holds its days and the days asked for, so it is bounded by the calendar, not by the number of rows."""
+    counts = (lambda c: c) if only is None else (lambda c: F.when(only, c))
+    daily = facts.groupBy(F.col(key).alias("_key"), F.col(day).alias("_day")).agg(*[F.sum(counts(e)).alias(f"_s{i}") for i, e in enumerate(sums.values())], *[F.max(counts(F.col(c))).alias(f"_l{i}") for i, c in enumerate(last)])
+    pairs = asked.select(F.col(key).alias("_key"), F.col(day).alias("_day")).where(F.col("_key").isNotNull() & F.col("_day").isNotNull()).distinct()
+    both = daily.withColumn("_fact", F.lit(True)).unionByName(pairs.withColumn("_fact", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("_key").orderBy("_day", "_fact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = both.select("_key", "_day", "_fact", *[F.sum(f"_s{i}").over(before).alias(n) for i, n in enumerate(sums)], *[F.max(f"_l{i}").over(before).alias(f"last_{c}") for i, c in enumerate(last)]).where("not _fact").drop("_fact")
+    return asked.join(known.withColumnsRenamed({"_key": key, "_day": day}), [key, day], "left").select(*asked.columns, *sums, *[f"last_{c}" for c in last])
+
+
 #: Round statistics that are summed for both sides.
 STATS = ("sig_landed", "sig_attempted", "total_landed", "td_landed", "td_attempted", "sub_attempts", "knockdowns", "control")
 
@@ -89,5 +106,13 @@ def stat_sums() -> dict[str, Column]:
 
 def asof(facts: DataFrame, *, stats: bool = True) -> DataFrame:
     """facts with all sums over earlier completed bouts, prefixed with h_, and last_day."""
-    sums = {**outcome_sums(), **(stat_sums() if stats else {})}
-    return strictly_before(facts, "self", "day", {f"h_{n}": e for n, e in sums.items()}, last=("day",), only=F.col("status") == "completed")
+    return strictly_before(facts, "self", "day", all_sums(stats), last=("day",), only=F.col("status") == "completed")
+
+
+def asof_any(asked: DataFrame, facts: DataFrame, *, stats: bool = True) -> DataFrame:
+    """asked (rows with self and day) with all sums over the completed bouts of `facts` before that day, prefixed with h_, and last_day."""
+    return asof_lookup(asked, facts, "self", "day", all_sums(stats), last=("day",), only=F.col("status") == "completed")
+
+
+def all_sums(stats: bool = True) -> dict[str, Column]:
+    return {f"h_{n}": e for n, e in {**outcome_sums(), **(stat_sums() if stats else {})}.items()}

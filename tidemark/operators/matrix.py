@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def symmetrize(bouts: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
+#: What the opponent's side of a pair would only repeat.
+MIRRORED = ("stance_matchup", "is_open_stance_matchup")
+
+
+def symmetrize(bouts: DataFrame, *, drop: tuple[str, ...] = (), mirrored: tuple[str, ...] = MIRRORED) -> DataFrame:
     """Two rows per bout: red_x/blue_x become self_x/opp_x and the other way round, with source_corner and self_won (1, 0 or null).
-    Columns without a corner stay; `drop` leaves out mirrored fields that would repeat."""
+    Columns without a corner stay; `drop` leaves out fields, `mirrored` those of the opponent that would repeat the own ones."""
     stems = [c[4:] for c in bouts.columns if c.startswith("red_") and f"blue_{c[4:]}" in bouts.columns and c[4:] not in drop]
     shared = [c for c in bouts.columns if not c.startswith(("red_", "blue_")) and c != "winner_id"]
 
     def side(me: str, other: str):
-        fields = [F.col(f"{me}_{s}").alias(f"self_{s}") for s in stems] + [F.col(f"{other}_{s}").alias(f"opp_{s}") for s in stems]
+        fields = [F.col(f"{me}_{s}").alias(f"self_{s}") for s in stems] + [F.col(f"{other}_{s}").alias(f"opp_{s}") for s in stems if s not in mirrored]
         return F.struct(*fields, F.lit(me).alias("source_corner"), (F.col("winner_id") == F.col(f"{me}_fighter_id")).cast("int").alias("self_won"))
 
     return bouts.select(*shared, F.inline(F.array(side("red", "blue"), side("blue", "red"))))

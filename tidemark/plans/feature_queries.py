@@ -78,28 +78,76 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(features.interactions(known).select("bout_id", "self", "layoff_x_age", "age_x_experience"))
 
 
+#: Every feature as DuckDB says it, of a side `p` of prior, its fighter x and the opponent y.
+FEATURE_SQL = {
+    "slpm": "round(coalesce(p.sl, 0) * 60 / nullif(p.sec, 0), 6)", "sapm": "round(coalesce(p.osl, 0) * 60 / nullif(p.sec, 0), 6)", "td_avg_per_15": "round(coalesce(p.tdl, 0) * 900 / nullif(p.sec, 0), 6)",
+    "sub_attempts_per_15": "round(coalesce(p.sub, 0) * 900 / nullif(p.sec, 0), 6)", "knockdown_rate": "round(coalesce(p.kd, 0) * 900 / nullif(p.sec, 0), 6)", "control_time_pct": "round(coalesce(p.ctl, 0) / nullif(p.sec, 0), 6)",
+    "time_controlled_pct": "round(coalesce(p.octl, 0) / nullif(p.sec, 0), 6)", "striking_accuracy": "round(p.sl / nullif(p.sa, 0), 6)", "takedown_accuracy": "round(p.tdl / nullif(p.tda, 0), 6)",
+    "significant_strike_rate": "round(p.sl / nullif(p.tl, 0), 6)", "career_win_pct": "round(p.wins / nullif(p.decided, 0), 6)", "decision_win_pct": "round(p.dw / nullif(p.decided, 0), 6)",
+    "decision_loss_pct": "round(p.dl / nullif(p.decided, 0), 6)", "submission_success_rate": "round(p.sw / nullif(p.sub, 0), 6)", "finish_rate": "round(p.fin / nullif(p.wins, 0), 6)",
+    "ko_loss_rate": "round(p.kol / nullif(p.losses, 0), 6)", "sub_loss_rate": "round(p.subl / nullif(p.losses, 0), 6)", "avg_fight_time_seconds": "round(p.sec / nullif(p.ntimed, 0), 6)",
+    "total_fights": "CAST(p.bouts AS BIGINT)", "submission_win_count": "CAST(coalesce(p.sw, 0) AS BIGINT)", "title_fight_experience": "CAST(coalesce(p.titles, 0) AS BIGINT)", "times_knocked_down": "CAST(coalesce(p.okd, 0) AS BIGINT)",
+    "total_seconds": "CAST(coalesce(p.sec, 0) AS BIGINT)", "striking_defense": "round(1 - p.osl / nullif(p.osa, 0), 6)", "takedown_defense": "round(1 - p.otdl / nullif(p.otda, 0), 6)",
+    "days_since_last_fight": "CAST(p.day - p.last_day AS INT)", "striking_output_decay": "round(p.lsl / nullif(p.lr, 0) - p.esl / nullif(p.er, 0), 6)", "takedown_output_decay": "round(p.ltd / nullif(p.lr, 0) - p.etd / nullif(p.er, 0), 6)",
+    "age": "round((p.day - x.dob) / 365.25, 6)", "height_cm": "x.height_cm", "reach_cm": "x.reach_cm", "reach_to_height_ratio": "round(x.reach_cm / x.height_cm, 6)", "stance": "x.stance", "stance_matchup": "x.stance || ' vs ' || y.stance",
+    "is_open_stance_matchup": "coalesce((x.stance = 'orthodox' AND y.stance = 'southpaw') OR (x.stance = 'southpaw' AND y.stance = 'orthodox'), false)",
+}
+_ALL = ", ".join(f"{e} AS {n}" for n, e in FEATURE_SQL.items())
+#: feat: all features of every side, with the opponent.
+FEAT = f"{ASOF}, feat AS MATERIALIZED (SELECT p.bout_id, p.self, s.opp, s.corner, {_ALL} FROM prior p JOIN sides s ON s.bout_id = p.bout_id AND s.self = p.self LEFT JOIN fighter x ON x.fighter = p.self LEFT JOIN fighter y ON y.fighter = s.opp)"
+
+
+def _named(prefix: str, alias: str, names=tuple(FEATURE_SQL)) -> str:
+    return ", ".join(f"{alias}.{n} AS {prefix}_{n}" for n in names)
+
+
+@query(f"""{FEAT} SELECT b.bout_id, b.day, b.weight_class, b.is_title, b.scheduled_rounds, b.red AS red_fighter_id, b.blue AS blue_fighter_id, {_named("red", "r")}, {_named("blue", "l")}
+    FROM bout b JOIN feat r ON r.bout_id = b.bout_id AND r.self = b.red JOIN feat l ON l.bout_id = b.bout_id AND l.self = b.blue""")
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feature row of every bout, upcoming ones too."""
+    b = P.bouts(spark, sf_dir)
+    return P.rounded(features.feature_rows(b, P.rounds(spark, sf_dir, b), P.fighters(spark, sf_dir)))
+
+
+LOOKUP = ("career_win_pct", "total_fights", "total_seconds", "days_since_last_fight", "slpm", "striking_accuracy", "finish_rate", "ko_loss_rate")
+
+
+@query(f"""{ASOF}, daily AS (SELECT h.self, h.day, count(*) AS bouts, count(h.won) AS decided, sum(h.won) AS wins, sum(CASE WHEN h.won = 1 AND h.m NOT LIKE 'decision%' AND h.m <> 'dq' THEN 1 ELSE 0 END) AS fin, sum(CASE WHEN h.won = 0 AND h.m <> 'dq' THEN 1 ELSE 0 END) AS losses,
+        sum(CASE WHEN h.won = 0 AND h.m LIKE 'ko%' THEN 1 ELSE 0 END) AS kol, sum(h.sec) AS sec, sum(sl) AS sl, sum(sa) AS sa FROM timed h LEFT JOIN per USING (bout_id, self) WHERE h.status = 'completed' GROUP BY 1, 2),
+    known AS (SELECT self, day AS last_day, {", ".join(f"sum({c}) OVER w AS {c}" for c in ("bouts", "decided", "wins", "fin", "losses", "kol", "sec", "sl", "sa"))} FROM daily WINDOW w AS (PARTITION BY self ORDER BY day)),
+    asked AS (SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 50 <> 0 THEN c_custkey % 120 END AS self, CASE WHEN c_custkey % 49 <> 0 THEN DATE '1991-06-01' + CAST(c_custkey * 37 % 3300 AS INT) END AS day FROM customer)
+    SELECT p.ask_id, p.self, p.day, {", ".join(f"{FEATURE_SQL[n] if n != 'total_fights' else 'CAST(coalesce(p.bouts, 0) AS BIGINT)'} AS {n}" for n in LOOKUP)} FROM (SELECT a.*, k.* EXCLUDE (self) FROM asked a ASOF LEFT JOIN known k ON a.self = k.self AND a.day > k.last_day) p""")
+def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of made-up (fighter, day) pairs: days without a bout, before a career and after it, unknown fighters, null fighters and days."""
+    k = F.col("c_custkey")
+    asked = P.table(spark, sf_dir, "customer").select(k.alias("ask_id"), F.when(k % 50 != 0, k % 120).alias("self"), F.when(k % 49 != 0, F.date_add(F.lit("1991-06-01").cast("date"), (k * 37 % 3300).cast("int"))).alias("day"))
+    return P.rounded(features.at(asked, P.facts(spark, sf_dir), None, *LOOKUP))
+
+
 def _by_bout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per decided bout with red_/blue_ columns: the feature row."""
-    known = features.with_features(history.asof(history.bout_facts(P.bouts(spark, sf_dir)), stats=False), "career_win_pct", "total_fights")
-    sides = features.physical(known.where("status = 'completed' and winner is not null" if "winner" in known.columns else "status = 'completed' and won is not null"), P.fighters(spark, sf_dir))
-    names = ("career_win_pct", "total_fights", "reach_cm", "stance")
-    one = lambda c: [F.max(F.when(F.col("corner") == c, F.col(n))).alias(f"{c}_{n}") for n in names] + [F.max(F.when(F.col("corner") == c, F.col("self"))).alias(f"{c}_fighter_id")]
-    return sides.groupBy("bout_id", "day", "weight_class").agg(*one("red"), *one("blue"), F.max(F.when(F.col("won") == 1, F.col("self"))).alias("winner_id"))
+    """The feature rows of decided bouts, with the winner."""
+    b = P.bouts(spark, sf_dir)
+    decided = b.where("status = 'completed' and winner is not null").select("bout_id", F.col("winner").alias("winner_id"))
+    return features.feature_rows(b, P.rounds(spark, sf_dir, b), P.fighters(spark, sf_dir), decided).join(decided, "bout_id")
 
 
-MATRIX = f"""{ASOF}, m AS (SELECT s.bout_id, s.day, s.weight_class, s.corner AS source_corner, s.won AS self_won, s.self AS self_fighter_id, s.opp AS opp_fighter_id, a.wins / nullif(a.decided, 0) AS self_career_win_pct, b.wins / nullif(b.decided, 0) AS opp_career_win_pct,
-    a.bouts AS self_total_fights, b.bouts AS opp_total_fights, x.reach_cm AS self_reach_cm, y.reach_cm AS opp_reach_cm, x.stance AS self_stance, y.stance AS opp_stance
-    FROM sides s JOIN prior a ON a.bout_id = s.bout_id AND a.self = s.self JOIN prior b ON b.bout_id = s.bout_id AND b.self = s.opp LEFT JOIN fighter x ON x.fighter = s.self LEFT JOIN fighter y ON y.fighter = s.opp WHERE s.status = 'completed' AND s.won IS NOT NULL)"""
+_OPP = tuple(n for n in FEATURE_SQL if n not in matrix.MIRRORED)
+MATRIX = f"""{FEAT}, m AS (SELECT s.bout_id, s.day, s.weight_class, s.is_title, s.scheduled_rounds, s.corner AS source_corner, s.won AS self_won, s.self AS self_fighter_id, s.opp AS opp_fighter_id, {_named("self", "a")}, {_named("opp", "b", _OPP)}
+    FROM sides s JOIN feat a ON a.bout_id = s.bout_id AND a.self = s.self JOIN feat b ON b.bout_id = s.bout_id AND b.self = s.opp WHERE s.status = 'completed' AND s.won IS NOT NULL)"""
 
 
-@query(f"{MATRIX} SELECT * REPLACE (round(self_career_win_pct, 6) AS self_career_win_pct, round(opp_career_win_pct, 6) AS opp_career_win_pct) FROM m")
+@query(f"{MATRIX} SELECT * FROM m")
 def symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(matrix.symmetrize(_by_bout(spark, sf_dir)))
 
 
-@query(f"{MATRIX} SELECT bout_id, source_corner, round(self_career_win_pct - opp_career_win_pct, 6) AS diff_career_win_pct, CAST(self_total_fights - opp_total_fights AS DOUBLE) AS diff_total_fights, self_reach_cm - opp_reach_cm AS diff_reach_cm, self_won FROM m")
+_NUMBERS = tuple(n for n in _OPP if n != "stance")
+
+
+@query(f"{MATRIX} SELECT bout_id, source_corner, {', '.join(f'round(CAST(self_{n} AS DOUBLE) - opp_{n}, 6) AS diff_{n}' for n in _NUMBERS)}, self_won FROM m")
 def differential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.rounded(matrix.differential(matrix.symmetrize(_by_bout(spark, sf_dir)), keep=("bout_id", "source_corner")))
+    rows = P.rounded(matrix.symmetrize(_by_bout(spark, sf_dir)))
+    return P.rounded(matrix.differential(rows, keep=("bout_id", "source_corner")))
 
 
 SPLIT = "CASE WHEN day < DATE '1996-01-01' THEN 'train' WHEN day < DATE '1998-01-01' THEN 'val' ELSE 'test' END"
