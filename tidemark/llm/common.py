@@ -47,6 +47,13 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df, of at most some `rows` rows, in as few partitions as hold `each` of them: a small table that is cut again and again then costs
+    a file or two each time, not one for every shuffle partition; a large one keeps its partitions."""
+    wanted = -(-max(rows, 1) // each)
+    return df.coalesce(wanted) if wanted < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, which is cut already, to be broadcast if it has at most `most` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

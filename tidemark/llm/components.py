@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_side
+from tidemark.llm.common import cut, gathered, small_side
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,18 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     Pointers are broadcast where they are few, so that a small table of links isn't shuffled for each of these steps.
     """
     links = cut(links.select("_a", "_b").where("_a <> _b").distinct())
-    labels = None
+    labels, rows = None, links.count()
+    few = lambda df: cut(gathered(df, rows))  # noqa: E731 (no table of a round has more than some links' rows)
     while labels is None or not links.isEmpty():
         both = links.select(F.inline(F.array(F.struct("_a", "_b"), F.struct(F.col("_b").alias("_a"), F.col("_a").alias("_b")))))
-        point = cut(both.groupBy("_a").agg(F.min("_b").alias("_p")).select("_a", F.least("_a", "_p").alias("_p")))
+        point = few(both.groupBy("_a").agg(F.min("_b").alias("_p")).select("_a", F.least("_a", "_p").alias("_p")))
         jump = small_side(point.select(F.col("_a").alias("_p"), F.col("_p").alias("_q")))
         for _ in range(2):  # every pointer's end is in the table, for it is a node of a link itself
             point = point.join(jump, "_p").select("_a", F.col("_q").alias("_p"))
-        point = small_side(cut(point))
+        point = small_side(few(point))
         labels = point.select(F.col("_a").alias("_node"), F.col("_p").alias("_root")) if labels is None else labels.join(point.select(F.col("_a").alias("_root"), "_p"), "_root", "left").select("_node", F.coalesce("_p", "_root").alias("_root"))
-        labels = cut(labels)
+        labels = few(labels)
         ends = links.join(point, "_a").select("_b", F.col("_p").alias("_x")).join(point.select(F.col("_a").alias("_b"), "_p"), "_b")
-        links = cut(ends.select(F.least("_x", "_p").alias("_a"), F.greatest("_x", "_p").alias("_b")).where("_a <> _b").distinct())
+        links = few(ends.select(F.least("_x", "_p").alias("_a"), F.greatest("_x", "_p").alias("_b")).where("_a <> _b").distinct())
     return labels
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import cut, join_small
+from tidemark.llm.common import cut, gathered, join_small
 
 #: Every DAMAGED-th checksum loses a letter; words have LETTERS at least and occur OCCURRENCES times; a form has FACTOR times more.
 DAMAGED, LETTERS, OCCURRENCES, FACTOR = 199, 6, 5, 5
@@ -162,18 +162,19 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     keys = cut(vocabulary.select("_id", F.encode("word", "ISO-8859-1")).mapInArrow(emit, "_key long, _a long, _lo int, _hi int"))
     other = keys.select("_key", F.col("_a").alias("_b"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"))
     met = keys.join(other, "_key").where((F.col("_a") < F.col("_b")) & (F.greatest("_lo", "_lo2") <= F.least("_hi", "_hi2")))
-    pairs = cut(met.select("_a", "_b"))
+    pairs = met.select("_a", "_b")
     for end in ("_a", "_b"):
         pairs = join_small(pairs, vocabulary.select(F.col("_id").alias(end), F.col("word").alias(f"_word{end}"), F.col("n").alias(f"_n{end}")), end)
     return pairs.where(F.levenshtein("_word_a", "_word_b", 1) == 1)
 
 
 def roots(pointers: DataFrame) -> DataFrame:
-    """(_id, _to, _root) with the pointers (_id, _to, _root: the word of _to) followed to their ends."""
-    moved = True
+    """(_id, _to, _root) with the pointers (_id, _to, _root: the word of _to), which are cut, followed to their ends."""
+    moved, rows = True, pointers.count()
     while moved:
         onward = pointers.select(F.col("_id").alias("_to"), F.col("_to").alias("_next"), F.col("_root").alias("_far"))
-        pointers = cut(join_small(pointers.drop("_moved"), cut(onward), "_to", "left").select("_id", F.coalesce("_next", "_to").alias("_to"), F.coalesce("_far", "_root").alias("_root"), F.col("_next").isNotNull().alias("_moved")))
+        followed = join_small(pointers.drop("_moved"), onward, "_to", "left").select("_id", F.coalesce("_next", "_to").alias("_to"), F.coalesce("_far", "_root").alias("_root"), F.col("_next").isNotNull().alias("_moved"))
+        pointers = cut(gathered(followed, rows))
         moved = not pointers.where("_moved").isEmpty()
     return pointers.drop("_moved")
 
@@ -189,7 +190,7 @@ def variants(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least:
     near = cut(pairs.select(sides).groupBy("_id", "_n").agg(F.count("*").alias("n_near"), best.alias("_best")))
     enough = -F.col("_best._less") >= factor * F.col("_n")
     linked = near.where(enough).select("_id", F.col("_best._to").alias("_to"), F.col("_best._form").alias("_root"))
-    ends = roots(cut(linked))
+    ends = roots(linked)
     joined = join_small(known, near.select("_id", "n_near", F.when(enough, F.col("_best._form")).alias("form"), F.when(enough, -F.col("_best._less")).alias("form_n")), "_id", "left")
     joined = join_small(joined, ends.select("_id", "_root"), "_id", "left")
     return joined.select("word", "form", F.coalesce("_root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form_n").cast("long").alias("form_n"))
