@@ -67,12 +67,15 @@ def scheduled_rounds(c) -> Column:
 
 
 def is_title(c) -> Column:
-    return F.coalesce(col(c).rlike(r"(?i)title"), F.lit(False))
+    """Bouts for a title are named so, or a championship."""
+    return F.coalesce(col(c).rlike(r"(?i)title|championship"), F.lit(False))
 
 
 def winner_side(outcome) -> Column:
-    """'W/L' is red, 'L/W' is blue, all else (draws, no contests) nobody."""
-    return F.when(F.trim(col(outcome)) == "W/L", "red").when(F.trim(col(outcome)) == "L/W", "blue")
+    """Red if the side before the slash has won, else blue if the one after it has; each side is read alone ('W/NC' is red, 'NC/W' blue),
+    and draws and no contests are nobody's."""
+    sides = F.split(F.trim(col(outcome)), "/")
+    return F.when(F.get(sides, F.lit(0)) == "W", "red").when(F.get(sides, F.lit(1)) == "W", "blue")
 
 
 def corner(bout, i: int) -> Column:
@@ -85,8 +88,14 @@ def blocking_key(name) -> Column:
     return F.substring(F.element_at(F.split(F.trim(col(name)), r"\s+"), -1), 1, 1)
 
 
-def event_number(name) -> Column:
-    return group(F.lower(col(name)), r"\b[a-z]+\s*(\d{1,4})\b", 1).cast("int")
+#: Fixed value: the word before the number of a numbered event.
+SERIES = "ufc"
+
+
+def event_number(name, series: str = SERIES) -> Column:
+    """The number of an event of the numbered series, which follows the series' word directly; other numbers in a name ('UFC Fight
+    Night 7', 'UFC on ESPN 60') are not one."""
+    return group(F.lower(col(name)), rf"\b{series}\s*(\d{{1,4}})\b", 1).cast("int")
 
 
 def is_decision(method) -> Column:

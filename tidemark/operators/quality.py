@@ -20,9 +20,16 @@ def duplicate_bouts(bouts: DataFrame) -> DataFrame:
 
 
 def duplicate_events(events: DataFrame, *, days: int = 1, floor: float = 70.0) -> DataFrame:
-    """Pairs of events (event_id, name, day) at most `days` apart whose names are alike."""
-    pairs = near_days(events, events, days=days).where("l_event_id < r_event_id")
-    return pairs.withColumn("score", similarity.token_set(similarity.folded(F.col("l_name")), similarity.folded(F.col("r_name")))).where(F.col("score") >= floor)
+    """Announced events that look like events with results under another name. Of events (event_id, name, day, source_url, page_id),
+    announced ones have a page and no source, held ones a source. Returns announced_id, announced_name, announced_day, held_id,
+    held_name, held_day and the score of pairs at most `days` apart whose weighted score of the names, as they are, is at least floor.
+    Each distinct pair of names is scored once."""
+    announced = events.where(F.col("source_url").isNull() & F.col("page_id").isNotNull()).select("event_id", "name", "day")
+    held = events.where(F.col("source_url").isNotNull()).select("event_id", "name", "day")
+    pairs = near_days(announced, held, days=days)
+    scored = pairs.select("l_name", "r_name").distinct().withColumn("score", F.round(similarity.weighted(F.col("l_name"), F.col("r_name")), 1)).where(F.col("score") >= floor)
+    named = {f"{a}_{c}": f"{b}_{'id' if c == 'event_id' else c}" for a, b in (("l", "announced"), ("r", "held")) for c in ("event_id", "name", "day")}
+    return pairs.join(scored, ["l_name", "r_name"]).select(*[F.col(a).alias(b) for a, b in named.items()], "score")
 
 
 def broken_references(child: DataFrame, id: str, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions import similarity
+from tidemark.operators import names as names_index
 
 
 def name_lookup(names: DataFrame, *, name: str = "name", id: str = "id", overrides: DataFrame | None = None) -> DataFrame:
@@ -29,9 +30,9 @@ def resolve_names(names: DataFrame, roster: DataFrame, aliases: DataFrame, *, th
     """names (name, [link]) with fighter_id, match_type and candidates.
 
     In order: alias of the link, alias of the name, the only roster entry of that name (exact), several entries (collision, no id), the
-    best weighted score of at least `threshold` among roster names with the same blocking key (fuzzy; ties to the smaller id; if several
-    entries have the name found, fuzzy_collision, no id), or unresolved. fold: compare names without accents and case, else as they are. Each distinct pair is resolved once, and scores are computed inside blocks only. A block holds the roster's names
-    with one last initial; its size follows the roster, not the rows to be resolved."""
+    best weighted score of at least `threshold` among all roster names (fuzzy; ties to the smaller id; if several entries have the name
+    found, fuzzy_collision, no id), or unresolved. fold: compare names without accents and case, else as they are. Each distinct pair
+    is resolved once, and only pairs that the index of names.similar lets through are scored."""
     link = F.col("link") if "link" in names.columns else F.lit(None).cast("string")
     plain = similarity.folded if fold else F.trim
     asked = names.select(F.col("name"), link.alias("link")).distinct().withColumns({"_name": plain(F.col("name")), "_link": plain(link)})
@@ -40,8 +41,9 @@ def resolve_names(names: DataFrame, roster: DataFrame, aliases: DataFrame, *, th
     exact = known.groupBy("_n").agg(F.sort_array(F.collect_set("id")).alias("_ids"))
     staged = asked.join(alias.select(F.col("_a").alias("_link"), F.col("_aid").alias("_by_link")), "_link", "left").join(alias.select(F.col("_a").alias("_name"), F.col("_aid").alias("_by_name")), "_name", "left").join(exact.withColumnRenamed("_n", "_name"), "_name", "left")
     staged = staged.withColumn("_alias", F.coalesce("_by_link", "_by_name"))
-    open_ = staged.where("_alias is null and _ids is null").select("_name").distinct().withColumn("_block", S.blocking_key("_name"))
-    scored = open_.join(exact.withColumn("_block", S.blocking_key("_n")), "_block").withColumn("_score", similarity.weighted(F.col("_name"), F.col("_n")))
+    open_ = staged.where("_alias is null and _ids is null").select("_name").distinct()
+    near = names_index.similar(open_.select(F.col("_name").alias("name")), exact.select(F.col("_n").alias("name")), threshold)
+    scored = near.select(F.col("asked").alias("_name"), F.col("found").alias("_n"), F.col("score").alias("_score")).join(exact, "_n")
     best = scored.where(F.col("_score") >= threshold).groupBy("_name").agg(F.max_by("_ids", F.struct("_score", -F.col("_ids")[0])).alias("_near"))
     out = staged.join(best, "_name", "left")
     one, near_one = F.size("_ids") == 1, F.size("_near") == 1
@@ -80,10 +82,12 @@ def candidate_pairs(asked: DataFrame, bouts: DataFrame, *, days: int = 2) -> Dat
     return asked.join(first, "ask_id", "left").withColumns(found).drop("_first")
 
 
-def names_compatible(a: Column, b: Column, floor: float = 70.0) -> Column:
-    """Two event names can mean one event: equal numbers if both have one, never if one has, else a token-set score from floor on."""
-    x, y = S.event_number(a), S.event_number(b)
-    return F.when(x.isNotNull() & y.isNotNull(), x == y).when(x.isNotNull() | y.isNotNull(), False).otherwise(similarity.token_set(a, b) >= floor)
+def names_compatible(a: Column, b: Column, floor: float = 55.0, series: str = S.SERIES) -> Column:
+    """Two event names can mean one event, compared without accents and case: equal numbers of the numbered series if both have one,
+    never if one has, else a token-set score from floor on. The floor is low, as days have been matched before."""
+    x, y = similarity.folded(a), similarity.folded(b)
+    m, n = S.event_number(x, series), S.event_number(y, series)
+    return F.when(m.isNotNull() & n.isNotNull(), m == n).when(m.isNotNull() | n.isNotNull(), False).otherwise(similarity.token_set(x, y) >= floor)
 
 
 def near_days(left: DataFrame, right: DataFrame, *, days: int = 1) -> DataFrame:

@@ -149,16 +149,6 @@ def offers_without_bout(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Checks and baselines -----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, md5('e' || (o_orderkey // 2)) || CASE WHEN o_orderkey % 2 = 0 THEN ' extra' ELSE '' END AS name, DATE '1900-01-01' + CAST(o_orderkey // 2 + (o_orderkey % 2) * (o_orderkey // 2 % 3) AS INT) AS day FROM orders)
-    SELECT a.id AS l_event_id, b.id AS r_event_id, 100.0::DOUBLE AS score FROM e a JOIN e b ON a.id // 2 = b.id // 2 AND a.id < b.id AND abs(a.day - b.day) <= 1""")
-def dq_duplicate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    half = F.floor(k / 2).cast("long")
-    name = F.concat(F.md5(F.concat(F.lit("e"), half).cast("binary")), F.when(k % 2 == 0, " extra").otherwise(""))
-    events = table(spark, sf_dir, "orders").select(k.alias("event_id"), name.alias("name"), F.date_add(F.lit("1900-01-01").cast("date"), (half + (k % 2) * (half % 3)).cast("int")).alias("day"))
-    return quality.duplicate_events(events).select("l_event_id", "r_event_id", "score")
-
-
 @query(f"""{WITH}, rates AS (SELECT corner, avg(y) AS rate FROM pred WHERE day < DATE '1996-01-01' GROUP BY 1), held AS (SELECT y, rate FROM pred JOIN rates USING (corner) WHERE day >= DATE '1996-01-01'), {_metrics_sql("held", "y", "rate")}""")
 def corner_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.predictions(spark, sf_dir)

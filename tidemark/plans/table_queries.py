@@ -180,16 +180,6 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.candidate_pairs(asked, b).select("ask_id", "bout_id")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey // 2 % 50 AS n, 'Show ' || (o_orderkey // 2 % 50) AS name FROM orders), l AS (SELECT * FROM e WHERE id % 2 = 0), r AS (SELECT * FROM e WHERE id % 2 = 1),
-    p AS (SELECT l.id AS l_id, r.id AS r_id FROM l JOIN r ON abs(l.day - r.day) <= 1 AND l.n = r.n),
-    lone AS (SELECT l_id FROM p GROUP BY 1 HAVING count(*) = 1), lonely AS (SELECT r_id FROM p GROUP BY 1 HAVING count(*) = 1) SELECT * FROM p WHERE l_id IN (FROM lone) AND r_id IN (FROM lonely)""")
-def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    e = table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderdate").cast("date").alias("day"), F.concat(F.lit("Show "), F.floor(k / 2) % 50).alias("name"))
-    pairs = resolve.near_days(e.where("id % 2 = 0"), e.where("id % 2 = 1")).where(resolve.names_compatible(F.col("l_name"), F.col("r_name")))
-    return resolve.unique_claims(pairs.select("l_id", "r_id"), "l_id", "r_id")
-
-
 @query("""SELECT CASE WHEN k % 50 = 1 THEN upper(substr(m, 1, 7)) || '  ' || substr(m, 9, 8) WHEN k % 50 = 2 THEN 'Alias No ' || k WHEN k % 50 = 3 THEN 'nobody zz' || k ELSE substr(m, 1, 8) || ' ' || substr(m, 9, 8) END AS name,
     CASE WHEN k % 50 <> 3 THEN k END AS fighter_id, CASE k % 50 WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'alias' WHEN 3 THEN 'unresolved' ELSE 'exact' END AS match_type FROM (SELECT c_custkey AS k, md5(c_name) AS m FROM customer)""")
 def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,10 +280,10 @@ SHOWS = ("Contender Series 9", "ROAD to UFC 3", "Road to Glory", "Fight Night 7"
 FORMATS = ("3 Rnd (5-5-5)", "5 Rnd (5-5-5-5-5)", "2 Rnd (5-5)", "No Time Limit")
 
 
-@query(f"""WITH r AS (SELECT o_orderkey AS k, {list(SHOWS)}[o_orderkey % 5 + 1] AS event, o_orderkey // 5 % 4 AS f, o_orderkey % 3 AS w FROM orders)
-    SELECT event, 'A' || k || ' vs. B' || k AS bout, 'A' || k AS red, 'B' || k AS blue, CASE w WHEN 0 THEN 'red' WHEN 1 THEN 'blue' END AS winner_side, k % 2 = 0 AS is_title_fight, CAST(CASE f WHEN 0 THEN 3 ELSE 5 END AS INT) AS scheduled_rounds, 'KO/TKO' AS method, CAST(k % 3 + 1 AS INT) AS ending_round
+@query(f"""WITH r AS (SELECT o_orderkey AS k, {list(SHOWS)}[o_orderkey % 5 + 1] AS event, o_orderkey // 5 % 4 AS f, o_orderkey % 6 AS w FROM orders)
+    SELECT event, 'A' || k || ' vs. B' || k AS bout, 'A' || k AS red, 'B' || k AS blue, ['red', 'blue', NULL, 'red', 'blue', NULL][w + 1] AS winner_side, k % 4 < 2 AS is_title_fight, CAST(CASE f WHEN 0 THEN 3 ELSE 5 END AS INT) AS scheduled_rounds, 'KO/TKO' AS method, CAST(k % 3 + 1 AS INT) AS ending_round
     FROM r WHERE f < 2 AND event NOT ILIKE '%road to ufc%'""")
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    values = {"EVENT": P.pick(k % 5, SHOWS), "BOUT": F.concat(F.lit("A"), k, F.lit(" vs. B"), k), "OUTCOME": P.pick(k % 3, ("W/L", "L/W", "NC/NC")), "WEIGHTCLASS": F.when(k % 2 == 0, "UFC Lightweight Title Bout").otherwise("Lightweight Bout"), "METHOD": F.lit("KO/TKO "), "ROUND": k % 3 + 1, "TIME": F.lit("1:05"), "TIME FORMAT": P.pick(F.floor(k / 5) % 4, FORMATS)}
+    values = {"EVENT": P.pick(k % 5, SHOWS), "BOUT": F.concat(F.lit("A"), k, F.lit(" vs. B"), k), "OUTCOME": P.pick(k % 6, ("W/L", " L/W ", "NC/NC", "W/NC", "NC/W", "D/D")), "WEIGHTCLASS": P.pick(k % 4, ("UFC Lightweight Title Bout", "Lightweight CHAMPIONSHIP Bout", "Lightweight Bout", "Interim Lightweight")), "METHOD": F.lit("KO/TKO "), "ROUND": k % 3 + 1, "TIME": F.lit("1:05"), "TIME FORMAT": P.pick(F.floor(k / 5) % 4, FORMATS)}
     return readers.parse_fight_results(_text(table(spark, sf_dir, "orders"), readers.RESULTS, **values)).select("event", "bout", "red", "blue", "winner_side", "is_title_fight", "scheduled_rounds", "method", "ending_round")
