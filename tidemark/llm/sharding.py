@@ -1,12 +1,11 @@
 """Sharding by balanced label propagation.
 
-Groups of equal texts are the pieces; only a group that outgrows a shard's quota is dealt by id into several. Pieces of a 64th of a
-quota or more are packed whole, the largest first. The documents of the smaller ones start in shards drawn from their ids. In each
-round a linked document looks at its neighbours' shards and wants the one that more than half of them (by weight) are in; a shard takes
-no more than its free room and what leaves it, and of those that want in, the pieces with small hashes. Rounds go on until no document
-wants to move, or none may. At last the shards settle: linked
+Groups of equal texts are the pieces; only a group that outgrows a shard's quota is dealt by id into several. Documents start in
+shards drawn from their ids, whatever the size of their group. In each round a linked document looks at its neighbours' shards and wants
+the one that more than half of them (by weight) are in; a shard takes no more than its free room and what leaves it, and of those that
+want in, the pieces with small hashes. Rounds go on until no document wants to move, or none may. At last the shards settle: linked
 documents stay as far as their shard's quota goes, and all others, in one order, fill the shards up, so sizes are even whatever the
-labels are, and a piece is split only where it meets the end of a quota. Positions are running sums over lanes plus a sort inside
+labels are, and a piece is split only where it meets the end of a quota. cut_links counts the links between shards. Positions are running sums over lanes plus a sort inside
 each lane; no shard is ever sorted whole, and a large piece is dealt over lanes of its own.
 
 Links of a group are stars of bounded size, whose centres hang on the centre of their piece, and that on the group's, so a group that
@@ -30,10 +29,10 @@ from tidemark.llm.common import cut, join_small, text_or_empty
 LANES = 256
 #: Most leaves of a centre.
 STAR_ROWS = 1000
-#: Pieces of at least a shard's quota / BIG are packed one by one; there are at most BIG * shards of them.
-BIG = 64
 #: Rounds without a move, one after another, that end the propagation.
 BARREN = 3
+#: Rounds in which pieces without room move on.
+ROUNDS = 12
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -69,18 +68,6 @@ def text_nodes(docs: DataFrame, shards: int, *, law: str = "rows", id: str = "do
     return nodes.drop("_whole", "_star"), links, total
 
 
-def pack(pieces: list[tuple[int, int]], rooms: list[int]) -> dict[int, int]:
-    """Shards of the pieces (piece, load), the largest first, each into the fullest shard that has room; takes the room away. A piece
-    that fits nowhere gets none."""
-    homes = {}
-    for piece, load in sorted(pieces, key=lambda p: (-p[1], p[0])):
-        fits = [s for s, room in enumerate(rooms) if room >= load]
-        if fits:
-            homes[piece] = min(fits, key=lambda s: (rooms[s], s))
-            rooms[homes[piece]] -= load
-    return homes
-
-
 def share_of(loads: list[int], at: Column) -> Column:
     """The index of the load that the position falls in, if the loads lie one after another."""
     ends = [int(x) for x in accumulate(loads)]
@@ -146,6 +133,43 @@ def ordered(rows: DataFrame, lane: list[str], id: str) -> DataFrame:
     return cut(join_small(rows, offsets, lane).withColumns({"_at": F.col("_n0") + F.row_number().over(inside) - 1, "_upto": F.col("_l0") + upto}).drop("_n0", "_l0"))
 
 
+def whole_pieces(nodes: DataFrame, labels: DataFrame, caps: list[int], *, rounds: int = ROUNDS) -> DataFrame:
+    """(_piece, _home, _size): each piece with the shard that most of it is in, and its load. Pieces are the nodes from here on: the
+    largest of a shard stay as far as its quota goes, and those without room move on to a shard drawn by the room that is left, until
+    all have room or `rounds` are over."""
+    shares = nodes.join(labels, "_node").groupBy("_piece", "_label").agg(F.sum("_load").alias("_l"))
+    pieces = shares.groupBy("_piece").agg(F.max(F.struct("_l", "_label")).alias("_m"), F.sum("_l").alias("_load")).select("_piece", F.col("_m._label").alias("_home"), "_load")
+    pieces = cut(pieces.withColumns({"_kind": size_class("_load"), "_block": F.pmod("_piece", F.lit(LANES)).cast("long"), "_node": F.col("_piece"), "size": F.col("_load")}))
+    for r in range(rounds):
+        lined = ordered(pieces, ["_home", "_kind", "_block"], "_node")
+        loads = [0] * len(caps)
+        for row in pieces.groupBy("_home").agg(F.sum("_load").alias("_l")).collect():
+            loads[row["_home"]] = row["_l"]
+        ends = F.col("_upto") + F.col("_load") - F.get(F.array(*[F.lit(int(x)).cast("long") for x in accumulate([0, *loads[:-1]])]), F.col("_home"))
+        lined = lined.withColumn("_stays", ends <= F.get(F.array(*[F.lit(int(c)).cast("long") for c in caps]), F.col("_home"))).drop("_at", "_upto")
+        kept = [0] * len(caps)
+        for row in lined.where("_stays").groupBy("_home").agg(F.sum("_load").alias("_l")).collect():
+            kept[row["_home"]] = row["_l"]
+        free = [max(0, c - k) for c, k in zip(caps, kept)]
+        if lined.where("not _stays").isEmpty() or not sum(free):
+            break
+        drawn = share_of(free, F.pmod(F.xxhash64("_piece", F.lit(r)), F.lit(sum(free))))
+        pieces = cut(lined.withColumn("_home", F.when(F.col("_stays"), F.col("_home")).otherwise(drawn)).drop("_stays"))
+    return pieces.select("_piece", "_home", F.col("_load").alias("_size"))
+
+
+def size_class(load: str) -> Column:
+    """Larger pieces first: 0 for loads of 2^62, 62 for a load of 1."""
+    return (F.lit(62) - F.floor(F.log2(F.greatest(F.col(load), F.lit(1)).cast("double")))).cast("int")
+
+
+def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row: links, cut (links whose ends lie in different shards) and weight_cut, for links (_a, _b, _weight) and placed (_node, shard)."""
+    end = lambda c: placed.select(F.col("_node").alias(c), F.col("shard").alias(f"_at{c}"))
+    apart = F.col("_at_a") != F.col("_at_b")
+    return links.join(end("_a"), "_a").join(end("_b"), "_b").agg(F.count("*").alias("links"), F.count_if(apart).alias("cut"), F.coalesce(F.sum(F.when(apart, F.col("_weight"))), F.lit(0)).alias("weight_cut"))
+
+
 def settle(placed: DataFrame, shards: int, total: int, *, id: str = "doc_id") -> DataFrame:
     """placed (nodes with _home, -1 for none, and _kind, _block, _deal, which make the order) with shard and slot. Rows stay in their
     home as far as its quota goes; the others fill up the shards in one order."""
@@ -180,14 +204,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, law: str = "rows", id:
     nodes, links, total = text_nodes(docs, shards, law=law, id=id, text=text)
     rooms = quotas(total, shards)
     linked = nodes.where("_linked")
-    big = linked.groupBy("_piece").agg(F.sum("_load").alias("_l"), F.count("*").alias("_n")).where(F.col("_l") * (BIG * shards) >= total).collect()
-    homes = pack([(r["_piece"], r["_l"]) for r in big], rooms)
+    labels = propagate(linked, links, rooms, rounds=rounds)
     lane_rows = max(1, nodes.count() // (LANES * shards))
-    packed = F.broadcast(docs.sparkSession.createDataFrame([(r["_piece"], homes.get(r["_piece"], -1), -(-r["_n"] // lane_rows)) for r in big], "_piece long, _packed int, _deals long"))
-    small = linked.join(packed, "_piece", "left_anti")
-    labels = propagate(small, links.join(packed, "_piece", "left_anti"), rooms, rounds=rounds)
-    joined = small.join(labels, "_node").select(*nodes.columns, F.col("_label").alias("_home"), F.lit(1).alias("_kind"), F.pmod("_piece", F.lit(LANES)).cast("long").alias("_block"), F.lit(0).cast("long").alias("_deal"))
-    large = linked.join(packed, "_piece").select(*nodes.columns, F.col("_packed").alias("_home"), F.lit(0).alias("_kind"), F.col("_piece").alias("_block"), F.pmod(F.xxhash64(F.col(id), F.lit("deal")), F.col("_deals")).alias("_deal"))
-    single = nodes.where("not _linked").select("*", F.lit(-1).alias("_home"), F.lit(2).alias("_kind"), F.pmod("_piece", F.lit(LANES * shards)).cast("long").alias("_block"), F.lit(0).cast("long").alias("_deal"))
-    placed = cut(joined.unionByName(large).unionByName(single))
+    pieces = cut(whole_pieces(linked, labels, rooms))
+    # In the order of whole_pieces; a large piece takes several lanes, one after another.
+    deals = F.ceil(F.col("_size") / F.greatest(F.lit(lane_rows), F.ceil(F.lit(total / max(1, LANES * shards)))))
+    joined = join_small(linked, pieces, "_piece").select(*nodes.columns, "_home", size_class("_size").alias("_kind"), F.pmod("_piece", F.lit(LANES)).cast("long").alias("_block"), F.when(deals > 1, F.pmod(F.xxhash64("_piece"), F.lit(1 << 40)) * 1024 + F.pmod(F.xxhash64(F.col(id), F.lit("deal")), F.least(deals, F.lit(1024)))).otherwise(-1).cast("long").alias("_deal"))
+    single = nodes.where("not _linked").select("*", F.lit(-1).alias("_home"), F.lit(63).alias("_kind"), F.pmod("_piece", F.lit(LANES * shards)).cast("long").alias("_block"), F.lit(0).cast("long").alias("_deal"))
+    placed = cut(joined.unionByName(single))
     return settle(placed, shards, total, id=id).select(id, "size", "text_crc32", "shard", "slot")
