@@ -398,6 +398,55 @@ def test_propagation_settles(spark):
     assert not [1 for a, b, _ in links if at[a] != at[b]]
 
 
+@pytest.mark.parametrize("room", [100, 14])
+def test_propagation_replayed(spark, room):
+    """The rounds once more in plain Python, with Spark's hashes: the same labels after each number of rounds, in stars that want in
+    where there is room (100) and where there is little (14 for 4 labels and 50 nodes)."""
+    links = [(10 * g + i, 10 * g, 1) for g in range(1, 6) for i in range(1, 9)] + [(10, 20, 9), (30, 20, 2)]
+    nodes = sorted({n for a, b, _ in links for n in (a, b)})
+    table = spark.createDataFrame([(n, n // 10, 1 + n % 2) for n in nodes], "_node long, _piece long, _load long")
+    rooms = [room] * 4
+    hashed = {r["_node"]: r for r in table.select("*", F.pmod(F.xxhash64("_node", F.lit(0)), F.lit(sum(rooms))).alias("start"), F.xxhash64("_node", F.lit("turn")).alias("turn"), *[(F.pmod(F.xxhash64("_piece", F.lit(-1 - r)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias(f"draw{r}") for r in range(6)]).collect()}
+    about = defaultdict(list)
+    for a, b, w in links:
+        about[a].append((b, w))
+        about[b].append((a, w))
+    label = {n: min(sum(hashed[n]["start"] >= e for e in np.cumsum(rooms)), 3) for n in nodes}
+    turn = {n: (len(about[n]), hashed[n]["turn"], n) for n in nodes}
+    load = {n: hashed[n]["_load"] for n in nodes}
+    tables = spark.createDataFrame(links, "_a long, _b long, _weight long")
+    for rounds in range(1, 6):
+        r = rounds - 1
+        want = {}
+        for n in nodes:
+            votes = Counter()
+            for m, w in about[n]:
+                votes[label[m]] += w
+            best = max(votes, key=lambda x: (votes[x], x))
+            if 2 * votes[best] > sum(votes.values()) and best != label[n]:
+                want[n] = best
+        go = {n: x for n, x in want.items() if all(turn[n] < turn[m] for m, _ in about[n] if m in want)}
+        held, flows = [0.0] * 4, Counter()
+        for n in nodes:
+            held[label[n]] += load[n]
+        for n, x in go.items():
+            flows[label[n], x] += load[n]
+        chance = sharding.accepted(held, flows, [x * 1.05 for x in rooms])
+        label |= {n: x for n, x in go.items() if hashed[n][f"draw{r}"] < chance[x]}
+        got = {x["_node"]: x["_label"] for x in sharding.propagate(table, tables, rooms, rounds=rounds).collect()}
+        assert got == label, rounds
+
+
+def test_pieces_stay_whole_and_links_are_counted(spark):
+    docs = spark.createDataFrame([(1000 * g + i, f"group {g}") for g, n in enumerate([17, 9, 9, 8, 6, 5, 3, 3]) for i in range(n)], "doc_id long, text string")
+    nodes, links, total = sharding.text_nodes(docs, 3)
+    got = sharding.shard_documents(docs, 3)
+    assert Counter(Counter(r["shard"] for r in got.collect()).values()) == {20: 3}
+    placed = nodes.join(got, "doc_id").select("_node", "shard")
+    row = sharding.cut_links(links, placed).first()
+    assert row["links"] == links.count() and row["cut"] == sum(1 for r in links.collect() if {x["shard"] for x in placed.where(F.col("_node").isin(r["_a"], r["_b"])).collect()}.__len__() > 1) <= 6
+
+
 def test_sharding_links_parts_of_a_group(spark):
     """A group of three quotas is dealt into parts, and its links still make one component, with stars of bounded size."""
     docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 900, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
