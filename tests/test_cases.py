@@ -267,16 +267,6 @@ def test_name_cascade(spark):
     assert got == {"bruno silva": (2, "alias"), "Bruno Silva": (None, "collision"), "Jose Aldo": (3, "exact"), "Khabib Nurmagomedow": (4, "fuzzy"), "Nobody": (None, "unresolved")}
 
 
-def test_event_names(spark):
-    ok = lambda a, b: one(spark, resolve.names_compatible(F.lit(a), F.lit(b)).alias("x"))["x"]
-    assert ok("abc 330", "ABC 330: X vs. Y") and not ok("abc 330", "abc 331") and not ok("abc 330", "night: x vs y") and ok("night: smith vs jones", "jones vs smith")
-
-
-def test_duplicate_events(spark):
-    events = spark.createDataFrame([(1, "Night: Smith vs Jones", DAY(2024, 1, 1)), (2, "Jones vs. Smith night", DAY(2024, 1, 2)), (3, "Night: Smith vs Jones", DAY(2024, 1, 5))], "event_id long, name string, day date")
-    assert [(r["l_event_id"], r["r_event_id"]) for r in quality.duplicate_events(events).collect()] == [(1, 2)]
-
-
 CARD = """==Fight card==
 {{MMAevent card|Main Card}}
 {{MMAevent bout|Lightweight|[[Ann Lee (fighter)|Ann Lee]] (c)|def.|Bo Ray|KO|2|1:02|title}}
