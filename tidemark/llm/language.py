@@ -11,14 +11,17 @@ suffixes among the texts that look like l, drawn towards those of the whole corp
 leans on the same suffix. P(l | host) are shares of the languages that the texts of a host look like, drawn towards those of its address suffix, and these
 towards those of the whole corpus, by grouped aggregation.
 
-The languages are the declared values that at least LEAST_ROWS rows or one in a thousand rows have. The text models are fitted on the
-rows whose id's hash falls below a share, with the declared language as the label; the share is FIT_ROWS / rows, or for each language
-what gives it FIT_EACH rows. All else covers all rows.
+Declared values are read without case and region (`en-US` is `en`). The languages are the codes of two letters that at least
+LEAST_ROWS rows declare, whatever the size of the table, so junk makes no model and there are at most 676 models. The text
+models are fitted on the rows whose id's hash falls below a share, with the declared language as the label; the share is
+FIT_ROWS / rows, or for each language what gives it FIT_EACH rows. All else covers all rows.
 
-A row is rejected if `und` wins or the winner's posterior is below LEAST. But a text with letters whose declared value is a language code
-without a model can't be judged; where it would be rejected, it is kept under that code, with a null posterior.
+A row is rejected if `und` wins or the winner's posterior is below LEAST. But a text with letters whose declared value is a code of two
+or three letters without a model can't be judged; where it would be rejected, it is kept under that code, with a null posterior. Codes
+that stand for no language (`und`, `mul`, `mis`, `zxx`, private ones) never are one.
 
-Defined cases: null, empty or letterless texts are `und` and rejected; a null declared language, host or address is no evidence; a
+Defined cases: null, empty or letterless texts are `und` and rejected; texts of any length are read in parts of a megabyte; languages of
+equal posterior go by code; a null declared language, host or address is no evidence; a
 declared value that is no language here is none either; if nothing is declared anywhere, every text is `und`; repeated rows each get
 their row; an empty table gives an empty table; other columns are kept, but one with the name of an added column is replaced by it.
 """
@@ -38,10 +41,12 @@ CELLS = 1 << 15
 FIT_ROWS = 20_000
 #: Rows that each language is fitted on, or all that it has.
 FIT_EACH = 2_000
-#: Rows that make a declared value a language; fewer do in tables of less than a thousand times as many.
+#: Rows that make a code a language of the models.
 LEAST_ROWS = 10
-#: A language code; those of NO_CODE stand for no language.
-CODE, NO_CODE = "^[a-z]{2,3}([-_][a-z0-9]+)*$", ("und", "mul", "mis", "zxx")
+#: What can be a language of the models: a code of two letters, so there are 676 at most.
+MODELLED = "^[a-z]{2}$"
+#: What can be a code at all: two or three letters; and which of them stand for no language (so do qaa to qtz).
+CODE, NO_CODE = "^([a-z]{2,3})([-_][a-z0-9]+)*$", "^(und|mul|mis|zxx|q[a-t][a-z])$"
 SEEN = 60.0
 LEAST = 0.5
 #: Reliability of the declared language, and the weight of the address suffix.
@@ -68,10 +73,16 @@ def cells(text: str | None) -> list[np.ndarray]:
     return out
 
 
+def code(declared: str) -> Column:
+    """The language of a declared value, without region; null if it is no code, or one for no language."""
+    own = F.nullif(F.regexp_extract(F.lower(F.trim(F.col(declared).cast("string"))), CODE, 1), F.lit(""))
+    return F.when(~own.rlike(NO_CODE), own)
+
+
 def languages(docs: DataFrame, declared: str) -> tuple[dict[str, int], int]:
     """The languages with their numbers of rows, and the number of all rows."""
     rows = docs.count()
-    counts = docs.where(F.col(declared).isNotNull()).groupBy(F.lower(F.col(declared)).alias("l")).agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_ROWS) | (F.col("n") * 1000 >= rows))
+    counts = docs.where(F.col(declared).rlike(MODELLED)).groupBy(F.col(declared).alias("l")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
     return dict(sorted((r["l"], r["n"]) for r in counts.collect())), rows
 
 
@@ -79,8 +90,8 @@ def fit(docs: DataFrame, counts: dict[str, int], rows: int, *, id: str, text: st
     """Log probabilities of the cells, a row for each language and one for `und`."""
     langs = list(counts)
     shares = [int(min(1.0, max(FIT_ROWS / max(rows, 1), FIT_EACH / n)) * (1 << 30)) + 1 for n in counts.values()]
-    share = F.get(F.array(*map(F.lit, shares)), F.array_position(F.array(*map(F.lit, langs)), F.lower(F.col(declared))).cast("int") - 1) if langs else F.lit(0)
-    sample = docs.where((F.pmod(F.xxhash64(F.col(id), F.lit("fit")), F.lit(1 << 30)) < share) & F.lower(F.col(declared)).isin(langs))
+    share = F.get(F.array(*map(F.lit, shares)), F.array_position(F.array(*map(F.lit, langs)), F.col(declared)).cast("int") - 1) if langs else F.lit(0)
+    sample = docs.where((F.pmod(F.xxhash64(F.col(id), F.lit("fit")), F.lit(1 << 30)) < share) & F.col(declared).isin(langs))
     at = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
@@ -92,7 +103,7 @@ def fit(docs: DataFrame, counts: dict[str, int], rows: int, *, id: str, text: st
         lang, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[lang, cell])], names=["lang", "cell", "n"])
 
-    counted = sample.select(F.col(text).cast("string"), F.lower(F.col(declared))).mapInArrow(count, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.select(F.col(text).cast("string"), F.col(declared)).mapInArrow(count, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     seen = np.full((len(langs), CELLS), 0.05)
     seen[counted["lang"].to_numpy(), counted["cell"].to_numpy()] += counted["n"].to_numpy()
     model = np.log(seen / seen.sum(axis=1, keepdims=True)) if langs else seen
@@ -130,6 +141,29 @@ def _vector(values: str, langs: list[str], right: float) -> Column:
     return F.when(F.col(values).isin(langs), F.array(*one)).otherwise(F.array(*[F.lit(0.0)] * len(langs)))
 
 
+def page_text(html: str) -> Column:
+    """The text of a page: without scripts, styles, comments and marks."""
+    bare = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def markup_language(html: str) -> Column:
+    """The language that a page's html mark declares; null if it declares none."""
+    return F.nullif(F.regexp_extract(F.col(html), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]+(?:[-_][a-z0-9]+)*)", 1), F.lit(""))
+
+
+def page_host(url: str) -> Column:
+    """A url's host without user and port; null if there is none."""
+    return F.nullif(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]+)", 1), F.lit(""))
+
+
+def identify_pages(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """pages (id, url, html) identified with all evidence: text, declared language of the markup, host and address suffix. The id and url
+    with declared, _language, _posterior, _look and _accepted."""
+    read = pages.select(F.col(id), F.col(url), page_text(html).alias("_body"), markup_language(html).alias("declared"), page_host(url).alias("_site"))
+    return identify(read, id=id, text="_body", declared="declared", host="_site", url=url).drop("_body", "_site")
+
+
 def host_priors(looks: DataFrame, langs: list[str]) -> DataFrame:
     """(_host, _suffix, _look, _n) to (_of_host, _of_suffix, _prior: log P(l | host), _address: weighted log P(suffix | l))."""
     n = [F.sum(F.when(F.col("_look") == l, F.col("_n")).otherwise(0)).alias(f"_n{i}") for i, l in enumerate(langs)]
@@ -152,7 +186,7 @@ def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", declare
     none = F.lit(None).cast("string")
     own, names = shield(docs)
     id, text, declared, host, url = (names[c] if c else None for c in (id, text, declared, host, url))
-    keyed = own.withColumns({"_declared": F.lower(F.col(declared)) if declared else none, "_host": F.col(host) if host else none, "_suffix": address_suffix(url) if url else none})
+    keyed = own.withColumns({"_declared": code(declared) if declared else none, "_host": F.col(host) if host else none, "_suffix": address_suffix(url) if url else none})
     counts, rows = languages(keyed, "_declared")
     langs = list(counts)
     score = scorer(fit(keyed, counts, rows, id=id, text=text, declared="_declared"))
@@ -172,7 +206,7 @@ def identify(docs: DataFrame, *, id: str = "doc_id", text: str = "text", declare
     posterior = F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     out = fused.withColumns({"_language": best(F.col("_log")), "_posterior": posterior, "_look": best(F.col("_text"))})
     out = out.withColumn("_accepted", (F.col("_language") != UND) & (F.col("_posterior") >= LEAST))
-    code = F.col("_declared").rlike(CODE) & ~F.col("_declared").isin(*langs, *NO_CODE)
-    unknown = F.coalesce(~F.col("_accepted") & code & (F.element_at("_text", -1) < 0), F.lit(False))
+    unmodelled = F.col("_declared").isNotNull() & ~F.col("_declared").isin(langs)
+    unknown = F.coalesce(~F.col("_accepted") & unmodelled & (F.element_at("_text", -1) < 0), F.lit(False))
     out = out.withColumns({"_language": F.when(unknown, F.col("_declared")).otherwise(F.col("_language")), "_posterior": F.when(~unknown, F.col("_posterior")), "_accepted": F.col("_accepted") | unknown})
     return unshield(out, names, **{c: F.col(c) for c in ("_language", "_posterior", "_look", "_accepted")})

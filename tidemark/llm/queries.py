@@ -73,6 +73,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), F.col("_look").alias("text_language"), F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_accepted").alias("kept"))
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op9_language_id over pages, which have all of its evidence: markup, host and address suffix."""
+    found = language.identify_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "declared", F.col("_look").alias("text_language"), F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_accepted").alias("kept"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", F.col("_votes").alias("votes"), F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), F.col("_kept").alias("kept"))
@@ -201,5 +207,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, op12_personal_data, op13_spelling, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, op12_personal_data, op13_spelling, page_languages, pipeline)}
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL, "op13_spelling": OP13_SQL}
