@@ -711,3 +711,48 @@ def test_spans_keep_words(text, size):
     finally:
         words.SPAN = old
     assert b" ".join(parts).split() == text.encode().split()
+
+
+# Long addresses, junk languages, pages -------------------------------------------------------------------------------------------
+
+
+def test_long_paths_take_time_in_proportion(spark):
+    entries = spark.createDataFrame([("l", "block", "prefix", "h.example/a/a", 1, "add"), ("l", "block", "domain", "example", 1, "add"), ("l", "allow", "prefix", "h.example/a/a/a/a", 1, "add")], "list string, action string, kind string, pattern string, day int, change string")
+
+    def seconds(parts: int) -> float:
+        urls = spark.createDataFrame([(i, f"http://h.example/{i}" + "/a" * parts, 5) for i in range(3)] + [(9, "http://h.example" + "/a" * parts + "/", 5)], "i int, url string, day int")
+        began = time.time()
+        got = {r["i"]: (r["_active"], r["_rule"], r["_blocked"]) for r in url_filters.evaluate(urls, entries).collect()}
+        assert got == {0: (1, "example", True), 1: (1, "example", True), 2: (1, "example", True), 9: (3, "h.example/a/a/a/a", False)}
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(40_000) < 20
+
+
+def test_junk_codes_make_no_language(spark):
+    real = [(i, " ".join(random.choice(VOCAB) for _ in range(40)), "en-US" if i % 2 else "EN", "h") for i in range(60)]
+    real += [(100 + i, " ".join(random.choice(["der", "und", "nicht", "schön", "über"]) for _ in range(40)), "de", "h") for i in range(40)]
+    junk = [(1000 + i, " ".join(random.choice(VOCAB) for _ in range(40)), f"{c}", "h") for i, c in enumerate([f"x{j}y" for j in range(30)] * 12 + ["zxx"] * 12 + ["n/a"] * 12 + ["mul"] * 12 + ["qaa"] * 12)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    looks = lambda rows: {r["doc_id"]: (r["_language"], r["_look"], r["_accepted"]) for r in language.identify(df(rows)).collect()}
+    alone, among = looks(real), looks(real + junk)
+    assert {v[0] for v in among.values()} == {"en", "de"} and all(among[i] == alone[i] for i in alone)
+    assert {r["c"] for r in df([(1, "", "en-US", ""), (2, "", "zxx", ""), (3, "", "n/a", ""), (4, "", " PT_br ", ""), (5, "", "tlh", ""), (6, "", None, "")]).select(language.code("lang").alias("c")).collect()} == {"en", "pt", "tlh", None}
+
+
+def test_pages_have_all_evidence(spark):
+    page = lambda lang, words: f"<!DOCTYPE html><HTML class='x' lang=\"{lang}\"><head><style>p {{}}</style><script>var der = 'und nicht';</script></head><body><!-- der und --><p>{words}</p></body></html>"
+    en, de = (lambda: " ".join(random.choice(VOCAB) for _ in range(30))), (lambda: " ".join(random.choice(["der", "und", "nicht", "schön", "über"]) for _ in range(30)))
+    rows = [(i, f"http://a{i % 3}.example.uk/x", page("en-GB", en())) for i in range(40)] + [(100 + i, f"http://u@b{i % 3}.example.de:80/x", page("de", de())) for i in range(40)]
+    rows += [(200, "http://b0.example.de/y", page("de", "der und")), (201, None, page("", de())), (202, "http://a0.example.uk", None), (203, "no url", "")]
+    got = {r["page_id"]: r for r in language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[i]["_language"] == ("en" if i < 100 else "de") for i in got if i < 202)
+    assert not got[202]["_accepted"] and got[203]["_language"] == "und"
+    assert got[0]["declared"] == "en-GB" and got[201]["declared"] is None
+    # Each piece of evidence moves the posterior of a short text.
+    df = spark.createDataFrame(rows + [(300 + i, f"http://b1.example.de/{i}", page("de", "x1 q")) for i in range(3)], "page_id long, url string, html string")
+    read = df.select("page_id", "url", language.page_text("html").alias("body"), language.markup_language("html").alias("declared"), language.page_host("url").alias("site")).cache()
+    of = lambda **k: language.identify(read, id="page_id", text="body", **({"declared": "declared", "host": "site", "url": "url"} | k)).where("page_id = 300").first()["_posterior"]
+    whole = of()
+    assert len({round(x, 9) for x in (whole, of(host=None), of(url=None))}) == 3
