@@ -3,8 +3,9 @@
 Each document has the key -ln(u) / w, with u a hash of its id and text and w its quality weight; small keys go first. A source
 with the target t and the size s gives floor(t / s) complete epochs and then documents in key order until the words that are left
 are used up; the last of them is cut. The order inside a source is a prefix sum, but no source is ever sorted whole: sizes are
-summed by source and key bucket, a running sum over at most BUCKETS rows of a source finds the bucket in which the budget ends,
-and only that bucket is sorted. So a source that holds a third of all rows costs no more than the others.
+summed by source and key bucket, and a running sum over at most BUCKETS rows of a source finds the bucket in which the budget ends.
+While that bucket holds more than EDGE_ROWS rows, it is dealt into BUCKETS smaller ones by the next bits of the key, and so on; only
+the last is sorted. So a source that holds a third of all rows costs no more than the others, however many rows that is.
 
 Defined cases: null text counts 0 words and is never taken; a null source is a source, last in order; a null id hashes like any
 value; repeated rows are taken as rows of their own, in any order among equals; an empty table gives an empty table; an input column
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, join_small, shield, text_or_empty, unshield, word_count
 
-#: Key buckets of a source.
-BUCKETS = 4096
+#: Key buckets of a source, and of a bucket; BUCKETS ** LEVELS tells keys apart to their last bits but four.
+BUCKETS, LEVELS = 4096, 4
+#: Rows of the bucket in which a budget ends that are sorted.
+EDGE_ROWS = 1000
 #: Weights of the sources in order, repeated.
 CYCLE = (3.0, 1.0, 2.0)
 #: A column name that no table has.
@@ -73,27 +76,46 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     own, names = shield(weighed)
     weight, text, id, source = (names.pop(WEIGHT) if c == WEIGHT else names[c] for c in (WEIGHT, text, id, source))
     drawn = (F.pmod(F.xxhash64(F.lit(seed), F.col(id), F.col(text)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = own.withColumns({"_source": F.col(source), "_key": -F.ln(drawn) / F.col(weight), "_words": word_count(text), "_digest": F.xxhash64(F.col(text))}).withColumn("_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    keyed = own.withColumns({"_source": F.col(source), "_key": -F.ln(drawn) / F.col(weight), "_words": word_count(text), "_digest": F.xxhash64(F.col(text))}).withColumn("_place", F.least(F.lit(1.0) - F.exp(-F.col("_key")), F.lit(1.0 - 2.0**-52)))
     if not keep_text:
         keyed, names = cut(keyed.drop(text)), {c: own for c, own in names.items() if own != text}
-    sums = cut(keyed.groupBy("_source", "_bucket").agg(F.sum("_words").alias("_sum")))
+    slim = keyed if not keep_text else cut(keyed.select("_source", "_place", "_words"))
+    same = lambda a, b: a["_source"].eqNullSafe(b["_of"])
+    cell = lambda scale: F.floor(F.col("_place") * scale)
+    sums = cut(slim.groupBy("_source", cell(F.lit(BUCKETS)).alias("_cell")).agg(F.sum("_words").alias("_sum")))
     sources = water_fill(weights(sums.groupBy("_source").agg(F.sum("_sum").alias("_size"))), share, most)
     sources = sources.withColumn("_epochs", F.when(F.col("_size") > 0, F.floor(F.col("_target") / F.col("_size"))).otherwise(0).cast("long")).withColumn("_budget", F.round(F.col("_target") - F.col("_epochs") * F.col("_size")).cast("long"))
-    same = lambda a, b: a["_source"].eqNullSafe(b["_source"])
-    below = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    running = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(below), F.lit(0)))
-    edge = running.join(sources.select("_source", "_budget"), same(running, sources)).where((F.col("_before") <= F.col("_budget")) & (F.col("_budget") < F.col("_before") + F.col("_sum")))
-    edge = edge.groupBy(running["_source"].alias("_source")).agg(F.min(F.struct("_bucket", "_before")).alias("_edge"))
-    plan = cut(sources.join(edge, same(sources, edge), "left").select(sources["_source"].alias("_of"), F.col("_size").alias("_source_size"), "_target", "_epochs", "_budget", F.col("_edge._bucket").alias("_last"), F.col("_edge._before").alias("_before")))
-    ready = join_small(keyed, plan, keyed["_source"].eqNullSafe(plan["_of"]))
-    at_edge = F.col("_bucket").eqNullSafe(F.col("_last"))
-    whole = ready.where(~at_edge).withColumn("_cut", F.when(F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")), F.when(F.col("_budget") > 0, F.col("_words")).otherwise(0)).otherwise(0).cast("long"))
+    plan = cut(sources.select(F.col("_source").alias("_of"), F.col("_size").alias("_source_size"), "_target", "_epochs", "_budget", F.lit(0).cast("long").alias("_last"), F.lit(1).cast("long").alias("_scale"), F.lit(0).cast("long").alias("_before")))
+    plan = narrowed(plan, sums, same)
+    for _ in range(LEVELS - 1):  # a bucket that is too full is dealt by the next bits of the key
+        edge = join_small(slim, plan, same(slim, plan)).where((F.col("_scale") > 1) & (cell(F.col("_scale")) == F.col("_last")))
+        edge = cut(edge.groupBy("_source", cell(F.col("_scale") * BUCKETS).alias("_cell")).agg(F.sum("_words").alias("_sum"), F.count("*").alias("_n")))
+        full = edge.groupBy("_source").agg(F.sum("_n").alias("_n")).where(F.col("_n") > EDGE_ROWS)
+        if full.isEmpty():
+            break
+        plan = narrowed(plan, edge.join(full.select(F.col("_source").alias("_of")), F.col("_source").eqNullSafe(F.col("_of")), "left_semi"), same)
+    ready = join_small(keyed, plan, same(keyed, plan))
+    at = F.when(F.col("_scale") > 1, cell(F.col("_scale")))  # null in a source that has no edge
+    at_edge = F.coalesce(at == F.col("_last"), F.lit(False))
+    whole = ready.where(~at_edge).withColumn("_cut", F.when((F.col("_budget") > 0) & (at.isNull() | (at < F.col("_last"))), F.col("_words")).otherwise(0).cast("long"))
     order = Window.partitionBy("_source").orderBy("_key", F.col(id), "_digest", "_words").rowsBetween(Window.unboundedPreceding, -1)
     part = ready.where(at_edge).withColumn("_cut", F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_budget") - F.col("_before") - F.coalesce(F.sum("_words").over(order), F.lit(0)))).cast("long"))
     out = whole.unionByName(part).withColumn("_taken", F.col("_epochs") * F.col("_words") + F.col("_cut"))
     return unshield(out, names, **{c: F.col(c) for c in ("_words", "_source_size", "_target", "_epochs", "_cut", "_taken")})
 
 
+def narrowed(plan: DataFrame, sums: DataFrame, same) -> DataFrame:
+    """plan (a row for each source) with the cell of `sums` (_source, _cell, _sum) in which its budget ends, if it does in one, the finer
+    scale of these cells and the words before it."""
+    below = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    running = sums.withColumn("_below", F.coalesce(F.sum("_sum").over(below), F.lit(0)))
+    met = running.join(plan.select("_of", "_budget", "_before"), same(running, plan)).withColumn("_start", F.col("_before") + F.col("_below"))
+    edge = met.where((F.col("_start") <= F.col("_budget")) & (F.col("_budget") < F.col("_start") + F.col("_sum"))).groupBy(F.col("_of").alias("_edge_of")).agg(F.min(F.struct("_cell", "_start")).alias("_edge"))
+    moved = F.col("_edge").isNotNull()
+    found = {"_last": F.when(moved, F.col("_edge._cell")).otherwise(F.col("_last")), "_before": F.when(moved, F.col("_edge._start")).otherwise(F.col("_before")), "_scale": F.when(moved, F.col("_scale") * BUCKETS).otherwise(F.col("_scale"))}
+    return cut(plan.join(edge, F.col("_of").eqNullSafe(F.col("_edge_of")), "left").withColumns(found).drop("_edge_of", "_edge"))
+
+
 def first_words(text: str, n: str) -> Column:
     """The text up to the end of its n-th word, cut between a word and white space, so that nothing inside changes."""
     pieces = F.split(F.col(text), "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
