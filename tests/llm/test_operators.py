@@ -756,3 +756,30 @@ def test_pages_have_all_evidence(spark):
     of = lambda **k: language.identify(read, id="page_id", text="body", **({"declared": "declared", "host": "site", "url": "url"} | k)).where("page_id = 300").first()["_posterior"]
     whole = of()
     assert len({round(x, 9) for x in (whole, of(host=None), of(url=None))}) == 3
+
+
+@pytest.mark.parametrize("buckets, edge_rows", [(4096, 1000), (4, 2), (2, 1)])
+def test_which_documents_are_taken(spark, docs, monkeypatch, buckets, edge_rows):
+    """Keys, order, cut and taken words of each document once more in plain Python, with one bucket or many."""
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge_rows)
+    monkeypatch.setattr(mixing, "LEVELS", 12)
+    hot = docs.unionByName(spark.range(300).select(F.col("id").cast("long").alias("doc_id"), F.concat(F.lit("word #$ "), F.col("id") % 7, F.repeat(F.lit(" w"), (F.col("id") % 5).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.lit("s0").alias("source"), F.lit(1).cast("long").alias("n_chars"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("size"), F.lit(1).alias("shard"), F.lit("").alias("keep_id")))
+    rows = hot.select("doc_id", "text", "source", F.pmod(F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text")), F.lit(1 << 52)).alias("h"), mixing.quality_weight("text").alias("w")).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += len((r["text"] or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = fill(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5, 2)
+    want = Counter()
+    for s in sizes:
+        epochs = int(target[s] // sizes[s]) if sizes[s] else 0
+        left = int(np.floor(target[s] - epochs * sizes[s] + 0.5))
+        mine = [(-np.log((r["h"] + 0.5) / 2**52) / r["w"], len((r["text"] or "").encode().split()), r["doc_id"]) for r in rows if r["source"] == s]
+        for _, n, i in sorted(mine, key=lambda m: m[0]):
+            take = max(0, min(n, left))
+            left -= take
+            want[i, epochs * n + take] += 1
+    for keep_text in (True, False):
+        got = mixing.mix(hot, keep_text=keep_text)
+        assert Counter((r["doc_id"], r["_taken"]) for r in got.collect()) == want
