@@ -65,6 +65,57 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most:
     return left.join(small_side(right, most), on, how)
 
 
+#: A key filter has at most 2^FILTER_BITS bits, 32 MB, and else a hundred bits a key or more, so it is wrong for one row in a hundred at most.
+FILTER_BITS = 28
+#: Bits of one bitmap, as bitmap_construct_agg makes them.
+MAP_BITS = 32768
+
+
+def flagged(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """rows with `_likely`: false where their key is certainly none of the keys (a table that is cut). The keys' hashes are marked in
+    bitmaps of a bounded size, which are broadcast; so wide rows need not be shuffled to learn that they meet nothing. A filter that
+    has filled up only tells less."""
+    bits = min(FILTER_BITS, max(15, (100 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(on), F.lit(1 << bits))
+    maps = cut(keys.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / MAP_BITS).alias("_map")).agg(F.bitmap_construct_agg(F.col("_p") % MAP_BITS).alias("_bits")))
+    met = rows.withColumn("_place", place).join(F.broadcast(maps), F.floor(F.col("_place") / MAP_BITS) == F.col("_map"), "left")
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_place % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    likely = F.coalesce(F.expr("shiftright(_byte, cast(_place % 8 as int)) & 1") == 1, F.lit(False))
+    return met.withColumn("_byte", byte).withColumn("_likely", likely).drop("_place", "_map", "_bits", "_byte")
+
+
+def _few(keys: DataFrame, most: int) -> bool:
+    return keys.limit(most + 1).count() <= most
+
+
+def rows_with(rows: DataFrame, keys: DataFrame, on: str, most: int | None = None) -> DataFrame:
+    """The wide rows whose key is among the keys (one column, cut): by broadcast if they are few; else only likely rows are shuffled."""
+    keys = keys.select(on)
+    if _few(keys, BROADCAST_ROWS if most is None else most):
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    return flagged(rows, keys, on).where("_likely").drop("_likely").join(keys, on, "left_semi")
+
+
+def rows_without(rows: DataFrame, slim: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The wide rows whose key isn't among the keys; slim has the keys of all rows and nothing else of them, and is cut like the keys.
+    Rows that are certainly without stay where they are. Which of the likely ones are without after all is found out from slim, so
+    only these are shuffled."""
+    keys = keys.select(on)
+    if _few(keys, BROADCAST_ROWS):
+        return rows.join(F.broadcast(keys), on, "left_anti")
+    mistaken = cut(flagged(slim.select(on), keys, on).where("_likely").select(on).join(keys, on, "left_anti").distinct())
+    return flagged(rows, keys, on).where("not _likely").drop("_likely").unionByName(rows_with(rows, mistaken, on))
+
+
+def rows_left_join(rows: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Wide rows with what right (cut, one row a key) has for their key, nulls where it has nothing: by broadcast if right is small; else
+    only likely rows are shuffled."""
+    if _few(right, BROADCAST_ROWS):
+        return rows.join(F.broadcast(right), on, "left")
+    told = flagged(rows, right.select(on), on)
+    return told.where("_likely").drop("_likely").join(right, on, "left").unionByName(told.where("not _likely").drop("_likely"), allowMissingColumns=True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most: int = 4 << 20, rows: int | None = None) -> Iterator[None]:
     """What is written or counted inside hands rows to Python in batches of some `most` bytes, or of one row that is longer; and of at

@@ -1,7 +1,8 @@
 """Exact deduplication: group by a 128-bit content hash, keep the smallest id, compare bytes inside groups.
 
 Texts are equal if they are identical after each run of white space became one space. Only ids and hashes are shuffled for the
-groups; the bytes of a text move only if another row has its hash, and then the least and the greatest text of each hash meet after
+groups; the bytes of a text move only if another row has its hash or, where the hashes of groups are too many to broadcast, a filter of
+theirs takes it in by mistake (one in a hundred, until the filter is full); and then the least and the greatest text of each hash meet after
 a partial aggregation, so a group that holds a third of all rows arrives as one row per task. Where least and greatest differ, the
 hash has collided, and the rows of that hash are grouped by their bytes instead.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE_SPACE, cut, join_small, text_or_empty
+from tidemark.llm.common import WHITE_SPACE, cut, join_small, rows_with, text_or_empty
 
 
 def normalised(text: str = "text") -> Column:
@@ -34,11 +35,11 @@ def exact_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", cont
     read = docs.select(F.col(id).alias("_id"), normalised(text).alias("_text")).withColumn("_hash", content_hash(F.col("_text")))
     slim = cut(read.select("_id", "_hash", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")))
     groups = cut(slim.groupBy("_hash").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
-    members = join_small(read, groups.select("_hash"), "_hash", "left_semi")
+    members = rows_with(read, groups, "_hash")
     collided = cut(members.groupBy("_hash").agg(F.min("_text").alias("_least"), F.max("_text").alias("_most")).where("_least <> _most").select("_hash"))
     if not collided.isEmpty():
         good = join_small(slim, collided, "_hash", "left_anti")
-        bad = cut(join_small(read, collided, "_hash", "left_semi"))
+        bad = cut(rows_with(read, collided, "_hash"))
         by_bytes = bad.groupBy("_hash", "_text").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
         regrouped = bad.join(by_bytes, ["_hash", "_text"]).select("_id", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     else:

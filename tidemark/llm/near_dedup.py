@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.common import cut, join_small, shield, small_side, unshield
+from tidemark.llm.common import cut, join_small, rows_with, shield, small_side, unshield
 from tidemark.llm.components import components, with_links
 
 TREES, DEPTH = 16, 8
@@ -99,8 +99,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n: int, *, id: str, text: str)
                 sets = [words.shingles(w, n) for w in many]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["_node", "_set"])
 
+    texts = rows_with(docs.select(F.col(id).cast("long").alias("_of"), F.col(text).cast("string").alias("_text")), nodes, "_of")
     nodes = small_side(nodes)
-    texts = docs.select(F.col(id).cast("long").alias("_of"), F.col(text).cast("string").alias("_text")).join(nodes.select("_of"), "_of", "left_semi")
     sets = texts.select("_text").mapInArrow(read, "_node binary, _set array<long>")
     return sets.join(nodes.select("_node", "_n"), "_node").select("_n", "_set").dropDuplicates(["_n"])
 

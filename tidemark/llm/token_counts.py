@@ -2,8 +2,8 @@
 
 The cache is a Parquet table of (digest of the normalised content, digest of the tokenizer file, bytes, tokens). Documents are joined
 to it by digest; of each text that it lacks, one copy is encoded, and the counts are appended, so a second run over the same corpus
-encodes nothing. Texts don't move: a row whose text occurs once is encoded where it is read, and of repeated texts the row with the
-smallest id is.
+encodes nothing. A row whose text occurs once is encoded where it is read, and of repeated texts the row with the smallest id is. Which
+rows are left out is broadcast, or where these are too many a filter of them; then only the texts that it leaves out by mistake move.
 
 Normalised content: white-space runs become one space if the tokenizer's own normalizer says that they are one (it replaces \\s+ by a
 space); else the text as it is. Such a tokenizer also never joins across white space, so a text is counted word by word, through a
@@ -25,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.llm import words
-from tidemark.llm.common import WHITE_SPACE, cut, join_small, small_batches, text_or_empty
+from tidemark.llm.common import WHITE_SPACE, cut, join_small, rows_without, small_batches, text_or_empty
 
 #: Words that a worker remembers, 12 bytes each; when it is full it starts anew.
 MEMO_WORDS = 2_000_000
@@ -169,6 +169,11 @@ def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     return stored.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def row_key() -> Column:
+    """A row by its id and digest."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.hex("digest"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary"), 256))
+
+
 def token_counts(docs: DataFrame, path: str, cache: str, *, id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_tokens, over_limit. What the cache at `cache` lacked is appended to it."""
     spark, version, by_word = docs.sparkSession, file_digest(path), splits_at_space(path)
@@ -178,9 +183,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, id: str = "doc_id",
     digests = slim.groupBy("digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     known = cached(spark, cache, version)
     # Rows that are not to be encoded: of texts in the cache, and copies of another row.
-    done = cut(digests.join(known.select("digest"), "digest", "left_semi").select("digest"))
-    twice = cut(digests.where("_rows > 1").select("digest", "_first"))
-    rows = join_small(join_small(read, done, "digest", "left_anti"), twice, "digest", "left").where("_first is null or _id <=> _first")
+    judged = slim.select("_id", "digest").join(digests.join(known.select("digest", F.lit(True).alias("_known")), "digest", "left").where("_known or _rows > 1"), "digest")
+    skip = cut(judged.where("_known or not _id <=> _first").select(row_key().alias("_row")).distinct())
+    rows = rows_without(read.withColumn("_row", row_key()), slim.select(row_key().alias("_row")), skip, "_row")
     with small_batches(spark):
         encode_rows(rows.select("digest", "_text"), path, by_word).withColumn("tokenizer", F.lit(version)).select(*SCHEMA.names).write.mode("append").parquet(cache)
     counts = cut(cached(spark, cache, version))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, join_small, small_batches, text_or_empty
+from tidemark.llm.common import cut, join_small, rows_left_join, small_batches, text_or_empty
 
 #: Bytes of a segment, and of the segments that are handed on at once.
 SEGMENT, BATCH = 1 << 16, 4 << 20
@@ -53,7 +53,7 @@ def planned(pages: DataFrame, *, id: str, url: str, payload: str, least: int) ->
     body = text_or_empty(payload)
     read = pages.select(F.col(id).alias("_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("_url"), body.alias("_payload"), base32_sha1(body.cast("binary")).alias("_sha1"), F.octet_length(body).cast("long").alias("_bytes"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("_key"))
     groups = read.where(F.col("_bytes") >= least).groupBy("_key").agg(F.max("_id").alias("_last"), F.count("*").alias("_many")).where("_many > 1").select("_key", "_last")
-    joined = join_small(read, cut(groups), "_key", "left")
+    joined = rows_left_join(read, cut(groups), "_key")
     return joined.withColumn("_refers_to", F.when(~F.col("_last").eqNullSafe(F.col("_id")), F.col("_last"))).drop("_key", "_last")
 
 
