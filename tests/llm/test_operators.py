@@ -783,3 +783,41 @@ def test_which_documents_are_taken(spark, docs, monkeypatch, buckets, edge_rows)
     for keep_text in (True, False):
         got = mixing.mix(hot, keep_text=keep_text)
         assert Counter((r["doc_id"], r["_taken"]) for r in got.collect()) == want
+
+
+# Wide rows and many keys ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most, bits", [(100_000, 28), (0, 28), (0, 15)])
+def test_wide_rows_meet_keys(spark, monkeypatch, most, bits):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.range(3000).select(F.sha1((F.col("id") % 2500).cast("string").cast("binary")).alias("k"), F.col("id").alias("i")).unionByName(spark.createDataFrame([(None, -1)], "k string, i long")).cache()
+    keys = common.cut(rows.where("i % 3 = 0 and i < 2500").select("k", F.lit(7).alias("v")))
+    inside = {r["k"] for r in keys.collect()}
+    of = lambda df: Counter(map(tuple, df.select("k", "i").collect()))
+    every = rows.collect()
+    assert of(common.rows_with(rows, keys, "k")) == Counter((r["k"], r["i"]) for r in every if r["k"] in inside)
+    assert of(common.rows_without(rows, rows.select("k"), keys, "k")) == Counter((r["k"], r["i"]) for r in every if r["k"] not in inside)
+    joined = common.rows_left_join(rows, keys, "k").select("k", "i", "v").collect()
+    assert Counter(map(tuple, joined)) == Counter((r["k"], r["i"], 7 if r["k"] in inside else None) for r in every)
+    none = keys.limit(0)
+    assert common.rows_with(rows, none, "k").count() == 0 and common.rows_without(rows, rows.select("k"), none, "k").count() == 3001
+
+
+def test_few_texts_move(spark, docs, tmp_path, monkeypatch):
+    """With no key table broadcast, the exchanges under a semi join hold likely rows alone, and operators give the same results."""
+    from tidemark.llm import common
+
+    rows = lambda df: Counter(map(str, df.collect()))
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    run = lambda at: (rows(exact_dedup.exact_dedup(docs)), rows(near_dedup.near_groups(docs, shingle=3, percent=85).drop("_node")), rows(token_counts.token_counts(docs, path, f"{tmp_path}/{at}")))
+    before = run("a")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert run("b") == before
+    many = spark.range(20_000).select("id", F.sha1(F.col("id").cast("string").cast("binary")).alias("k"), F.repeat(F.lit("text"), 10).alias("_text"))
+    keys = common.cut(many.where("id % 50 = 0").select("k"))
+    plan = common.rows_with(many, keys, "k")
+    assert common.flagged(many, keys, "k").where("_likely").count() < 400 + 300 and plan.count() == 400
