@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation as E
-from tidemark.operators import features, history, metrics, odds
+from tidemark.operators import boosting, features, history, metrics, odds
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
+from tidemark.session import cut
 
 WITH = f"WITH {P.SQL}"
 CLOSING = f"""{WITH}, last AS (SELECT bout_id, fighter, book, arg_max(moneyline, collected_at) AS moneyline, max(collected_at) AS collected_at FROM price GROUP BY 1, 2, 3),
@@ -158,11 +159,52 @@ def lr_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(metrics.evaluate(oof, "self_won", "p", by=("val_year",)))
 
 
+def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Both rows of every decided bout with the differences of all numeric features, missing ones left missing, and the columns' names."""
+    from tidemark.operators import matrix
+    from tidemark.plans.feature_queries import _by_bout
+
+    rows = matrix.differential(matrix.symmetrize(_by_bout(spark, sf_dir)), keep=("bout_id", "day", "source_corner"))
+    return rows, [c for c in rows.columns if c.startswith("diff_")]
+
+
 @query()
 def gbt_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = _training(spark, sf_dir)
-    oof = E.out_of_fold(rows.cache(), columns, lambda c, n: E.boosted(c, maxIter=5), warm_up=1997)
-    return P.rounded(metrics.evaluate(oof, "self_won", "p", by=("val_year",)))
+    """Boosted trees over all differences, missing values as they are, for every year from 1995; all years' models grow together. Of each
+    year the metrics, and by how much the two probabilities of a bout miss 1."""
+    rows, columns = _matrix(spark, sf_dir)
+    oof = cut(boosting.out_of_fold(cut(rows), columns, "self_won", [1995, 1996, 1997, 1998], params=boosting.Params(trees=10)))
+    pairs = oof.groupBy("val_year", "bout_id").agg(F.abs(F.sum("p") - 1).alias("miss")).groupBy("val_year").agg(F.max("miss").alias("max_pair_miss"), F.avg("miss").alias("mean_pair_miss"))
+    return P.rounded(metrics.evaluate(oof, "self_won", "p", by=("val_year",)).join(pairs, "val_year"))
+
+
+#: Ends of the bins of the first splits.
+EDGES = {"diff_career_win_pct": [-0.3, -0.1, 0.0, 0.1, 0.3], "diff_total_fights": [-6.0, -2.0, 0.0, 2.0, 6.0], "diff_days_since_last_fight": [-90.0, -20.0, 0.0, 20.0, 90.0], "diff_finish_rate": [-0.2, 0.0, 0.2]}
+_BINS = " UNION ALL ".join(f"SELECT bout_id, self, y, '{c}' AS c, {i} AS i, CASE WHEN {c} IS NOT NULL THEN len([e for e in {e} if e < {c}]) END AS b FROM x" for i, (c, e) in enumerate(EDGES.items()))
+_GRID = " UNION ALL ".join(f"SELECT '{c}' AS c, k, d FROM range({len(e) + 1}) t(k), (VALUES (true), (false)) u(d)" for c, e in EDGES.items())
+
+
+def _split_sql(name: str, rows: str) -> str:
+    """The best split of each node of `rows` (node, bout_id, self, y) as the table `name`."""
+    left = "(o.b <= s.k OR (o.b IS NULL AND s.d))"
+    weight = lambda g, h: f"power({g}, 2) / ({h} + 1)"
+    return f"""{name}_all AS (SELECT node, sum(0.5 - y) AS g, count(*) * 0.25 AS h, count(*) AS n FROM {rows} GROUP BY 1),
+    {name}_side AS (SELECT r.node, o.c, o.i, s.k, s.d, count(*) FILTER (o.b IS NULL) AS gaps, coalesce(sum(0.5 - r.y) FILTER ({left}), 0) AS gl, count(*) FILTER ({left}) * 0.25 AS hl, count(*) FILTER ({left}) AS nl FROM {rows} r JOIN long o USING (bout_id, self) JOIN grid s ON s.c = o.c GROUP BY ALL),
+    {name}_gain AS (SELECT *, {weight("gl", "hl")} + {weight("g - gl", "h - hl")} - {weight("g", "h")} AS gain FROM {name}_side JOIN {name}_all USING (node) WHERE nl >= 20 AND n - nl >= 20 AND (d OR gaps > 0)),
+    {name} AS (SELECT node, arg_max({{'c': c, 'k': k, 'd': d, 'gain': gain}}, (gain, -i, -k, d)) AS s FROM {name}_gain WHERE gain > 0 GROUP BY node)"""
+
+
+@query(f"""WITH {P.SQL}, {P.PRIOR}, f AS (SELECT *, wins / nullif(decided, 0) AS career_win_pct, bouts AS total_fights, day - last_day AS days_since_last_fight, fin / nullif(wins, 0) AS finish_rate FROM prior),
+    x AS (SELECT s.bout_id, s.self, s.won AS y, {", ".join(f"a.{c[5:]} - b.{c[5:]} AS {c}" for c in EDGES)} FROM sides s JOIN f a ON a.bout_id = s.bout_id AND a.self = s.self JOIN f b ON b.bout_id = s.bout_id AND b.self = s.opp WHERE s.status = 'completed' AND s.won IS NOT NULL),
+    long AS MATERIALIZED ({_BINS}), grid AS ({_GRID}), top AS (SELECT 1 AS node, bout_id, self, y FROM x), {_split_sql("one", "top")},
+    low AS (SELECT CASE WHEN (o.b <= one.s.k OR (o.b IS NULL AND one.s.d)) THEN 2 ELSE 3 END AS node, o.bout_id, o.self, o.y FROM long o, one WHERE o.c = one.s.c), {_split_sql("two", "low")}
+    SELECT CAST(node AS INT) AS node, s.c AS feature, CAST(s.k AS INT) AS last_bin, s.d AS missing_left, round(s.gain, 6) AS gain FROM (FROM one UNION ALL FROM two)""")
+def first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits of a first tree of depth 2 over four differences with missing values."""
+    rows, _ = _training(spark, sf_dir)
+    model = boosting.fit(rows, list(EDGES), "self_won", [boosting.Params(trees=1, depth=2)], edges=EDGES)
+    found = [(n, c, b, left, float(model.trees[0]["gain"][n])) for n, c, b, left in model.splits()[0]]
+    return P.rounded(spark.createDataFrame(found, "node int, feature string, last_bin int, missing_left boolean, gain double"))
 
 
 @query()
