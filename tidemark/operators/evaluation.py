@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import matrix, metrics
+from tidemark.operators import matrix, metrics, ranks
 
 # Models -------------------------------------------------------------------------------------------------------------------------
 
 
 def impute(train: DataFrame, *others: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
-    """Missing values become the exact median of the training rows, and <c>_missing says where. One aggregation for all medians."""
-    medians = train.agg(*[F.median(c).alias(c) for c in columns]).first()
+    """Missing values become the exact median of the training rows, and <c>_missing says where."""
+    medians = ranks.medians(train, columns)
     fill = lambda df: df.withColumns({**{f"{c}_missing": F.col(c).isNull().cast("double") for c in columns}, **{c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in columns}})
     return [fill(df) for df in (train, *others)]
 
@@ -263,14 +263,15 @@ def top_configs(scores: DataFrame, metric: str, params: Sequence[str], n: int =
 
 
 def shuffled_labels(df: DataFrame, label: str, *, seed: int = 42, by: str | None = None) -> DataFrame:
-    """df with its labels dealt anew: rows in the order of one hash get the labels in the order of another. Ranks are taken inside
-    hash buckets of the key, so labels move within a bucket and no task sees all rows."""
-    key = F.xxhash64(*[F.col(by)] if by else [F.col(c) for c in df.columns])
-    spread = df.withColumns({"_h": F.xxhash64(key, F.lit(seed)), "_g": F.xxhash64(key, F.lit(seed + 1))}).withColumn("_b", F.pmod("_h", F.lit(64)))
-    rank = lambda c: F.row_number().over(Window.partitionBy("_b").orderBy(c))
-    rows = spread.withColumn("_i", rank("_h"))
-    labels = spread.select("_b", F.col(label).alias("_label"), rank("_g").alias("_i"))
-    return rows.drop(label).join(labels, ["_b", "_i"]).withColumnRenamed("_label", label).select(*df.columns)
+    """df with its labels dealt anew over all rows: rows are numbered in the order of one hash of the key and labels in the order of
+    another, and equal numbers meet. The key (`by`, or all columns) should differ between rows. Numbers are running ones inside hash
+    buckets, so no task sees all rows."""
+    key = F.col(by) if by else F.xxhash64(*[F.col(c) for c in df.columns])
+    kept = df.select(F.struct(*df.columns).alias("_row"), key.alias("_k"))
+    rows = numbered(kept, seed, by=("_k",))
+    labels = numbered(df.select(key.alias("_k"), F.col(label).alias("_label")), seed + 1, by=("_k",)).select("_i", "_label")
+    joined = rows.join(labels, "_i")
+    return joined.select(*[F.col("_label").alias(c) if c == label else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def shuffle_test(train: DataFrame, held: DataFrame, columns: Sequence[str], label: str, *, seed: int = 42, by: str | None = None) -> DataFrame:
@@ -282,14 +283,12 @@ def shuffle_test(train: DataFrame, held: DataFrame, columns: Sequence[str], labe
 
 def ks_drift(df: DataFrame, columns: Sequence[str], side: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per column between rows with side true (n_a) and false (n_b): d, p_value, mean and standard
-    deviation of both. Equal values are summed first, so the ordered part works on distinct values of one column."""
-    long = df.select(side.alias("_a"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in columns]))).where("_x is not null and _a is not null")
-    one = lambda s: F.when(F.col("_a") == s, F.col("_x"))
+    deviation of both. The distribution functions are running sums over lanes of values (ranks.steps), so no task sees a column."""
+    long = ranks.long_values(df, columns, side.alias("_a")).where("_a is not null")
+    one = lambda s: F.when(F.col("_a") == s, F.col("value"))
     stats = long.groupBy("feature").agg(*[f(one(s)).alias(f"{n}_{k}") for s, k in ((True, "a"), (False, "b")) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.stddev_pop, "std"))])
-    values = long.groupBy("feature", "_x").agg(F.count(one(True)).alias("_ca"), F.count(one(False)).alias("_cb"))
-    upto = Window.partitionBy("feature").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    steps = values.withColumns({"_sa": F.sum("_ca").over(upto), "_sb": F.sum("_cb").over(upto)}).join(F.broadcast(stats), "feature")
-    d = steps.groupBy("feature").agg(F.max(F.abs(F.col("_sa") / F.col("n_a") - F.col("_sb") / F.col("n_b"))).alias("d"))
+    steps = ranks.steps(long.select("feature", "value", F.col("_a").cast("long").alias("a"), (~F.col("_a")).cast("long").alias("b")), "a", "b").join(F.broadcast(stats), "feature")
+    d = steps.groupBy("feature").agg(F.max(F.abs(F.col("a_upto") / F.col("n_a") - F.col("b_upto") / F.col("n_b"))).alias("d"))
     out = d.join(stats, "feature")
     m = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     x = (m + 0.12 + 0.11 / m) * F.col("d")
@@ -297,15 +296,16 @@ def ks_drift(df: DataFrame, columns: Sequence[str], side: Column) -> DataFrame:
     return out.withColumn("p_value", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))))
 
 
-def numbered(df: DataFrame, seed: int = 0, rows: int = 100_000) -> DataFrame:
-    """df with _i, from 0 without gaps: a running number inside hash buckets of some `rows` rows, behind the buckets before."""
-    total = df.count()
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
+def numbered(df: DataFrame, seed: int = 0, rows: int = 100_000, by: Sequence[str] | None = None) -> DataFrame:
+    """df with _i, from 0 without gaps: a running number inside hash buckets (of the columns `by`, all by default) of some `rows` rows,
+    behind the buckets before."""
+    total, by = df.count(), tuple(by or df.columns)
+    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in by])
     dealt = df.withColumn("_b", F.pmod(key, F.lit(max(8, -(-total // rows)))))
     sizes = dealt.groupBy("_b").agg(F.count("*").alias("_many"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*df.columns))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 7), *[F.col(c) for c in by]), *by))
     return dealt.join(F.broadcast(offsets), "_b").withColumn("_i", F.col("_before") + own - 1).drop("_b", "_before")
 
 
@@ -323,7 +323,8 @@ def permutation_null(df: DataFrame, y: str, p: str, n: int, *, draws: int = 2000
 
 def against_null(null: DataFrame, ece: float) -> DataFrame:
     """One row: 95th percentile of the null and the share of draws at least as bad."""
-    return null.agg(F.percentile("ece", F.lit(0.95)).alias("p95"), F.avg((F.col("ece") >= ece).cast("double")).alias("p_value"))
+    p95 = ranks.quantiles(null, ["ece"], [0.95]).select(F.col("quantile").alias("p95"))
+    return p95.join(null.agg(F.avg((F.col("ece") >= ece).cast("double")).alias("p_value")))
 
 
 def fold_trend(df: DataFrame, y: str, p: str, year: Column | str = "val_year") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation as E
-from tidemark.operators import boosting, features, history, metrics, odds
+from tidemark.operators import boosting, features, history, metrics, odds, ranks
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
 from tidemark.session import cut
@@ -106,13 +106,38 @@ def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KS = """SELECT '{0}' AS feature, (SELECT max(abs(fa - fb)) FROM (SELECT v, (SELECT count(*) FROM pred a WHERE year(a.day) < 1996 AND a.{0} <= v) / (SELECT count(*) FROM pred WHERE year(day) < 1996) AS fa,
     (SELECT count(*) FROM pred b WHERE year(b.day) >= 1996 AND b.{0} <= v) / (SELECT count(*) FROM pred WHERE year(day) >= 1996) AS fb FROM (SELECT DISTINCT {0} AS v FROM pred))) AS d,
-    count(*) FILTER (year(day) < 1996) AS n_a, count(*) FILTER (year(day) >= 1996) AS n_b, avg({0}) FILTER (year(day) < 1996) AS mean_a, avg({0}) FILTER (year(day) >= 1996) AS mean_b FROM pred"""
+    count(*) FILTER (year(day) < 1996) AS n_a, count(*) FILTER (year(day) >= 1996) AS n_b, avg({0}) FILTER (year(day) < 1996) AS mean_a, avg({0}) FILTER (year(day) >= 1996) AS mean_b, stddev_pop({0}) FILTER (year(day) < 1996) AS std_a, stddev_pop({0}) FILTER (year(day) >= 1996) AS std_b FROM pred"""
 
 
-@query(f"{WITH}, k AS ({KS.format('p')} UNION ALL {KS.format('q')}) SELECT feature, round(d, 6) AS d, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b FROM k")
+@query(f"""{WITH}, k AS ({KS.format('p')} UNION ALL {KS.format('q')}), x AS (SELECT *, (m + 0.12 + 0.11 / m) * d AS x FROM (SELECT *, sqrt(n_a * n_b / (n_a + n_b)) AS m FROM k))
+    SELECT feature, round(d, 6) AS d, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(std_a, 6) AS std_a, round(std_b, 6) AS std_b,
+    round(CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum(2 * power(-1, j - 1) * exp(-2 * j * j * x * x)) FROM range(1, 101) t(j)))) END, 6) AS p_value FROM x""")
 def ks_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     drift = E.ks_drift(P.predictions(spark, sf_dir), ("p", "q"), F.year("day") < 1996)
-    return P.rounded(drift.select("feature", "d", "n_a", "n_b", "mean_a", "mean_b"))
+    return P.rounded(drift.select("feature", "d", "n_a", "n_b", "mean_a", "mean_b", "std_a", "std_b", "p_value"))
+
+
+_QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
+_QUANTILE_COLUMNS = {"l_extendedprice": "lineitem", "l_quantity": "lineitem", "l_tax": "lineitem"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, {p}::DOUBLE AS prob, round(quantile_cont(CASE WHEN l_partkey % 7 <> 0 THEN {c} END, {p}), 6) AS quantile FROM lineitem" for c in _QUANTILE_COLUMNS for p in _QUANTILES))
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of columns with many, few and missing values."""
+    lines = P.table(spark, sf_dir, "lineitem").select(*[F.when(F.col("l_partkey") % 7 != 0, F.col(c)).alias(c) for c in _QUANTILE_COLUMNS])
+    return P.rounded(ranks.quantiles(lines, list(_QUANTILE_COLUMNS), _QUANTILES))
+
+
+@query(f"""WITH {P.SQL}, {P.PRIOR}, x AS (SELECT p.bout_id, p.self, year(p.day) < 1996 AS early, p.wins / nullif(p.decided, 0) AS career_win_pct, p.fin / nullif(p.wins, 0) AS finish_rate FROM prior p JOIN sides s USING (bout_id, self) WHERE s.status = 'completed' AND s.won IS NOT NULL),
+    m AS (SELECT median(career_win_pct) FILTER (early) AS a, median(finish_rate) FILTER (early) AS b FROM x)
+    SELECT bout_id, self, round(coalesce(career_win_pct, a), 6) AS career_win_pct, round(coalesce(finish_rate, b), 6) AS finish_rate, CAST(career_win_pct IS NULL AS INT)::DOUBLE AS career_win_pct_missing, CAST(finish_rate IS NULL AS INT)::DOUBLE AS finish_rate_missing FROM x, m""")
+def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing features filled with the medians of the earlier years, in all years."""
+    names = ("career_win_pct", "finish_rate")
+    known = features.with_features(history.asof(history.bout_facts(P.bouts(spark, sf_dir)), stats=False), *names).where("status = 'completed' and won is not null")
+    rows = known.select("bout_id", "self", "day", *names)
+    filled = E.impute(rows.where(F.year("day") < 1996), rows, columns=names)[1]
+    return P.rounded(filled.drop("day"))
 
 
 @query(f"{WITH}, f AS (SELECT year(day) AS v, avg({LOSS.format('q')}) AS l FROM pred GROUP BY 1) SELECT round(corr(v, l), 6) AS trend, count(*) AS folds FROM f")
