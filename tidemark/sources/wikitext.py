@@ -10,29 +10,85 @@ from tidemark.functions import scalars as S
 #: The templates' names and the table's header.
 CARD, BOUT = "MMAevent card", "MMAevent bout"
 HEADERS = ("Event", "Date", "Venue", "Location")
-#: A bar that isn't inside a link.
-BAR = r"\|(?![^\[\]]*\]\])"
+#: Marks of wikitext, the beginning of a template of ours, and runs of other text.
+TOKEN = r"(?s)\{\{\s*MMAevent\s+(?:card|bout)\b|\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|]+|."
+#: What isn't text: comments and references.
+UNSEEN = r"(?s)<!--.*?-->|<ref\b[^>]*/>|<ref\b.*?</ref\s*>"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end, line ends included."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _depth(c: Column) -> Column:
+    """How deep templates are nested in a text, at most."""
+    marks = F.regexp_extract_all(c, F.lit(r"\{\{|\}\}"), F.lit(0))
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, m: F.struct((s["now"] + F.when(m == "{{", 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(m == "{{", 1).otherwise(-1)).alias("most")))["most"]
+
+
+def without_templates(c: Column) -> Column:
+    """A text without its templates, nested to whatever depth: the innermost go first, as often as the text is deep."""
+    rounds = F.when(_depth(c) > 0, F.sequence(F.lit(1), F.greatest(_depth(c), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, c, lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""))
+
+
+def linked(c: Column) -> Column:
+    """A text with links shown as they are read (the last part of a link), without quotes and tags, trimmed."""
+    shown = F.regexp_replace(c, r"\[\[(?:[^\[\]]*\|)?([^\[\]|]*)\]\]", "$1")
+    return strip(F.regexp_replace(F.regexp_replace(shown, "<[^<>]*>", ""), "'{2,}", ""))
 
 
 def plain(c: Column) -> Column:
-    """Text as it is shown: links become their text, quotes and nested templates go."""
-    shown = F.regexp_replace(F.regexp_replace(c, r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), r"\[\[([^\]]*)\]\]", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(shown, r"\{\{[^{}]*\}\}", ""), "'{2,}", ""))
+    """Text as it is shown: links become their text; quotes, tags, comments, references and templates go."""
+    return linked(without_templates(F.regexp_replace(c, UNSEEN, "")))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """The card and bout templates of pages (page_id, text), wherever they stand: page_id, position (from 0, in document order), name, and
+    their positional fields by number as two maps, `raw` with the markup and `shown` without what stands in nested templates.
+
+    Marks are told apart from text once; a running depth over the marks of a page says where a template ends and which bars are its own,
+    whatever is nested in it: bars in links and in inner templates aren't. Fields with a name are left out, those named by a number
+    have that number. A template that never ends is left out. One page's marks make one group."""
+    marks = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", UNSEEN, ""), F.lit(TOKEN), F.lit(0))).alias("_i", "_t"))
+    page = Window.partitionBy("page_id").orderBy("_i")
+    opens, closes = F.col("_t").startswith("{{"), F.col("_t") == "}}"
+    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(page)
+    deep = marks.withColumn("_d", level).withColumn("_s", F.last(F.when(F.col("_t").rlike("^\\{\\{\\s*MMA"), F.struct(F.col("_i").alias("at"), F.col("_d").alias("d"))), ignorenulls=True).over(page)).where("_s is not null")
+    own = Window.partitionBy("page_id", "_s.at").orderBy("_i")
+    links = F.sum(F.when(F.col("_t") == "[[", 1).when(F.col("_t") == "]]", -1).otherwise(0)).over(own)
+    held = deep.withColumns({"_low": F.min("_d").over(own), "_least": F.min("_d").over(Window.partitionBy("page_id", "_s.at")), "_l": links}).where((F.col("_low") >= F.col("_s.d")) & (F.col("_least") < F.col("_s.d")))
+    outside = (F.col("_d") == F.col("_s.d")) & ~closes  # not in an inner template; what closes one is on the outer level again
+    bar = (F.col("_t") == "|") & outside & (F.col("_l") <= 0)
+    fields = held.withColumn("_f", F.sum(bar.cast("int")).over(own)).withColumn("_bar", bar)
+    put = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("_i", "_t")))), lambda x: x["_t"]), "")
+    texts = fields.groupBy("page_id", F.col("_s.at").alias("_at"), "_f").agg(put(~F.col("_bar")).alias("_raw"), put(~F.col("_bar") & outside).alias("_shown"))
+    name = strip(F.regexp_extract("_shown", r"(?s)^(.*?)=", 1))
+    named = texts.withColumns({"_eq": (F.col("_f") > 0) & F.col("_shown").contains("="), "_n": F.when(name.rlike("^[1-9][0-9]{0,3}$"), name.cast("int"))})
+    counted = named.withColumn("_place", F.when(F.col("_eq"), F.col("_n")).when(F.col("_f") > 0, F.sum(F.when((F.col("_f") > 0) & ~F.col("_eq"), 1).otherwise(0)).over(Window.partitionBy("page_id", "_at").orderBy("_f"))).otherwise(0))
+    value = lambda c: F.when(F.col("_eq"), F.regexp_replace(c, r"(?s)^.*?=", "")).otherwise(F.col(c))
+    last = F.row_number().over(Window.partitionBy("page_id", "_at", "_place").orderBy(F.desc("_f")))
+    counted = counted.where("_place is not null").withColumn("_last", last).where("_last = 1")  # of fields of one number the last holds
+    found = counted.groupBy("page_id", "_at").agg(*[F.map_from_entries(F.collect_list(F.struct("_place", value(c)))).alias(k) for c, k in (("_raw", "raw"), ("_shown", "shown"))])
+    number = (F.row_number().over(Window.partitionBy("page_id").orderBy("_at")) - 1).cast("int")
+    title = strip(F.regexp_replace(F.element_at("raw", F.lit(0)), r"^\{\{\s*(MMAevent)\s+", "$1 "))
+    return found.select("page_id", number.alias("position"), title.alias("name"), "raw", "shown")
 
 
 def fight_cards(pages: DataFrame) -> DataFrame:
-    """One row per bout in document order, with the tier of the last card header before it."""
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\{\{\s*(MMAevent (?:card|bout)\b(?:[^{}]|\{\{[^{}]*\}\})*)\}\}"), F.lit(1))).alias("position", "_t"))
-    parts = found.withColumn("_p", F.split("_t", BAR)).withColumn("_name", F.trim(F.col("_p")[0]))
-    at = lambda i: F.coalesce(F.trim(F.get("_p", F.lit(i))), F.lit(""))
+    """One row per bout in document order, with the tier of the last card header before it. Texts are as they are shown; a link may also
+    stand in a nested template."""
+    raw = lambda i: F.coalesce(F.element_at("raw", F.lit(i)), F.lit(""))
+    shown = lambda i: linked(F.coalesce(F.element_at("shown", F.lit(i)), F.lit("")))
     order = Window.partitionBy("page_id").orderBy("position")
-    tiers = parts.withColumn("card_tier", F.last(F.when(F.col("_name") == CARD, plain(at(1))), ignorenulls=True).over(order)).where(F.col("_name") == BOUT)
-    name = lambda i: F.trim(F.regexp_replace(plain(at(i)), r"\(c\)", ""))
+    tiers = templates(pages).withColumn("card_tier", F.last(F.when(F.col("name") == CARD, shown(1)), ignorenulls=True).over(order)).where(F.col("name") == BOUT)
+    fighter = lambda i: strip(F.replace(shown(i), F.lit("(c)"), F.lit("")))
     return tiers.select(
-        "page_id", "position", "card_tier", plain(at(1)).alias("weight_class"),
-        name(2).alias("red"), S.link_target(at(2)).alias("red_link"), at(2).contains("(c)").alias("red_champion"), plain(at(3)).alias("connector"),
-        name(4).alias("blue"), S.link_target(at(4)).alias("blue_link"), at(4).contains("(c)").alias("blue_champion"),
-        plain(at(5)).alias("method"), plain(at(6)).alias("round"), plain(at(7)).alias("time"), plain(at(8)).alias("notes"),
+        "page_id", "position", "card_tier", shown(1).alias("weight_class"),
+        fighter(2).alias("red"), S.link_target(raw(2)).alias("red_link"), shown(2).contains("(c)").alias("red_champion"), shown(3).alias("connector"),
+        fighter(4).alias("blue"), S.link_target(raw(4)).alias("blue_link"), shown(4).contains("(c)").alias("blue_champion"),
+        shown(5).alias("method"), shown(6).alias("round"), shown(7).alias("time"), shown(8).alias("notes"),
     )
 
 
