@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation as E
-from tidemark.operators import boosting, features, history, metrics, odds, ranks
+from tidemark.operators import search as sequential
+from tidemark.operators import boosting, features, history, many_fits, metrics, odds, ranks
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
-from tidemark.session import cut
+from tidemark.session import cut, shared_dir
 
 WITH = f"WITH {P.SQL}"
 CLOSING = f"""{WITH}, last AS (SELECT bout_id, fighter, book, arg_max(moneyline, collected_at) AS moneyline, max(collected_at) AS collected_at FROM price GROUP BY 1, 2, 3),
@@ -179,9 +182,9 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 @query()
 def lr_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = _training(spark, sf_dir)
-    oof = E.out_of_fold(rows.cache(), columns, E.logistic, warm_up=1996)
-    return P.rounded(metrics.evaluate(oof, "self_won", "p", by=("val_year",)))
+    """Logistic regressions over all differences for every year from 1993, fitted together."""
+    rows, columns = _matrix(spark, sf_dir)
+    return P.rounded(many_fits.fold_losses(cut(rows), "self_won", {"all": columns, "four": columns[:4]}, [1993, 1994, 1995, 1996, 1997, 1998]))
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -203,6 +206,27 @@ def gbt_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(metrics.evaluate(oof, "self_won", "p", by=("val_year",)).join(pairs, "val_year"))
 
 
+@query()
+def gbt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The losses of a short sequential search over boosted trees, judged by two years."""
+    rows, columns = _matrix(spark, sf_dir)
+    space = {"trees": sequential.Real(2, 6, whole=True), "depth": sequential.Real(1, 3, whole=True), "rate": sequential.Real(0.05, 0.5, log=True), "least": (5, 20, 80)}
+    path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    E.search_boosted(cut(rows), columns, "self_won", [1996, 1997], path, "short", space=space, n=6, batch=3, warm_up=3)
+    return P.rounded(sequential.trials(spark, path, "short"))
+
+
+#: Groups of differences that are added and left out.
+GROUPS = {"experience": ("diff_total_fights", "diff_avg_fight_time_seconds", "diff_title_fight_experience"), "finishing": ("diff_finish_rate", "diff_ko_loss_rate", "diff_sub_loss_rate"), "body": ("diff_age", "diff_height_cm", "diff_reach_cm")}
+
+
+@query()
+def feature_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative, leave-one-out, added and single-column differences of the mean fold loss, all models from the same scans."""
+    rows, _ = _matrix(spark, sf_dir)
+    return P.rounded(many_fits.deltas(cut(rows), "self_won", ["diff_career_win_pct", "diff_slpm", "diff_sapm"], GROUPS, [1996, 1997, 1998]))
+
+
 #: Ends of the bins of the first splits.
 EDGES = {"diff_career_win_pct": [-0.3, -0.1, 0.0, 0.1, 0.3], "diff_total_fights": [-6.0, -2.0, 0.0, 2.0, 6.0], "diff_days_since_last_fight": [-90.0, -20.0, 0.0, 20.0, 90.0], "diff_finish_rate": [-0.2, 0.0, 0.2]}
 _BINS = " UNION ALL ".join(f"SELECT bout_id, self, y, '{c}' AS c, {i} AS i, CASE WHEN {c} IS NOT NULL THEN len([e for e in {e} if e < {c}]) END AS b FROM x" for i, (c, e) in enumerate(EDGES.items()))

@@ -69,9 +69,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced(table(spark, sf_dir, "events"))
 
 
-def priced(events: DataFrame) -> DataFrame:
+def priced(events: DataFrame, *keep: str) -> DataFrame:
     line = 100 + F.floor("value")
-    return events.select(F.floor(F.col("user_id") / 2).cast("long").alias("bout_id"), F.col("user_id").alias("fighter"), F.col("event_type").alias("book"), F.col("ts").alias("collected_at"), F.when(F.col("event_id") % 2 == 0, -line).otherwise(line).cast("int").alias("moneyline"))
+    return events.select(F.floor(F.col("user_id") / 2).cast("long").alias("bout_id"), F.col("user_id").alias("fighter"), F.col("event_type").alias("book"), F.col("ts").alias("collected_at"), F.when(F.col("event_id") % 2 == 0, -line).otherwise(line).cast("int").alias("moneyline"), *keep)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

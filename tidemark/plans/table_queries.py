@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import mutation, quality, resolve
+from tidemark.operators import mutation, quality, ranged, resolve, results
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
+from tidemark.session import shared_dir
 from tidemark.sources import readers, schemas, wikitext
 from tidemark.streaming import upserts
 
@@ -133,13 +136,36 @@ def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation.claim(rows, o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 2).alias("u")), key="k", column="u")
 
 
-@query(f"{WITH} SELECT bout_id, fighter, book, collected_at, max(moneyline) AS moneyline FROM price GROUP BY 1, 2, 3, 4")
+@query("""SELECT user_id // 2 AS bout_id, user_id AS fighter, event_type AS book, max(ts) AS collected_at, arg_max(CAST(CASE WHEN event_id % 2 = 0 THEN -(100 + floor(value)) ELSE 100 + floor(value) END AS INT), (ts, event_id)) AS moneyline, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2, 3""")
 def stream_dedupe_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last price of each fighter and book, whole, from a stream that is merged into a table in key ranges."""
     source = f"{sf_dir}/events.parquet"
-    columns = ["bout_id", "fighter", "book", "collected_at"]
-    select = lambda events: P.priced(events).withColumn("collected_at", F.col("collected_at").cast("timestamp"))
-    merged = upserts.merged_prices(spark, f"{sf_dir}/events.parque?", spark.read.parquet(source).schema, columns, select)
-    return merged.select("bout_id", "fighter", "book", F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "moneyline")
+    select = lambda events: P.priced(events, "event_id").withColumn("collected_at", F.col("collected_at").cast("timestamp"))
+    merged = upserts.merged_prices(spark, f"{sf_dir}/events.parque?", spark.read.parquet(source).schema, ["bout_id", "fighter", "book"], select, order="collected_at")
+    return merged.select("bout_id", "fighter", "book", F.col("collected_at").cast("timestamp_ntz").alias("collected_at"), "moneyline", "event_id")
+
+
+@query("""WITH n AS (SELECT c_custkey, c_name, -c_acctbal AS c_acctbal FROM customer WHERE c_custkey BETWEEN 40 AND 60 OR c_custkey % 97 = 3 UNION ALL SELECT c_custkey + 1000000, 'new ' || c_custkey, 1.5 FROM customer WHERE c_custkey % 50 = 7)
+    SELECT c_custkey, coalesce(n.c_name, c.c_name) AS c_name, coalesce(n.c_acctbal, c.c_acctbal) AS c_acctbal FROM (SELECT c_custkey, c_name, c_acctbal FROM customer) c FULL JOIN n USING (c_custkey)""")
+def ranged_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in key ranges after two merges, the second of which is the first once more."""
+    path = f"{shared_dir(spark)}/ranged-{uuid.uuid4().hex}"
+    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), F.col("c_custkey")
+    new = c.where(k.between(40, 60) | (k % 97 == 3)).withColumn("c_acctbal", -F.col("c_acctbal")).unionByName(c.where(k % 50 == 7).select((k + 1_000_000).alias("c_custkey"), F.concat(F.lit("new "), k).alias("c_name"), F.lit(1.5).alias("c_acctbal")))
+    ranged.merge(c, path, ["c_custkey"], rows=200)
+    if ranged.merge(new, path, ["c_custkey"], rows=200) != ranged.merge(new, path, ["c_custkey"], rows=200):
+        raise ValueError("a merge that changes nothing wrote a version")
+    return ranged.read(spark, path)
+
+
+@query(f"{WITH}, " + ", ".join(f"{m} AS (SELECT '{m}' AS config, CAST(CAST(year(day) AS INT) AS VARCHAR) AS fold, bout_id, self, y, round({m}{' / 2' if m == 'q' else ''}, 6) AS prob FROM pred WHERE year(day) BETWEEN 1996 AND 1998)" for m in "pqr") + " SELECT 'oof' AS run, * FROM (FROM p UNION ALL FROM q UNION ALL FROM r)")
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three models' predictions by year, stored part by part; the parts of one are written twice, of which the later count."""
+    path, rows = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}", P.predictions(spark, sf_dir)
+    for name, factor in (("p", 1.0), ("q", 1.0), ("r", 1.0), ("q", 0.5)):
+        for year in (1996, 1997, 1998):
+            results.put(rows.where(F.year("day") == year).select("bout_id", "self", "y", (F.col(name) * factor).alias("prob")), path, run="oof", fold=str(year), config=name)
+    return P.rounded(results.get(spark, path, "oof"))
 
 
 # Resolution ---------------------------------------------------------------------------------------------------------------------

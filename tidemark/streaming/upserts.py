@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.mutation import upsert
+from tidemark.operators import ranged
 from tidemark.session import shared_dir
 
 
@@ -19,34 +19,23 @@ def deduplicated(prices: DataFrame, keys: list[str], at: str = "collected_at", d
 
 
 def merge_stream(prices: DataFrame, folder: str, keys: list[str], checkpoint: str, order: str | None = None):
-    """Of a batch's rows with one key the last in `order` counts, whole; of equals the largest, so reruns agree. Merges every micro-batch into the table under folder; versions are written side by side, `latest` says which one counts, so a
-    batch that is run again after a failure writes the same version."""
+    """Merges every micro-batch into the table under folder, which lies in ranges of the first key: a batch rewrites the files that it
+    changes, and one that is run again after a failure changes nothing. Of a batch's rows with one key the last in `order` counts, whole
+    (of equals the largest, so reruns agree); a stored row that is later in `order` than a new one stays."""
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        latest = _latest(spark, folder, below=epoch)
         values = [c for c in batch.columns if c not in keys]
         last = batch.groupBy(*keys).agg(F.max(F.struct(*([order] if order else []), *[c for c in values if c != order])).alias("_last"))
         new = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values]) if values else last.select(*keys)
-        old = spark.read.parquet(f"{folder}/v{latest}") if latest >= 0 else None
-        (upsert(old, new, keys) if old is not None else new).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
-        spark.createDataFrame([(epoch,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+        later = {c: F.col(f"old_{order}") > F.col(f"new_{order}") for c in values} if order else None
+        ranged.merge(new, folder, keys, guarded=later)
 
     return prices.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _latest(spark: SparkSession, folder: str, below: int = 1 << 62) -> int:
-    try:
-        return spark.read.schema("version long").parquet(f"{folder}/versions").where(F.col("version") < below).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return -1
-        raise
-
-
-def merged_prices(spark: SparkSession, source: str, schema, keys: list[str], select, at: str = "collected_at") -> DataFrame:
-    """Runs the stream over the files under source until all are read, and returns the merged table."""
+def merged_prices(spark: SparkSession, source: str, schema, keys: list[str], select, at: str = "collected_at", order: str | None = None, files: int = 8) -> DataFrame:
+    """Runs the stream over the files under source, `files` at a time, until all are read, and returns the merged table."""
     top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
-    query = merge_stream(deduplicated(select(stream), [*keys, at], at), f"{top}/table", keys, f"{top}/state")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = merge_stream(deduplicated(select(stream), [*dict.fromkeys([*keys, at])], at), f"{top}/table", keys, f"{top}/state", order)
     query.awaitTermination()
-    return spark.read.parquet(f"{top}/table/v{_latest(spark, f'{top}/table')}")
+    return ranged.read(spark, f"{top}/table")
