@@ -35,6 +35,20 @@ def differential(matrix: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     return matrix.select(*keep, *[(F.col(f"self_{s}").cast("double") - F.col(f"opp_{s}").cast("double")).alias(f"diff_{s}") for s in stems], F.col("self_won").cast("int").alias("self_won"))
 
 
+def difference_features(matrix: DataFrame) -> list[str]:
+    """The names of a differential matrix's features, without their prefix, in alphabetical order."""
+    return sorted(c.removeprefix("diff_") for c in matrix.columns if c.startswith("diff_"))
+
+
+def guarded_join(left: DataFrame, right: DataFrame, on: list[str], *needed: str) -> DataFrame:
+    """left joined to right (one row a key); fails when it is read if a row of left finds nothing or one of the needed columns is missing."""
+    joined = left.join(right.withColumn("_there", F.lit(True)), on, "left")
+    whole = F.col("_there").isNotNull()
+    for c in needed:
+        whole = whole & F.col(c).isNotNull()
+    return joined.where(F.assert_true(whole, F.concat_ws(" ", F.lit("nothing to join for"), *[F.col(c).cast("string") for c in on])).isNull()).drop("_there")
+
+
 def attach_by_corner(matrix: DataFrame, by_bout: DataFrame, *names: str, strict: bool = True) -> DataFrame:
     """Adds self_x/opp_x from red_x/blue_x of by_bout (one row a bout). strict: a bout without a row there fails when it is read."""
     red = F.col("source_corner") == "red"

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import evaluation_queries, feature_queries, ingest_queries, name_queries, table_queries, wiki_queries  # noqa: F401
+    from tidemark.plans import audit_queries, evaluation_queries, feature_queries, ingest_queries, name_queries, table_queries, wiki_queries  # noqa: F401
