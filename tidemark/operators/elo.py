@@ -1,8 +1,14 @@
 """Sequential ratings and what follows from them.
 
-A rating is a recurrence: both corners' ratings before a bout depend on all bouts before it. Bouts of different pools (divisions that
-never meet, configurations of a grid) are independent, so pools are spread over tasks; inside one, bouts stream in (day, bout) order
-through a task that holds one number per competitor, never the pool's bouts.
+A rating is a recurrence: both corners' ratings before a bout depend on all bouts before it. There are two ways to it.
+
+`relaxed` is for one large pool, and no task sees more of it than a career. It guesses what every bout moves, takes the ratings before
+each bout as running sums over careers, works out from them what every bout moves, and so on. Ratings before a competitor's n-th bout are
+exact once those of all bouts that it depends on are, and errors shrink fast, so the rounds follow the length of careers (some 40 for 90
+bouts each), not the number of bouts. It ends when no bout moves more than TOLERANCE otherwise than in the round before.
+
+`rate` is for many pools (divisions that never meet, configurations of a grid): pools are spread over tasks, and inside one, bouts
+stream in (day, bout) order through a task that holds one number per competitor, never the pool's bouts.
 """
 
 from __future__ import annotations
@@ -11,12 +17,16 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
 from tidemark.operators import history
+from tidemark.session import cut
 
 START, K = 1500.0, 32.0
+#: Of relaxed: the largest change that ends it, and rounds that are planned as one job.
+TOLERANCE, TOGETHER = 1e-9, 6
 
 
 def constant_k(k: float) -> Callable[[int], float]:
@@ -77,6 +87,40 @@ def rate(bouts: DataFrame, k: Callable[..., Callable[[int], float]] | Callable[[
     return ordered.mapInPandas(run, schema).drop("_pool")
 
 
+def constant_factor(k: float) -> Callable[[Column], Column]:
+    return lambda n: F.lit(float(k))
+
+
+def experience_factor(new: float, veteran: float, scale: float) -> Callable[[Column], Column]:
+    """As experience_k, of a column with the number of earlier bouts."""
+    return lambda n: F.lit(float(veteran)) + (new - veteran) * F.exp(-n / float(scale))
+
+
+def relaxed(bouts: DataFrame, k: Callable[[Column], Column] = constant_factor(K), start: float = START) -> DataFrame:
+    """bout_id, elo_red, elo_blue: the ratings before each decided bout, in the order of (day, bout_id)."""
+    career = Window.partitionBy("self").orderBy("day", "bout_id")
+    won = (F.col("winner") == F.col("red")).cast("double")
+    side = lambda me, sign, y: F.struct(F.col(me).alias("self"), F.lit(sign).alias("sign"), y.alias("y"))
+    sides = bouts.where("winner is not null").select("bout_id", "day", F.inline(F.array(side("red", 1, won), side("blue", -1, 1 - won))))
+    state = cut(sides.withColumns({"k": k((F.row_number().over(career) - 1).cast("double")), "d": F.lit(0.0), "c": F.lit(0.0)}))
+
+    def pairs(state: DataFrame) -> DataFrame:
+        """A row for each bout, with both sides and their ratings before it."""
+        rated = state.withColumn("pre", F.lit(start) + F.coalesce(F.sum("d").over(career.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        own = lambda sign, name: F.max(F.when(F.col("sign") == sign, F.struct("self", "sign", "y", "k", "d", "pre"))).alias(name)
+        return rated.groupBy("bout_id", "day").agg(own(1, "a"), own(-1, "b"))
+
+    while True:
+        for _ in range(TOGETHER):
+            moved = lambda me, other: F.col(f"{me}.k") * (F.col(f"{me}.y") - S.elo_expectation(f"{me}.pre", f"{other}.pre"))
+            new = lambda me, other: F.struct(F.col(f"{me}.self").alias("self"), F.col(f"{me}.sign").alias("sign"), F.col(f"{me}.y").alias("y"), F.col(f"{me}.k").alias("k"), moved(me, other).alias("d"), F.abs(moved(me, other) - F.col(f"{me}.d")).alias("c"))
+            state = pairs(state).select("bout_id", "day", F.inline(F.array(new("a", "b"), new("b", "a"))))
+        state = cut(state)
+        change = state.agg(F.max("c")).first()[0]
+        if change is None or change < TOLERANCE:
+            return pairs(state).select("bout_id", F.col("a.pre").alias("elo_red"), F.col("b.pre").alias("elo_blue"))
+
+
 def grid(bouts: DataFrame, configs: DataFrame, k: Callable[..., Callable[[int], float]]) -> DataFrame:
     """Ratings under every row of configs (a bounded table of parameters, one pool each)."""
     return rate(bouts.crossJoin(F.broadcast(configs)), k, config=tuple(configs.columns))

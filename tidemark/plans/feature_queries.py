@@ -203,12 +203,12 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_elo_sql('32')} SELECT bout_id, round(elo_red, 6) AS elo_red, round(elo_blue, 6) AS elo_blue FROM elo")
 def elo_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.rounded(elo.rate(_decided(spark, sf_dir)))
+    return P.rounded(elo.relaxed(_decided(spark, sf_dir)))
 
 
 @query(f"{_elo_sql('24 + 40 * exp(-{n} / 10.0)')} SELECT bout_id, round(elo_red, 6) AS elo_red, round(elo_blue, 6) AS elo_blue FROM elo")
 def elo_experience_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.rounded(elo.rate(_decided(spark, sf_dir), elo.experience_k(64, 24, 10)))
+    return P.rounded(elo.relaxed(_decided(spark, sf_dir), elo.experience_factor(64, 24, 10)))
 
 
 SOS = f"""{_elo_sql('32')}, s AS (SELECT bout_id, day, self, CASE corner WHEN 'red' THEN elo_red ELSE elo_blue END AS mine, CASE corner WHEN 'red' THEN elo_blue ELSE elo_red END AS other FROM sides JOIN elo USING (bout_id)),
@@ -218,20 +218,20 @@ SOS = f"""{_elo_sql('32')}, s AS (SELECT bout_id, day, self, CASE corner WHEN 'r
 @query(f"{SOS} SELECT a.bout_id, a.self, round(avg(b.other) FILTER (b.k >= a.k - 3), 6) AS sos_last_3, round(avg(b.other), 6) AS sos_last_5 FROM n a LEFT JOIN n b ON a.self = b.self AND b.k < a.k AND b.k >= a.k - 5 GROUP BY 1, 2")
 def sos_last_3_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _decided(spark, sf_dir)
-    rated = elo.by_side(elo.rate(b), history.two_sides(b))
+    rated = elo.by_side(elo.relaxed(b), history.two_sides(b))
     return P.rounded(elo.strength_of_schedule(rated, 3, 5).select("bout_id", "self", "sos_last_3", "sos_last_5"))
 
 
 @query(f"{SOS} SELECT self, count(*) AS bouts, round(max(mine), 6) AS peak, arg_max(day, (mine, -datediff('day', DATE '1970-01-01', day))) AS peak_day FROM n GROUP BY self")
 def elo_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _decided(spark, sf_dir)
-    return P.rounded(elo.timeline(elo.by_side(elo.rate(b), history.two_sides(b))))
+    return P.rounded(elo.timeline(elo.by_side(elo.relaxed(b), history.two_sides(b))))
 
 
 @query(f"{_elo_sql('32')}, e AS (SELECT (winner = red)::INT AS y, 1 / (1 + pow(10, (elo_blue - elo_red) / 400)) AS p FROM elo JOIN bout USING (bout_id)) SELECT count(*) AS n, round(avg(((p > 0.5) = (y = 1))::INT), 6) AS accuracy, round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss, round(avg((p - y) ** 2), 6) AS brier FROM e")
 def elo_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _decided(spark, sf_dir)
-    scored = elo.rate(b).join(b, "bout_id").select((F.col("winner") == F.col("red")).cast("int").alias("y"), S.elo_expectation("elo_red", "elo_blue").alias("p"))
+    scored = elo.relaxed(b).join(b, "bout_id").select((F.col("winner") == F.col("red")).cast("int").alias("y"), S.elo_expectation("elo_red", "elo_blue").alias("p"))
     return P.rounded(metrics.evaluate(scored).drop("ece"))
 
 
