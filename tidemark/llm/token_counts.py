@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.llm import words
-from tidemark.llm.common import WHITE_SPACE, cut, join_small, rows_without, small_batches, text_or_empty
+from tidemark.llm.common import WHITE_SPACE, cut, gathered, join_small, rows_without, small_batches, text_or_empty
 
 #: Words that a worker remembers, 12 bytes each; when it is full it starts anew.
 MEMO_WORDS = 2_000_000
@@ -184,10 +184,11 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, id: str = "doc_id",
     known = cached(spark, cache, version)
     # Rows that are not to be encoded: of texts in the cache, and copies of another row.
     judged = slim.select("_id", "digest").join(digests.join(known.select("digest", F.lit(True).alias("_known")), "digest", "left").where("_known or _rows > 1"), "digest")
-    skip = cut(judged.where("_known or not _id <=> _first").select(row_key().alias("_row")).distinct())
+    many = slim.count()
+    skip = cut(gathered(judged.where("_known or not _id <=> _first").select(row_key().alias("_row")).distinct(), many))
     rows = rows_without(read.withColumn("_row", row_key()), slim.select(row_key().alias("_row")), skip, "_row")
     with small_batches(spark):
         encode_rows(rows.select("digest", "_text"), path, by_word).withColumn("tokenizer", F.lit(version)).select(*SCHEMA.names).write.mode("append").parquet(cache)
-    counts = cut(cached(spark, cache, version))
+    counts = cut(gathered(cached(spark, cache, version).join(digests.select("digest"), "digest", "left_semi"), many))
     joined = join_small(slim, counts, "digest").select(F.col("_id").alias(id), "n_bytes", "n_tokens")
     return joined.withColumn("over_limit", F.col("n_tokens") > limit)
