@@ -97,11 +97,12 @@ def experience_factor(new: float, veteran: float, scale: float) -> Callable[[Col
 
 
 def relaxed(bouts: DataFrame, k: Callable[[Column], Column] = constant_factor(K), start: float = START) -> DataFrame:
-    """bout_id, elo_red, elo_blue: the ratings before each decided bout, in the order of (day, bout_id)."""
+    """bout_id, elo_red, elo_blue: the ratings before each decided bout, in the order of (day, bout_id). A winner who isn't a corner fails."""
     career = Window.partitionBy("self").orderBy("day", "bout_id")
     won = (F.col("winner") == F.col("red")).cast("double")
     side = lambda me, sign, y: F.struct(F.col(me).alias("self"), F.lit(sign).alias("sign"), y.alias("y"))
-    sides = bouts.where("winner is not null").select("bout_id", "day", F.inline(F.array(side("red", 1, won), side("blue", -1, 1 - won))))
+    corner = F.assert_true((F.col("winner") == F.col("red")) | (F.col("winner") == F.col("blue")), F.lit("the winner is neither corner")).isNull()
+    sides = bouts.where("winner is not null").where(corner).select("bout_id", "day", F.inline(F.array(side("red", 1, won), side("blue", -1, 1 - won))))
     state = cut(sides.withColumns({"k": k((F.row_number().over(career) - 1).cast("double")), "d": F.lit(0.0), "c": F.lit(0.0)}))
 
     def pairs(state: DataFrame) -> DataFrame:
