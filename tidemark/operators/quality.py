@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import similarity
 from tidemark.operators.resolve import near_days, pair_key
@@ -79,6 +80,14 @@ def null_rates(df: DataFrame) -> DataFrame:
     return rates.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("null_rate")) for c in df.columns])))
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """(column_name, n, null_rate, least, most, mean) of every column, from one pass; least and most as text, mean of numbers alone."""
+    number = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    found = df.agg(F.count("*").alias("_n"), *[f(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, f in (("z", lambda x: F.avg(x.isNull().cast("double"))), ("l", F.min), ("m", F.max))], *[F.avg(c).alias(f"a{i}") for i, c in enumerate(df.columns) if c in number])
+    row = lambda i, c: F.struct(F.lit(c).alias("column_name"), F.col("_n").alias("n"), F.col(f"z{i}").alias("null_rate"), F.col(f"l{i}").cast("string").alias("least"), F.col(f"m{i}").cast("string").alias("most"), (F.col(f"a{i}") if c in number else F.lit(None)).cast("double").alias("mean"))
+    return found.select(F.inline(F.array(*[row(i, c) for i, c in enumerate(df.columns)])))
+
+
 CHECKS: dict[str, Callable[[Tables], DataFrame]] = {
     "duplicate_bouts": lambda t: duplicate_bouts(t["bouts"]),
     "bout_references": lambda t: broken_references(t["bouts"], "bout_id", {c: (t["fighters"], "fighter") for c in ("red", "blue", "winner")}),

@@ -164,7 +164,7 @@ def shuffle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def blend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.predictions(spark, sf_dir).cache()
-    return P.rounded(E.blend_comparison(rows.where(F.year("day") < 1996), rows.where(F.year("day") >= 1996), "y", ("p", "q", "r"), step=0.2))
+    return P.rounded(E.blend_comparison(rows.where(F.year("day") < 1996), rows.where(F.year("day") >= 1996), "y", ("p", "q", "r")))
 
 
 @query()

@@ -293,13 +293,26 @@ def raw_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_tale_of_the_tape(_text(table(spark, sf_dir, "orders"), readers.TOTT, URL=F.concat(F.lit("http://f/"), k), HEIGHT=known(4, F.concat(k % 3 + 4, F.lit("' "), k % 12, F.lit('"'))), REACH=known(5, F.concat(k % 30 + 55, F.lit('"'))), STANCE=known(6, F.lit("Southpaw")), DOB=known(7, F.date_format("o_orderdate", "MMM d, yyyy"))))
 
 
-@query("""SELECT 'E' || l_orderkey AS event, 'S' || l_suppkey AS fighter, CAST(l_linenumber AS INT) AS round_number, CAST(l_partkey % 3 AS INT) AS knockdowns, CAST(l_partkey % 50 AS INT) AS sig_strikes_landed, CAST(l_partkey % 50 + 4 AS INT) AS sig_strikes_attempted, CAST(NULL AS INT) AS takedowns_landed,
-    CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey % 5 * 60 + l_partkey % 60 AS INT) END AS control_time_seconds FROM lineitem WHERE l_suppkey % 9 <> 0""")
+#: Pairs of a raw statistics row, and what is added to its landed number in each.
+_PAIRS = {c: (n, i) for i, (c, n) in enumerate(readers.PAIRS.items()) if c != "TD"}
+_PAIR_SQL = ", ".join(f"CAST(l_partkey % 50 + {i} AS INT) AS {readers.PAIRS[c]}_landed, CAST(l_partkey % 50 + {i} + 4 AS INT) AS {readers.PAIRS[c]}_attempted" for c, (_, i) in _PAIRS.items())
+
+
+@query(f"""SELECT 'E' || l_orderkey AS event, 'x' AS bout, 'S' || l_suppkey AS fighter, CAST(l_linenumber AS INT) AS round_number, CAST(l_partkey % 3 AS INT) AS knockdowns, {_PAIR_SQL}, CAST(NULL AS INT) AS {readers.PAIRS["TD"]}_landed, CAST(NULL AS INT) AS {readers.PAIRS["TD"]}_attempted,
+    CASE WHEN l_partkey % 6 <> 0 THEN CAST(l_partkey % 7 AS INT) END AS sub_attempts, CAST(l_partkey % 2 AS INT) AS reversals, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey % 5 * 60 + l_partkey % 60 AS INT) END AS control_time_seconds FROM lineitem WHERE l_suppkey % 9 <> 0""")
 def raw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_partkey")
     clock = F.when(p % 4 == 0, "--").otherwise(F.concat(p % 5, F.lit(":"), F.lpad((p % 60).cast("string"), 2, "0")))
-    raw = _text(table(spark, sf_dir, "lineitem"), readers.STATS, EVENT=F.concat(F.lit("E"), "l_orderkey"), BOUT=F.lit("x"), ROUND=F.concat(F.lit("Round "), "l_linenumber"), FIGHTER=F.when(F.col("l_suppkey") % 9 != 0, F.concat(F.lit("S"), "l_suppkey")), KD=F.concat(p % 3, F.lit(".0")), TD=F.lit("---"), CTRL=clock, **{"SIG.STR.": F.concat(p % 50, F.lit(" of "), p % 50 + 4)})
-    return readers.parse_fight_stats(raw).select("event", "fighter", "round_number", "knockdowns", "sig_strikes_landed", "sig_strikes_attempted", "takedowns_landed", "control_time_seconds")
+    pairs = {c: F.concat(p % 50 + i, F.lit(" of "), p % 50 + i + 4) for c, (_, i) in _PAIRS.items()}
+    raw = _text(table(spark, sf_dir, "lineitem"), readers.STATS, EVENT=F.concat(F.lit("E"), "l_orderkey"), BOUT=F.lit("x"), ROUND=F.concat(F.lit("Round "), "l_linenumber"), FIGHTER=F.when(F.col("l_suppkey") % 9 != 0, F.concat(F.lit("S"), "l_suppkey")), KD=F.concat(p % 3, F.lit(".0")), TD=F.lit("---"), CTRL=clock, **{"SUB.ATT": F.when(p % 6 != 0, p % 7), "REV.": F.concat(p % 2, F.lit(".0"))}, **pairs)
+    return readers.parse_fight_stats(raw)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, round(avg(({x} IS NULL)::INT), 6) AS null_rate, CAST(min({x}) AS VARCHAR) AS least, CAST(max({x}) AS VARCHAR) AS most, {f'round(avg({x}), 4)' if m else 'NULL::DOUBLE'} AS mean FROM customer" for c, x, m in (("c_custkey", "c_custkey", True), ("c_name", "c_name", False), ("c_nationkey", "nullif(c_nationkey, 3)", True), ("c_mktsegment", "nullif(c_mktsegment, 'BUILDING')", False))))
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table's columns are like, from one pass."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.nullif("c_nationkey", F.lit(3)).alias("c_nationkey"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"))
+    return P.rounded(quality.profile(c)).withColumn("mean", F.round("mean", 4))
 
 
 SHOWS = ("Contender Series 9", "ROAD to UFC 3", "Road to Glory", "Fight Night 7", "The Ultimate Fighter Finale")

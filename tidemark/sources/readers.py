@@ -97,6 +97,11 @@ def read_table(spark: SparkSession, path: str, table: str | None = None) -> Data
     return (spark.read.schema(schemas.schema(table)) if table else spark.read).parquet(path)
 
 
+def read_unknown(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file whose types are found from its values, for a first look (quality.profile); it is read twice."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 def register_views(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
     for n in names:
         spark.read.parquet(f"{folder}/{n}.parquet").createOrReplaceTempView(n)
