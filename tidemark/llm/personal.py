@@ -45,8 +45,13 @@ _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 #: The added patterns.
 _IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++")
-_LOCAL_PHONE = re.compile(rb"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,4}){2,4}+(?![0-9A-Za-z])")
-_SSN = re.compile(rb"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+_LOCAL_PHONE = re.compile(rb"(?:(?<![0-9])|(?=\())\(?[0-9]++\)?(?:[\x20.-][0-9]++)++")
+_SSN = re.compile(rb"(?<![0-9])[0-9]++(?:-[0-9]++)++")
+#: What a whole run of these must be: groups of 2 to 5 and then of 2 to 4 digits, 7 to 12 in all; and groups of 3, 2 and 4.
+_LOCAL_PHONE_WHOLE = re.compile(rb"\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,4}){2,4}")
+_SSN_WHOLE = re.compile(rb"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+#: What may not stand before and after them.
+_JOINED = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 #: Prior score of each kind, what its checksum adds, what a word nearby adds, and the words (lower case).
 SCORES = {
@@ -58,7 +63,9 @@ SCORES = {
     "local_phone": (0.2, 0.0, 0.4, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),
     "ssn": (0.3, 0.0, 0.4, ("ssn", "social security")),
 }
-_NEAR = {kind: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, s[3])) + r")(?!\w)") for kind, s in SCORES.items()}
+#: Letters, digits and the like, between which a word doesn't end.
+WORD_LETTER = "0-9A-Za-z_\u00C0-\u024F"
+_NEAR = {kind: re.compile(f"(?<![{WORD_LETTER}])(?:" + "|".join(map(re.escape, s[3])) + f")(?![{WORD_LETTER}])") for kind, s in SCORES.items()}
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("base", T.BooleanType())])
 
@@ -125,17 +132,23 @@ def _ibans(data: bytes) -> Iterator[tuple[int, int]]:
                 break
 
 
+def _apart(data: bytes, start: int, end: int, before: frozenset, after: frozenset) -> bool:
+    return not (start and data[start - 1] in before) and not (end < len(data) and data[end] in after)
+
+
 def _local_phones(data: bytes) -> Iterator[tuple[int, int]]:
     for m in _LOCAL_PHONE.finditer(data):
-        if 7 <= len(digits_of(m[0])) <= 12:
+        if _LOCAL_PHONE_WHOLE.fullmatch(m[0]) and 7 <= len(digits_of(m[0])) <= 12 and _apart(data, *m.span(), _JOINED | frozenset(b"+.-"), _JOINED):
             yield m.span()
 
 
-def _plain(pattern: re.Pattern) -> object:
-    return lambda data: (m.span() for m in pattern.finditer(data))
+def _ssns(data: bytes) -> Iterator[tuple[int, int]]:
+    for m in _SSN.finditer(data):
+        if _SSN_WHOLE.fullmatch(m[0]) and _apart(data, *m.span(), _JOINED | frozenset(b"-"), _JOINED | frozenset(b"-")):
+            yield m.span()
 
 
-_FINDERS = (_emails, _ips, _cards, _phones, _ibans, _local_phones, _plain(_SSN))
+_FINDERS = (_emails, _ips, _cards, _phones, _ibans, _local_phones, _ssns)
 
 
 def _score(kind: str, before: str, after: str) -> float:

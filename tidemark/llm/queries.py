@@ -177,6 +177,43 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_data(table(spark, sf_dir, "documents"))
 
 
+def _spans_sql(kind: str, pattern: str, keep: str) -> str:
+    """The spans of a kind as a table: doc_id, kind, s (the span's text), a and b (its ends), those for which `keep` holds. The pattern has
+    one group, the span; what is left between the matches says where they stand."""
+    return rf"""{kind}_m AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', 1) AS o, string_split_regex(text, '{pattern}') AS g FROM d),
+    {kind}_at AS (SELECT doc_id, text, o[i] AS s, CAST(list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) + length(m[i]) - length(o[i]) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
+    {kind} AS (SELECT doc_id, '{kind}' AS kind, text, s, a, a + length(s) AS b FROM {kind}_at WHERE {keep})"""
+
+
+_DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: (list_transform([CAST(reverse({_DIGITS})[i] AS INT)], lambda x: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END))[1])) % 10 = 0"
+_CONTEXT = lambda kind: " OR ".join(f"regexp_matches(lower({side}), '(^|[^{personal.WORD_LETTER}])({'|'.join(personal.SCORES[kind][3])})($|[^{personal.WORD_LETTER}])')" for side in ("substr(text, greatest(a - 39, 1), least(a, 40))", "substr(text, a + length(s) + 1, 40)"))
+_APART = lambda before, after: f"NOT regexp_matches(substr(text, a, CASE WHEN a > 0 THEN 1 ELSE 0 END), '[{before}]') AND NOT regexp_matches(substr(text, a + length(s) + 1, 1), '[{after}]')"
+_CLEAR = lambda kind, kept: f"SELECT k.doc_id, k.kind, k.a, k.b FROM {kind} k WHERE NOT EXISTS (SELECT 1 FROM {kept} o WHERE o.doc_id IS NOT DISTINCT FROM k.doc_id AND o.a < k.b AND o.b > k.a)"
+_LISTED = lambda kinds: f"SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, list_position({list(personal.KINDS)}, kind)) AS l FROM {kinds} GROUP BY doc_id"
+OP12_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
+    + ", ".join([
+        _spans_sql("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "true"),
+        _spans_sql("ip", r"([0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+))", "list_bool_and(list_transform(string_split(s, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || right(ltrim(x, '0'), 3) AS INT) <= 255))"),
+        _spans_sql("card", r"([0-9](?:[\x20-]?[0-9])+)", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+        _spans_sql("phone", r"(\+[0-9][\x20().0-9-]+[0-9])", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+        _spans_sql("iban_run", r"(?:^|[^A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])+)", "true"),
+        _spans_sql("local_phone", r"(\(?[0-9]+\)?(?:[\x20.-][0-9]+)+)", rf"regexp_full_match(s, '\(?[0-9]{{2,5}}\)?(?:[\x20.-][0-9]{{2,4}}){{2,4}}') AND length({_DIGITS}) BETWEEN 7 AND 12 AND {_APART('0-9A-Za-z+.-', '0-9A-Za-z')} AND ({_CONTEXT('local_phone')})"),
+        _spans_sql("ssn", r"([0-9]+(?:-[0-9]+)+)", f"regexp_full_match(s, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND {_APART('0-9A-Za-z-', '0-9A-Za-z-')} AND ({_CONTEXT('ssn')})"),
+        """iban_end AS (SELECT doc_id, a, b, text, unnest(list_concat(list_filter(range(1, least(length(s), 68)), lambda i: s[i + 1] = ' '), CASE WHEN length(s) <= 68 AND NOT regexp_matches(substr(text, b + 1, 1), '[0-9A-Za-z]') THEN [length(s)] ELSE [] END)) AS e, s FROM iban_run),
+    iban_ok AS (SELECT doc_id, a, max(e) AS e FROM (SELECT *, replace(substr(s, 1, e), ' ', '') AS acc FROM iban_end) WHERE length(acc) BETWEEN 15 AND 34
+        AND list_reduce(list_prepend(0, list_transform(range(1, length(acc) + 1), lambda i: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (substr(acc, 5) || substr(acc, 1, 4))[i]) - 1)), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 GROUP BY 1, 2),
+    iban AS (SELECT doc_id, 'iban' AS kind, a, a + e AS b FROM iban_ok)""",
+        "base AS (" + " UNION ALL ".join(f"SELECT doc_id, kind, a, b FROM {k}" for k in personal.BASE) + ")",
+        f"with_iban AS (FROM base UNION ALL {_CLEAR('iban', 'base')}), with_local AS (FROM with_iban UNION ALL {_CLEAR('local_phone', 'with_iban')}), every AS (FROM with_local UNION ALL {_CLEAR('ssn', 'with_local')})",
+        f"base_l AS ({_LISTED('base')}), every_l AS ({_LISTED('every')})",
+        "n AS (SELECT doc_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in personal.BASE) + " FROM base GROUP BY 1)",
+    ])
+    + " SELECT d.doc_id, " + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in personal.BASE) + ", sha256(coalesce(base_l.l, '')) AS base_sha256, coalesce(every_l.l, '') AS spans FROM d LEFT JOIN n USING (doc_id) LEFT JOIN base_l USING (doc_id) LEFT JOIN every_l USING (doc_id)"
+)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -208,4 +245,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_url_filters, op5_near_dedup, op6_sharding, op7_token_counts, op8_decontamination, op9_language_id, op10_quality, op11_phrases, op12_personal_data, op13_spelling, page_languages, pipeline)}
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL, "op13_spelling": OP13_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_phrases": OP11_SQL, "op12_personal_data": OP12_SQL, "op13_spelling": OP13_SQL}
