@@ -280,3 +280,27 @@ def test_checksums_go_on(runs, before):
     ends = np.cumsum([len(r) for r in runs])
     got = spelling.checksums(np.full(len(runs), before, dtype=np.uint32), data, ends - [len(r) for r in runs], ends)
     assert got.tolist() == [zlib.crc32(r, before) for r in runs]
+
+
+def test_personal_data_twin_on_planted_texts():
+    """The SQL of the query against the operator where accounts, national numbers and words nearby stand side by side."""
+    import duckdb
+
+    from tidemark.llm.queries import OP12_SQL
+
+    rng = random.Random(17)
+    tokens = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "AT611904300234573201", "GB82 WEST 1234 5698 7654 33", "NOW", "tel", "Téléphone:", "étel", "call", "SSN", "social security", "078-05-1120", "030 1234 5678", "(030) 123-4567", "1-2", "a@b.cc", "x.y@z-1.example.com", "10.0.0.1", "300.1.1.1", "4539 1488 0343 6467", "4539148803436467", "+49 30 1234567", "+1 (017) 555-7713", "visa", "é", "\U0001f600", "x", "-", ",", "\n", "IBAN"]
+    texts = [*CASES, None, "", *["".join(rng.choice(tokens) + rng.choice([" ", "", "  ", ". "]) for _ in range(rng.randrange(1, 14))) for _ in range(1500)]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {r[0]: r[1:] for r in con.execute(OP12_SQL).fetchall()}
+    assert len(got) == len(texts)
+    kinds = Counter()
+    for i, spans in enumerate(found([t or "" for t in texts])):
+        line = lambda some: ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in some)
+        base = [s for s in spans if s[4]]
+        n = Counter(s[0] for s in base)
+        kinds.update(s[0] for s in spans)
+        assert got[i] == (n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(line(base).encode()).hexdigest(), line(spans)), texts[i]
+    assert min(kinds[k] for k in personal.KINDS) >= 10
