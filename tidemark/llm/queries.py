@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, exact_dedup, language, mixing, near_dedup, personal, phrases, quality, sharding, spelling, token_counts, url_filters, warc
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import scratch, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), cache, limit=2048)
+    with scratch(spark, "token-counts") as cache:  # what the counts are joined from is cut
+        return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), cache, limit=2048)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
