@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each is one operator of tidemark.llm applied to all that the stage before has kept.
 
 A stage is a function of (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the shared folder
-and reads them again for the next. All stages but the last return the columns of documents.
+and reads them again for the next, after which the rows before them go. All stages but the last return the columns of documents.
 
 Language ID drops the documents that it rejects. Near-dedup, on five-word shingles at a similarity of 0.8, keeps the document with the
 smallest id of each group. Decontamination drops documents that hold ten consecutive words of a benchmark item, or a whole shorter
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, language, mixing, near_dedup, sharding
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import remove, shared_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads it any more
+            remove(spark, before)
+        before = path
     return docs
