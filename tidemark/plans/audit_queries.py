@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation as E
-from tidemark.operators import history, matrix, metrics
+from tidemark.operators import history, many_fits, matrix, metrics
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
 
@@ -82,6 +82,22 @@ def platt_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rounded(metrics.evaluate(mapped, "y", "m").select("n", "brier", "log_loss"))
 
 
+@query(f"""{WITH}, {P.PRIOR}, x AS (SELECT s.won AS y, CAST(a.bouts - b.bouts AS DOUBLE) AS u, CAST(coalesce(a.sec, 0) - coalesce(b.sec, 0) AS DOUBLE) AS v FROM sides s JOIN prior a ON a.bout_id = s.bout_id AND a.self = s.self JOIN prior b ON b.bout_id = s.bout_id AND b.self = s.opp WHERE s.status = 'completed' AND s.won IS NOT NULL),
+    z AS MATERIALIZED (SELECT y, (u - avg(u) OVER ()) / stddev_samp(u) OVER () AS u, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS v FROM x),
+    steps AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+        FROM (SELECT i, a, b, sum((p - y) * u) + a AS g1, sum((p - y) * v) + b AS g2, sum(p * (1 - p) * u * u) + 1 AS h11, sum(p * (1 - p) * u * v) AS h12, sum(p * (1 - p) * v * v) + 1 AS h22
+              FROM (SELECT i, a, b, u, v, y, 1 / (1 + exp(-(a * u + b * v))) AS p FROM steps, z WHERE i < 12) GROUP BY i, a, b)),
+    last_ AS (SELECT a, b FROM steps ORDER BY i DESC LIMIT 1) SELECT 'diff_total_fights' AS feature, round(a, 6) AS weight FROM last_ UNION ALL SELECT 'diff_total_seconds', round(b, 6) FROM last_""")
+def lr_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of a ridge regression on two standardised differences, all rows in one fold."""
+    from tidemark.plans.feature_queries import _by_bout
+
+    rows = matrix.differential(matrix.symmetrize(_by_bout(spark, sf_dir)), keep=("bout_id",))
+    names = ("diff_total_fights", "diff_total_seconds")
+    fits = many_fits.fit(rows, "self_won", [many_fits.Spec("two", names)])
+    return P.rounded(spark.createDataFrame([(n, fits.coefficients(0)[n]) for n in names], "feature string, weight double"))
+
+
 @query(f"{WITH} SELECT bout_id, self, round((3 * p + q) / 4, 6) AS by_probability, round(1 / (1 + exp(-(3 * {LOGIT.format('p')} + {LOGIT.format('q')}) / 4)), 6) AS by_logit FROM pred")
 def blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.predictions(spark, sf_dir)
