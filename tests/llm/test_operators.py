@@ -443,8 +443,9 @@ def test_pieces_stay_whole_and_links_are_counted(spark):
     got = sharding.shard_documents(docs, 3)
     assert Counter(Counter(r["shard"] for r in got.collect()).values()) == {20: 3}
     placed = nodes.join(got, "doc_id").select("_node", "shard")
-    row = sharding.cut_links(links, placed).first()
-    assert row["links"] == links.count() and row["cut"] == sum(1 for r in links.collect() if {x["shard"] for x in placed.where(F.col("_node").isin(r["_a"], r["_b"])).collect()}.__len__() > 1) <= 6
+    row, at = sharding.cut_links(links, placed).first(), {r["_node"]: r["shard"] for r in placed.collect()}
+    apart = [r["_weight"] for r in links.collect() if at[r["_a"]] != at[r["_b"]]]
+    assert (row["links"], row["cut"], row["weight_cut"]) == (links.count(), len(apart), sum(apart)) and len(apart) <= 6
 
 
 def test_sharding_links_parts_of_a_group(spark):
