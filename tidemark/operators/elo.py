@@ -26,7 +26,7 @@ from tidemark.session import cut
 
 START, K = 1500.0, 32.0
 #: Of relaxed: the largest change that ends it, and rounds that are planned as one job.
-TOLERANCE, TOGETHER = 1e-9, 6
+TOLERANCE, TOGETHER = 1e-9, 3
 
 
 def constant_k(k: float) -> Callable[[int], float]:
