@@ -60,7 +60,7 @@ def splits_at_space(path: str) -> bool:
     norms = (spec.get("normalizer") or {}).get("normalizers") or []
     one_space = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in norms)
     pres = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    dropped = pres[0].get("type") == "Split" and pres[0].get("behavior") == "Removed" and "[^\\s" in str(pres[0].get("pattern"))
+    dropped = pres[0].get("type") == "Split" and pres[0].get("behavior") == "Removed" and "[^\\s" in str((pres[0].get("pattern") or {}).get("Regex"))
     plain = all(not any(c.isspace() for c in x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in spec.get("added_tokens") or [])
     return one_space and dropped and plain
 
