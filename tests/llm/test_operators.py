@@ -822,3 +822,14 @@ def test_few_texts_move(spark, docs, tmp_path, monkeypatch):
     keys = common.cut(many.where("id % 50 = 0").select("k"))
     plan = common.rows_with(many, keys, "k")
     assert common.flagged(many, keys, "k").where("_likely").count() < 400 + 300 and plan.count() == 400
+
+
+def test_words_are_counted_as_the_library_counts_texts():
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    assert token_counts.splits_at_space(path) and not token_counts.splits_at_space(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(1)
+    marks = ["a", "B", "'s", "'", " ", "  ", "\n", "é", "é", "́", "1", "9", "-", "<|endoftext|>", "<|", " ", "　", "ß", "İ", "日", "\U0001f642", "\x85", "\x1c"]
+    some = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(3000)] + ["ΑΣ ΑΣ.", "ᄀ ᅡᆨ", "<| endoftext|>", ""]
+    assert list(token_counts.count_by_word([t.encode() for t in some], path)) == token_counts.count_whole(some, path)
