@@ -48,8 +48,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    docs, path = table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))
+    earlier = docs.where(F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(2)) == 0)
     with scratch(spark, "token-counts") as cache:  # what the counts are joined from is cut
-        return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), cache, limit=2048)
+        token_counts.token_counts(earlier, path, cache)  # an earlier run has seen half of the texts; the whole encodes the others alone
+        return token_counts.token_counts(docs, path, cache, limit=2048)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
