@@ -97,3 +97,14 @@ def test_duplicate_events(spark):
     got = {(r["announced_id"], r["held_id"]): r["score"] for r in quality.duplicate_events(events).collect()}
     assert set(got) == {(1, 2), (1, 5), (4, 2), (4, 5)}
     assert got[1, 5] == 100.0 and got[1, 2] == round(similarity.weighted_ratio("Night: Abe vs. Bo", "Night: Abe vs. Bo 2"), 1)
+
+
+def test_claims_of_crowded_days(spark):
+    """Rows that share a day and a name are compared once, as a group; ids that occur twice count all their partners."""
+    day = lambda i: datetime.date(2024, 5, 1) + datetime.timedelta(days=i)
+    left = [(i, day(0), "Gala: Abe vs. Bo") for i in range(400)] + [(900, day(9), "UFC 7"), (901, day(9), "Fair of Yu"), (902, day(20), "Open Night"), (902, day(40), "Open Night"), (903, day(60), "Lone Night"), (904, day(70), None)]
+    right = [(2000 + i, day(1), "gala abe vs bo") for i in range(400)] + [(3000, day(10), "ufc7: Cy"), (3001, day(9), "UFC 8"), (3002, day(20), "open night"), (3003, day(40), "open night"), (3004, day(61), "LONE night"), (3005, day(70), None)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, day date, name string")
+    assert {tuple(r) for r in resolve.compatible_claims(df(left), df(right)).collect()} == {(900, 3000), (903, 3004)}
+    near = {(r["l_name"], r["r_name"]): (r["l_n"], r["r_n"]) for r in resolve.near_names(df(left[:400]), df(right[:400])).collect()}
+    assert near == {("Gala: Abe vs. Bo", "gala abe vs bo"): (400, 400)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions import similarity
 from tidemark.operators import names as names_index
+from tidemark.session import cut
 
 
 def name_lookup(names: DataFrame, *, name: str = "name", id: str = "id", overrides: DataFrame | None = None) -> DataFrame:
@@ -96,6 +97,29 @@ def near_days(left: DataFrame, right: DataFrame, *, days: int = 1) -> DataFrame:
     return a.join(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), F.col("_day") == F.col("r_day")).drop("_day")
 
 
+def near_names(left: DataFrame, right: DataFrame, *, days: int = 1) -> DataFrame:
+    """Pairs (l_day, l_name, l_n, r_day, r_name, r_n) of near days' distinct names, with how many rows have them: rows that share a day
+    and a name are one group, so what is paired follows the names of a day and not its rows."""
+    groups = lambda rows: rows.groupBy("day", "name").agg(F.count("*").alias("n"))
+    return near_days(groups(left), groups(right), days=days)
+
+
+def compatible_claims(left: DataFrame, right: DataFrame, *, days: int = 1) -> DataFrame:
+    """(l_id, r_id) of rows (id, day, name) on near days with compatible names in which both sides have no other partner. Partners are
+    counted by groups of a day and a name, and only rows with a single one are paired."""
+    near = near_names(left, right, days=days)
+    same = near.select("l_name", "r_name").distinct().where(names_compatible(F.col("l_name"), F.col("r_name")))
+    met = cut(near.join(same, ["l_name", "r_name"]))
+
+    def lone(rows: DataFrame, own: str, other: str) -> DataFrame:
+        partners = met.groupBy(f"{own}_day", f"{own}_name").agg(F.sum(f"{other}_n").alias("_k"))
+        named = rows.select(*[F.col(c).alias(f"{own}_{c}") for c in ("id", "day", "name")]).join(partners, [f"{own}_day", f"{own}_name"])
+        return named.withColumn("_all", F.sum("_k").over(Window.partitionBy(f"{own}_id"))).where("_all = 1").drop("_k", "_all")
+
+    alone = met.where("l_n = 1 and r_n = 1").drop("l_n", "r_n")
+    return alone.join(lone(left, "l", "r"), ["l_day", "l_name"]).join(lone(right, "r", "l"), ["r_day", "r_name"]).select("l_id", "r_id")
+
+
 def unique_claims(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs in which both sides have no other partner."""
     n = lambda c: F.count("*").over(Window.partitionBy(c))

@@ -28,9 +28,7 @@ def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     name = F.replace(P.pick(F.floor(k / 2) % 8, EVENT_NAMES), F.lit("#"), (F.floor(k / 16) % 3).cast("string"))
     e = P.table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(k.alias("id"), F.col("o_orderdate").cast("date").alias("day"), name.alias("name"))
-    pairs = resolve.near_days(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
-    same = pairs.select("l_name", "r_name").distinct().where(resolve.names_compatible(F.col("l_name"), F.col("r_name")))
-    return resolve.unique_claims(pairs.join(same, ["l_name", "r_name"]).select("l_id", "r_id"), "l_id", "r_id")
+    return resolve.compatible_claims(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
 
 
 #: Suppliers' made-up names.
