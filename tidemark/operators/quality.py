@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import similarity
-from tidemark.operators.resolve import near_days, pair_key
+from tidemark.operators.resolve import near_names, pair_key
+from tidemark.session import cut, lanes
 
 Tables = dict[str, DataFrame]
 
@@ -24,13 +25,17 @@ def duplicate_events(events: DataFrame, *, days: int = 1, floor: float = 70.0) -
     """Announced events that look like events with results under another name. Of events (event_id, name, day, source_url, page_id),
     announced ones have a page and no source, held ones a source. Returns announced_id, announced_name, announced_day, held_id,
     held_name, held_day and the score of pairs at most `days` apart whose weighted score of the names, as they are, is at least floor.
-    Each distinct pair of names is scored once."""
+    Each distinct pair of names is scored once, and only names are compared day by day: events meet when their names are known to match."""
     announced = events.where(F.col("source_url").isNull() & F.col("page_id").isNotNull()).select("event_id", "name", "day")
     held = events.where(F.col("source_url").isNotNull()).select("event_id", "name", "day")
-    pairs = near_days(announced, held, days=days)
-    scored = pairs.select("l_name", "r_name").distinct().withColumn("score", F.round(similarity.weighted(F.col("l_name"), F.col("r_name")), 1)).where(F.col("score") >= floor)
-    named = {f"{a}_{c}": f"{b}_{'id' if c == 'event_id' else c}" for a, b in (("l", "announced"), ("r", "held")) for c in ("event_id", "name", "day")}
-    return pairs.join(scored, ["l_name", "r_name"]).select(*[F.col(a).alias(b) for a, b in named.items()], "score")
+    near = near_names(announced, held, days=days).drop("l_n", "r_n")
+    scored = near.select("l_name", "r_name").distinct().withColumn("score", F.round(similarity.weighted(F.col("l_name"), F.col("r_name")), 1)).where(F.col("score") >= floor)
+    met, n = cut(near.join(scored, ["l_name", "r_name"])), lanes(events.sparkSession)
+    side = lambda rows, name: rows.select(F.col("event_id").alias(f"{name}_id"), F.col("name").alias(f"{name[0]}_name"), F.col("day").alias(f"{name[0]}_day"))
+    # All rows of a group meet all of another one, so the result is far larger than what is joined: it is made in many tasks.
+    first = side(announced, "left").join(met, ["l_day", "l_name"]).repartition(n, "r_day", "r_name")
+    both = first.join(side(held, "right").repartition(n, "r_day", "r_name"), ["r_day", "r_name"])
+    return both.select(F.col("left_id").alias("announced_id"), F.col("l_name").alias("announced_name"), F.col("l_day").alias("announced_day"), F.col("right_id").alias("held_id"), F.col("r_name").alias("held_name"), F.col("r_day").alias("held_day"), "score")
 
 
 def broken_references(child: DataFrame, id: str, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
