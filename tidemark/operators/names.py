@@ -12,8 +12,12 @@ up single letters instead, by the same argument. Three cases have lists of their
   - words of which nearly all, by length, are words of the other name, by the rarest words of the contained name.
 
 Below a threshold of 85.5 a common word suffices for names of different length, and all words are looked up for these. Lengths are
-compared in each join; pairs that are left are scored once. Lookups are joins on the pair (or word), which adaptive execution splits
-where a list is long; the table of frequencies has a row per letter pair, and per word of the roster.
+compared in each join; pairs that are left are scored once. Lookups are joins on the pair (or word), dealt over a fixed number of tasks,
+as what they find is far more than what they read; the table of frequencies has a row per letter pair, and per word of the roster.
+
+Every entry carries its name's letter pairs and letters as bitmaps of hashes. In the join itself, a partner that lacks more of the
+looked-up name's pairs than its edits can destroy, or more of its letters than they can remove, is passed over; two that share a bit
+only hide a lack, so no pair is lost. Only what passes is shuffled and scored.
 """
 
 from __future__ import annotations
@@ -24,18 +28,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import similarity
+from tidemark.session import cut, lanes
 
 #: Fixed values of the score: length ratios from which a name counts as longer, and as far longer; factors for sorted words, for parts.
 LONGER, FAR_LONGER, SORTED, PART = 1.5, 8.0, 0.95, 0.9
 #: Least threshold for which the filters hold.
 LEAST = 67.0
+#: Longs of a name's bitmaps of letter pairs and of letters.
+PAIR_BITS, LETTER_BITS = tuple(f"_p{i}" for i in range(4)), tuple(f"_l{i}" for i in range(2))
+#: What an entry of an index carries.
+CARRIED = ("_s", "_n", "_u", "_v", *PAIR_BITS, *LETTER_BITS)
 
 
 def prepared(names: DataFrame) -> DataFrame:
-    """Distinct names with their words and lengths: _s, _n, _w (distinct words), _u (their length with single spaces), _all (all words)."""
-    own = names.select(F.trim(F.regexp_replace("name", r"\s+", " ")).alias("_t"), F.col("name").alias("_s")).where("_t <> ''").distinct()
-    words = own.select("_s", F.length("_s").alias("_n"), F.array_distinct(F.split("_t", " ")).alias("_w"), F.split("_t", " ").alias("_all"))
-    return words.withColumn("_u", F.length(F.array_join("_w", " ")))
+    """Distinct names with their words and lengths: _s, _n, _w (distinct words), _u (their length with single spaces), _all (all words),
+    _v (their length), and bitmaps of the letter pairs and letters of the distinct words (_mine_p0, ...) and of all words (_held_p0, ...)."""
+    spread = lanes(names.sparkSession)
+    own = names.select(F.trim(F.regexp_replace("name", r"\s+", " ")).alias("_t"), F.col("name").alias("_s")).where("_t <> ''").repartition(spread, "_t", "_s").distinct()
+    words = own.select("_s", F.length("_s").alias("_n"), F.array_distinct(F.split("_t", " ")).alias("_w"), F.split("_t", " ").alias("_all"), F.length("_t").alias("_v"))
+    words = words.withColumn("_u", F.length(F.array_join("_w", " ")))
+    for kind, list_ in (("mine", "_w"), ("held", "_all")):
+        for q, bits in ((2, PAIR_BITS), (1, LETTER_BITS)):
+            words = words.withColumn("_flat", runs(list_, q)).withColumn("_at", F.transform(numbered("_flat"), lambda g: F.pmod(F.xxhash64(g), F.lit(64 * len(bits))).cast("int")))  # noqa: B023
+            words = words.withColumns({f"_{kind}{c}": _bits("_at", i) for i, c in enumerate(bits)}).drop("_flat", "_at")
+    return cut(words)
+
+
+def _bits(places: str, i: int) -> Column:
+    """The i-th long of a bitmap of places."""
+    own = F.filter(places, lambda p: F.floor(p / 64) == i)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda x, p: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64)))
+
+
+def _lacking(bits: tuple[str, ...], of: str, other: str) -> Column:
+    """How many bits of the name `of` (a or f) the other one lacks; no more than it lacks runs of letters."""
+    return sum((F.bit_count(F.col(f"{c}{of}").bitwiseAND(F.bitwise_not(f"{c}{other}"))) for c in bits[1:]), F.bit_count(F.col(f"{bits[0]}{of}").bitwiseAND(F.bitwise_not(f"{bits[0]}{other}"))))
+
+
+def _within(of: str, other: str, gone: Column, destroyed: Column) -> Column:
+    """Whether the name lacks at most so many letters and letter pairs in the other one."""
+    return (_lacking(LETTER_BITS, of, other) <= gone) & (_lacking(PAIR_BITS, of, other) <= destroyed)
+
+
+def _like(threshold: float) -> Column:
+    """Whether the asked name's lack allows for a score with a partner of similar length: the names as they are, or their sorted words or
+    sorted distinct words, whose scores count less."""
+    gone, destroyed = [], []
+    for kind, score in (("_n", threshold), *((k, threshold / SORTED) for k in ("_v", "_u") if threshold <= SORTED)):
+        n, m = F.col(f"{kind}a"), F.col(f"{kind}f")
+        g = F.floor((2 - score) / 2 * n - score / 2 * m + 1e-9)
+        gone.append(g)
+        destroyed.append(3 * g - n + m)
+    most = lambda x: F.greatest(*x) if len(x) > 1 else x[0]
+    return _within("a", "f", most(gone), most(destroyed))
+
+
+def _inside(of: str, other: str, score: float) -> Column:
+    """Whether the shorter name's lack allows for a score with a stretch of the longer one of at most its length."""
+    n = F.col(f"_n{of}")
+    return _within(of, other, F.floor(n * ((2 - 2 * score) / (2 - score)) + 1e-9), _loss(n, score, _shortest(n, score), n, 2))
 
 
 def runs(words: str, q: int) -> Column:
@@ -74,16 +125,25 @@ def _alike(n: Column, m: Column, score: float) -> Column:
     return (m >= _shortest(n, score) - 1e-6) & (m <= _longest(n, score) + 1e-6)
 
 
+def _carried(rows: DataFrame, kind: str) -> DataFrame:
+    """rows whose bitmaps are those of the distinct words (mine) or of all words (held)."""
+    return rows.withColumns({c: F.col(f"_{kind}{c}") for c in (*PAIR_BITS, *LETTER_BITS)})
+
+
 def _rarest(rows: DataFrame, list_: str, frequency: DataFrame, count: Column) -> DataFrame:
-    """rows exploded over the `count` entries of list_ that are rarest in the roster: _s, _n, _u, _g."""
-    each = rows.select("_s", "_n", "_u", count.alias("_k"), F.explode(list_).alias("_g"))
+    """rows exploded over the `count` entries of list_ that are rarest in the roster, with CARRIED and _g."""
+    each = _carried(rows, "mine").select(*CARRIED, count.alias("_k"), F.explode(list_).alias("_g"))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy(F.coalesce("_f", F.lit(0)), "_g"))
-    return each.join(frequency, "_g", "left").withColumn("_r", rank).where("_r <= _k").select("_s", "_n", "_u", "_g")
+    return each.join(frequency, "_g", "left").withColumn("_r", rank).where("_r <= _k").select(*CARRIED, "_g")
 
 
-def _met(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """(asked, found) of lookups and lists (_s, _n, _u, _g); left holds asked names."""
-    return left.withColumnsRenamed({"_s": "asked", "_n": "_na", "_u": "_ua"}).join(right.withColumnsRenamed({"_s": "found", "_n": "_nf", "_u": "_uf"}), "_g").where(condition).select("asked", "found").distinct()
+def _met(left: DataFrame, right: DataFrame, condition: Column, *, looked: str = "asked") -> DataFrame:
+    """(asked, found) of lookups and lists (_s, ..., _g); left holds asked names. looked: the side that looks up, of which there is less."""
+    spread = lanes(left.sparkSession)
+    named = lambda x, end: x.withColumnsRenamed({c: f"{c}{end}" for c in x.columns if c != "_g"}).repartition(spread, "_g")
+    a, f = named(left, "a"), named(right, "f")
+    a, f = (a.hint("shuffle_hash"), f) if looked == "asked" else (a, f.hint("shuffle_hash"))
+    return a.join(f, "_g").where(condition).select(F.col("_sa").alias("asked"), F.col("_sf").alias("found"))
 
 
 def _frequency(lists: DataFrame) -> DataFrame:
@@ -102,7 +162,7 @@ def candidates(asked: DataFrame, roster: DataFrame, threshold: float) -> DataFra
     n, out = F.col("_n"), []
     for q in (2, 1):
         own_a, own_b = (x.withColumns({"_fm": runs("_w", q), "_fh": runs("_all", q), "_pairs": F.size(runs("_w", 2))}).withColumns({"_mine": numbered("_fm"), "_held": numbered("_fh")}) for x in (a, b))
-        lists = lambda x: x.select("_s", "_n", "_u", F.explode("_held").alias("_g"))
+        lists = lambda x: _carried(x, "held").select(*CARRIED, F.explode("_held").alias("_g"))
         frequency = _frequency(lists(own_b))
 
         def losses(x: DataFrame, level: int, score: float, low: Column, high: Column) -> tuple[DataFrame, Column]:
@@ -112,12 +172,12 @@ def candidates(asked: DataFrame, roster: DataFrame, threshold: float) -> DataFra
             return x.where(enough if level == 2 else ~enough), F.least(loss + 1, F.size("_mine"))
 
         rows, k = losses(own_a, q, t, _shortest(n, t), _longest(n, t))
-        out.append(_met(_rarest(rows, "_mine", frequency, k), lists(own_b), _alike(na, nf, t) | _alike(F.col("_ua"), F.col("_uf"), t)))
+        out.append(_met(_rarest(rows, "_mine", frequency, k), lists(own_b), (_alike(na, nf, t) | _alike(F.col("_ua"), F.col("_uf"), t)) & _like(t)))
         if part <= 1:
             rows, k = losses(own_a, q, part, _shortest(n, part), n)
-            out.append(_met(_rarest(rows, "_mine", frequency, k), lists(own_b), shorter_asked))
+            out.append(_met(_rarest(rows, "_mine", frequency, k), lists(own_b), shorter_asked & _inside("a", "f", part)))
             rows, k = losses(own_b, q, part, _shortest(n, part), n)
-            out.append(_met(lists(own_a), _rarest(rows, "_mine", frequency, k), shorter_found))
+            out.append(_met(lists(own_a), _rarest(rows, "_mine", frequency, k), shorter_found & _inside("f", "a", part), looked="found"))
     u = t / SORTED
     if u <= 1:
         # Words that may be missing from the other name make up this share of the sorted words, their separators counted.
@@ -132,16 +192,16 @@ def candidates(asked: DataFrame, roster: DataFrame, threshold: float) -> DataFra
             return each.withColumn("_before", before).where(F.col("_before") <= F.floor(slack * F.col("_u") + 1e-9)).select("_s", "_n", "_u", "_g")
 
         out.append(_met(heads(a), listed(b), ratio < LONGER))
-        out.append(_met(listed(a), heads(b), ratio < LONGER))
+        out.append(_met(listed(a), heads(b), ratio < LONGER, looked="found"))
         if t <= SORTED * PART:
             out.append(_met(listed(a), listed(b), (ratio >= LONGER) & (ratio <= FAR_LONGER)))
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    return pairs.repartition(lanes(pairs.sparkSession), "asked", "found").distinct()
 
 
 def similar(asked: DataFrame, roster: DataFrame, threshold: float = 90.0) -> DataFrame:
     """All pairs (asked, found, score) of distinct names (name) whose weighted score is at least the threshold. Empty and null names have
     no partner."""
-    return candidates(asked, roster, threshold).withColumn("score", similarity.weighted(F.col("asked"), F.col("found"))).where(F.col("score") >= threshold)
+    return candidates(asked, roster, threshold).withColumn("score", similarity.weighted(F.col("asked"), F.col("found"), once=True)).where(F.col("score") >= threshold)
