@@ -52,6 +52,17 @@ def test_pairs_left_to_score_are_few(spark):
     assert pairs.count() < len(asked) * len(held) / 20
 
 
+def test_few_letters_leave_few_pairs(spark):
+    """Of names over sixteen letters nearly all share some letter pair; few share as many as a score of 80 needs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(8))
+    held = [f"{word()} {word()}" for _ in range(800)]
+    asked = [h[:7] + h[8:] for h in held[:80]]
+    df = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    pairs = {tuple(r) for r in names.candidates(df(asked), df(held), 80.0).collect()}
+    assert set(zip(asked, held)) <= pairs and len(pairs) < len(asked) * len(held) / 100
+
+
 def test_low_thresholds_and_empty_rosters(spark):
     none = spark.createDataFrame([], "name string")
     some = spark.createDataFrame([("a b",)], "name string")
