@@ -833,3 +833,20 @@ def test_words_are_counted_as_the_library_counts_texts():
     marks = ["a", "B", "'s", "'", " ", "  ", "\n", "é", "é", "́", "1", "9", "-", "<|endoftext|>", "<|", " ", "　", "ß", "İ", "日", "\U0001f642", "\x85", "\x1c"]
     some = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(3000)] + ["ΑΣ ΑΣ.", "ᄀ ᅡᆨ", "<| endoftext|>", ""]
     assert list(token_counts.count_by_word([t.encode() for t in some], path)) == token_counts.count_whole(some, path)
+
+
+def test_sharding_writes_few_files_a_round(spark):
+    """The tables of the rounds are small here, so each is written as one file, whatever the number of shuffle partitions."""
+    from tidemark.llm import sharding
+
+    nodes = spark.createDataFrame([(i, i // 10, 1) for i in range(200)], "_node long, _piece long, _load long")
+    links = spark.createDataFrame([(i, i // 10 * 10, 1, i // 10) for i in range(200) if i % 10], "_a long, _b long, _weight long, _piece long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        labels = sharding.propagate(nodes, links, sharding.quotas(200, 4))
+        assert labels.rdd.getNumPartitions() == 1 and labels.count() == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

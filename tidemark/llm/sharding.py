@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_small, text_or_empty
+from tidemark.llm.common import cut, gathered, join_small, text_or_empty
 
 #: Lanes of a shard in the final order.
 LANES = 256
@@ -95,19 +95,21 @@ def propagate(nodes: DataFrame, links: DataFrame, rooms: list[int], *, rounds: i
     wants to move or the quotas let none for BARREN rounds. rounds: a bound, None for no other end."""
     shards, quota = len(rooms), [room * (1 + slack) for room in rooms]
     start = share_of(rooms, F.pmod(F.xxhash64(F.col("_node"), F.lit(0)), F.lit(max(1, sum(rooms)))))
-    both = cut(links.select("_a", "_b", "_weight").union(links.select("_b", "_a", "_weight")))
+    both = links.select("_a", "_b", "_weight").union(links.select("_b", "_a", "_weight"))
+    both = cut(gathered(both, 2 * nodes.count()))  # a node hangs on one other at most, and its centres on theirs
     turns = both.groupBy(F.col("_a").alias("_node")).agg(F.count("*").alias("_links"))
     labels = nodes.groupBy("_node").agg(F.sum("_load").alias("_load"), F.min("_piece").alias("_piece")).withColumn("_label", start).join(turns, "_node", "left")
     labels = cut(labels.select("_node", "_load", "_piece", F.struct("_links", F.xxhash64("_node", F.lit("turn")), "_node").alias("_turn"), "_label"))
+    few = labels.count()  # every round writes at most so many rows, in as few files as hold them
     r = barren = 0
     while barren < BARREN and (rounds is None or r < rounds):
         votes = both.join(labels.select(F.col("_node").alias("_b"), "_label"), "_b").groupBy("_a", "_label").agg(F.sum("_weight").alias("_votes"))
         wants = votes.groupBy("_a").agg(F.max(F.struct("_votes", "_label")).alias("_best"), F.sum("_votes").alias("_sum")).where(2 * F.col("_best._votes") > F.col("_sum")).select(F.col("_a").alias("_node"), F.col("_best._label").alias("_want"))
-        ask = cut(labels.join(wants, "_node").where("_want <> _label"))
+        ask = cut(gathered(labels.join(wants, "_node").where("_want <> _label"), few))
         if ask.isEmpty():
             break
         first = both.join(ask.select(F.col("_node").alias("_b"), F.col("_turn").alias("_other")), "_b").groupBy(F.col("_a").alias("_node")).agg(F.min("_other").alias("_first"))
-        go = cut(ask.join(first, "_node", "left").where(F.col("_first").isNull() | (F.col("_turn") < F.col("_first"))).drop("_first"))
+        go = cut(gathered(ask.join(first, "_node", "left").where(F.col("_first").isNull() | (F.col("_turn") < F.col("_first"))).drop("_first"), few))
         loads, flows = [0.0] * shards, {}
         for row in labels.groupBy("_label").agg(F.sum("_load").alias("_load")).collect():
             loads[row["_label"]] += row["_load"]
@@ -116,9 +118,9 @@ def propagate(nodes: DataFrame, links: DataFrame, rooms: list[int], *, rounds: i
         chance = accepted(loads, flows, quota)
         # Nodes of a piece that want the same shard are taken or refused together.
         draw = F.pmod(F.xxhash64(F.col("_piece"), F.lit(-1 - r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        moved = cut(go.where(draw < F.get(F.array(*map(F.lit, chance)), F.col("_want"))).select("_node", "_want"))
+        moved = cut(gathered(go.where(draw < F.get(F.array(*map(F.lit, chance)), F.col("_want"))).select("_node", "_want"), few))
         barren = barren + 1 if moved.isEmpty() else 0
-        labels = cut(labels.join(moved, "_node", "left").withColumn("_label", F.coalesce("_want", "_label")).drop("_want"))
+        labels = cut(gathered(labels.join(moved, "_node", "left").withColumn("_label", F.coalesce("_want", "_label")).drop("_want"), few))
         r += 1
     return labels.select("_node", "_label")
 
@@ -139,7 +141,7 @@ def whole_pieces(nodes: DataFrame, labels: DataFrame, caps: list[int], *, rounds
     all have room or `rounds` are over."""
     shares = nodes.join(labels, "_node").groupBy("_piece", "_label").agg(F.sum("_load").alias("_l"))
     pieces = shares.groupBy("_piece").agg(F.max(F.struct("_l", "_label")).alias("_m"), F.sum("_l").alias("_load")).select("_piece", F.col("_m._label").alias("_home"), "_load")
-    pieces = cut(pieces.withColumns({"_kind": size_class("_load"), "_block": F.pmod("_piece", F.lit(LANES)).cast("long"), "_node": F.col("_piece"), "size": F.col("_load")}))
+    pieces = cut(gathered(pieces.withColumns({"_kind": size_class("_load"), "_block": F.pmod("_piece", F.lit(LANES)).cast("long"), "_node": F.col("_piece"), "size": F.col("_load")}), nodes.count()))
     for r in range(rounds):
         lined = ordered(pieces, ["_home", "_kind", "_block"], "_node")
         loads = [0] * len(caps)
@@ -154,7 +156,7 @@ def whole_pieces(nodes: DataFrame, labels: DataFrame, caps: list[int], *, rounds
         if lined.where("not _stays").isEmpty() or not sum(free):
             break
         drawn = share_of(free, F.pmod(F.xxhash64("_piece", F.lit(r)), F.lit(sum(free))))
-        pieces = cut(lined.withColumn("_home", F.when(F.col("_stays"), F.col("_home")).otherwise(drawn)).drop("_stays"))
+        pieces = cut(gathered(lined.withColumn("_home", F.when(F.col("_stays"), F.col("_home")).otherwise(drawn)).drop("_stays"), lined.count()))
     return pieces.select("_piece", "_home", F.col("_load").alias("_size"))
 
 
