@@ -63,6 +63,26 @@ def test_few_letters_leave_few_pairs(spark):
     assert set(zip(asked, held)) <= pairs and len(pairs) < len(asked) * len(held) / 100
 
 
+def test_segments_leave_hardly_a_pair_too_many(spark):
+    """Among names over sixteen letters, few but those within a score's edits share two segments at places that the score allows for."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(8))
+    held = [f"{word()} {word()}" for _ in range(2000)]
+    asked = [h[:7] + h[8:] for h in held[:200]] + [f"nobody zz{i}" for i in range(200)]
+    df = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    pairs = {tuple(r) for r in names.candidates(df(asked), df(held), 80.0).collect()}
+    assert set(zip(asked, held[:200])) <= pairs and len(pairs) < 300
+
+
+def test_cuts_are_few_and_inside():
+    """Names of 16 and 17 letters out of sixteen meet in fewer than one of a thousand pairs by chance."""
+    assert sum(16.0 ** -(found[5] + found[7]) for found, _ in names._cuts(16, 17, 0.8)) < 1e-3
+    for n in range(1, 30):
+        for m in range(1, 30):
+            for (*_, p, x, q, y), (*_, r, _, t, _) in names._cuts(n, m, 0.8):
+                assert 1 <= p and p + x - 1 <= m and q + y - 1 <= m and 1 <= r and r + x - 1 <= n and t + y - 1 <= n
+
+
 def test_low_thresholds_and_empty_rosters(spark):
     none = spark.createDataFrame([], "name string")
     some = spark.createDataFrame([("a b",)], "name string")
