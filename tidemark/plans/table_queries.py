@@ -11,7 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import mutation, quality, ranged, resolve, results
 from tidemark.plans import projection as P
 from tidemark.plans.registry import query
-from tidemark.session import shared_dir
+from tidemark.session import lanes, shared_dir
 from tidemark.sources import readers, schemas, wikitext
 from tidemark.streaming import upserts
 
@@ -248,7 +248,7 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     champion = F.when(k % 2 == 0, " (c)").otherwise("")
     text = F.concat(F.lit("Intro.\n{{MMAevent card|Main card}}\n{{MMAevent bout|Lightweight|[[Ann (fighter "), k, F.lit(")|Ann "), k, F.lit("]]"), champion, F.lit("|def.|Bo|Decision|3|5:00|}}\n{{MMAevent card|''Early'' prelims}}\n{{MMAevent bout|Women's Flyweight|Cho|vs.|[[Dee "), F.col("o_custkey"), F.lit("]]||||}}\n{{End}}"))
-    cards = wikitext.fight_cards(table(spark, sf_dir, "orders").select(k.alias("page_id"), text.alias("text")))
+    cards = wikitext.fight_cards(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(lanes(spark)).select(k.alias("page_id"), text.alias("text")))
     return cards.select("page_id", "position", "card_tier", "weight_class", "red", "red_link", "red_champion", "connector", "blue", "blue_link", "method")
 
 

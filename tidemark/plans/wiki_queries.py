@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.projection import table
 from tidemark.plans.registry import query
+from tidemark.session import lanes
 from tidemark.sources import wikitext
 
 
@@ -26,7 +27,7 @@ def nested_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "|def.|{{flag|X|{{y|z}}}} Bo Ray<!-- no |bar -->|KO ([[Knockout|punch]])|3|5:00|", notes, "}}}}\n{{MMAevent card|Prelims{{n|{{m|{{o}}}}}}}}\n",
         "{{MMAevent bout|colour={{c|d}}|Flyweight|{{nowrap|[[Cho ", k, "]]}}|vs.|[[Dee]]|8=see [[a|b]] c|Decision}}\n{{MMAevent bout|Never|ends{{|x",
     )
-    cards = wikitext.fight_cards(table(spark, sf_dir, "orders").select(k.alias("page_id"), text.alias("text")))
+    cards = wikitext.fight_cards(table(spark, sf_dir, "orders").select("o_orderkey").repartition(lanes(spark)).select(k.alias("page_id"), text.alias("text")))
     return cards.select("page_id", "position", "card_tier", "red", "red_link", "red_champion", "blue", "blue_link", "method", "notes")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +13,10 @@ from tidemark.functions import scalars as S
 #: The templates' names and the table's header.
 CARD, BOUT = "MMAevent card", "MMAevent bout"
 HEADERS = ("Event", "Date", "Venue", "Location")
-#: Marks of wikitext, the beginning of a template of ours, and runs of other text.
-TOKEN = r"(?s)\{\{\s*MMAevent\s+(?:card|bout)\b|\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|]+|."
+#: Marks of wikitext, and the beginning of a template of ours.
+MARK = re.compile(r"\{\{(?:\s*MMAevent\s+(?:card|bout)\b)?|\}\}|\[\[|\]\]|\|", re.ASCII)
+#: White space, as strip takes it.
+SPACES = " \t\n\x0b\f\r"
 #: What isn't text: comments and references.
 UNSEEN = r"(?s)<!--.*?-->|<ref\b[^>]*/>|<ref\b.*?</ref\s*>"
 
@@ -44,36 +49,69 @@ def plain(c: Column) -> Column:
     return linked(without_templates(F.regexp_replace(c, UNSEEN, "")))
 
 
+def _fields(text: str | None) -> list[tuple[str, str | None, list[int], list[str], list[str]]]:
+    """(name, card, fields' numbers, raw, shown) of the templates of a page, in one pass over its marks: see templates."""
+    found, level, at, card = [], 0, None, None
+
+    def numbered(fields: list[tuple[str, str]]) -> tuple[dict[int, str], dict[int, str]]:
+        raw, shown, place = {}, {}, 0
+        for i, (r, s) in enumerate(fields):
+            if i and "=" in s:
+                name = s.split("=", 1)[0].strip(SPACES)
+                if not re.fullmatch("[1-9][0-9]{0,3}", name):
+                    continue
+                n, r, s = int(name), r.split("=", 1)[1], s.split("=", 1)[1]
+            else:
+                n = place
+                place += 1
+            raw[n], shown[n] = r, s  # of fields of one number the last holds
+        return raw, shown
+
+    for m in MARK.finditer(text or ""):
+        t, here = m.group(), m.start()
+        if t[0] == "{":
+            level += 1
+            if len(t) > 2:
+                at, links, fields, seen, start, since = level, 0, [], "", here, here
+            elif level - 1 == at:
+                seen += text[since:here]
+        elif t == "}}":
+            level -= 1
+            if level == at:
+                since = m.end()
+            elif at is not None and level < at:
+                raw, shown = numbered([*fields, (text[start:here], seen + text[since:here])])
+                name = re.sub(r"^\{\{\s*MMAevent\s+", "MMAevent ", raw[0], flags=re.ASCII).strip(SPACES)
+                card = shown.get(1, "") if name == CARD else card
+                found.append((name, card, list(raw), list(raw.values()), list(shown.values())))
+                at = None
+        elif at is None:
+            continue
+        elif t != "|":
+            links += 1 if t == "[[" else -1
+        elif level == at and links <= 0:
+            fields.append((text[start:here], seen + text[since:here]))
+            seen, start, since = "", m.end(), m.end()
+    return found
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """The card and bout templates of pages (page_id, text), wherever they stand: page_id, position (from 0, in document order), name, and
-    their positional fields by number as two maps, `raw` with the markup and `shown` without what stands in nested templates.
+    """The card and bout templates of pages (page_id, text), wherever they stand: page_id, position (from 0, in document order), name, card
+    (the first field, as shown, of the last card header up to here), and their positional fields by number as two maps, `raw` with the markup and `shown` without what stands in nested templates.
 
     Marks are told apart from text once; a running depth over the marks of a page says where a template ends and which bars are its own,
     whatever is nested in it: bars in links and in inner templates aren't. Fields with a name are left out, those named by a number
-    have that number. A template that never ends is left out. One page's marks make one group."""
-    marks = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", UNSEEN, ""), F.lit(TOKEN), F.lit(0))).alias("_i", "_t"))
-    page = Window.partitionBy("page_id").orderBy("_i")
-    opens, closes = F.col("_t").startswith("{{"), F.col("_t") == "}}"
-    level = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(page)
-    deep = marks.withColumn("_d", level).withColumn("_s", F.last(F.when(F.col("_t").rlike("^\\{\\{\\s*MMA"), F.struct(F.col("_i").alias("at"), F.col("_d").alias("d"))), ignorenulls=True).over(page)).where("_s is not null")
-    own = Window.partitionBy("page_id", "_s.at").orderBy("_i")
-    links = F.sum(F.when(F.col("_t") == "[[", 1).when(F.col("_t") == "]]", -1).otherwise(0)).over(own)
-    held = deep.withColumns({"_low": F.min("_d").over(own), "_least": F.min("_d").over(Window.partitionBy("page_id", "_s.at")), "_l": links}).where((F.col("_low") >= F.col("_s.d")) & (F.col("_least") < F.col("_s.d")))
-    outside = (F.col("_d") == F.col("_s.d")) & ~closes  # not in an inner template; what closes one is on the outer level again
-    bar = (F.col("_t") == "|") & outside & (F.col("_l") <= 0)
-    fields = held.withColumn("_f", F.sum(bar.cast("int")).over(own)).withColumn("_bar", bar)
-    put = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("_i", "_t")))), lambda x: x["_t"]), "")
-    texts = fields.groupBy("page_id", F.col("_s.at").alias("_at"), "_f").agg(put(~F.col("_bar")).alias("_raw"), put(~F.col("_bar") & outside).alias("_shown"))
-    name = strip(F.regexp_extract("_shown", r"(?s)^(.*?)=", 1))
-    named = texts.withColumns({"_eq": (F.col("_f") > 0) & F.col("_shown").contains("="), "_n": F.when(name.rlike("^[1-9][0-9]{0,3}$"), name.cast("int"))})
-    counted = named.withColumn("_place", F.when(F.col("_eq"), F.col("_n")).when(F.col("_f") > 0, F.sum(F.when((F.col("_f") > 0) & ~F.col("_eq"), 1).otherwise(0)).over(Window.partitionBy("page_id", "_at").orderBy("_f"))).otherwise(0))
-    value = lambda c: F.when(F.col("_eq"), F.regexp_replace(c, r"(?s)^.*?=", "")).otherwise(F.col(c))
-    last = F.row_number().over(Window.partitionBy("page_id", "_at", "_place").orderBy(F.desc("_f")))
-    counted = counted.where("_place is not null").withColumn("_last", last).where("_last = 1")  # of fields of one number the last holds
-    found = counted.groupBy("page_id", "_at").agg(*[F.map_from_entries(F.collect_list(F.struct("_place", value(c)))).alias(k) for c, k in (("_raw", "raw"), ("_shown", "shown"))])
-    number = (F.row_number().over(Window.partitionBy("page_id").orderBy("_at")) - 1).cast("int")
-    title = strip(F.regexp_replace(F.element_at("raw", F.lit(0)), r"^\{\{\s*(MMAevent)\s+", "$1 "))
-    return found.select("page_id", number.alias("position"), title.alias("name"), "raw", "shown")
+    have that number. A template that never ends, or in which another of ours begins, is left out. A page is read in its row, so nothing
+    is shuffled."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("card", pa.string()), ("at", pa.list_(pa.int32())), ("raw", pa.list_(pa.string())), ("shown", pa.list_(pa.string()))]))
+
+    @F.arrow_udf("array<struct<name: string, card: string, at: array<int>, raw: array<string>, shown: array<string>>>")
+    def fields(texts: pa.Array) -> pa.Array:
+        return pa.array([_fields(x) for x in texts.to_pylist()], kind)
+
+    # Otherwise a filter on the number of templates would be moved before whatever deals pages, and a page read twice.
+    found = pages.select("page_id", fields.asNondeterministic()(F.regexp_replace("text", UNSEEN, "")).alias("_t")).select("page_id", F.posexplode("_t").alias("position", "_t"))
+    return found.select("page_id", "position", "_t.name", "_t.card", *[F.map_from_arrays("_t.at", f"_t.{c}").alias(c) for c in ("raw", "shown")])
 
 
 def fight_cards(pages: DataFrame) -> DataFrame:
@@ -81,8 +119,7 @@ def fight_cards(pages: DataFrame) -> DataFrame:
     stand in a nested template."""
     raw = lambda i: F.coalesce(F.element_at("raw", F.lit(i)), F.lit(""))
     shown = lambda i: linked(F.coalesce(F.element_at("shown", F.lit(i)), F.lit("")))
-    order = Window.partitionBy("page_id").orderBy("position")
-    tiers = templates(pages).withColumn("card_tier", F.last(F.when(F.col("name") == CARD, shown(1)), ignorenulls=True).over(order)).where(F.col("name") == BOUT)
+    tiers = templates(pages).withColumn("card_tier", linked(F.col("card"))).where(F.col("name") == BOUT)
     fighter = lambda i: strip(F.replace(shown(i), F.lit("(c)"), F.lit("")))
     return tiers.select(
         "page_id", "position", "card_tier", shown(1).alias("weight_class"),
