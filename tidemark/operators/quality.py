@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,34 @@ def duplicate_events(events: DataFrame, *, days: int = 1, floor: float = 70.0) -
     Each distinct pair of names is scored once, and only names are compared day by day: events meet when their names are known to match."""
     announced = events.where(F.col("source_url").isNull() & F.col("page_id").isNotNull()).select("event_id", "name", "day")
     held = events.where(F.col("source_url").isNotNull()).select("event_id", "name", "day")
-    near = near_names(announced, held, days=days).drop("l_n", "r_n")
-    scored = near.select("l_name", "r_name").distinct().withColumn("score", F.round(similarity.weighted(F.col("l_name"), F.col("r_name")), 1)).where(F.col("score") >= floor)
-    met, n = cut(near.join(scored, ["l_name", "r_name"])), lanes(events.sparkSession)
-    side = lambda rows, name: rows.select(F.col("event_id").alias(f"{name}_id"), F.col("name").alias(f"{name[0]}_name"), F.col("day").alias(f"{name[0]}_day"))
-    # All rows of a group meet all of another one, so the result is far larger than what is joined: it is made in many tasks.
-    first = side(announced, "left").join(met, ["l_day", "l_name"]).repartition(n, "r_day", "r_name")
-    both = first.join(side(held, "right").repartition(n, "r_day", "r_name"), ["r_day", "r_name"])
-    return both.select(F.col("left_id").alias("announced_id"), F.col("l_name").alias("announced_name"), F.col("l_day").alias("announced_day"), F.col("right_id").alias("held_id"), F.col("r_name").alias("held_name"), F.col("r_day").alias("held_day"), "score")
+    near, n = near_names(announced, held, days=days), lanes(events.sparkSession)
+    pairs = near.select("l_name", "r_name").distinct().repartition(n, "l_name", "r_name")
+    scored = pairs.withColumn("score", F.round(similarity.weighted(F.col("l_name"), F.col("r_name"), once=True), 1)).where(F.col("score") >= floor)
+    met = cut(near.join(scored, ["l_name", "r_name"]))
+    # All rows of a group meet all of another one, so the result is far larger than what is joined: the groups' ids move in packs, and pairs
+    # of packs are dealt over many tasks and expanded there.
+    packs = lambda c: F.explode(F.sequence(F.lit(0), _packs(F.col(c)) - 1))
+    each = met.withColumn("l_pack", packs("l_n")).withColumn("r_pack", packs("r_n")).drop("l_n", "r_n")
+    for rows, side in ((announced, "l"), (held, "r")):
+        keys = [f"{side}_{c}" for c in ("day", "name", "pack")]
+        each = each.repartition(n, *keys).join(_packed(rows, side).repartition(n, *keys), keys)
+    half = each.select(F.explode("l_ids").alias("announced_id"), F.col("l_name").alias("announced_name"), F.col("l_day").alias("announced_day"), "r_ids", F.col("r_name").alias("held_name"), F.col("r_day").alias("held_day"), "score")
+    return half.select("announced_id", "announced_name", "announced_day", F.explode("r_ids").alias("held_id"), "held_name", "held_day", "score")
+
+
+#: Ids of a pack, about: what a task holds at once of the result follows its square.
+PACK = 256
+
+
+def _packs(n: Column) -> Column:
+    return F.ceil(n / PACK).cast("int")
+
+
+def _packed(rows: DataFrame, side: str) -> DataFrame:
+    """The ids of rows (event_id, name, day) that share a day and a name, in packs: day, name, pack and ids, with the side before each."""
+    n = rows.groupBy("day", "name").agg(F.count("*").alias("_n"))
+    dealt = rows.join(n, ["day", "name"]).withColumn("pack", F.pmod(F.xxhash64("event_id"), _packs(F.col("_n"))).cast("int"))
+    return dealt.groupBy(*[F.col(c).alias(f"{side}_{c}") for c in ("day", "name", "pack")]).agg(F.collect_list("event_id").alias(f"{side}_ids"))
 
 
 def broken_references(child: DataFrame, id: str, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
