@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 
 import pytest
@@ -139,3 +140,15 @@ def test_claims_of_crowded_days(spark):
     assert {tuple(r) for r in resolve.compatible_claims(df(left), df(right)).collect()} == {(900, 3000), (903, 3004)}
     near = {(r["l_name"], r["r_name"]): (r["l_n"], r["r_n"]) for r in resolve.near_names(df(left[:400]), df(right[:400])).collect()}
     assert near == {("Gala: Abe vs. Bo", "gala abe vs bo"): (400, 400)}
+
+
+def test_crowds_of_one_name_move_few_pairs(spark):
+    """Of names that share all but their last word, only those move whose letters allow for the score, and none of the score is lost."""
+    last = [hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(160)]
+    held = sorted(f"ana da silva {x}" for x in last)
+    asked = sorted({f"silva {x} ana" for x in last[80:]} | {f"ana ana silva {x}" for x in last[:40]} | set(held[::3]))
+    df = lambda names_: spark.createDataFrame([(n,) for n in names_], "name string")
+    want = {(x, y) for x in asked for y in held if similarity.weighted_ratio(x, y) >= 88}
+    found = names.candidates(df(asked), df(held), 88.0)
+    moved = {tuple(r) for r in found.collect()}
+    assert want <= moved and 150 < len(want) and len(moved) < len(asked) * len(held) / 8

@@ -3,11 +3,12 @@
 The score is similarity.weighted. It compares names as they are, with sorted words, with sorted distinct words, and with common words
 first; pairs are looked up in four ways, and those that are found are scored once:
 
-  - names as they are and their sorted words (views), up to LONG letters: by segments. A score needs c letters in common, so of a view of n
-    letters at most n - c have no partner, and of one of m letters at most m - c. The found view is cut into two segments more than that
-    makes together; read from the left, there is a first segment that as many of these letters precede as segments, and a later one that
-    is behind by one, and both are whole. So they stand in the asked view, and the number of letters without partner before them says
-    where. Lookups are equalities of both segments, their places and lengths; what they find by chance shrinks with four to six letters.
+  - names as they are and, at the higher score that they need, their sorted words (views), up to LONG letters: by segments. A score needs c
+    letters in common, so of a view of n letters at most n - c have no partner, and of one of m letters at most m - c. The found view is
+    cut into two segments more than that makes together; read from the left, there is a first segment that as many of these letters
+    precede as segments, and a later one that is behind by one, and both are whole. So they stand in the asked view, and the number of
+    letters without partner before them says where. Lookups are equalities of both segments, their places and lengths; what they find by
+    chance shrinks with four to six letters.
   - names that share a word: by the word together with the rarest letter pairs of the rest, if so many can't all be lost.
   - words of which nearly all, by length, are words of the other name, by the rarest words of the contained name.
   - longer names, and names inside a longer one: by letter pairs inside words, which no order changes. An edit that removes a letter
@@ -19,9 +20,9 @@ first; pairs are looked up in four ways, and those that are found are scored onc
 Below a threshold of 85.5 a common word suffices for names of different length, and all words are looked up for these. Lookups are joins
 dealt over a fixed number of tasks; the tables of segments' places have rows for pairs of lengths, and lengths alone go to the driver.
 
-Entries of letter pairs carry their name's letter pairs and letters as bitmaps of hashes. In the join itself, a partner that lacks more
-of the looked-up name's pairs than its edits can destroy, or more of its letters than they can remove, is passed over; two that share a
-bit only hide a lack, so no pair is lost.
+Entries carry their name's letters, and those of letter pairs its letter pairs too, as bitmaps of hashes. In the join itself, a partner
+that lacks more of the looked-up name's pairs than its edits can destroy, or more of its letters than they can remove, is passed over,
+and so no pair is moved that only shares words with many others; two that share a bit only hide a lack, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -162,6 +163,18 @@ def _carried(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumns({c: F.col(f"_{kind}{c}") for c in (*PAIR_BITS, *LETTER_BITS)})
 
 
+def _letters(kind: str) -> list[Column]:
+    """The bitmaps of letters of the distinct words (mine) or of all words (held)."""
+    return [F.col(f"_{kind}{c}").alias(c) for c in LETTER_BITS]
+
+
+def _lettered(n: Column, m: Column, score: float) -> Column:
+    """Whether two strings of n and m letters, whose bitmaps are those of a and f, can have as many letters in common as the score needs:
+    each lacks no more of the other's than that leaves without partner."""
+    common = F.ceil(score * (n + m) / 2 - 1e-9)
+    return (_lacking(LETTER_BITS, "a", "f") <= n - common) & (_lacking(LETTER_BITS, "f", "a") <= m - common)
+
+
 def _rarest(rows: DataFrame, list_: str, frequency: DataFrame, count: Column) -> DataFrame:
     """rows exploded over the `count` entries of list_ that are rarest in the roster, with CARRIED and _g."""
     each = _carried(rows, "mine").select(*CARRIED, count.alias("_k"), F.explode(list_).alias("_g"))
@@ -212,10 +225,14 @@ def _lengths(rows: DataFrame, c: str = "_n") -> list[int]:
     return sorted(r[0] for r in rows.select(c).distinct().collect())
 
 
-def _placed(a: DataFrame, b: DataFrame, score: float) -> DataFrame:
-    """(asked, found) of names of up to LONG letters of which two views share segments at places that a score allows for."""
+def _placed(a: DataFrame, b: DataFrame, score: float, *, sorted_: bool) -> DataFrame:
+    """(asked, found) of names of up to LONG letters of which the names as they are, or their sorted words or sorted distinct words, share
+    segments at places that a score allows for, and have the letters in common that it needs."""
     spark = a.sparkSession
-    views = lambda x: x.where(F.col("_n") <= LONG).select("_s", F.explode(F.array_distinct(F.array("_s", *(F.array_join(F.array_sort(w), " ") for w in ("_all", "_w"))))).alias("_view")).withColumn("_of", F.length("_view"))
+    view = lambda v, kind: F.struct(v.alias("_view"), *_letters(kind))
+    words = lambda w: F.array_join(F.array_sort(w), " ")
+    own_views = F.array(view(words("_all"), "held"), view(words("_w"), "mine")) if sorted_ else F.array(view(F.col("_s"), "held"))
+    views = lambda x: x.where(F.col("_n") <= LONG).select("_s", F.inline(F.array_distinct(own_views))).withColumn("_of", F.length("_view"))
     own, other = views(a), views(b)
     pairs = [(n, *cut_) for n in _lengths(own, "_of") for m in _lengths(other, "_of") for cut_ in _cuts(n, m, score)]
     kind = "_of int, _m int, _k int, _i int, _j int, _p int, _x int, _q int, _y int"
@@ -224,31 +241,34 @@ def _placed(a: DataFrame, b: DataFrame, score: float) -> DataFrame:
 
     def keyed(x: DataFrame, places: DataFrame, name: str) -> DataFrame:
         parts = [F.substring("_view", F.col(p), F.col(n)) for p, n in (("_p", "_x"), ("_q", "_y"))]
-        return x.join(F.broadcast(places), "_of").select(F.col("_s").alias(name), F.col("_view").alias(f"_{name}"), F.xxhash64("_m", "_k", "_i", "_j", *parts).alias("_key")).repartition(lanes(spark), "_key")
+        carried = [F.col("_s").alias(name), *([F.col("_view").alias(f"_{name}")] if sorted_ else []), *[F.col(c).alias(f"{c}{name[0]}") for c in ("_of", *LETTER_BITS)]]
+        return x.join(F.broadcast(places), "_of").select(*carried, F.xxhash64("_m", "_k", "_i", "_j", *parts).alias("_key")).repartition(lanes(spark), "_key")
 
-    n, m = F.length("_asked"), F.length("_found")
+    n, m = F.col("_ofa"), F.col("_off")
     edits = (n + m - 2 * F.ceil(score * (n + m) / 2 - 1e-9)).cast("int")
-    near = F.call_function("levenshtein", F.col("_asked"), F.col("_found"), edits) >= 0  # a letter without partner is an edit, two may be one
-    return keyed(own, asking, "asked").distinct().hint("shuffle_hash").join(keyed(other, held, "found"), "_key").where(near).select("asked", "found")
+    x, y = ("_asked", "_found") if sorted_ else ("asked", "found")
+    near = F.call_function("levenshtein", F.col(x), F.col(y), edits) >= 0  # a letter without partner is an edit, two may be one
+    met = keyed(own, asking, "asked").distinct().hint("shuffle_hash").join(keyed(other, held, "found"), "_key")
+    return met.where(_lettered(n, m, score) & near).select("asked", "found")
 
 
 def _sharing(a: DataFrame, b: DataFrame, score: float) -> DataFrame:
     """(asked, found) of names with a common word that share one of the rarest letter pairs of their other words too, or whose other words
     are so few that all of theirs could be lost."""
-    words = lambda x: x.select("_s", "_u", "_w", F.explode("_w").alias("_word"))
+    words = lambda x: x.select("_s", "_u", "_w", *_letters("mine"), F.explode("_w").alias("_word"))
     own, other = words(a), words(b)
     own = own.join(other.select("_word").distinct(), "_word", "left_semi")
     other = other.join(own.select("_word").distinct(), "_word", "left_semi")
     rest = lambda x: x.withColumn("_pairs", numbered(F.filter("_w", lambda w: w != F.col("_word")), 2))
     n = F.col("_u")
     own = rest(own).withColumn("_k", _loss(n, score, _shortest(n, score), _longest(n, score), 2) + 1)
-    each = rest(other).select("_s", "_u", "_word", F.explode(F.array_append("_pairs", F.lit(""))).alias("_pair"))
+    each = rest(other).select("_s", "_u", *LETTER_BITS, "_word", F.explode(F.array_append("_pairs", F.lit(""))).alias("_pair"))
     frequency = each.where("_pair <> ''").groupBy("_pair").agg(F.count("*").alias("_f"))
     rank = F.row_number().over(Window.partitionBy("_s", "_word").orderBy(F.coalesce("_f", F.lit(0)), "_pair"))
-    rarest = own.where(F.size("_pairs") >= F.col("_k")).select("_s", "_u", "_word", "_k", F.explode("_pairs").alias("_pair")).join(frequency, "_pair", "left").withColumn("_r", rank).where("_r <= _k")
-    asked = rarest.select("_s", "_u", "_word", "_pair").unionByName(own.where(F.size("_pairs") < F.col("_k")).select("_s", "_u", "_word", F.lit("").alias("_pair")))
-    key = lambda x, end: x.select(F.col("_s").alias(f"_s{end}"), F.col("_u").alias(f"_u{end}"), F.xxhash64("_word", "_pair").alias("_key")).repartition(lanes(x.sparkSession), "_key")
-    return key(asked, "a").hint("shuffle_hash").join(key(each, "f"), "_key").where(_alike(F.col("_ua"), F.col("_uf"), score)).select(F.col("_sa").alias("asked"), F.col("_sf").alias("found"))
+    rarest = own.where(F.size("_pairs") >= F.col("_k")).select("_s", "_u", *LETTER_BITS, "_word", "_k", F.explode("_pairs").alias("_pair")).join(frequency, "_pair", "left").withColumn("_r", rank).where("_r <= _k")
+    asked = rarest.select("_s", "_u", *LETTER_BITS, "_word", "_pair").unionByName(own.where(F.size("_pairs") < F.col("_k")).select("_s", "_u", *LETTER_BITS, "_word", F.lit("").alias("_pair")))
+    key = lambda x, end: x.select(*[F.col(c).alias(f"{c}{end}") for c in ("_s", "_u", *LETTER_BITS)], F.xxhash64("_word", "_pair").alias("_key")).repartition(lanes(x.sparkSession), "_key")
+    return key(asked, "a").hint("shuffle_hash").join(key(each, "f"), "_key").where(_lettered(F.col("_ua"), F.col("_uf"), score)).select(F.col("_sa").alias("asked"), F.col("_sf").alias("found"))
 
 
 def _by_pairs(a: DataFrame, b: DataFrame, score: float, condition: Column, *, alike: bool, looked: str = "asked") -> list[DataFrame]:
@@ -273,10 +293,10 @@ def candidates(asked: DataFrame, roster: DataFrame, threshold: float) -> DataFra
     if threshold < LEAST:
         raise ValueError(f"a threshold below {LEAST} can't be looked up")
     t, part = threshold / 100, threshold / 100 / PART
-    a, b = prepared(asked), prepared(roster)
+    a, b = _marked(prepared(asked)), _marked(prepared(roster))
     na, nf = F.col("_na"), F.col("_nf")
     ratio = F.greatest(na, nf) / F.least(na, nf)
-    out = [_placed(a, b, t)]
+    out = [_placed(a, b, t, sorted_=False), *([_placed(a, b, t / SORTED, sorted_=True)] if t <= SORTED else [])]
     of = {"a": _lengths(a), "b": _lengths(b)}
     # Names of the lengths that have a longer partner on the other side, and the longer ones.
     short = lambda x, y: [n for n in of[x] if any(LONGER * n <= m <= FAR_LONGER * n for m in of[y])]
@@ -284,12 +304,12 @@ def candidates(asked: DataFrame, roster: DataFrame, threshold: float) -> DataFra
     some = lambda x, lengths: x.where(F.col("_n").isin(lengths))
     if max(of["a"] + of["b"], default=0) > LONG:
         # A score needs at least half of the longer name's letters.
-        x, y = (_marked(z.where(F.col("_n") > LONG / 2)) for z in (a, b))
+        x, y = (z.where(F.col("_n") > LONG / 2) for z in (a, b))
         out += _by_pairs(x, y, t, (F.greatest(na, nf) > LONG) & (_alike(na, nf, t) | _alike(F.col("_ua"), F.col("_uf"), t)) & _like(t), alike=True)
     if part <= 1 and short("a", "b"):
-        out += _by_pairs(_marked(some(a, short("a", "b"))), _marked(some(b, wide("b", "a"))), part, (nf >= LONGER * na) & (nf <= FAR_LONGER * na) & _inside("a", "f", part), alike=False)
+        out += _by_pairs(some(a, short("a", "b")), some(b, wide("b", "a")), part, (nf >= LONGER * na) & (nf <= FAR_LONGER * na) & _inside("a", "f", part), alike=False)
     if part <= 1 and short("b", "a"):
-        out += _by_pairs(_marked(some(a, wide("a", "b"))), _marked(some(b, short("b", "a"))), part, (na >= LONGER * nf) & (na <= FAR_LONGER * nf) & _inside("f", "a", part), alike=False, looked="found")
+        out += _by_pairs(some(a, wide("a", "b")), some(b, short("b", "a")), part, (na >= LONGER * nf) & (na <= FAR_LONGER * nf) & _inside("f", "a", part), alike=False, looked="found")
     u = t / SORTED
     if u <= 1:
         out.append(_sharing(a, b, u))
