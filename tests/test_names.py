@@ -152,3 +152,22 @@ def test_crowds_of_one_name_move_few_pairs(spark):
     found = names.candidates(df(asked), df(held), 88.0)
     moved = {tuple(r) for r in found.collect()}
     assert want <= moved and 150 < len(want) and len(moved) < len(asked) * len(held) / 8
+
+
+def test_resolution_of_a_crowd_moves_few_pairs(spark, monkeypatch):
+    """Names that share all but their last word are resolved as by brute force, and few pairs of them move."""
+    last = [hashlib.md5(str(i).encode()).hexdigest()[:4] for i in range(200)]
+    held = {f"khalil souza santos {x}": i for i, x in enumerate(dict.fromkeys(last))}
+    asked = sorted({f"khalil souza qantos {x}" for x in last[::4]} | {f"souza khalil santos {x}" for x in last[1::4]})
+    best = {x: max(((similarity.weighted_ratio(x, y), -i) for y, i in held.items()), default=(0, 0)) for x in asked}
+    moved, candidates = [], names.candidates
+
+    def counted(a, b, threshold):
+        moved.append(candidates(a, b, threshold))
+        return moved[0]
+
+    monkeypatch.setattr(names, "candidates", counted)
+    roster_ = spark.createDataFrame([(i, n) for n, i in held.items()], "id long, name string")
+    got = resolve.resolve_names(spark.createDataFrame([(n,) for n in asked], "name string"), roster_, spark.createDataFrame([], "alias string, fighter_id long"))
+    assert {r["name"]: r["fighter_id"] for r in got.collect()} == {x: -i if score >= 90 else None for x, (score, i) in best.items()}
+    assert moved[0].count() < len(asked) * len(held) / 4
